@@ -66,13 +66,8 @@ def chunks(texts: list[bytes | None], limit: int = 8 << 20):
         yield begin, len(texts)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Split few large partitions so that all cores have work; rows keep their order within a file split."""
-    return df
 
 
-def one(df: DataFrame):
-    return df.first()
 
 
 def scalar(df: DataFrame, expr) -> object:

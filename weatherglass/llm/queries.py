@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import decontamination, simhash
+from . import chat, decontamination, sharding, simhash
 
 
 def queries() -> dict:
     return {
+        "op5_chat_formatting": chat.query,
         "op7_decontamination": decontamination.query,
+        "op8_sharding": sharding.query,
         "op9_simhash_dedup": simhash.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat_formatting": chat.ORACLE}
