@@ -66,9 +66,5 @@ def chunks(texts: list[bytes | None], limit: int = 8 << 20):
         yield begin, len(texts)
 
 
-
-
-
-
 def scalar(df: DataFrame, expr) -> object:
     return df.agg(F.expr(expr) if isinstance(expr, str) else expr).first()[0]

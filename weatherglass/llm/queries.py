@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, sharding, simhash
+from . import chat, decontamination, quality, sentencepiece_codec, sharding, simhash
 
 
 def queries() -> dict:
     return {
         "op5_chat_formatting": chat.query,
+        "op6_quality_classifier": quality.query,
         "op7_decontamination": decontamination.query,
         "op8_sharding": sharding.query,
         "op9_simhash_dedup": simhash.query,
+        "op10_sentencepiece": sentencepiece_codec.query,
     }
 
 
