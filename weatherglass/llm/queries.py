@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, quality, sentencepiece_codec, sharding, simhash
+from . import chat, decontamination, mtree, quality, sentencepiece_codec, sharding, simhash
 
 
 def queries() -> dict:
     return {
+        "op4_exact_top_k": mtree.query,
         "op5_chat_formatting": chat.query,
         "op6_quality_classifier": quality.query,
         "op7_decontamination": decontamination.query,
@@ -17,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": chat.ORACLE}
+    return {"op4_exact_top_k": mtree.ORACLE, "op5_chat_formatting": chat.ORACLE}
