@@ -68,3 +68,15 @@ def chunks(texts: list[bytes | None], limit: int = 8 << 20):
 
 def scalar(df: DataFrame, expr) -> object:
     return df.agg(F.expr(expr) if isinstance(expr, str) else expr).first()[0]
+
+
+def passing(documents: DataFrame, verdicts) -> DataFrame:
+    """The rows of documents, all columns as they are, for whose texts (a batch, as UTF-8 bytes or None) verdicts(texts) is
+    true."""
+    at = documents.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(verdicts(utf8(batch.column(at))), pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, prepare, scalar, utf8
+from .common import chunks, passing, prepare, scalar, utf8
 from .fm_index import FMIndex
 
 WINDOW = 13
@@ -114,32 +114,44 @@ def merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: its words, hit words, items with occurring windows, merged spans (in words) and whether it is
-    contaminated. documents needs doc_id and text, benchmark item_id and text."""
-    spark = prepare(documents.sparkSession)
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text")).filter("text IS NOT NULL")
+def windows_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list:
+    """The windows of benchmark (item_id, text) as broadcasts, each of about block_bytes of text at most."""
+    spark = prepare(benchmark.sparkSession)
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     blocks = max(1, -(-int(scalar(bench, "coalesce(sum(octet_length(text)), 0)")) // block_bytes))
     held = []
     for block in range(blocks):
-        part = bench.filter(F.expr(f"pmod(xxhash64(item_id), {blocks}) = {block}")) if blocks > 1 else bench
-        rows = [("" if r[0] is None else r[0], r[1].encode()) for r in part.collect()]
-        held.append(spark.sparkContext.broadcast(Windows(rows)))
-        del rows
+        part = bench.filter(F.expr(f"pmod(xxhash64(item_id, text), {blocks}) = {block}")) if blocks > 1 else bench
+        held.append(spark.sparkContext.broadcast(Windows([("" if r[0] is None else r[0], r[1].encode()) for r in part.collect()])))
+    return held
+
+
+def hits(held: list, texts: list[bytes | None]):
+    """(words, merged spans, items) of each text."""
+    for a, b in chunks(texts):
+        sizes, spans, items = held[0].value.find(texts[a:b])
+        for other in held[1:]:
+            _, more, names = other.value.find(texts[a:b])
+            spans = [merged(x, y) for x, y in zip(spans, more, strict=True)]
+            items = [sorted({*x, *y}) for x, y in zip(items, names, strict=True)]
+        yield from zip(sizes, spans, items, strict=True)
+
+
+def contaminated(words: int, hit: int) -> bool:
+    return hit > 0 and SHARE * hit >= words
+
+
+def decontaminate(documents: DataFrame, benchmark: DataFrame, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document: its words, hit words, items with occurring windows, merged spans (in words) and whether it is
+    contaminated. documents needs doc_id and text, benchmark item_id and text."""
+    held = windows_of(benchmark, block_bytes)
 
     def run(batches):
         for batch in batches:
-            texts = utf8(batch.column(1))
             out: list[tuple] = []
-            for a, b in chunks(texts):
-                sizes, spans, items = held[0].value.find(texts[a:b])
-                for other in held[1:]:
-                    _, more, names = other.value.find(texts[a:b])
-                    spans = [merged(x, y) for x, y in zip(spans, more, strict=True)]
-                    items = [sorted({*x, *y}) for x, y in zip(items, names, strict=True)]
-                for n, s, i in zip(sizes, spans, items, strict=True):
-                    hit = sum(y - x for x, y in s)
-                    out.append((n, hit, len(i), hashlib.sha256(",".join(i).encode()).hexdigest(), hit > 0 and SHARE * hit >= n, i, [{"first": x, "end": y} for x, y in s]))
+            for n, s, i in hits(held, utf8(batch.column(1))):
+                hit = sum(y - x for x, y in s)
+                out.append((n, hit, len(i), hashlib.sha256(",".join(i).encode()).hexdigest(), contaminated(n, hit), i, [{"first": x, "end": y} for x, y in s]))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))]
             columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"])
@@ -147,6 +159,12 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, block_bytes: in
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def kept(documents: DataFrame, benchmark: DataFrame, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of documents, with all their columns, that are not contaminated."""
+    held = windows_of(benchmark, block_bytes)
+    return passing(documents, lambda texts: [not contaminated(n, sum(y - x for x, y in s)) for n, s, _ in hits(held, texts)])
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     out = decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, utf8
+from .common import passing, prepare, utf8
 
 BUCKETS, RANK = 2048, 8
 TRAIN_ROWS = 8000
@@ -194,5 +194,11 @@ def score(documents: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, th
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def kept(documents: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of documents, with all their columns, whose score is at least the threshold."""
+    machine = prepare(documents.sparkSession).sparkContext.broadcast(train(documents, labels, rows=rows))
+    return passing(documents, lambda texts: machine.value.score([features(t) for t in texts]) >= threshold if machine.value and texts else [True] * len(texts))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return score(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, mtree, quality, sentencepiece_codec, sharding, simhash
+from . import chat, decontamination, licenses, mtree, quality, sentencepiece_codec, sharding, simhash, token_counts, wrappers
 
 
 def queries() -> dict:
     return {
+        "op1_license_scans": licenses.query,
+        "op2_html_extraction": wrappers.query,
+        "op3_token_counts": token_counts.query,
         "op4_exact_top_k": mtree.query,
         "op5_chat_formatting": chat.query,
         "op6_quality_classifier": quality.query,
