@@ -115,9 +115,12 @@ def canonical_turns_json(source: DataFrame, column: str, key: str) -> DataFrame:
     known = sorted({p for x in LAYOUTS if not x.rows for p in x.paths})
     nested = [f"{name}[]." for name in sorted({p.split("[")[0] for p in known if "[" in p})]
     paths = F.coalesce(F.json_object_keys(column), F.array().cast("array<string>"))
-    for prefix in nested:
+
+    def below(prefix: str) -> Column:
         inner = F.json_object_keys(F.get_json_object(column, f"$.{prefix[:-3]}[0]"))
-        paths = F.concat(paths, F.coalesce(F.transform(inner, lambda k, p=prefix: F.concat(F.lit(p), k)), F.array().cast("array<string>")))
+        return F.coalesce(F.transform(inner, lambda k: F.concat(F.lit(prefix), k)), F.array().cast("array<string>"))
+
+    paths = F.concat(paths, *map(below, nested))
     parsed = source.select(F.col(key), F.from_json(column, JSON_SCHEMA).alias("row"), paths.alias("paths"))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role: string, text: string>>")
     for layout in reversed([x for x in LAYOUTS if not x.rows]):
