@@ -12,7 +12,11 @@ from ..functions.core import MINUTE, finite, micros, minutes
 from ..settings import CHANNELS, DEFAULT, Settings
 from . import normality
 
-STATION = Window.partitionBy("station_id").orderBy("seq")
+
+def station():
+    """The partitioning and order that all windows over a station share."""
+    return Window.partitionBy("station_id").orderBy("seq")
+
 
 #: Short names of the channels inside history rows.
 SHORT = dict(zip(CHANNELS, "tph", strict=True))
@@ -25,9 +29,9 @@ def clean(readings: DataFrame) -> DataFrame:
 
 def lags(readings: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     """Previous two readings, and the minutes between (dt1 to the previous, dt2 from the one before)."""
-    new = {"us1": F.lag("us").over(STATION), "us2": F.lag("us", 2).over(STATION), "n": F.row_number().over(STATION)}
+    new = {"us1": F.lag("us").over(station()), "us2": F.lag("us", 2).over(station()), "n": F.row_number().over(station())}
     for c in CHANNELS:
-        new |= {f"{c}_1": F.lag(c).over(STATION), f"{c}_2": F.lag(c, 2).over(STATION)}
+        new |= {f"{c}_1": F.lag(c).over(station()), f"{c}_2": F.lag(c, 2).over(station())}
     out = clean(readings).withColumns(new)
     return out.withColumns({"dt1": minutes(F.col("us1"), F.col("us")), "dt2": minutes(F.col("us2"), F.col("us1"))})
 
@@ -49,7 +53,7 @@ def history(rows: int) -> Column:
     fields = [F.col("us")]
     for c in CHANNELS:
         fields += [F.col(c).alias(SHORT[c]), F.col(f"e_{c}").alias("e" + SHORT[c]), F.col(f"s_{c}").alias("s" + SHORT[c])]
-    return F.collect_list(F.struct(*fields)).over(STATION.rowsBetween(1 - rows, 0))
+    return F.collect_list(F.struct(*fields)).over(station().rowsBetween(1 - rows, 0))
 
 
 def within(minutes_back: Column | float, array: str = "history") -> Column:
@@ -71,4 +75,4 @@ def features(readings: DataFrame, stations: DataFrame, cells: DataFrame | None =
         base = base.withColumns({f"{x}_{c}": F.lit(None).cast("double") for c in CHANNELS for x in ("frozen_minutes", "noise_std", "typical_step", "step_cap")} | {"limit_cadence": F.lit(None).cast("double"), "has_limits": F.lit(None).cast("boolean")})
     normal = with_normal(lags(base, settings), cells, settings)
     kept = settings.history_rows(cadence, longest_frozen)
-    return normal.withColumns({"history": history(kept)} | {f"e1_{c}": F.lag(f"e_{c}").over(STATION) for c in CHANNELS})
+    return normal.withColumns({"history": history(kept)} | {f"e1_{c}": F.lag(f"e_{c}").over(station()) for c in CHANNELS})

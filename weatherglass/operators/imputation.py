@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.core import MINUTE, micros, minutes
 from ..settings import CHANNELS, DEFAULT, Settings
 from . import normality
-from .features import STATION
+from .features import station
 
-BEFORE = STATION.rowsBetween(-(1 << 31), -1)
+
+def before():
+    return station().rowsBetween(Window.unboundedPreceding, -1)
 
 
 def trusted(c: str) -> Column:
@@ -39,7 +41,7 @@ def impute(fused: DataFrame, cells: DataFrame, s: Settings = DEFAULT) -> DataFra
     verdict and flagged_channels; raw values stay as they are."""
     rows = normality.attach(fused, cells)
     # The latest of the trusted rows before, among those that are older than the reading.
-    last = {f"last_{c}": F.last(F.when(trusted(c), F.struct("us", "ts", F.col(c).alias("v"))), ignorenulls=True).over(BEFORE) for c in CHANNELS}
+    last = {f"last_{c}": F.last(F.when(trusted(c), F.struct("us", "ts", F.col(c).alias("v"))), ignorenulls=True).over(before()) for c in CHANNELS}
     rows = rows.withColumns(last)
     entries = []
     for c in CHANNELS:
@@ -50,17 +52,22 @@ def impute(fused: DataFrame, cells: DataFrame, s: Settings = DEFAULT) -> DataFra
     return out.drop(*last, *[f"cells_{c}" for c in CHANNELS])
 
 
-def fill_gaps(readings: DataFrame, stations: DataFrame, cells: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """(station_id, ts, channel, value, lower, upper, age_minutes, method) for the missing sample times inside gaps, at most
-    `fill` a gap, from the readings before it (all trusted)."""
+def gap_times(readings: DataFrame, stations: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """The missing sample times inside gaps, at most `fill` a gap: (station_id, at, at_us, and the latest value of each
+    channel before the gap)."""
     rows = readings.join(stations.select("station_id", "cadence_minutes"), "station_id").withColumn("us", micros("ts"))
-    here = STATION.rowsBetween(-(1 << 31), 0)
-    rows = rows.withColumns({"next_us": F.lead("us").over(STATION)} | {f"last_{c}": F.last(F.when(F.col(c).isNotNull(), F.struct("us", "ts", F.col(c).alias("v"))), ignorenulls=True).over(here) for c in CHANNELS})
+    here = station().rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"next_us": F.lead("us").over(station())} | {f"last_{c}": F.last(F.when(F.col(c).isNotNull(), F.struct("us", "ts", F.col(c).alias("v"))), ignorenulls=True).over(here) for c in CHANNELS})
     gap = minutes(F.col("us"), F.col("next_us"))
     missing = F.least(F.rint(gap / F.col("cadence_minutes")).cast("int") - 1, F.lit(s.impute.fill))
-    gaps = rows.filter((gap > s.gap_multiplier * F.col("cadence_minutes")) & (missing >= 1))
-    times = gaps.withColumn("k", F.explode(F.sequence(F.lit(1), missing)))
-    span = (F.col("k") * F.col("cadence_minutes") * MINUTE).cast("bigint")
-    times = times.withColumns({"at_us": F.col("us") + span, "at": F.expr(f"timestampadd(MICROSECOND, cast(k * cadence_minutes * {MINUTE} as bigint), ts)")})
-    found = normality.attach(times, cells).select("station_id", "at", *[estimate(c, F.col("at"), F.col("at_us"), F.col(f"last_{c}"), s).alias(c) for c in CHANNELS])
+    times = rows.filter((gap > s.gap_multiplier * F.col("cadence_minutes")) & (missing >= 1)).withColumn("k", F.explode(F.sequence(F.lit(1), missing)))
+    span = f"cast(k * cadence_minutes * {MINUTE} as bigint)"
+    return times.select("station_id", F.expr(f"timestampadd(MICROSECOND, {span}, ts)").alias("at"), (F.col("us") + F.expr(span)).alias("at_us"), *[f"last_{c}" for c in CHANNELS])
+
+
+def fill_gaps(readings: DataFrame, stations: DataFrame, cells: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """(station_id, ts, channel, value, lower, upper, age_minutes, method) for the missing sample times inside gaps, from the
+    readings before each (all trusted)."""
+    times = normality.attach(gap_times(readings, stations, s), cells)
+    found = times.select("station_id", "at", *[estimate(c, F.col("at"), F.col("at_us"), F.col(f"last_{c}"), s).alias(c) for c in CHANNELS])
     return found.unpivot(["station_id", "at"], list(CHANNELS), "channel", "e").filter("e IS NOT NULL").select("station_id", F.col("at").alias("ts"), "channel", "e.*")

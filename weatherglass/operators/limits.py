@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from ..functions.core import MINUTE, long_form, micros, minutes
 from ..settings import CHANNELS, DEFAULT, Settings
 from . import checks as C
-from .features import STATION, history
+from .features import station, history
 
-SERIES = Window.partitionBy("station_id", "channel").orderBy("seq")
+
+def series():
+    return Window.partitionBy("station_id", "channel").orderBy("seq")
 
 
 def cadence(readings: DataFrame) -> DataFrame:
     """(station_id, cadence_minutes): the median of the positive gaps."""
-    gaps = readings.withColumn("us", micros("ts")).withColumn("gap", minutes(F.lag("us").over(STATION), F.col("us"))).filter("gap > 0")
+    gaps = readings.withColumn("us", micros("ts")).withColumn("gap", minutes(F.lag("us").over(station()), F.col("us"))).filter("gap > 0")
     return gaps.groupBy("station_id").agg(F.expr("percentile(gap, 0.5)").alias("cadence_minutes"))
 
 
@@ -36,16 +38,16 @@ def resolution(readings: DataFrame) -> DataFrame:
 
 def runs(readings: DataFrame, cadences: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """(station_id, channel, start_us, n, minutes) of runs of at least two equal values; gaps and missing values end a run."""
-    rows = _long(readings, cadences).withColumns({"before": F.lag("value").over(SERIES), "us1": F.lag("us").over(SERIES)})
+    rows = _long(readings, cadences).withColumns({"before": F.lag("value").over(series()), "us1": F.lag("us").over(series())})
     fresh = F.col("value").isNull() | F.col("before").isNull() | (F.col("value") != F.col("before")) | (minutes(F.col("us1"), F.col("us")) > s.gap_multiplier * F.col("cadence_minutes"))
-    islands = rows.withColumn("run", F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(SERIES)).filter("value IS NOT NULL")
+    islands = rows.withColumn("run", F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(series())).filter("value IS NOT NULL")
     found = islands.groupBy("station_id", "channel", "run").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count("*").alias("n"))
     return found.filter("n >= 2").select("station_id", "channel", "start_us", "n", minutes(F.col("start_us"), F.col("end_us")).alias("minutes"))
 
 
 def steps(readings: DataFrame, cadences: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """(station_id, channel, dt, change) of neighbouring readings that no gap parts."""
-    rows = _long(readings, cadences).withColumns({"change": F.abs(F.col("value") - F.lag("value").over(SERIES)), "dt": minutes(F.lag("us").over(SERIES), F.col("us"))})
+    rows = _long(readings, cadences).withColumns({"change": F.abs(F.col("value") - F.lag("value").over(series())), "dt": minutes(F.lag("us").over(series()), F.col("us"))})
     return rows.filter((F.col("dt") > 0) & (F.col("dt") <= s.gap_multiplier * F.col("cadence_minutes")) & F.col("change").isNotNull())
 
 
@@ -95,7 +97,7 @@ def learn(readings: DataFrame, known: DataFrame, fraction: float = 0.7, min_rows
     """(training rows, rows to judge) of stations that are not known (station_id): the first fraction teaches, if it has
     enough rows and days; the rows to judge keep two days before the cut as lead-in (lead true)."""
     new = readings.join(known.select("station_id").distinct(), "station_id", "left_anti").withColumn("us", micros("ts"))
-    counted = new.withColumns({"place": F.row_number().over(STATION), "total": F.count("*").over(Window.partitionBy("station_id"))})
+    counted = new.withColumns({"place": F.row_number().over(station()), "total": F.count("*").over(Window.partitionBy("station_id"))})
     split = counted.withColumn("teaches", F.col("place") <= F.floor(F.col("total") * fraction))
     facts = split.filter("teaches").groupBy("station_id").agg(F.count("*").alias("rows"), F.min("us").alias("first"), F.max("us").alias("last"))
     enough = facts.filter((F.col("rows") >= min_rows) & (minutes(F.col("first"), F.col("last")) >= min_days * 1440)).select("station_id", F.col("last").alias("cut"))
