@@ -8,10 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import MINUTE, clamp
+from ..functions.core import MINUTE
 from ..functions.physics import dew_point, wet_bulb
 from ..settings import CHANNELS, DEFAULT, Settings
-from .features import SHORT, within
+from .features import SHORT
 
 
 @dataclass(frozen=True)
@@ -21,6 +21,8 @@ class Check:
     flagged: Column
     soft: Column | bool = False
     value: Column | None = None
+    #: Columns that must be there first, in steps: each is computed once a row.
+    needs: tuple[dict[str, str], ...] = ()
 
     @property
     def column(self) -> Column:
@@ -74,33 +76,33 @@ def limits_fit(s: Settings = DEFAULT) -> Check:
     return Check("limits", None, F.col("has_limits") & (unlearned | F.coalesce(moved, F.lit(False))))
 
 
-def trailing_run(c: str, s: Settings) -> Column:
-    """Minutes for which the newest value has been unchanged in the kept history; a missing value, another value or a gap
-    ends the run."""
-    newest, most = F.col(c), gap_limit(s) * float(MINUTE)
-    walked = F.aggregate(
-        F.reverse("history"), F.struct(F.col("us").alias("first"), F.lit(True).alias("going")),
-        lambda a, x: F.when(a["going"] & x[SHORT[c]].isNotNull() & (F.abs(x[SHORT[c]] - newest) <= s.frozen.epsilon) & (a["first"] - x["us"] <= most),
-                            F.struct(x["us"].alias("first"), F.lit(True).alias("going"))).otherwise(F.struct(a["first"].alias("first"), F.lit(False).alias("going"))))
-    return F.when(newest.isNotNull(), (F.col("us") - walked["first"]) / float(MINUTE)).otherwise(0.0)
+def _rows(minutes: str) -> str:
+    """The history's rows whose time is at most so many minutes before the newest (late rows included)."""
+    return f"filter(history, x -> x.us >= us - ({minutes}) * {MINUTE}D)"
 
 
 def frozen(c: str, s: Settings = DEFAULT) -> Check:
-    learned = F.col(f"frozen_minutes_{c}") if s.layers.limits else F.lit(None).cast("double")
-    window = F.greatest(F.lit(s.frozen.window[c]), (s.frozen.min_samples - 1) * F.col("cadence_minutes"), F.coalesce(learned, F.lit(0.0)))
-    rows = within(window)
-    values = F.transform(rows, lambda x: x[SHORT[c]])
-    spread = F.array_max(values) - F.array_min(values)
-    span = (F.col("us") - F.element_at("history", 1)["us"]) / float(MINUTE)
-    whole = (span >= window) & (F.size(values) >= s.frozen.min_samples) & ~F.exists(values, lambda v: v.isNull())
-    hard = F.coalesce(learned, F.lit(0.0)) == 0.0
-    hard = hard | (trailing_run(c, s) >= s.frozen.hard_multiplier * window)
+    """No change at all over the window. The run is how long the newest value has been unchanged in the kept history; a missing
+    value, another value or a gap ends it. With a learned window, a run just past it is soft, a longer one hard, unless
+    saturated air (or, if set, a freezing plateau) explains it."""
+    k, e = SHORT[c], s.frozen.epsilon
+    learned = f"coalesce(frozen_minutes_{c}, 0D)" if s.layers.limits else "0D"
+    window, rows, values, run = f"frozen_window_{c}", f"frozen_rows_{c}", f"frozen_values_{c}", f"frozen_run_{c}"
+    walk = f"""(aggregate(reverse(history), named_struct('first', us, 'going', true), (a, x) ->
+        if(a.going and x.{k} is not null and abs(x.{k} - {c}) <= {e}D and a.first - x.us <= {s.gap_multiplier}D * cadence_minutes * {MINUTE}D, named_struct('first', x.us, 'going', true), named_struct('first', a.first, 'going', false))).first)"""
+    needs = (
+        {window: f"greatest({s.frozen.window[c]}D, {s.frozen.min_samples - 1} * cadence_minutes, {learned})"},
+        {rows: _rows(window)},
+        {values: f"transform({rows}, x -> x.{k})", run: f"if({c} is null, 0D, (us - {walk}) / {MINUTE}D)"})
+    spread = F.expr(f"array_max({values}) - array_min({values})")
+    whole = F.expr(f"(us - history[0].us) / {MINUTE}D >= {window} and size({values}) >= {s.frozen.min_samples} and not exists({values}, v -> v is null)")
+    hard = F.expr(f"{learned} = 0D or {run} >= {s.frozen.hard_multiplier}D * {window}")
     if c != "pressure_hpa":
         if s.frozen.ceiling_aware:
-            hard = hard & ~F.forall(rows, lambda x: F.coalesce(x["h"] >= s.frozen.ceiling, F.lit(False)))
+            hard = hard & ~F.expr(f"forall({rows}, x -> coalesce(x.h >= {s.frozen.ceiling}D, false))")
         if s.frozen.freezing_aware:
-            hard = hard & ~F.forall(rows, lambda x: F.coalesce((F.abs(x["t"]) <= s.frozen.freezing_band) & (x["h"] >= s.frozen.freezing_humidity), F.lit(False)))
-    return Check("frozen", c, whole & (spread <= s.frozen.epsilon), ~hard, spread)
+            hard = hard & ~F.expr(f"forall({rows}, x -> coalesce(abs(x.t) <= {s.frozen.freezing_band}D and x.h >= {s.frozen.freezing_humidity}D, false))")
+    return Check("frozen", c, whole & (spread <= e), ~hard, spread, needs)
 
 
 def step(c: str, s: Settings = DEFAULT, plain: bool = False) -> Check:
@@ -122,74 +124,63 @@ def spike(c: str, s: Settings = DEFAULT) -> Check:
     return Check("spike", c, timed & jumped & (F.abs(F.col(c) - F.col(f"{c}_2")) <= allowed_step(c, dt1 + dt2, s)))
 
 
-def jitter(values: Column) -> Column:
-    """The spread of independent noise, from second differences (a smooth trend cancels)."""
-    second = F.zip_with(F.zip_with(F.slice(values, F.lit(3), F.size(values) - 2), F.slice(values, F.lit(2), F.size(values) - 2), lambda a, b: a - 2 * b), F.slice(values, F.lit(1), F.size(values) - 2), lambda a, b: a + b)
-    return F.sqrt(F.aggregate(second, F.lit(0.0), lambda a, d: a + d * d) / (F.size(values) - 2) / 6.0)
+def noise_needs(s: Settings) -> tuple[dict[str, str], ...]:
+    window = f"greatest({s.noise.window}D, {s.noise.min_samples - 1} * cadence_minutes)"
+    return ({"noise_rows": _rows(window)},)
 
 
-def noise_window(s: Settings) -> Column:
-    return F.greatest(F.lit(s.noise.window), (s.noise.min_samples - 1) * F.col("cadence_minutes"))
-
-
-def noise_estimate(c: str, s: Settings) -> Column:
-    values = F.transform(within(noise_window(s)), lambda x: x[SHORT[c]])
-    return F.when((F.size(values) >= s.noise.min_samples) & ~F.exists(values, lambda v: v.isNull()), jitter(values))
+def noise_estimate(c: str, s: Settings) -> str:
+    """The spread of independent noise, from second differences (a smooth trend cancels), in one pass over noise_rows; null
+    with too few samples or a missing value."""
+    k, n = SHORT[c], s.noise.min_samples
+    walk = f"""aggregate(noise_rows, named_struct('a', cast(null as double), 'b', cast(null as double), 'sum', 0D, 'ok', true), (z, x) ->
+        named_struct('a', z.b, 'b', x.{k}, 'sum', z.sum + coalesce((x.{k} - 2D * z.b + z.a) * (x.{k} - 2D * z.b + z.a), 0D), 'ok', z.ok and x.{k} is not null),
+        z -> if(z.ok, sqrt(z.sum / (size(noise_rows) - 2) / 6D), null))"""
+    return f"if(size(noise_rows) >= {n}, {walk}, null)"
 
 
 def noise(c: str, s: Settings = DEFAULT) -> Check:
-    found, limit = noise_estimate(c, s), F.lit(s.noise.limit[c])
+    limit = F.lit(s.noise.limit[c])
     if s.layers.limits:
         limit = F.greatest(limit, F.coalesce(F.col(f"noise_std_{c}"), F.lit(0.0)))
-    return Check("noise", c, found > limit, value=found)
-
-
-def cusum_peak(c: str, s: Settings = DEFAULT) -> Column:
-    """The largest two-sided cumulative sum of clipped departures over the window; null without usable samples."""
-    k = SHORT[c]
-    usable = F.filter(within(s.cusum.window), lambda x: x[k].isNotNull() & x["e" + k].isNotNull())
-    scale = F.col("cadence_minutes") / s.cusum.reference
+    found = F.col(f"jitter_{c}")
+    return Check("noise", c, found > limit, value=found, needs=(*noise_needs(s), {f"jitter_{c}": noise_estimate(c, s)}))
 
-    def add(a: Column, x: Column) -> Column:
-        z = clamp((x[k] - x["e" + k]) / F.coalesce(F.nullif(x["s" + k], F.lit(0.0)), F.lit(s.cusum.sigma[c])), s.cusum.cap)
-        up = F.greatest(F.lit(0.0), a["up"] + (z - s.cusum.k) * scale)
-        down = F.greatest(F.lit(0.0), a["down"] + (-z - s.cusum.k) * scale)
-        return F.struct(up.alias("up"), down.alias("down"), F.greatest(a["peak"], up, down).alias("peak"))
 
-    zero = F.struct(F.lit(0.0).alias("up"), F.lit(0.0).alias("down"), F.lit(0.0).alias("peak"))
-    return F.when(F.size(usable) > 0, F.aggregate(usable, zero, add, lambda a: a["peak"]))
+def cusum_needs(c: str, s: Settings) -> tuple[dict[str, str], ...]:
+    """peak_: the largest two-sided cumulative sum of clipped departures over the window; null without usable samples."""
+    k, q = SHORT[c], s.cusum
+    z = f"greatest(-{q.cap}D, least({q.cap}D, (x.{k} - x.e{k}) / coalesce(nullif(x.s{k}, 0D), {q.sigma[c]}D)))"
+    scale = f"(cadence_minutes / {q.reference}D)"
+    up, down = f"greatest(0D, a.up + ({z} - {q.k}D) * {scale})", f"greatest(0D, a.down + (-{z} - {q.k}D) * {scale})"
+    walk = f"""aggregate(cusum_rows, named_struct('up', 0D, 'down', 0D, 'peak', cast(null as double)), (a, x) ->
+        if(x.{k} is null or x.e{k} is null, a, named_struct('up', {up}, 'down', {down}, 'peak', greatest(coalesce(a.peak, 0D), {up}, {down}))), a -> a.peak)"""
+    return ({"cusum_rows": _rows(f"{q.window}D")}, {f"peak_{c}": walk})
 
 
 def drift(c: str, s: Settings = DEFAULT) -> Check:
-    peak = cusum_peak(c, s)
-    return Check("drift", c, peak >= s.cusum.h, True, peak)
+    peak = F.col(f"peak_{c}")
+    return Check("drift", c, peak >= s.cusum.h, True, peak, cusum_needs(c, s))
 
 
-def _median(values: Column) -> Column:
-    ordered, n = F.array_sort(values), F.size(values)
-    low = F.try_element_at(ordered, F.floor((n + 1) / 2).cast("int"))
-    high = F.try_element_at(ordered, (F.floor(n / 2) + 1).cast("int"))
-    return (low + high) / 2.0
-
-
-def departure(c: str, s: Settings) -> Column:
-    """Median z over the offset window; null with a missing value or a gap in it, or too few samples."""
-    k = SHORT[c]
-    rows = within(F.greatest(F.lit(s.offset.window), (s.offset.min_samples - 1) * F.col("cadence_minutes")))
-    z = F.transform(rows, lambda x: (x[k] - x["e" + k]) / F.nullif(x["s" + k], F.lit(0.0)))
-    times = F.transform(rows, lambda x: x["us"])
-    steps = F.zip_with(F.slice(times, F.lit(2), F.greatest(F.size(times) - 1, F.lit(0))), F.slice(times, F.lit(1), F.greatest(F.size(times) - 1, F.lit(0))), lambda b, a: b - a)
-    broken = F.exists(steps, lambda d: d > gap_limit(s) * float(MINUTE)) | F.exists(z, lambda v: v.isNull())
-    return F.when((F.size(z) >= s.offset.min_samples) & ~broken, _median(z))
+def departure_needs(c: str, s: Settings) -> tuple[dict[str, str], ...]:
+    """departure_: median z over the offset window; null with a missing value or a gap in it, or too few samples."""
+    k, o = SHORT[c], s.offset
+    broken = f"exists(offset_z_{c}, v -> v is null) or exists(sequence(1, size(offset_rows) - 1), i -> offset_rows[i].us - offset_rows[i - 1].us > {s.gap_multiplier}D * cadence_minutes * {MINUTE}D)"
+    ordered, n = f"array_sort(offset_z_{c})", "size(offset_rows)"
+    return (
+        {"offset_rows": _rows(f"greatest({o.window}D, {o.min_samples - 1} * cadence_minutes)")},
+        {f"offset_z_{c}": f"transform(offset_rows, x -> (x.{k} - x.e{k}) / nullif(x.s{k}, 0D))"},
+        {f"departure_{c}": f"if({n} < {o.min_samples}, null, if({broken}, null, ({ordered}[int(floor(({n} - 1) / 2))] + {ordered}[int(floor({n} / 2))]) / 2D))"})
 
 
 def offset(c: str, s: Settings = DEFAULT) -> Check:
-    own = departure(c, s)
-    calm = F.lit(True)
+    own, calm, needs = F.col(f"departure_{c}"), F.lit(True), departure_needs(c, s)
     for other in CHANNELS:
         if other != c:
-            calm = calm & (F.abs(departure(other, s)) < s.offset.others_below)
-    return Check("offset", c, (F.abs(own) >= s.offset.z) & calm, True, own)
+            calm = calm & (F.abs(F.col(f"departure_{other}")) < s.offset.others_below)
+            needs = tuple({**a, **b} for a, b in zip(needs, departure_needs(other, s), strict=True))
+    return Check("offset", c, (F.abs(own) >= s.offset.z) & calm, True, own, needs)
 
 
 def cojump(s: Settings = DEFAULT) -> Check:
@@ -222,6 +213,19 @@ def all_checks(s: Settings = DEFAULT, *, now: Column | None = None, clock: Calla
     return out + list(models)
 
 
+def prepared(features: DataFrame, needs: list[tuple[dict[str, str], ...]]) -> DataFrame:
+    """features with the columns that checks need, step by step, each once."""
+    for step_ in range(max((len(n) for n in needs), default=0)):
+        new: dict[str, str] = {}
+        for n in needs:
+            if step_ < len(n):
+                new |= n[step_]
+        features = features.withColumns({k: F.expr(v) for k, v in new.items()})
+    return features
+
+
 def apply(features: DataFrame, checks: list[Check]) -> DataFrame:
-    """features with the array of check results."""
-    return features.withColumn("checks", F.array(*[c.column for c in checks]))
+    """features with the array of check results. The columns made on the way are dropped again."""
+    rows = prepared(features, [c.needs for c in checks])
+    made = {name for c in checks for n in c.needs for name in n}
+    return rows.withColumn("checks", F.array(*[c.column for c in checks])).drop(*made)

@@ -193,7 +193,7 @@ def baselines(features: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 
     ranges = C.physics(s)[:3]
     persistent = [C.frozen(c, s) for c in CHANNELS]
-    return features.withColumns({
+    return C.prepared(features, [c.needs for c in persistent]).withColumns({
         "baseline_range": flag(ranges), "baseline_persistence": flag([*ranges, *persistent]),
         "baseline_rules": flag([*ranges, *persistent, *[C.step(c, s, plain=True) for c in CHANNELS], C.dropout(s)]),
         "baseline_climatology": flag([C.normal(c, s) for c in CHANNELS])})

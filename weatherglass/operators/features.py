@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.core import MINUTE, finite, micros, minutes
+from ..functions.core import finite, micros, minutes
 from ..settings import CHANNELS, DEFAULT, Settings
 from . import normality
 
@@ -41,11 +41,14 @@ def with_normal(readings: DataFrame, cells: DataFrame | None, settings: Settings
     none = F.lit(None).cast("double")
     if cells is None:
         return readings.withColumns({f"{x}_{c}": none for c in CHANNELS for x in ("e", "s", "smooth", "z")})
-    joined = normality.attach(readings, cells)
+    joined = normality.attach(readings, cells).withColumns({"corners": normality.corners(), "cell_key": F.month("ts") * 24 + F.hour("ts")})
+    joined = joined.withColumns({f"cell_{c}": F.try_element_at(F.col(f"cells_{c}"), F.col("cell_key")) for c in CHANNELS})
     new = {}
     for c in CHANNELS:
-        new |= {f"e_{c}": normality.expected(c), f"s_{c}": normality.sigma(c, settings), f"smooth_{c}": normality.smooth_expected(c), f"z_{c}": normality.z(c, settings)}
-    return joined.withColumns(new).drop(*[f"cells_{c}" for c in CHANNELS])
+        spread = F.when(F.col(f"cell_{c}").isNotNull(), F.greatest(F.col(f"cell_{c}")["std"], F.lit(settings.normality.min_std[c])))
+        new |= {f"e_{c}": F.col(f"cell_{c}")["mean"], f"s_{c}": spread, f"smooth_{c}": normality.smooth_expected(c)}
+    out = joined.withColumns(new).withColumns({f"z_{c}": (F.col(c) - F.col(f"e_{c}")) / F.col(f"s_{c}") for c in CHANNELS})
+    return out.drop("corners", "cell_key", *[f"{x}_{c}" for c in CHANNELS for x in ("cells", "cell")])
 
 
 def history(rows: int) -> Column:
@@ -56,12 +59,6 @@ def history(rows: int) -> Column:
     return F.collect_list(F.struct(*fields)).over(station().rowsBetween(1 - rows, 0))
 
 
-def within(minutes_back: Column | float, array: str = "history") -> Column:
-    """The history's rows whose time is at most so many minutes before the newest (late rows included)."""
-    limit = F.col("us") - (F.lit(minutes_back) if not isinstance(minutes_back, Column) else minutes_back) * float(MINUTE)
-    return F.filter(array, lambda x: x["us"] >= limit)
-
-
 def features(readings: DataFrame, stations: DataFrame, cells: DataFrame | None = None, limits: DataFrame | None = None, settings: Settings = DEFAULT, cadence: float = 30.0, longest_frozen: float = 0.0) -> DataFrame:
     """Readings with cadence, learned limits, lags, expected values and history. cadence and longest_frozen fix the kept rows
     for the whole job: the smallest cadence and the longest learned frozen window in it."""

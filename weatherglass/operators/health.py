@@ -27,51 +27,38 @@ def usable_days(daily: DataFrame, cadence: DataFrame, s: Settings = DEFAULT) ->
 
 
 def drift(days: DataFrame, at: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """One row for each (station_id, channel, day) of at: the drift over the days up to then, or only n where these are too
-    few. At most window_days points an evaluation, so the pairs of the slope are bounded."""
+    """One row for each (station_id, channel, day) of at with enough days up to then: Theil-Sen slope, its z against the
+    least-squares error inflated for autocorrelated days, the offset now and the projected service date. At most window_days
+    points an evaluation, so the pairs that make its slopes are bounded."""
     p = s.drift
     keys = ["station_id", "channel", "at"]
-    points = at.select("station_id", "channel", F.col("day").alias("at")).join(
-        days, ["station_id", "channel"]).filter((F.col("day") <= F.col("at")) & (F.datediff("at", "day") < p.window_days))
-    ordinal = F.datediff("day", F.lit("0001-01-01").cast("date")) + 1
-    series = points.groupBy(keys).agg(F.array_sort(F.collect_list(F.struct(ordinal.cast("double").alias("x"), F.col("mean").alias("y")))).alias("pts"))
-    n = F.size("pts")
-    avg = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, v: a + v) / F.size(xs)
-    series = series.withColumns({"n": n, "x0": F.element_at("pts", 1)["x"], "mx": avg(F.transform("pts", lambda q: q["x"])), "my": avg(F.transform("pts", lambda q: q["y"]))})
-    few = series.filter(F.col("n") < p.min_days).select(*keys, "n")
-    enough = series.filter(F.col("n") >= p.min_days)
-    sxx = F.aggregate("pts", F.lit(0.0), lambda a, q: a + (q["x"] - F.col("mx")) * (q["x"] - F.col("mx")))
-    sxy = F.aggregate("pts", F.lit(0.0), lambda a, q: a + (q["x"] - F.col("mx")) * (q["y"] - F.col("my")))
-    enough = enough.withColumns({"sxx": sxx, "ols": sxy / sxx})
-    enough = enough.withColumn("resid", F.transform("pts", lambda q: q["y"] - F.col("my") - F.col("ols") * (q["x"] - F.col("mx"))))
-    first, second = F.slice("resid", F.lit(1), F.col("n") - 1), F.slice("resid", F.lit(2), F.col("n") - 1)
-    enough = enough.withColumns({"r1": first, "r2": second, "m1": avg(first), "m2": avg(second), "sse": F.aggregate("resid", F.lit(0.0), lambda a, r: a + r * r)})
-    cross = F.aggregate(F.zip_with("r1", "r2", lambda a, b: (a - F.col("m1")) * (b - F.col("m2"))), F.lit(0.0), lambda a, v: a + v)
-    q1 = F.aggregate("r1", F.lit(0.0), lambda a, r: a + (r - F.col("m1")) * (r - F.col("m1")))
-    q2 = F.aggregate("r2", F.lit(0.0), lambda a, r: a + (r - F.col("m2")) * (r - F.col("m2")))
-    rho = F.least(F.lit(p.ar1_max), F.greatest(F.lit(0.0), F.coalesce(cross / F.nullif(F.sqrt(q1 * q2), F.lit(0.0)), F.lit(0.0))))
-    enough = enough.withColumn("rho", rho)
-    slopes = F.flatten(F.transform("pts", lambda a: F.transform(F.filter("pts", lambda b: b["x"] > a["x"]), lambda b: (b["y"] - a["y"]) / (b["x"] - a["x"]))))
-    enough = enough.withColumns({
-        "se": F.sqrt(F.col("sse") / (F.col("n") - 2) / F.col("sxx")) * F.sqrt((1 + F.col("rho")) / (1 - F.col("rho"))),
-        "slope": _median(F.array_sort(slopes))})
-    level = _median(F.array_sort(F.transform("pts", lambda q: q["y"]))) - F.col("slope") * _median(F.array_sort(F.transform("pts", lambda q: q["x"] - F.col("x0"))))
-    enough = enough.withColumns({
+
+    def ordinal(d: str) -> Column:
+        return (F.datediff(d, F.lit("0001-01-01").cast("date")) + 1).cast("double")
+
+    points = at.select("station_id", "channel", F.col("day").alias("at")).join(days, ["station_id", "channel"])
+    points = points.filter((F.col("day") <= F.col("at")) & (F.datediff("at", "day") < p.window_days)).select(*keys, ordinal("day").alias("x"), F.col("mean").alias("y"))
+    base = points.groupBy(keys).agg(
+        F.count("*").alias("n"), F.min("x").alias("x0"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.regr_slope("y", "x").alias("ols"), F.regr_sxx("y", "x").alias("sxx"),
+        F.expr("percentile(y, 0.5D)").alias("mid_y"), F.expr("percentile(x, 0.5D)").alias("mid_x")).filter(F.col("n") >= p.min_days)
+    rest = points.join(base.select(*keys, "mx", "my", "ols"), keys).withColumn("r", F.col("y") - F.col("my") - F.col("ols") * (F.col("x") - F.col("mx")))
+    rest = rest.withColumn("r1", F.lag("r").over(Window.partitionBy(*keys).orderBy("x")))
+    errors = rest.groupBy(keys).agg(F.sum(F.col("r") * F.col("r")).alias("sse"), F.corr("r", "r1").alias("corr"))
+    later = points.select(*keys, F.col("x").alias("x2"), F.col("y").alias("y2"))
+    slopes = points.join(base.select(keys), keys, "left_semi").join(later, keys).filter("x2 > x").groupBy(keys).agg(F.expr("percentile((y2 - y) / (x2 - x), 0.5D)").alias("slope"))
+    rho = F.least(F.lit(p.ar1_max), F.greatest(F.lit(0.0), F.coalesce(F.nanvl("corr", F.lit(0.0)), F.lit(0.0))))
+    found = base.join(errors, keys).join(slopes, keys).withColumn("rho", rho)
+    found = found.withColumn("se", F.sqrt(F.col("sse") / (F.col("n") - 2) / F.col("sxx")) * F.sqrt((1 + F.col("rho")) / (1 - F.col("rho"))))
+    found = found.withColumns({
         "z": F.when(F.col("se") > 0, F.col("slope") / F.col("se")).otherwise(0.0),
-        "offset_now": level + F.col("slope") * (F.datediff("at", F.lit("0001-01-01").cast("date")) + 1 - F.col("x0"))})
+        "offset_now": F.col("mid_y") - F.col("slope") * (F.col("mid_x") - F.col("x0")) + F.col("slope") * (ordinal("at") - F.col("x0"))})
     limit = F.lit(None).cast("double")
     for c in CHANNELS:
         limit = F.when(F.col("channel") == c, p.limit[c]).otherwise(limit)
     ahead = (F.signum("slope") * limit - F.col("offset_now")) / F.nullif("slope", F.lit(0.0))
-    significant = F.abs("z") >= p.z
-    date = F.when(significant & (ahead <= 0), F.col("at")).when(significant & (ahead <= p.max_days), F.date_add("at", F.floor(ahead).cast("int")))
-    done = enough.select(*keys, "n", F.col("slope").alias("drift_per_day"), F.col("z").alias("drift_z"), (p.z * F.col("se")).alias("drift_floor_per_day"), significant.alias("significant"), "offset_now", date.alias("service_date"))
-    return done.unionByName(few, allowMissingColumns=True)
-
-
-def _median(ordered: Column) -> Column:
-    n = F.size(ordered)
-    return (F.element_at(ordered, F.floor((n + 1) / 2).cast("int")) + F.element_at(ordered, (F.floor(n / 2) + 1).cast("int"))) / 2.0
+    found = found.withColumns({"significant": F.abs("z") >= p.z, "ahead": ahead})
+    date = F.when(F.col("significant") & (F.col("ahead") <= 0), F.col("at")).when(F.col("significant") & (F.col("ahead") <= p.max_days), F.date_add("at", F.floor("ahead").cast("int")))
+    return found.select(*keys, "n", F.col("slope").alias("drift_per_day"), F.col("z").alias("drift_z"), (p.z * F.col("se")).alias("drift_floor_per_day"), "significant", "offset_now", date.alias("service_date"))
 
 
 def isolated(found: DataFrame, s: Settings = DEFAULT) -> DataFrame:

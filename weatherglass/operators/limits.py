@@ -56,7 +56,7 @@ def noise_estimates(readings: DataFrame, cadences: DataFrame, s: Settings = DEFA
     none = F.lit(None).cast("double")
     base = readings.join(cadences.select("station_id", "cadence_minutes"), "station_id").withColumns({"us": micros("ts")} | {f"{x}_{c}": none for c in CHANNELS for x in "es"})
     held = base.withColumn("history", history(rows))
-    found = held.select("station_id", "seq", *[C.noise_estimate(c, s).alias(c) for c in CHANNELS])
+    found = C.prepared(held, [C.noise_needs(s)]).select("station_id", "seq", *[F.expr(C.noise_estimate(c, s)).alias(c) for c in CHANNELS])
     return found.unpivot(["station_id", "seq"], list(CHANNELS), "channel", "jitter").filter("jitter IS NOT NULL")
 
 

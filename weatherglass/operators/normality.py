@@ -48,23 +48,24 @@ def z(channel: str, settings: Settings = DEFAULT) -> Column:
     return (F.col(channel) - expected(channel)) / sigma(channel, settings)
 
 
-def smooth_expected(channel: str, ts: str = "ts") -> Column:
-    """The expected value without steps: between the neighbouring hours (by the minute) and the middles of the neighbouring
-    months (by day and hour), over the cells that exist."""
-    month, hour = F.month(ts), F.hour(ts)
-    part = F.minute(ts) / 60.0
+def corners(ts: str = "ts") -> Column:
+    """The four cells around a time, (key, weight): neighbouring hours by the minute, and neighbouring middles of months by day
+    and hour. Computed once a row, for all channels."""
+    month, hour, part = F.month(ts), F.hour(ts), F.minute(ts) / 60.0
     place = (F.dayofmonth(ts) - 0.5 + hour / 24.0) / F.dayofmonth(F.last_day(ts))
     late = place >= 0.5
     first = F.when(late, month).otherwise(F.pmod(month - 2, F.lit(12)) + 1)
     second = F.when(late, F.pmod(month, F.lit(12)) + 1).otherwise(month)
     share = F.when(late, place - 0.5).otherwise(place + 0.5)
-    total, weight = F.lit(0.0), F.lit(0.0)
-    for m, wm in ((first, 1.0 - share), (second, share)):
-        for h, wh in ((hour, 1.0 - part), (F.pmod(hour + 1, F.lit(24)), part)):
-            mean = cell(channel, m, h)["mean"]
-            w = F.when(mean.isNotNull(), wm * wh).otherwise(0.0)
-            total, weight = total + w * F.coalesce(mean, F.lit(0.0)), weight + w
-    return total / F.nullif(weight, F.lit(0.0))
+    after = F.pmod(hour + 1, F.lit(24))
+    return F.array(*[F.struct((m * 24 + h).alias("key"), (wm * wh).alias("w")) for m, wm in ((first, 1.0 - share), (second, share)) for h, wh in ((hour, 1.0 - part), (after, part))])
+
+
+def smooth_expected(channel: str, around: str = "corners") -> Column:
+    """The expected value without steps: the weighted mean of the corner cells that exist."""
+    found = F.filter(F.transform(around, lambda x: F.struct(x["w"].alias("w"), F.try_element_at(F.col(f"cells_{channel}"), x["key"])["mean"].alias("mean"))), lambda x: x["mean"].isNotNull())
+    zero = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("weight"))
+    return F.aggregate(found, zero, lambda a, x: F.struct((a["total"] + x["w"] * x["mean"]).alias("total"), (a["weight"] + x["w"]).alias("weight")), lambda a: a["total"] / F.nullif(a["weight"], F.lit(0.0)))
 
 
 def centred(channel: str, ts: Column) -> tuple[Column, Column]:

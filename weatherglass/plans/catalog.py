@@ -101,6 +101,11 @@ def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
+def dated(df: DataFrame, *names: str) -> DataFrame:
+    """Dates as text, which every engine prints alike."""
+    return df.withColumns({n: F.col(n).cast("string") for n in names})
+
+
 # Checks of one reading.
 
 
@@ -153,7 +158,7 @@ def step_plain(t: Tables) -> DataFrame:
 
 @query("SELECT station_id, seq, channel, round(peak, 4) AS peak FROM measured WHERE peak IS NOT NULL")
 def cusum_peak(t: Tables) -> DataFrame:
-    rows = t.plain.select("station_id", "seq", *[F.round(C.cusum_peak(c), 4).alias(c) for c in CHANNELS])
+    rows = C.prepared(t.plain, [C.cusum_needs(c, DEFAULT) for c in CHANNELS]).select("station_id", "seq", *[F.round(f"peak_{c}", 4).alias(c) for c in CHANNELS])
     return rows.unpivot(["station_id", "seq"], list(CHANNELS), "channel", "peak").filter("peak IS NOT NULL")
 
 
@@ -170,7 +175,7 @@ def offset_departure(t: Tables) -> DataFrame:
 
     s = replace(DEFAULT, offset=replace(DEFAULT.offset, enabled=True))
     rows = features.features(t.readings, t.stations, t.cells, None, s, CADENCE)
-    out = rows.select("station_id", "seq", *[F.round(C.departure(c, s), 6).alias(c) for c in CHANNELS])
+    out = C.prepared(rows, [C.departure_needs(c, s) for c in CHANNELS]).select("station_id", "seq", *[F.round(f"departure_{c}", 6).alias(c) for c in CHANNELS])
     return out.unpivot(["station_id", "seq"], list(CHANNELS), "channel", "departure").filter("departure IS NOT NULL")
 
 
@@ -371,7 +376,7 @@ imputed AS (SELECT *, CASE WHEN known THEN mean1 + rho * (last_.v - mean2) ELSE
 """
 
 
-@query(_IMPUTED + "SELECT station_id, seq, channel, round(estimate, 3) AS value, round(estimate - 1.96::DOUBLE * spread, 3) AS lower, round(estimate + 1.96::DOUBLE * spread, 3) AS upper, CASE WHEN known THEN 'normal' ELSE 'last' END AS method FROM imputed")
+@query(_IMPUTED + "SELECT station_id, seq, channel, round(round_even(estimate, 4), 3) AS value, round(round_even(estimate - 1.96::DOUBLE * spread, 4), 3) AS lower, round(round_even(estimate + 1.96::DOUBLE * spread, 4), 3) AS upper, CASE WHEN known THEN 'normal' ELSE 'last' END AS method FROM imputed")
 def impute_band(t: Tables) -> DataFrame:
     rows = imputation.impute(t.judged, t.cells).select("station_id", "seq", F.explode("imputation").alias("channel", "x"))
     return rows.select("station_id", "seq", "channel", *[F.round(f"x.{c}", 3).alias(c) for c in ("value", "lower", "upper")], "x.method")
@@ -400,35 +405,35 @@ def gap_fill(t: Tables) -> DataFrame:
 # Health.
 
 
-@query("SELECT station_id, channel, day, round(sum, 4) AS sum, n FROM residuals")
+@query("SELECT station_id, channel, CAST(day AS VARCHAR) AS day, round(sum, 4) AS sum, n FROM residuals")
 def daily_residual(t: Tables) -> DataFrame:
-    return rounded(health.daily_residuals(t.judged), "sum", digits=4)
+    return dated(rounded(health.daily_residuals(t.judged), "sum", digits=4), "day")
 
 
-@query("SELECT station_id, channel, day, round(mean, 6) AS mean FROM days")
+@query("SELECT station_id, channel, CAST(day AS VARCHAR) AS day, round(mean, 6) AS mean FROM days")
 def usable_days(t: Tables) -> DataFrame:
-    return rounded(t.days, "mean")
+    return dated(rounded(t.days, "mean"), "day")
 
 
-@query("SELECT station_id, channel, eval_day AS day, n, round(slope, 6) AS drift_per_day, round(z, 4) AS drift_z, round(4 * se, 6) AS drift_floor_per_day, round(offset_now, 4) AS offset_now FROM tested")
+@query("SELECT station_id, channel, CAST(eval_day AS VARCHAR) AS day, n, round(slope, 6) AS drift_per_day, round(z, 4) AS drift_z, round(4 * se, 6) AS drift_floor_per_day, round(offset_now, 4) AS offset_now FROM tested")
 def drift_test(t: Tables) -> DataFrame:
-    out = t.drift(False).filter("drift_per_day IS NOT NULL").select("station_id", "channel", F.col("at").alias("day"), F.col("n").cast("long").alias("n"), "drift_per_day", "drift_z", "drift_floor_per_day", "offset_now")
+    out = t.drift(False).filter("drift_per_day IS NOT NULL").select("station_id", "channel", F.col("at").cast("string").alias("day"), F.col("n").cast("long").alias("n"), "drift_per_day", "drift_z", "drift_floor_per_day", "offset_now")
     return rounded(rounded(out, "drift_per_day", "drift_floor_per_day"), "drift_z", "offset_now", digits=4)
 
 
-@query("SELECT station_id, channel, eval_day AS day, significant AS drift_significant, round(z, 4) AS drift_z FROM isolated", at="every")
+@query("SELECT station_id, channel, CAST(eval_day AS VARCHAR) AS day, significant AS drift_significant, round(z, 4) AS drift_z FROM isolated", at="every")
 def drift_isolated(t: Tables) -> DataFrame:
-    out = health.isolated(t.drift(True)).filter("drift_z IS NOT NULL").select("station_id", "channel", F.col("at").alias("day"), "drift_significant", "drift_z")
+    out = health.isolated(t.drift(True)).filter("drift_z IS NOT NULL").select("station_id", "channel", F.col("at").cast("string").alias("day"), "drift_significant", "drift_z")
     return rounded(out, "drift_z", digits=4)
 
 
 @query("""
-SELECT station_id, channel, eval_day AS day, coalesce(sum(CASE WHEN significant AND slope > 0 THEN 1 ELSE 0 END) OVER w = 7 OR sum(CASE WHEN significant AND slope < 0 THEN 1 ELSE 0 END) OVER w = 7, FALSE) AS drift_significant FROM isolated
+SELECT station_id, channel, CAST(eval_day AS VARCHAR) AS day, coalesce(sum(CASE WHEN significant AND slope > 0 THEN 1 ELSE 0 END) OVER w = 7 OR sum(CASE WHEN significant AND slope < 0 THEN 1 ELSE 0 END) OVER w = 7, FALSE) AS drift_significant FROM isolated
 WINDOW w AS (PARTITION BY station_id, channel ORDER BY datediff('day', DATE '1970-01-01', eval_day) RANGE BETWEEN 6 PRECEDING AND CURRENT ROW)
 """, at="every")
 def drift_persistent(t: Tables) -> DataFrame:
     found = health.persistent(health.isolated(t.drift(True)).filter("drift_z IS NOT NULL"))
-    return found.select("station_id", "channel", F.col("at").alias("day"), "drift_significant")
+    return found.select("station_id", "channel", F.col("at").cast("string").alias("day"), "drift_significant")
 
 
 @query("SELECT station_id, channel, records, round(fault_fraction, 6) AS fault_fraction, round(suspect_fraction, 6) AS suspect_fraction, score FROM scored")
@@ -593,10 +598,10 @@ def event_low(t: Tables) -> DataFrame:
 @query("""
 , d AS (SELECT station_id, CAST(ts + INTERVAL 330 MINUTE AS DATE) AS day, max(temperature_c) AS high, min(temperature_c) AS low, count(*) AS n FROM readings WHERE temperature_c IS NOT NULL GROUP BY ALL),
 e AS (SELECT d.* FROM d JOIN (SELECT station_id, greatest(3, floor(0.5 * quantile_cont(n, 0.5))) AS least_ FROM d GROUP BY ALL) USING (station_id) WHERE n >= least_), q AS (SELECT station_id, quantile_cont(high, 0.997) AS hot, quantile_cont(low, 0.003) AS cold FROM e GROUP BY ALL)
-SELECT station_id, 'heat' AS kind, day, high AS score FROM e JOIN q USING (station_id) WHERE high >= hot UNION ALL SELECT station_id, 'cold', day, -low FROM e JOIN q USING (station_id) WHERE low <= cold
+SELECT station_id, 'heat' AS kind, CAST(day AS VARCHAR) AS day, high AS score FROM e JOIN q USING (station_id) WHERE high >= hot UNION ALL SELECT station_id, 'cold', CAST(day AS VARCHAR), -low FROM e JOIN q USING (station_id) WHERE low <= cold
 """)
 def event_heat_cold(t: Tables) -> DataFrame:
-    return evaluation.hot_and_cold(t.readings)
+    return dated(evaluation.hot_and_cold(t.readings), "day")
 
 
 def _gridded(t: Tables) -> DataFrame:
@@ -687,12 +692,12 @@ def coverage(t: Tables) -> DataFrame:
 @query("""
 , d AS (SELECT station_id, CAST(ts AS DATE) AS day, count(*) AS n FROM readings GROUP BY ALL), c AS (SELECT station_id, CAST(unnest(range(min(day), max(day) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY ALL),
 g AS (SELECT station_id, day, sum(CASE WHEN coalesce(n, 0) >= 24 THEN 1 ELSE 0 END) OVER w AS held, count(*) OVER w AS width FROM c LEFT JOIN d USING (station_id, day) WINDOW w AS (PARTITION BY station_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
-SELECT station_id, CAST(min(day) - 6 AS DATE) AS start_, CAST(min(day) + 1 AS DATE) AS end_ FROM g WHERE width = 7 AND held >= 0.9 * 7 GROUP BY station_id
+SELECT station_id, CAST(CAST(min(day) - 6 AS DATE) AS VARCHAR) AS start_, CAST(CAST(min(day) + 1 AS DATE) AS VARCHAR) AS end_ FROM g WHERE width = 7 AND held >= 0.9 * 7 GROUP BY station_id
 """)
 def warm_stretch(t: Tables) -> DataFrame:
     # Half of the nominal samples make a regular day of this adapter.
     cadence = t.stations.select("station_id", (F.col("cadence_minutes") * 1.8).alias("cadence_minutes"))
-    return evaluation.warm_stretch(t.readings, cadence, days=7).select("station_id", F.col("start").alias("start_"), F.col("end").alias("end_"))
+    return evaluation.warm_stretch(t.readings, cadence, days=7).select("station_id", F.col("start").cast("string").alias("start_"), F.col("end").cast("string").alias("end_"))
 
 
 @query("""
