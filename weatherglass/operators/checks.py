@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import MINUTE
 from ..functions.physics import dew_point, wet_bulb
+from ..schema import CHECK
 from ..settings import CHANNELS, DEFAULT, Settings
 from .features import SHORT
 
@@ -228,4 +229,5 @@ def apply(features: DataFrame, checks: list[Check]) -> DataFrame:
     """features with the array of check results. The columns made on the way are dropped again."""
     rows = prepared(features, [c.needs for c in checks])
     made = {name for c in checks for n in c.needs for name in n}
-    return rows.withColumn("checks", F.array(*[c.column for c in checks])).drop(*made)
+    found = F.array(*[c.column for c in checks]) if checks else F.array().cast(f"array<{CHECK}>")
+    return rows.withColumn("checks", found).drop(*made)
