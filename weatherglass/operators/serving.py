@@ -54,8 +54,10 @@ def chart(records: DataFrame) -> DataFrame:
 
 
 def check_rows(judged: DataFrame, flagged_only: bool = True) -> DataFrame:
-    rows = judged.select("station_id", "seq", F.explode("checks").alias("x")).select("station_id", "seq", "x.*")
-    return rows.filter("flagged") if flagged_only else rows
+    # The outer form: for a plain explode Spark infers a filter on the array, and computes all checks once more for it.
+    found = F.filter("checks", lambda x: x["flagged"]) if flagged_only else F.col("checks")
+    rows = judged.select("station_id", "seq", F.explode_outer(found).alias("x")).filter("x IS NOT NULL")
+    return rows.select("station_id", "seq", "x.*")
 
 
 def retained(records: DataFrame, cutoff) -> DataFrame:

@@ -79,7 +79,7 @@ class Tables:
     @cached_property
     def peer_differences(self) -> DataFrame:
         found = peers.anomalies(self.plain)
-        return peers.differences(found, peers.neighbours(self.stations))
+        return peers.differences(found, peers.neighbours(self.stations, _sparse_peers()))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -357,7 +357,7 @@ def coherent_departure(t: Tables) -> DataFrame:
 
 @query("SELECT station_id, seq, channel FROM pointed")
 def flagged_channels(t: Tables) -> DataFrame:
-    return t.judged.select("station_id", "seq", F.explode("flagged_channels").alias("channel"))
+    return t.judged.select("station_id", "seq", F.explode_outer("flagged_channels").alias("channel")).filter("channel IS NOT NULL")
 
 
 # Imputation.
@@ -376,10 +376,10 @@ imputed AS (SELECT *, CASE WHEN known THEN mean1 + rho * (last_.v - mean2) ELSE
 """
 
 
-@query(_IMPUTED + "SELECT station_id, seq, channel, round(round_even(estimate, 4), 3) AS value, round(round_even(estimate - 1.96::DOUBLE * spread, 4), 3) AS lower, round(round_even(estimate + 1.96::DOUBLE * spread, 4), 3) AS upper, CASE WHEN known THEN 'normal' ELSE 'last' END AS method FROM imputed")
+@query(_IMPUTED + "SELECT station_id, seq, channel, round_even(estimate, 2) AS value, round_even(estimate - 1.96::DOUBLE * spread, 2) AS lower, round_even(estimate + 1.96::DOUBLE * spread, 2) AS upper, CASE WHEN known THEN 'normal' ELSE 'last' END AS method FROM imputed")
 def impute_band(t: Tables) -> DataFrame:
     rows = imputation.impute(t.judged, t.cells).select("station_id", "seq", F.explode("imputation").alias("channel", "x"))
-    return rows.select("station_id", "seq", "channel", *[F.round(f"x.{c}", 3).alias(c) for c in ("value", "lower", "upper")], "x.method")
+    return rows.select("station_id", "seq", "channel", *[F.bround(f"x.{c}", 2).alias(c) for c in ("value", "lower", "upper")], "x.method")
 
 
 @query("""
@@ -549,7 +549,7 @@ _ANOMALY = f"""
 , hours_ AS (SELECT l.station_id, l.channel, l.us // 3600000000 AS hour, l.value - coalesce(s.smooth, f.e) AS anomaly, row_number() OVER (PARTITION BY l.station_id, l.channel, l.us // 3600000000 ORDER BY l.us, l.seq) AS k FROM long_ l LEFT JOIN smooth s USING (station_id, seq, channel) LEFT JOIN joined f USING (station_id, seq, channel)),
 calendar AS (SELECT station_id, unnest(range(min(hour), max(hour) + 1)) AS hour FROM hours_ GROUP BY station_id),
 anomalies AS (SELECT c.station_id, ch.channel, c.hour, h.anomaly FROM calendar c, (VALUES ('temperature_c'), ('pressure_hpa'), ('humidity_pct')) ch(channel) LEFT JOIN hours_ h ON h.station_id = c.station_id AND h.hour = c.hour AND h.channel = ch.channel AND h.k = 1),
-near_ AS (SELECT a.station_id, b.station_id AS other FROM stations a JOIN stations b ON a.station_id <> b.station_id WHERE {_KM} <= 400),
+near_ AS (SELECT a.station_id, b.station_id AS other FROM stations a JOIN stations b ON a.station_id <> b.station_id WHERE {_KM} <= 1000),
 middle AS (SELECT n.station_id, a.channel, a.hour, median(a.anomaly) AS m FROM near_ n JOIN anomalies a ON a.station_id = n.other WHERE a.anomaly IS NOT NULL GROUP BY ALL HAVING count(*) >= 3),
 diffs AS (SELECT a.station_id, a.channel, a.hour, a.anomaly - m.m AS difference FROM anomalies a LEFT JOIN middle m USING (station_id, channel, hour)),
 rolled AS (SELECT *, CASE WHEN count(difference) OVER w >= 100 THEN avg(difference) OVER w END AS rolling FROM diffs WINDOW w AS (PARTITION BY station_id, channel ORDER BY hour ROWS BETWEEN 167 PRECEDING AND CURRENT ROW))
@@ -578,10 +578,10 @@ def peer_limit(t: Tables) -> DataFrame:
 
 
 def _sparse_peers():
-    """The adapter's stations report less than hourly, so fewer hours of a week have a value."""
+    """The adapter's stations lie far apart and report less than hourly, so fewer hours of a week have a value."""
     from dataclasses import replace
 
-    return replace(DEFAULT, peers=replace(DEFAULT.peers, fraction=10 / 168, min_windows=50))
+    return replace(DEFAULT, peers=replace(DEFAULT.peers, radius_km=1000.0, fraction=10 / 168, min_windows=50))
 
 
 # Events and evaluation.
@@ -623,14 +623,14 @@ def greedy_separation(t: Tables) -> DataFrame:
 
 
 _WINDOWS = """
-, centres AS (SELECT station_id, ts, ts - INTERVAL 6 HOUR AS start_, ts + INTERVAL 6 HOUR AS end_ FROM readings WHERE temperature_c >= 54),
+, centres AS (SELECT station_id, ts, ts - INTERVAL 6 HOUR AS start_, ts + INTERVAL 6 HOUR AS end_ FROM readings WHERE temperature_c >= 45),
 fresh AS (SELECT *, CASE WHEN start_ <= max(end_) OVER (PARTITION BY station_id ORDER BY start_, end_ ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS f FROM centres),
 spans AS (SELECT station_id, w AS window_, min(start_) AS start_, max(end_) AS end_ FROM (SELECT *, sum(f) OVER (PARTITION BY station_id ORDER BY start_, end_) AS w FROM fresh) GROUP BY ALL)
 """
 
 
 def _spans(t: Tables) -> DataFrame:
-    return evaluation.merge(evaluation.windows(t.readings.filter("temperature_c >= 54").select("station_id", "ts"), 0.25).select("station_id", "start", "end"))
+    return evaluation.merge(evaluation.windows(t.readings.filter("temperature_c >= 45").select("station_id", "ts"), 0.25).select("station_id", "start", "end"))
 
 
 @query(_WINDOWS + "SELECT station_id, CAST(window_ AS BIGINT) AS num, start_, end_ FROM spans")
@@ -679,7 +679,7 @@ def qc_agreement(t: Tables) -> DataFrame:
     return evaluation.agreement(t.judged)
 
 
-@query("SELECT station_id, segment, count(*) AS n FROM (SELECT station_id, sum(CASE WHEN g > 90 THEN 1 ELSE 0 END) OVER (PARTITION BY station_id ORDER BY seq) AS segment FROM (SELECT *, (us - lag(us) OVER (PARTITION BY station_id ORDER BY seq)) / 6e7 AS g FROM readings)) GROUP BY ALL HAVING count(*) >= 3")
+@query("SELECT station_id, segment, count(*) AS n FROM (SELECT station_id, CAST(sum(CASE WHEN g > 90 THEN 1 ELSE 0 END) OVER (PARTITION BY station_id ORDER BY seq) AS BIGINT) AS segment FROM (SELECT *, (us - lag(us) OVER (PARTITION BY station_id ORDER BY seq)) / 6e7 AS g FROM readings)) GROUP BY ALL HAVING count(*) >= 3")
 def segments(t: Tables) -> DataFrame:
     return evaluation.segments(t.readings, 90 / 1440, 3).groupBy("station_id", "segment").agg(F.count("*").alias("n"))
 
@@ -690,7 +690,7 @@ def coverage(t: Tables) -> DataFrame:
 
 
 @query("""
-, d AS (SELECT station_id, CAST(ts AS DATE) AS day, count(*) AS n FROM readings GROUP BY ALL), c AS (SELECT station_id, CAST(unnest(range(min(day), max(day) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY ALL),
+, d AS (SELECT station_id, CAST(ts AS DATE) AS day, count(*) AS n FROM readings GROUP BY ALL), c AS (SELECT station_id, CAST(unnest(range(min(day), max(day) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY station_id),
 g AS (SELECT station_id, day, sum(CASE WHEN coalesce(n, 0) >= 24 THEN 1 ELSE 0 END) OVER w AS held, count(*) OVER w AS width FROM c LEFT JOIN d USING (station_id, day) WINDOW w AS (PARTITION BY station_id ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW))
 SELECT station_id, CAST(CAST(min(day) - 6 AS DATE) AS VARCHAR) AS start_, CAST(CAST(min(day) + 1 AS DATE) AS VARCHAR) AS end_ FROM g WHERE width = 7 AND held >= 0.9 * 7 GROUP BY station_id
 """)
