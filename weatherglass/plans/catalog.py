@@ -376,10 +376,10 @@ imputed AS (SELECT *, CASE WHEN known THEN mean1 + rho * (last_.v - mean2) ELSE
 """
 
 
-@query(_IMPUTED + "SELECT station_id, seq, channel, round_even(estimate, 2) AS value, round_even(estimate - 1.96::DOUBLE * spread, 2) AS lower, round_even(estimate + 1.96::DOUBLE * spread, 2) AS upper, CASE WHEN known THEN 'normal' ELSE 'last' END AS method FROM imputed")
+@query(_IMPUTED + "SELECT station_id, seq, channel, round_even(estimate, 4) AS value, round_even(estimate - 1.96::DOUBLE * spread, 4) AS lower, round_even(estimate + 1.96::DOUBLE * spread, 4) AS upper, CASE WHEN known THEN 'normal' ELSE 'last' END AS method FROM imputed")
 def impute_band(t: Tables) -> DataFrame:
     rows = imputation.impute(t.judged, t.cells).select("station_id", "seq", F.explode("imputation").alias("channel", "x"))
-    return rows.select("station_id", "seq", "channel", *[F.bround(f"x.{c}", 2).alias(c) for c in ("value", "lower", "upper")], "x.method")
+    return rows.select("station_id", "seq", "channel", "x.value", "x.lower", "x.upper", "x.method")
 
 
 @query("""
