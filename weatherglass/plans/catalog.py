@@ -649,7 +649,7 @@ def cut_chunks(t: Tables) -> DataFrame:
 @query(_WINDOWS + """
 SELECT 'heat' AS kind, CAST(sum(n) AS BIGINT) AS n, CAST(sum(fault) AS BIGINT) AS fault, CAST(sum(suspect) AS BIGINT) AS suspect, CAST(sum(weather) AS BIGINT) AS weather, CAST(sum(valid) AS BIGINT) AS valid, count(*) AS windows, CAST(sum(hit) AS BIGINT) AS windows_with_fault FROM (
   SELECT s.station_id, s.window_, count(*) AS n, count(*) FILTER (verdict = 'FAULT') AS fault, count(*) FILTER (verdict = 'SUSPECT') AS suspect, count(*) FILTER (verdict = 'WEATHER') AS weather, count(*) FILTER (verdict = 'VALID') AS valid, max(CASE WHEN verdict = 'FAULT' THEN 1 ELSE 0 END) AS hit
-  FROM spans s JOIN verdicts v ON v.station_id = s.station_id AND v.ts BETWEEN s.start_ AND s.end_ GROUP BY ALL)
+  FROM spans s JOIN verdicts v ON v.station_id = s.station_id AND v.ts BETWEEN s.start_ AND s.end_ GROUP BY ALL) HAVING count(*) > 0
 """)
 def event_window_counts(t: Tables) -> DataFrame:
     spans = _spans(t).withColumnRenamed("window", "event").withColumn("kind", F.lit("heat"))
