@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..settings import CHANNELS
 
 MINUTE = 60_000_000
+ROOT = str(Path(__file__).resolve().parents[2])
+
+
+def importable(df: DataFrame) -> DataFrame:
+    """df, after telling its Python workers where this package lies: pandas functions then work from any folder."""
+    env = df.sparkSession.sparkContext.environment
+    if ROOT not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(x for x in (env.get("PYTHONPATH", ""), ROOT) if x)
+    return df
 
 
 def micros(ts: Column | str) -> Column:
@@ -24,6 +35,11 @@ def finite(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
 
 
+def computed_once(df: DataFrame) -> DataFrame:
+    """df, for filters on columns of large expressions: Spark would repeat these in the filter, but moves none past a generator."""
+    return df.select(F.inline_outer(F.array(F.struct("*"))))
+
+
 def clamp(x: Column, most) -> Column:
     return F.greatest(-F.lit(most), F.least(F.lit(most), x)) if not isinstance(most, Column) else F.greatest(-most, F.least(most, x))
 

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import importable
 from ..settings import CHANNELS, DEFAULT, Settings
 from .checks import Check
 
@@ -87,7 +88,7 @@ def fit(rows: DataFrame, s: Settings = DEFAULT) -> DataFrame:
         forest = Forest.fit(x, m.trees, m.subsample, m.seed)
         return pd.DataFrame({"station_id": frame["station_id"].iloc[:1], "forest": [forest.packed()], "threshold": [float(np.quantile(forest.score(x), m.forest_quantile))]})
 
-    return rows.filter("usable").select("station_id", "seq", *FEATURES).groupBy("station_id").applyInPandas(one, "station_id string, forest binary, threshold double")
+    return importable(rows).filter("usable").select("station_id", "seq", *FEATURES).groupBy("station_id").applyInPandas(one, "station_id string, forest binary, threshold double")
 
 
 def score(rows: DataFrame, models: DataFrame) -> DataFrame:
@@ -98,7 +99,7 @@ def score(rows: DataFrame, models: DataFrame) -> DataFrame:
         forest = Forest.unpacked(right["forest"].iloc[0])
         return pd.DataFrame({"station_id": left["station_id"], "seq": left["seq"], "iforest_score": forest.score(left[list(FEATURES)].to_numpy(np.float64)), "iforest_threshold": right["threshold"].iloc[0]})
 
-    used = rows.filter("usable").select("station_id", "seq", *FEATURES)
+    used = importable(rows).filter("usable").select("station_id", "seq", *FEATURES)
     return used.groupBy("station_id").cogroup(models.groupBy("station_id")).applyInPandas(run, "station_id string, seq long, iforest_score double, iforest_threshold double")
 
 

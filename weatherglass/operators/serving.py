@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.core import computed_once
 from ..settings import CHANNELS
 
 
@@ -14,7 +15,7 @@ def latest(records: DataFrame, limit: int = 100, station: str | None = None) ->
 
 
 def alerts(records: DataFrame, limit: int | None = 100, station: str | None = None) -> DataFrame:
-    rows = records.filter("verdict IS NOT NULL AND verdict <> 'VALID'")
+    rows = computed_once(records).filter("verdict IS NOT NULL AND verdict <> 'VALID'")
     return latest(rows, limit, station) if limit else rows
 
 
