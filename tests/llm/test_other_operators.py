@@ -36,6 +36,21 @@ def test_wrapper_is_a_union_free_expression():
     assert "(<table>" in wrappers.expression(wrappers.joined(one, two)) and "</table>)?" in wrappers.expression(wrappers.joined(one, two))
 
 
+def test_pages_of_any_depth(spark):
+    shell = "<html><body><div class=tagline>All the news of {k}</div><div><div><div><div><article>{body}</article></div></div></div></div></body></html>"
+    deep = "<div>" * 4000 + "<p>at the bottom</p>"
+    rows = [(k, "http://a.example/", shell.format(k=k, body=f"<p>Paragraph {k} stands here at level eight, and says much more than the line above.</p>" * 3)) for k in range(2)]
+    rows += [(k, "http://b.example/", deep) for k in (2, 3)]
+    got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k].count(f"Paragraph {k} stands here") == 3 for k in range(2)) and got[2] == got[3] == "at the bottom"
+
+
+def test_texts_are_compared_whole():
+    a, b = (wrappers.folded(wrappers.parse("<p>" + "same beginning " * 8 + end)) for end in ("one", "two"))
+    assert "(slot)" in wrappers.expression(wrappers.joined(a, b)) and "(slot)" not in wrappers.expression(wrappers.joined(a, a))
+    assert wrappers.unpacked(wrappers.packed(a)) == a
+
+
 def test_vectors(spark):
     r = np.random.default_rng(4)
     x = r.normal(0, 1, (600, 16)).round(3)

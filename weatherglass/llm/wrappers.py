@@ -25,10 +25,12 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+import sys
 from urllib.parse import urlsplit
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,8 +38,9 @@ from .common import cut, prepare, scalar, utf8
 
 BROADCAST_BYTES = 32 << 20
 GROUPS = 64
-#: Levels of elements that a wrapper keeps, and names of elements below which it does not look (fixed values of HTML).
-DEPTH = 8
+#: Longest text that a wrapper keeps as it is; of a longer one it keeps the beginning, the length and a digest.
+SHORT = 64
+#: Names of elements without content, and of those below which a wrapper does not look (fixed values of HTML).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -123,25 +126,35 @@ def parse(page: str) -> Element:
 # repeated, [characters seen]].
 
 
+def deep() -> None:
+    """Pages nest to any depth. The functions on trees call themselves from Python only, which takes no stack of C's."""
+    sys.setrecursionlimit(1 << 30)
+
+
 def words(text: str) -> str:
     return " ".join(text.split())
 
 
-def folded(element: Element, depth: int = 0) -> list:
+def constant(text: str) -> str:
+    """What stands for a text where texts are compared: never one value for two texts."""
+    return text if len(text) <= SHORT else f"{text[:SHORT]}… {len(text)} {xxhash.xxh3_128_hexdigest(text)}"
+
+
+def folded(element: Element) -> list:
     """The wrapper of one page: equal neighbours are folded into repeated groups."""
     children: list = []
-    if depth < DEPTH and element.name not in RAW:
+    if element.name not in RAW:
         for x in element.children:
             if isinstance(x, str):
                 x = words(x)
                 if x:
-                    children.append(["#text", x[:64] if len(x) > 64 else x, 0, 0, [len(x)]])
+                    children.append(["#text", constant(x), 0, 0, [len(x)]])
             elif x.name in INLINE or x.name == "br":
                 inner = text_of(x)
                 if inner:
-                    children.append(["#text", inner[:64], 0, 0, [len(inner)]])
+                    children.append(["#text", constant(inner), 0, 0, [len(inner)]])
             else:
-                children.append(folded(x, depth + 1))
+                children.append(folded(x))
     return [element.name, element.mark, 0, 0, squeezed(children)]
 
 
@@ -209,6 +222,32 @@ def expression(node: list) -> str:
     return f"({inner})+" + "?" * node[2] if node[3] else f"({inner})?" if node[2] else inner
 
 
+def packed(wrapper: list) -> str:
+    """A wrapper as JSON: its nodes one after the other, each before its children and with their number."""
+    out, left = [], [wrapper]
+    while left:
+        node = left.pop()
+        if node[0] == "#text":
+            out.append(node)
+        else:
+            out.append([*node[:4], len(node[4])])
+            left.extend(reversed(node[4]))
+    return json.dumps(out)
+
+
+def unpacked(text: str) -> list:
+    top: list = []
+    open_ = [(top, 1)]  # lists of children and their final lengths
+    for node in json.loads(text):
+        while len(open_[-1][0]) == open_[-1][1]:
+            open_.pop()
+        open_[-1][0].append(node)
+        if node[0] != "#text":
+            open_.append(([], node[4]))
+            node[4] = open_[-1][0]
+    return top[0]
+
+
 def _plain(name: str, mark: str) -> bool:
     return not Element(name, mark).boilerplate
 
@@ -217,7 +256,11 @@ def mass(node: list) -> int:
     """Characters in slots, and a tenth of those in constants, outside boilerplate."""
     if node[0] == "#text":
         return node[4][0] * (10 if node[1] is None else 1)
-    return sum(map(mass, node[4])) if _plain(node[0], node[1]) else 0
+    total = 0
+    if _plain(node[0], node[1]):
+        for x in node[4]:
+            total += mass(x)
+    return total
 
 
 def region(wrapper: list) -> list[tuple[str, str]]:
@@ -293,6 +336,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     prepare(pages.sparkSession)
 
     def per_task(batches):
+        deep()
         held: dict[str, list] = {}
         for batch in batches:
             for url, page in zip(batch.column(0).to_pylist(), utf8(batch.column(1)), strict=True):
@@ -304,12 +348,13 @@ def wrappers(pages: DataFrame) -> DataFrame:
         yield batch_of(held)
 
     def batch_of(held):
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array([json.dumps(x) for x in held.values()], pa.string())], names=["host", "wrapper"])
+        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(map(packed, held.values()), pa.string())], names=["host", "wrapper"])
 
     def per_host(key, table):
+        deep()
         held: dict[str, list] = {}
         for x in sorted(table.column("wrapper").to_pylist()):
-            _fold(held, key[0].as_py(), json.loads(x))
+            _fold(held, key[0].as_py(), unpacked(x))
         return pa.Table.from_batches([batch_of(held)])
 
     partial = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).mapInArrow(per_task, "host string, wrapper string")
@@ -333,6 +378,7 @@ def extract(pages: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES) -> Data
         rows = rows.withColumn("host", _hosts()("url")).join(known, "host", "left").select("page_id", "url", "html", "region")
 
     def run(batches):
+        deep()
         for batch in batches:
             urls, texts = batch.column(1).to_pylist(), []
             paths = [regions.value.get(host_of(u)) for u in urls] if small else [json.loads(x) if x else None for x in batch.column(3).to_pylist()]
@@ -346,7 +392,8 @@ def extract(pages: DataFrame, *, broadcast_bytes: int = BROADCAST_BYTES) -> Data
 def _regions():
     @F.pandas_udf("string")
     def regions(x: pd.Series) -> pd.Series:
-        return x.map(lambda w: json.dumps(region(json.loads(w))))
+        deep()
+        return x.map(lambda w: json.dumps(region(unpacked(w))))
 
     return regions
 
