@@ -45,6 +45,32 @@ def test_pages_of_any_depth(spark):
     assert all(got[k].count(f"Paragraph {k} stands here") == 3 for k in range(2)) and got[2] == got[3] == "at the bottom"
 
 
+def text_by_page(*pages):
+    held = {}
+    for p in pages:
+        wrappers._fold(held, "", wrappers.folded(wrappers.parse(p)))
+    region = wrappers.region(wrappers.unpacked(wrappers.packed(held[""])))
+    return [wrappers.main_text(p, region) for p in pages]
+
+
+def test_region_drops_nothing_but_boilerplate():
+    few, many = "Some words of {0}", " ".join(f"And {{0}} says word {k}." for k in range(20))
+    for layout in (f"<body><div class=intro>{few}</div><div class=story>{many}</div>", f"<main><article>{many}</article><section class=more>{few}</section></main>",
+                   f"<body><h1>{few}</h1><div class=entry><p>{many}</div>", f"<body>{few}<div>{many}</div>", f"<body><div><div><ul><li>{few}<li>{few} too</ul><div>{many}</div></div></div>"):
+        for names in (["one", "two"], ["alone"], ["same", "same"]):
+            for name, got in zip(names, text_by_page(*(layout.format(n) for n in names)), strict=True):
+                assert f"Some words of {name}" in got and all(f"And {name} says word {k}." in got for k in range(20))
+    # Blocks that all pages share go, also lists and texts with inline elements; nav goes by its name.
+    shared = "<body><nav>go</nav><div class=top>Best <b>news</b> in town</div><ul><li>Home<li>About us</ul><div class=story><p>{0}</div>"
+    assert text_by_page(*(shared.format(many.format(n)) for n in "abc")) == [many.format(n) for n in "abc"]
+    # Two layouts: the minority's body stays, though the majority's path holds a stub in it.
+    major, minor = f"<body><div class=a>{many}</div>", f"<body><div class=a>stub {{0}}</div><div class=b>{many}</div>"
+    assert text_by_page(*(major.format(n) for n in "abcd"), minor.format("e"))[-1] == "stub e " + many.format("e")
+    # A block that only some pages have is not boilerplate, even if it is the same in all of these.
+    some = ["<body><div class=fix>Correction</div><div class=story>{0}</div>", "<body><div class=story>{0}</div>"]
+    assert text_by_page(some[0].format(many.format("a")), some[1].format(many.format("b")), some[0].format(many.format("c")))[0] == "Correction " + many.format("a")
+
+
 def test_texts_are_compared_whole():
     a, b = (wrappers.folded(wrappers.parse("<p>" + "same beginning " * 8 + end)) for end in ("one", "two"))
     assert "(slot)" in wrappers.expression(wrappers.joined(a, b)) and "(slot)" not in wrappers.expression(wrappers.joined(a, a))

@@ -8,8 +8,9 @@ side has becomes optional, and texts that differ become a slot. Each task folds
 tasks' wrappers of a host are then folded into one, so no task holds a host's pages, and a wrapper's size is bounded by the
 variety of tags, not by the pages.
 
-The wrapper gives the host's main region: the element that holds most of the text in slots, told by its words outside
-menus, headers, footers, sidebars, notices, adverts, forms, comments and links. Extraction parses each page, finds the region
+The wrapper gives the host's main region: the smallest element outside which there is nothing but menus, headers, footers,
+sidebars, notices, adverts, forms, comments, and blocks that are the same in all pages of the host. Where layouts differ it
+is what they have in common, and of a host's only page nothing counts as the same in all. Extraction parses each page, finds the region
 in it and joins its blocks: white space inside a block becomes one space, blocks are joined by one space, character
 references are decoded, and what is boilerplate by its element or by the words of its class, id or role is left out. A page
 without the region falls back on its own main region.
@@ -122,8 +123,9 @@ def parse(page: str) -> Element:
         stack.append(own)
 
 
-# A wrapper's node: [name, mark, optional, repeated, children]; a text: ["#text", constant or None for a slot, optional,
-# repeated, [characters seen]].
+# A wrapper's node: [name, mark, optional, repeated, children, digest]; a text: ["#text", constant or None for a slot,
+# optional, repeated, [characters seen], digest]. The digest is that of all text inside, outside boilerplate: "" without
+# text, None where it differs between pages.
 
 
 def deep() -> None:
@@ -143,19 +145,40 @@ def constant(text: str) -> str:
 def folded(element: Element) -> list:
     """The wrapper of one page: equal neighbours are folded into repeated groups."""
     children: list = []
+    run: list[str] = []  # a text goes on through inline elements
+
+    def end() -> None:
+        text = words("".join(run))
+        run.clear()
+        if text:
+            text_ = constant(text)
+            children.append(["#text", text_, 0, 0, [len(text)], text_])
+
     if element.name not in RAW:
         for x in element.children:
             if isinstance(x, str):
-                x = words(x)
-                if x:
-                    children.append(["#text", constant(x), 0, 0, [len(x)]])
-            elif x.name in INLINE or x.name == "br":
-                inner = text_of(x)
-                if inner:
-                    children.append(["#text", constant(inner), 0, 0, [len(inner)]])
+                run.append(x)
+            elif x.name == "br":
+                run.append(" ")
+            elif x.name in INLINE:
+                if not x.boilerplate:
+                    run.append(f" {text_of(x)} ")
             else:
+                end()
                 children.append(folded(x))
-    return [element.name, element.mark, 0, 0, squeezed(children)]
+        end()
+    told = ""
+    if not element.boilerplate:
+        for x in children:
+            told = both(told, x[5])
+    return [element.name, element.mark, 0, 0, squeezed(children), told]
+
+
+def both(a: str | None, b: str | None) -> str | None:
+    """The digest of two neighbours."""
+    if a is None or b is None:
+        return None
+    return constant(f"{a}\0{b}") if a and b else a or b
 
 
 def key(node: list) -> tuple:
@@ -167,7 +190,7 @@ def squeezed(nodes: list) -> list:
     out: list = []
     for node in nodes:
         if out and key(out[-1]) == key(node):
-            out[-1] = joined(out[-1], node)
+            out[-1] = joined(out[-1], node, both)
             out[-1][3] = 1
         else:
             out.append(node)
@@ -176,24 +199,30 @@ def squeezed(nodes: list) -> list:
                 tail = out[-size:]
                 del out[-size:]
                 for k, x in enumerate(tail):
-                    out[k - size] = joined(out[k - size], x)
+                    out[k - size] = joined(out[k - size], x, both)
                     out[k - size][3] = 1
                 break
     return out
 
 
-def joined(a: list, b: list) -> list:
-    """Two matching nodes as one."""
+def same(a: str | None, b: str | None) -> str | None:
+    """The digest of one place in two pages."""
+    return a if a == b else None
+
+
+def joined(a: list, b: list, digest=same) -> list:
+    """Two matching nodes as one: of different pages, or (digest: both) neighbours in a page."""
+    flags = a[2] | b[2], a[3] | b[3]
     if a[0] == "#text":
-        return ["#text", a[1] if a[1] == b[1] else None, a[2] | b[2], a[3] | b[3], [a[4][0] + b[4][0]]]
-    return [a[0], a[1], a[2] | b[2], a[3] | b[3], aligned(a[4], b[4])]
+        return ["#text", a[1] if a[1] == b[1] else None, *flags, [a[4][0] + b[4][0]], digest(a[5], b[5])]
+    return [a[0], a[1], *flags, aligned(a[4], b[4], digest), digest(a[5], b[5])]
 
 
-def aligned(a: list, b: list) -> list:
+def aligned(a: list, b: list, digest=same) -> list:
     """Two child lists as one, by their longest common subsequence: what only one has becomes optional."""
     ka, kb = [key(x) for x in a], [key(x) for x in b]
     if ka == kb:
-        return [joined(x, y) for x, y in zip(a, b, strict=True)]
+        return [joined(x, y, digest) for x, y in zip(a, b, strict=True)]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -202,7 +231,7 @@ def aligned(a: list, b: list) -> list:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and ka[i] == kb[j]:
-            out.append(joined(a[i], b[j]))
+            out.append(joined(a[i], b[j], digest))
             i, j = i + 1, j + 1
         elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
             out.append([*a[i][:2], 1, *a[i][3:]])
@@ -230,7 +259,7 @@ def packed(wrapper: list) -> str:
         if node[0] == "#text":
             out.append(node)
         else:
-            out.append([*node[:4], len(node[4])])
+            out.append([*node[:4], len(node[4]), node[5]])
             left.extend(reversed(node[4]))
     return json.dumps(out)
 
@@ -252,29 +281,46 @@ def _plain(name: str, mark: str) -> bool:
     return not Element(name, mark).boilerplate
 
 
-def mass(node: list) -> int:
-    """Characters in slots, and a tenth of those in constants, outside boilerplate."""
-    if node[0] == "#text":
-        return node[4][0] * (10 if node[1] is None else 1)
-    total = 0
-    if _plain(node[0], node[1]):
-        for x in node[4]:
-            total += mass(x)
-    return total
+def masses(wrapper: list, sometimes: bool) -> dict[int, int]:
+    """By node (its id): characters outside boilerplate, ten times those that aren't the same in all pages. sometimes: nothing
+    is known to be the same, as with a single page; so it is with what is optional."""
+    out: dict[int, int] = {}
+
+    def add(node: list, weight: int, sometimes: bool) -> int:
+        total = 0
+        if node[0] == "#text":
+            total = node[4][0] * weight
+        elif _plain(node[0], node[1]):
+            for x in node[4]:
+                total += add(x, 1 if not sometimes and fixed(x) else weight, sometimes or bool(x[2]))
+        out[id(node)] = total
+        return total
+
+    add(wrapper, 10, sometimes)
+    return out
+
+
+def fixed(node: list) -> bool:
+    """Is a node's text the same in all pages that have its parent?"""
+    return node[5] is not None and not node[2]
 
 
 def region(wrapper: list) -> list[tuple[str, str]]:
-    """The path (names and marks) to the main element: article or main where they hold most of the text, else the
-    smallest element that does."""
-    path, node = [], wrapper
+    """The path (names and marks) to the main element: down from the page as long as one child holds most of the text and
+    its siblings are boilerplate or the same in all pages; not below article or main."""
+    path, node, sometimes = [], wrapper, wrapper[5] is not None
+    mass = masses(wrapper, sometimes)
     while True:
-        inner = [x for x in node[4] if x[0] != "#text" and _plain(x[0], x[1])]
-        total = mass(node)
-        heavy = max(inner, key=mass, default=None)
-        if heavy is None or mass(heavy) < 0.6 * total or heavy[0] in ("p", "ul", "ol", "table", "blockquote", "pre", "h1", "h2", "dl", "figure"):
+        inner = [x for x in node[4] if x[0] == "#text" or _plain(x[0], x[1])]
+        total = mass[id(node)]
+        heavy = max(inner, key=lambda x: mass[id(x)], default=None)
+        if heavy is None or not total or mass[id(heavy)] < 0.6 * total or heavy[0] in ("#text", "p", "ul", "ol", "table", "blockquote", "pre", "h1", "h2", "dl", "figure"):
+            return path
+        if any(x is not heavy and x[5] != "" and (sometimes or not fixed(x)) for x in inner):
             return path
         path.append((heavy[0], heavy[1]))
         node = heavy
+        sometimes = sometimes or node[5] is not None
         if node[0] in ("article", "main") and not any(x[0] == "article" for x in node[4]):
             return path
 
@@ -321,8 +367,8 @@ def host_of(url: str | None) -> str:
 def main_text(page: str, path: list | None) -> str:
     """The main text of a page, given its host's region."""
     root = parse(page)
-    if path and (elements := found(root, path)):
-        return text_of(*elements)
+    if path and (text := text_of(*found(root, path))):
+        return text
     own = found(root, region(folded(root)))
     return text_of(*(own or [root]))
 
