@@ -1,12 +1,13 @@
 """The training-data pipeline: documents through four stages, each written as Parquet and read again.
 
 1. quality: documents that the quality classifier rejects go.
-2. near_duplicates: one document of each SimHash component stays, that with the smallest id (of rows with one id, the first
-   by text).
+2. near_duplicates: one row of each SimHash component stays, that with the smallest id; null ids come last, and of rows with
+   one id that with the smallest digest of its text stays. Ids name no rows here: those that share one, or have none, stay
+   each for its own component.
 3. decontamination: documents that benchmark passages contaminate go; all others stay whole.
 4. tokens: each document's SentencePiece ids, with their digest and the checks of the round trip.
 
-The first three return the columns of documents. Rows with a null doc_id count as rows of one id.
+The first three return the columns of documents.
 """
 
 from __future__ import annotations
@@ -19,22 +20,22 @@ from pyspark.sql import functions as F
 from weatherglass.llm import common, decontamination, quality, sentencepiece_codec, simhash
 
 
-#: Stands for a null id.
-NO_ID = -(1 << 63)
-
-
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # One exchange of the texts, by id_: the join builds its hash tables from the ids, and the window keeps the partitioning.
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id_")
-    found = simhash.near_duplicates(docs)
-    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
-    order = Window.partitionBy("id_").orderBy("text")
-    stay = docs.select("*", key).join(first.hint("shuffle_hash"), "id_", "left_semi")
-    return stay.withColumn("row_in_id_", F.row_number().over(order)).filter("row_in_id_ = 1").select(*docs.columns)
+    # A row is known by its id and its text's digest: each component's least row is found without the texts. These then have
+    # one exchange, by the same key: the join builds its hash tables from the keys, and the window, which leaves one of rows
+    # that are equal in both, keeps the partitioning.
+    names = ("no_id_", "id_", "digest_")
+    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key = [x.alias(n) for x, n in zip((doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), F.sha2(text, 256)), names, strict=True)]
+    rows = common.cut(simhash.fingerprints(docs, *key))
+    first = simhash.rooted(rows, F.min(F.struct(*names))).groupBy("root").agg(F.min("least").alias("least")).select("least.*")
+    stay = docs.select("*", *key).join(first.hint("shuffle_hash"), list(names), "left_semi")
+    order = Window.partitionBy(*names).orderBy(F.col("text").asc_nulls_last())
+    return stay.withColumn("copy_", F.row_number().over(order)).filter("copy_ = 1").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

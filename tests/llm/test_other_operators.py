@@ -141,6 +141,23 @@ def test_oracles(spark, name):
     assert got.sort_values(order).reset_index(drop=True).equals(want.sort_values(order).reset_index(drop=True))
 
 
+def test_pipeline_keeps_a_row_of_each_component(spark):
+    import corpus_pipeline as P
+
+    from weatherglass.llm import simhash
+
+    said = [" ".join(f"word{(k * 37 + j * j * (k + 3)) % 997}" for j in range(40)) for k in range(8)]
+    rows = [(None, said[0]), (None, said[1]), (None, said[2]), (None, said[2]), (None, None), (None, ""), (7, said[3]), (7, said[4]), (7, said[4])]
+    rows += [(3, said[5]), (5, said[5]), (5, said[6]), (None, said[6]), (9, said[7]), (None, said[7])]
+    fps = {simhash.fingerprint(t.encode()) for t in said}
+    assert len(fps) == 8 and min((a ^ b).bit_count() for a in fps for b in fps if a != b) > 2
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string")
+    got = P.near_duplicate_stage(spark, docs, DATA)
+    assert got.columns == docs.columns
+    want = [(None, said[0]), (None, said[1]), (None, said[2]), (None, ""), (7, said[3]), (7, said[4]), (3, said[5]), (5, said[6]), (9, said[7])]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 

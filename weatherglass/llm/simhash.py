@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, prepare, utf8
@@ -57,16 +57,17 @@ def fingerprint(text: bytes | None) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(documents: DataFrame) -> DataFrame:
-    """(doc_id, fp) for each row of documents, fp being the fingerprint's 64 bits as a signed long."""
+def fingerprints(documents: DataFrame, *carried: Column) -> DataFrame:
+    """(doc_id, fp) and the carried columns for each row of documents, fp being the fingerprint's 64 bits as a signed long."""
     prepare(documents.sparkSession)
 
     def run(batches):
         for batch in batches:
             fps = np.array([fingerprint(t) for t in utf8(batch.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps), *batch.columns[2:]], names=["doc_id", "fp", *batch.schema.names[2:]])
 
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
+    return rows.mapInArrow(run, ", ".join(["doc_id long", "fp long", *(f"{x.name} {x.dataType.simpleString()}" for x in rows.schema.fields[2:])]))
 
 
 class Golay:
@@ -258,13 +259,18 @@ def links(distinct: DataFrame) -> DataFrame:
     return replicated.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(per_anchor, "u long, v long")
 
 
+def rooted(rows: DataFrame, least: Column) -> DataFrame:
+    """(fp, root, least) for each distinct fp of rows: root names its component, least is an aggregate of its rows."""
+    first = rows.groupBy("fp").agg(least.alias("least"))
+    roots = components(links(first.select("fp"))).withColumnRenamed("node", "fp")
+    return first.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) for each row of documents, which needs doc_id and text."""
     rows = cut(fingerprints(documents))
-    first = rows.groupBy("fp").agg(F.min("doc_id").alias("least_id"))
-    roots = components(links(first.select("fp"))).withColumnRenamed("node", "fp")
-    placed = first.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least_id")
-    named = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    placed = rooted(rows, F.min("doc_id"))
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     by_fp = placed.select("fp", "root").join(named, "root").select("fp", "component_id")
     return rows.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
