@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import re
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from weatherglass.functions import physics
 from weatherglass.operators import checks as C
-from weatherglass.operators import coldstart, edge, engine, evaluation, features, forest, health, injection, limits, mahalanobis, normality
+from weatherglass.operators import coldstart, edge, engine, evaluation, features, forest, health, injection, limits, mahalanobis, normality, studies
 from weatherglass.settings import CHANNELS, DEFAULT, Settings, merged
 from weatherglass.sources import csv_readings, isd, synthetic
 
@@ -25,7 +26,7 @@ def history(spark, rows, cadence=60.0, station="S1"):
 
 def flagged(spark, rows, cadence=60.0, s=DEFAULT, cells=None, models=None):
     readings, stations = history(spark, rows, cadence)
-    out = engine.judge(readings, stations, models or engine.Models(cells), s, cadence=cadence)
+    out = engine.judge(readings, stations, models or engine.Models(cells), s)
     last = out.orderBy(F.desc("seq")).first()
     return {c.check: c.severity for c in last.checks if c.flagged}, last
 
@@ -87,9 +88,9 @@ def test_verdicts(spark):
 
 def test_limits_only_relax(spark):
     readings, stations = history(spark, [(k * 60, 20.0 + k // 3 % 2, 1000.0 + k % 7, 50.0 + k % 11) for k in range(240)])
-    plain = engine.judge(readings, stations, engine.Models(normality.fit(readings)), cadence=60.0)
+    plain = engine.judge(readings, stations, engine.Models(normality.fit(readings)))
     learned = limits.fit(readings, stations)
-    both = engine.judge(readings, stations, engine.Models(normality.fit(readings), learned), cadence=60.0, longest_frozen=600.0)
+    both = engine.judge(readings, stations, engine.Models(normality.fit(readings), learned))
     kinds = ("frozen", "noise", "step")
     hard = lambda d: {(r.seq, c.check) for r in d.collect() for c in r.checks if c.flagged and c.kind in kinds and c.severity == "hard"}
     assert hard(both) <= hard(plain)
@@ -97,7 +98,7 @@ def test_limits_only_relax(spark):
 
 def test_raw_values_stay(spark):
     rows = synthetic.fleet(spark, 2, 4)
-    out = engine.judge(rows, synthetic.stations(spark, 2), engine.Models(normality.fit(rows)), cadence=60.0)
+    out = engine.judge(rows, synthetic.stations(spark, 2), engine.Models(normality.fit(rows)))
     pairs = out.alias("a").join(rows.alias("b"), ["station_id", "seq"])
     assert pairs.filter(" or ".join(f"not (a.{c} <=> b.{c})" for c in CHANNELS)).count() == 0 and pairs.count() == rows.count()
 
@@ -106,11 +107,13 @@ def test_clean_series_raise_few_alarms(spark):
     rows = synthetic.fleet(spark, 2, 40)
     stations = synthetic.stations(spark, 2)
     models = engine.train(rows, stations)
-    judged = engine.judge(rows, stations, models, cadence=60.0)
+    judged = engine.judge(rows, stations, models)
     share = judged.agg(F.avg(F.col("verdict").isin("FAULT", "SUSPECT").cast("double"))).first()[0]
     assert share < 0.1
-    one = judged._jdf.queryExecution().executedPlan().toString()
-    assert one.count("hashpartitioning(station_id") >= 1
+    plain = features.features(rows, stations, models.cells, models.limits, measure=False)
+    checked = C.apply(plain, [c for c in C.all_checks() if c.kind in ("step", "spike", "gap", "timestamp", "cojump")])
+    plan = checked._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange hashpartitioning\(station_id#\d+, block#\d+L", plan)) == 1  # one serves all windows
 
 
 def test_forest_separates():
@@ -124,7 +127,7 @@ def test_forest_separates():
 
 def test_distance_equals_numpy(spark):
     rows = synthetic.fleet(spark, 1, 20)
-    feats = features.features(rows, synthetic.stations(spark, 1), normality.fit(rows), None, DEFAULT, 60.0)
+    feats = features.features(rows, synthetic.stations(spark, 1), normality.fit(rows), measure=False)
     dep = mahalanobis.departures(feats).filter("usable").select("station_id", "seq", "usable", *mahalanobis.FEATURES).cache()
     x = dep.orderBy("seq").toPandas()[list(mahalanobis.FEATURES)].to_numpy()
     inv = np.linalg.inv(np.cov(x, rowvar=False) + 1e-6 * np.eye(6))
@@ -155,13 +158,23 @@ def test_blend(spark):
 def test_injection_and_detection(spark):
     rows = synthetic.fleet(spark, 2, 30)
     stations = synthetic.stations(spark, 2)
-    plan = injection.make_plan(spark, {"S0": 720, "S1": 720}, 60.0)
-    assert plan.groupBy("station_id", "fault_type").count().filter("count > 3").count() == 0
+    lengths = spark.createDataFrame([("S0", 720), ("S1", 720), ("S2", 40), ("S3", 1)], "station_id string, n long")
+    plan = injection.make_plan(lengths, 60.0)
+    by = {}
+    for r in plan.orderBy("start_index").collect():
+        by.setdefault(r.station_id, []).append(r)
+    assert {r.fault_type: sum(x.fault_type == r.fault_type for x in by["S0"]) for r in by["S0"]} == dict.fromkeys(injection.TYPES, 3) and "S3" not in by and 0 < len(by["S2"]) < 18
+    for n, rows_ in ((720, by["S0"]), (720, by["S1"]), (40, by["S2"])):
+        assert all(a.end_index + 2 < b.start_index for a, b in zip(rows_, rows_[1:])) and rows_[0].start_index >= 1 and rows_[-1].end_index < n
+    assert [tuple(r) for r in by["S0"]] != [("S0", *tuple(r)[1:]) for r in by["S1"]] and plan.collect() == injection.make_plan(lengths, 60.0).collect()
+    shifts = injection.make_plan(lengths.filter("n = 720"), 60.0, types=("clock_shift",)).collect()
+    assert shifts and all(r.channel == "all" and r.start_index >= 3 for r in shifts)
+    plan = plan.filter("station_id IN ('S0', 'S1')")
     faulted = injection.inject(rows, plan, 60.0)
     assert faulted.filter("fault_type IS NULL AND NOT (temperature_c <=> raw_temperature_c)").count() == 0
     assert faulted.filter("fault_type = 'dropout' AND temperature_c IS NOT NULL AND pressure_hpa IS NOT NULL AND humidity_pct IS NOT NULL").count() == 0
     models = engine.Models(normality.fit(rows))
-    judge = lambda d: engine.judge(d, stations, models, cadence=60.0).withColumn("idx", F.row_number().over(features.station()) - 1)
+    judge = lambda d: engine.judge(d, stations, models).withColumn("idx", F.row_number().over(features.station()) - 1)
     found = evaluation.detection(plan, judge(faulted.select(*rows.columns)), judge(rows), 60.0)
     shares = {r.fault_type: r.s for r in found.groupBy("fault_type").agg(F.avg(F.col("detected").cast("double")).alias("s")).collect()}
     assert shares["dropout"] == 1 and shares["spike"] == 1 and shares["step"] > 0.5
@@ -184,8 +197,15 @@ def test_csv(spark, tmp_path):
     assert [(r.station_id, r.temperature_c, r.pressure_hpa, r.qc_flag) for r in rows] == [("A", 1.5, 1000.0, 0), ("A", None, None, 2), ("A", 3.0, 1.0, 0)]
     assert csv_readings.prepared(csv_readings.read(spark, str(path))).count() == 2
     path.write_text(CSV + "A,2026-01-01 02:00:00,abc,1,2,0\n")
-    with pytest.raises(Exception, match="row"):
+    with pytest.raises(Exception, match="row 4 of .*a.csv"):
         csv_readings.read(spark, str(path)).collect()
+    parts = tmp_path / "parts"
+    parts.mkdir()
+    for k in (2, 1):
+        (parts / f"{k}.csv").write_text(CSV.replace("1.5", f"{k}.5"))
+    assert [(r.seq, r.temperature_c) for r in csv_readings.read(spark, str(parts)).orderBy("seq").collect()] == [(0, 1.5), (1, None), (2, 3.0), (3, 2.5), (4, None), (5, 3.0)]
+    whole = csv_readings.assembled(spark, [f"{parts}/{k}.csv" for k in (2, 1, 7)]).orderBy("seq").collect()
+    assert [(r.seq, r.temperature_c) for r in whole] == [(0, 2.5), (1, None)]
     path.write_text("timestamp,temperature_c\n")
     with pytest.raises(ValueError, match="missing"):
         csv_readings.read(spark, str(path), "A")
@@ -198,8 +218,8 @@ RAW = """STATION,DATE,REPORT_TYPE,TMP,DEW,SLP,MA1
 1,2020-01-01T00:30:00,FM-15,"+0310,1","+0200,1","99999,9","10101,1,99999,9"
 1,2020-01-01T01:00:00,FM-12,"+0290,1","+0190,1","10110,1","99999,9,99999,9"
 1,2020-01-01T02:00:00,FM-15,"+9999,9","+0200,1","99999,9","10102,1,99999,9"
-1,2020-01-01T03:00:00,FM-15,"-0015,3","-0020,2","99999,9","10103,1,99999,9"
-1,2020-01-01T03:00:00,FM-15,"-0010,1","-0020,1","99999,9","10103,1,99999,9"
+1,2020-01-01T03:00:00,FM-15,"-0010,3","-0020,2","99999,9","10103,1,99999,9"
+1,2020-01-01T03:00:00,FM-15,"-0015,1","-0020,1","99999,9","10103,1,99999,9"
 """
 
 
@@ -208,8 +228,14 @@ def test_surface_reports(spark, tmp_path):
     path.write_text(RAW)
     found = isd.reports(spark, str(path))
     metar = isd.series(found, "metar").orderBy("ts").collect()
-    assert [(r.temperature_c, r.pressure_hpa, r.qc_flag) for r in metar] == [(30.0, 1010.0, 0), (-1.5, 1010.3, 2)]
+    assert [(r.temperature_c, r.pressure_hpa, r.qc_flag) for r in metar] == [(30.0, 1010.0, 0), (-1.0, 1010.3, 2)]
     assert isd.series(found, "synop").first().pressure_hpa == 1011.0
+    year = tmp_path / "2020"
+    year.mkdir()
+    (year / "1.csv").write_text(RAW)
+    assert isd.years(spark, str(tmp_path), "1", [2019, 2020], "metar").count() == 2 and isd.years(spark, str(tmp_path), "1", [2019], "metar").count() == 0
+    often = spark.createDataFrame([("1", T0 + dt.timedelta(minutes=m), m) for m in (0, 1, 4, 5, 6, 11, 40, 44, 45)], "station_id string, ts timestamp_ntz, place int")
+    assert sorted(r.place for r in isd.apart(often).collect()) == [0, 5, 11, 40, 45]
     assert isd.series(found, "metar", 30).count() == 3 and isd.series(found, "metar", any_minute=True).count() == 3
 
 
@@ -229,4 +255,119 @@ def test_learned_resolution(spark):
 
 
 def test_checks_are_named_in_order():
-    assert C.CHANNELS == CHANNELS
+    kinds = [c.kind + (f":{c.channel}" if c.channel else "") for c in C.all_checks(with_clock=True, models=[forest.check(), mahalanobis.check()])]
+    each = [f"{k}:{c}" for c in CHANNELS for k in ("frozen", "step", "spike", "noise", "drift")]
+    assert kinds == [*(f"range:{c}" for c in CHANNELS), "dew_point", "wet_bulb", "timestamp", "dropout", "gap", "limits", *each, "clock", "cojump", *(f"normality:{c}" for c in CHANNELS), "isolation_forest", "mahalanobis"]
+
+
+LIMITS = "station_id string, cadence_minutes double, channel string, resolution double, frozen_minutes double, noise_std double, typical_step double, step_cap double, n_runs long"
+
+
+def test_long_learned_windows_reach_far_back(spark):
+    rows = [(k * 30, 20.0, 1000 + 0.1 * k, 50 + 0.1 * (k % 7)) for k in range(400)]
+    readings, stations = history(spark, rows, 30.0)
+    learned = spark.createDataFrame([("S1", 30.0, c, None, 1170.0, 9.0, None, None, 40) for c in CHANNELS], LIMITS)
+    out = engine.judge(readings, stations, engine.Models(None, learned)).select("seq", F.explode(F.filter("checks", lambda x: x["flagged"])).alias("x")).filter("x.kind = 'frozen'").orderBy("seq").collect()
+    soft, hard = ([r.seq for r in out if r.x.severity == s] for s in ("soft", "hard"))
+    assert soft == list(range(39, 78)) and hard == list(range(78, 400)) and {r.x.channel for r in out} == {"temperature_c"}
+
+
+def test_blocks_change_nothing(spark):
+    rows, stations = synthetic.fleet(spark, 2, 30, 30.0), synthetic.stations(spark, 2, 30.0)
+    cells = normality.fit(rows)
+    checked = [features.features(rows, stations, cells, block_rows=n).drop("place").orderBy("station_id", "seq").collect() for n in (100_000, 300)]
+    assert checked[0] == checked[1] and len(checked[0]) == 2880
+    noise = [limits.noise_estimates(rows, stations, block_rows=n).orderBy("station_id", "channel", "seq").collect() for n in (100_000, 300)]
+    assert noise[0] == noise[1] and noise[0]
+
+
+def test_dense_stations_have_noise_limits(spark):
+    rows = [(k / 4, 20 + 0.1 * (k % 2), 1000.0 + 0.1 * (k % 3), 50 + 0.5 * (k % 5)) for k in range(900)]
+    readings, _ = history(spark, rows)
+    stations = spark.createDataFrame([("S1", 0.25)], "station_id string, cadence_minutes double")
+    got = {(r.channel, r.seq): r.jitter for r in limits.noise_estimates(readings, stations).collect()}
+    t = np.array([r[1] for r in rows])
+    for k in (6, 119, 120, 500, 899):
+        part = t[max(0, k - 120) : k + 1]
+        assert abs(got["temperature_c", k] - np.sqrt(np.mean(np.diff(part, 2) ** 2) / 6)) < 1e-9
+
+
+def test_wrong_clock_is_flagged(spark):
+    rows, stations = synthetic.fleet(spark, 1, 40), synthetic.stations(spark, 1)
+    models = engine.Models(normality.fit(rows))
+    late = rows.withColumn("ts", F.when(F.col("seq") >= 600, F.col("ts") + F.expr("INTERVAL 4 HOUR")).otherwise(F.col("ts")))
+    flags = {r.seq for r in engine.judge(late, stations, models).filter(F.exists("checks", lambda x: x["flagged"] & (x["kind"] == "clock"))).select("seq").collect()}
+    assert not [k for k in flags if k < 600] and len([k for k in flags if k >= 640]) > 250
+
+
+def test_all_layers(spark):
+    rows, stations = synthetic.fleet(spark, 2, 40), synthetic.stations(spark, 2)
+    models = engine.train(rows, stations)
+    odd = rows.withColumn("humidity_pct", F.when(F.col("seq") == 900, F.lit(2.0)).otherwise(F.col("humidity_pct")))
+    out = engine.judge(odd, stations, models)
+    kinds = {c.kind for r in out.filter("seq = 900").collect() for c in r.checks if c.flagged}
+    assert {"mahalanobis", "isolation_forest"} <= kinds and out.count() == rows.count()
+    told = mahalanobis.explain_latest(mahalanobis.departures(features.features(odd.filter("seq <= 900"), stations, models.cells, measure=False)), models.distance, "S1", 900, models.forest).first()
+    assert told.available and told.far and told.rare and "humidity" in told.contributions[0].feature
+    assert abs(sum(x.value for x in told.contributions) - told.distance2) < 0.01
+    small, forest.BROADCAST_BYTES = forest.BROADCAST_BYTES, 0
+    try:
+        rated = mahalanobis.rates(features.features(rows, stations, models.cells, measure=False))
+        met = {(r.station_id, r.seq): r.iforest_score for r in forest.score(rated, models.forest).collect()}
+    finally:
+        forest.BROADCAST_BYTES = small
+    assert met == {(r.station_id, r.seq): r.iforest_score for r in forest.score(rated, models.forest).collect()} and len(met) == 2 * 959
+
+
+def test_nearest_over_any_distance(spark):
+    r = np.random.default_rng(3)
+    where = [(f"s{k}", float(a), float(b)) for k, (a, b) in enumerate(zip(r.uniform(-89, 89, 60), r.uniform(-180, 180, 60)))]
+    got = {(x.station_id, x.rank): x.other for x in coldstart.nearest(spark.createDataFrame(where, "station_id string, lat double, lon double"), 2, 300.0).collect()}
+
+    def km(a, b):
+        p, q = math.radians(a[1]), math.radians(b[1])
+        h = math.sin((q - p) / 2) ** 2 + math.cos(p) * math.cos(q) * math.sin(math.radians(b[2] - a[2]) / 2) ** 2
+        return 2 * 6371 * math.asin(min(1.0, math.sqrt(h)))
+
+    assert got == {(a[0], k + 1): n for a in where for k, (_, n) in enumerate(sorted((km(a, b), b[0]) for b in where if b is not a)[:2])}
+
+
+def test_decision_rules(spark):
+    names = "system string, clean_n long, clean_alarm long, event_n long, event_fault long, event_suspect long, windows_with_fault long, windows long"
+    systems = spark.createDataFrame([("full", 1000, 20, 100, 5, 1, 3, 9), ("better", 1000, 20, 100, 4, 1, 2, 9), ("noisy", 1000, 30, 100, 4, 1, 2, 9), ("blind", 1000, 10, 100, 0, 1, 0, 9), ("more", 1000, 20, 100, 6, 1, 4, 9), ("none", 0, 0, 0, 0, 0, 0, 0)], names)
+    types = spark.createDataFrame([(s, t, 50, 50 - 5 * (s == "blind")) for s in ("full", "better", "noisy", "blind", "more", "none") for t in ("spike", "step")], "system string, fault_type string, injected long, detected_new long")
+    got = {r.system: r for r in studies.decisions(systems, types).collect()}
+    assert {k: r.adopt for k, r in got.items()} == {"better": True, "noisy": False, "blind": False, "more": False, "none": False}
+    assert got["blind"].worst_change == -10 and got["blind"].worst_type == "spike" and abs(got["noisy"].clean_rise - 1) < 1e-9
+    assert not {r.system: r for r in studies.decisions(systems, types, "offset").collect()}["better"].adopt
+    weak = {r.system: r for r in studies.tradeoff(systems, types).collect()}
+    assert weak["blind"].weakest_percent == 90 and weak["full"].clean_alarm_percent == 2
+    assert studies.detection_table(types, ("spike", "step")).filter("system = 'blind'").first().step == 90
+
+
+def test_drift_power(spark):
+    rows = [("S1", 0, T0 + dt.timedelta(hours=h), *(v + 0.2 * math.sin(h * h + i) for i, v in enumerate((20.0, 1000.0, 50.0))), *(20.0, 1000.0, 50.0), 1.0, 1.0, 1.0) for h in range(24 * 60)]
+    frame = spark.createDataFrame(rows, "station_id string, chunk int, ts timestamp_ntz, " + ", ".join(f"{c} double" for c in (*CHANNELS, *(f"smooth_{c}" for c in CHANNELS), *(f"s_{c}" for c in CHANNELS))))
+    got = {(r.channel, r.severity): r for r in studies.drift_power(frame, spark.createDataFrame([("S1", 60.0)], "station_id string, cadence_minutes double"), start_day=21, ramp_days=20, least_days=50, severities=(4.0,)).collect()}
+    assert len(got) == 6 and all(r.trials == 1 for r in got.values())
+    assert got["temperature_c", 4.0].detected == 1 and got["temperature_c", 0.0].detected == 0 and 0 < got["temperature_c", 4.0].median_days < 39
+
+
+def test_cold_start_table(spark):
+    rows = spark.createDataFrame([(0, m, s, v, e) for m, s, v, e in [("starter", "A", "VALID", None), ("starter", "A", "SUSPECT", None), ("starter", "B", "WEATHER", 1), ("own_only", "A", "FAULT", None)]], "days int, mode string, station_id string, verdict string, event int")
+    found = spark.createDataFrame([(0, "starter", True), (0, "starter", False)], "days int, mode string, detected_new boolean")
+    got = {r["mode"]: r for r in studies.cold_start(rows, found).collect()}
+    assert (got["starter"].clean_alarm_pct, got["starter"].event_weather_pct, got["starter"].detect_pct, got["starter"].stations) == (50.0, 100.0, 50.0, 2)
+    assert got["own_only"].clean_fault_pct == 100 and got["own_only"].event_fault_pct is None
+
+
+def test_peer_trials(spark):
+    hours = 24 * 60
+    own = [("A", "pressure_hpa", h, math.sin(h / 50)) for h in range(hours)]
+    diffs = [("A", "pressure_hpa", h, 0.1 * math.sin(h * h)) for h in range(hours)]
+    anomalies, differences = (spark.createDataFrame(x, f"station_id string, channel string, hour long, {n} double") for x, n in ((own, "anomaly"), (diffs, "difference")))
+    limits_ = spark.createDataFrame([("A", "pressure_hpa", "own", 1.5), ("A", "pressure_hpa", "peer", 0.2)], "station_id string, channel string, mode string, threshold double")
+    plan = spark.createDataFrame([(k, "A", "pressure_hpa", m, kind, 1.0, 400, 720) for k, (m, kind) in enumerate([("own", "offset"), ("peer", "offset"), ("peer", "drift")])], "trial int, station_id string, channel string, mode string, kind string, size double, first_hour long, hours long")
+    got = {(r["mode"], r.kind): r for r in studies.peer_trials(anomalies, differences, limits_, plan).collect()}
+    assert got["peer", "offset"].detected and got["peer", "drift"].detected and got["peer", "drift"].days > got["peer", "offset"].days and not got["own", "offset"].detected
+    assert studies.peer_summary(studies.peer_trials(anomalies, differences, limits_, plan)).filter("mode = 'peer'").count() == 2

@@ -2,8 +2,6 @@
 
 import json
 
-from pyspark.sql import functions as F
-
 from weatherglass.operators import engine, normality
 from weatherglass.sources import stream, synthetic
 from weatherglass.streaming.processor import Processor
@@ -24,7 +22,7 @@ def test_stream_equals_batch(spark, tmp_path):
         (landing / name).write_text("\n".join(json.dumps({"station_id": r["station_id"], "seq": r["seq"], "timestamp": r["ts"].isoformat() + "Z", **{c: r[c] for c in ("temperature_c", "pressure_hpa", "humidity_pct")}}) for r in part))
 
     def go():
-        p = Processor(stations, models, str(tmp_path / "out"), cadence=60.0)
+        p = Processor(stations, models, str(tmp_path / "out"))
         p.start(stream.read(spark, str(landing)), str(tmp_path / "checkpoint")).awaitTermination()
 
     land("a.json", data[:90])
@@ -33,17 +31,37 @@ def test_stream_equals_batch(spark, tmp_path):
     go()
     got = {(r.station_id, r.seq): (r.verdict, r.confidence) for r in spark.read.parquet(str(tmp_path / "out/records")).collect()}
     order = spark.createDataFrame([(r["station_id"], r["seq"], r["ts"], r["temperature_c"], r["pressure_hpa"], r["humidity_pct"]) for r in data], "station_id string, seq long, ts timestamp_ntz, temperature_c double, pressure_hpa double, humidity_pct double")
-    want = {(r.station_id, r.seq): (r.verdict, r.confidence) for r in engine.judge(order, stations, models, cadence=60.0).collect()}
+    want = {(r.station_id, r.seq): (r.verdict, r.confidence) for r in engine.judge(order, stations, models).collect()}
     assert got == want and any(v[0] == "SUSPECT" for v in want.values())
 
 
-def test_armed_faults(spark):
-    from weatherglass.streaming.processor import FAULTS, armed
+def test_faults_last_their_samples_over_batches(spark):
+    from weatherglass.streaming.processor import FAULTS, altered
+
+    rows = synthetic.fleet(spark, 2, 1)
+    faults = spark.createDataFrame([
+        (1, "S0", "frozen", "temperature_c", 5, 0.0), (2, "S0", "dropout", "pressure_hpa", 2, 0.0), (3, "S0", "step", "humidity_pct", 4, 30.0), (4, "S0", "drift", "humidity_pct", 2, 4.0), (5, "S0", "spike", "pressure_hpa", 1, 9.0)], FAULTS)
+    progress, out = None, {}
+    for first in range(0, 24, 3):  # eight batches
+        both = altered(rows.filter(f"seq BETWEEN {first + 2} AND {first + 4}"), faults, progress).collect()
+        progress = spark.createDataFrame([(r.station_id, r.fault_id, r.channel, r.applied, r.held) for r in both if r.part == "progress"], "station_id string, fault_id long, channel string, applied long, held double")
+        out |= {(r.station_id, r.seq): r for r in both if r.part == "reading"}
+    mine = {k: r for (s, k), r in out.items() if s == "S0"}
+    assert len({mine[k].temperature_c for k in range(2, 7)}) == 1 and mine[2].temperature_c == mine[2].raw_temperature_c and mine[6].temperature_c != mine[6].raw_temperature_c and mine[7].temperature_c == mine[7].raw_temperature_c
+    assert [k for k in mine if mine[k].pressure_hpa is None] == [2, 3] and abs(mine[4].pressure_hpa - mine[4].raw_pressure_hpa - 9) < 1e-9 and mine[5].pressure_hpa == mine[5].raw_pressure_hpa
+    assert [round(mine[k].humidity_pct - mine[k].raw_humidity_pct, 6) for k in range(2, 8)] == [32.0, 34.0, 30.0, 30.0, 0.0, 0.0]
+    assert all(r.temperature_c == r.raw_temperature_c for (s, _), r in out.items() if s == "S1")
+
 
-    rows = synthetic.fleet(spark, 1, 1)
-    faults = spark.createDataFrame([("S0", "frozen", "temperature_c", 5, 3, None), ("S0", "dropout", "pressure_hpa", 10, 2, None), ("S0", "step", "humidity_pct", 15, 4, 30.0)], FAULTS)
-    out = {r.seq: r for r in armed(rows, faults).collect()}
-    assert len(out) == 24 and len({out[k].temperature_c for k in (4, 5, 6, 7)}) == 1 and out[8].temperature_c == out[8].raw_temperature_c
-    assert [k for k in out if out[k].pressure_hpa is None] == [10, 11]
-    assert all(abs(out[k].humidity_pct - out[k].raw_humidity_pct - 30) < 1e-9 for k in range(15, 19)) and out[19].humidity_pct == out[19].raw_humidity_pct
-    assert rows.agg(F.count("*")).first()[0] == 24
+def test_stream_with_faults(spark, tmp_path):
+    from weatherglass.streaming.processor import FAULTS
+
+    rows = synthetic.fleet(spark, 1, 2).orderBy("seq").collect()
+    landing = tmp_path / "in"
+    landing.mkdir()
+    faults = spark.createDataFrame([(1, "S0", "dropout", "pressure_hpa", 3, 0.0)], FAULTS)
+    for part in range(4):
+        (landing / f"{part}.json").write_text("\n".join(json.dumps({"station_id": r.station_id, "seq": r.seq, "timestamp": r.ts.isoformat(), "temperature_c": r.temperature_c, "pressure_hpa": r.pressure_hpa, "humidity_pct": r.humidity_pct}) for r in rows[part * 2 : part * 2 + 2]))
+        Processor(synthetic.stations(spark, 1), engine.Models(), str(tmp_path / "out"), faults=faults).start(stream.read(spark, str(landing)), str(tmp_path / "checkpoint")).awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out/records")).orderBy("seq").collect()
+    assert [r.seq for r in got if r.pressure_hpa is None] == [0, 1, 2] and [r.seq for r in got if r.verdict == "FAULT"] == [0, 1, 2] and len(got) == 8

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..settings import CHANNELS
@@ -21,6 +23,25 @@ def importable(df: DataFrame) -> DataFrame:
     return df
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share; a temporary one only where none is set on a single machine."""
+    sc = spark.sparkContext
+    if configured := spark.conf.get("spark.checkpoint.dir", None):
+        return configured
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """df, written once to the shared folder as Parquet: what reads it has its columns pruned, and survives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def micros(ts: Column | str) -> Column:
     """Microseconds since 1970 of a timestamp without zone."""
     return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.col(ts) if isinstance(ts, str) else ts)

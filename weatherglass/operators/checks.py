@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import MINUTE
 from ..functions.physics import dew_point, wet_bulb
 from ..schema import CHECK
 from ..settings import CHANNELS, DEFAULT, Settings
-from .features import SHORT
 
 
 @dataclass(frozen=True)
@@ -22,8 +19,6 @@ class Check:
     flagged: Column
     soft: Column | bool = False
     value: Column | None = None
-    #: Columns that must be there first, in steps: each is computed once a row.
-    needs: tuple[dict[str, str], ...] = ()
 
     @property
     def column(self) -> Column:
@@ -77,33 +72,18 @@ def limits_fit(s: Settings = DEFAULT) -> Check:
     return Check("limits", None, F.col("has_limits") & (unlearned | F.coalesce(moved, F.lit(False))))
 
 
-def _rows(minutes: str) -> str:
-    """The history's rows whose time is at most so many minutes before the newest (late rows included)."""
-    return f"filter(history, x -> x.us >= us - ({minutes}) * {MINUTE}D)"
-
-
 def frozen(c: str, s: Settings = DEFAULT) -> Check:
-    """No change at all over the window. The run is how long the newest value has been unchanged in the kept history; a missing
-    value, another value or a gap ends it. With a learned window, a run just past it is soft, a longer one hard, unless
+    """No change at all over the window. With a learned window, a run just past it is soft, one of a multiple hard, unless
     saturated air (or, if set, a freezing plateau) explains it."""
-    k, e = SHORT[c], s.frozen.epsilon
-    learned = f"coalesce(frozen_minutes_{c}, 0D)" if s.layers.limits else "0D"
-    window, rows, values, run = f"frozen_window_{c}", f"frozen_rows_{c}", f"frozen_values_{c}", f"frozen_run_{c}"
-    walk = f"""(aggregate(reverse(history), named_struct('first', us, 'going', true), (a, x) ->
-        if(a.going and x.{k} is not null and abs(x.{k} - {c}) <= {e}D and a.first - x.us <= {s.gap_multiplier}D * cadence_minutes * {MINUTE}D, named_struct('first', x.us, 'going', true), named_struct('first', a.first, 'going', false))).first)"""
-    needs = (
-        {window: f"greatest({s.frozen.window[c]}D, {s.frozen.min_samples - 1} * cadence_minutes, {learned})"},
-        {rows: _rows(window)},
-        {values: f"transform({rows}, x -> x.{k})", run: f"if({c} is null, 0D, (us - {walk}) / {MINUTE}D)"})
-    spread = F.expr(f"array_max({values}) - array_min({values})")
-    whole = F.expr(f"(us - history[0].us) / {MINUTE}D >= {window} and size({values}) >= {s.frozen.min_samples} and not exists({values}, v -> v is null)")
-    hard = F.expr(f"{learned} = 0D or {run} >= {s.frozen.hard_multiplier}D * {window}")
+    window, run = F.col(f"frozen_window_{c}"), F.col(f"run_{c}")
+    learned = F.coalesce(f"frozen_minutes_{c}", F.lit(0.0)) if s.layers.limits else F.lit(0.0)
+    hard = (learned == 0) | (run >= s.frozen.hard_multiplier * window)
     if c != "pressure_hpa":
         if s.frozen.ceiling_aware:
-            hard = hard & ~F.expr(f"forall({rows}, x -> coalesce(x.h >= {s.frozen.ceiling}D, false))")
+            hard = hard & ~F.col(f"wet_{c}")
         if s.frozen.freezing_aware:
-            hard = hard & ~F.expr(f"forall({rows}, x -> coalesce(abs(x.t) <= {s.frozen.freezing_band}D and x.h >= {s.frozen.freezing_humidity}D, false))")
-    return Check("frozen", c, whole & (spread <= e), ~hard, spread, needs)
+            hard = hard & ~F.col(f"cold_{c}")
+    return Check("frozen", c, F.col(f"whole_{c}") & (F.col(f"spread_{c}") <= s.frozen.epsilon), ~hard, F.col(f"spread_{c}"))
 
 
 def step(c: str, s: Settings = DEFAULT, plain: bool = False) -> Check:
@@ -125,63 +105,30 @@ def spike(c: str, s: Settings = DEFAULT) -> Check:
     return Check("spike", c, timed & jumped & (F.abs(F.col(c) - F.col(f"{c}_2")) <= allowed_step(c, dt1 + dt2, s)))
 
 
-def noise_needs(s: Settings) -> tuple[dict[str, str], ...]:
-    window = f"greatest({s.noise.window}D, {s.noise.min_samples - 1} * cadence_minutes)"
-    return ({"noise_rows": _rows(window)},)
-
-
-def noise_estimate(c: str, s: Settings) -> str:
-    """The spread of independent noise, from second differences (a smooth trend cancels), in one pass over noise_rows; null
-    with too few samples or a missing value."""
-    k, n = SHORT[c], s.noise.min_samples
-    walk = f"""aggregate(noise_rows, named_struct('a', cast(null as double), 'b', cast(null as double), 'sum', 0D, 'ok', true), (z, x) ->
-        named_struct('a', z.b, 'b', x.{k}, 'sum', z.sum + coalesce((x.{k} - 2D * z.b + z.a) * (x.{k} - 2D * z.b + z.a), 0D), 'ok', z.ok and x.{k} is not null),
-        z -> if(z.ok, sqrt(z.sum / (size(noise_rows) - 2) / 6D), null))"""
-    return f"if(size(noise_rows) >= {n}, {walk}, null)"
-
-
 def noise(c: str, s: Settings = DEFAULT) -> Check:
+    """Jitter by second differences, in which a smooth trend cancels."""
     limit = F.lit(s.noise.limit[c])
     if s.layers.limits:
         limit = F.greatest(limit, F.coalesce(F.col(f"noise_std_{c}"), F.lit(0.0)))
-    found = F.col(f"jitter_{c}")
-    return Check("noise", c, found > limit, value=found, needs=(*noise_needs(s), {f"jitter_{c}": noise_estimate(c, s)}))
-
-
-def cusum_needs(c: str, s: Settings) -> tuple[dict[str, str], ...]:
-    """peak_: the largest two-sided cumulative sum of clipped departures over the window; null without usable samples."""
-    k, q = SHORT[c], s.cusum
-    z = f"greatest(-{q.cap}D, least({q.cap}D, (x.{k} - x.e{k}) / coalesce(nullif(x.s{k}, 0D), {q.sigma[c]}D)))"
-    scale = f"(cadence_minutes / {q.reference}D)"
-    up, down = f"greatest(0D, a.up + ({z} - {q.k}D) * {scale})", f"greatest(0D, a.down + (-{z} - {q.k}D) * {scale})"
-    walk = f"""aggregate(cusum_rows, named_struct('up', 0D, 'down', 0D, 'peak', cast(null as double)), (a, x) ->
-        if(x.{k} is null or x.e{k} is null, a, named_struct('up', {up}, 'down', {down}, 'peak', greatest(coalesce(a.peak, 0D), {up}, {down}))), a -> a.peak)"""
-    return ({"cusum_rows": _rows(f"{q.window}D")}, {f"peak_{c}": walk})
+    return Check("noise", c, F.col(f"jitter_{c}") > limit, value=F.col(f"jitter_{c}"))
 
 
 def drift(c: str, s: Settings = DEFAULT) -> Check:
-    peak = F.col(f"peak_{c}")
-    return Check("drift", c, peak >= s.cusum.h, True, peak, cusum_needs(c, s))
-
-
-def departure_needs(c: str, s: Settings) -> tuple[dict[str, str], ...]:
-    """departure_: median z over the offset window; null with a missing value or a gap in it, or too few samples."""
-    k, o = SHORT[c], s.offset
-    broken = f"exists(offset_z_{c}, v -> v is null) or exists(sequence(1, size(offset_rows) - 1), i -> offset_rows[i].us - offset_rows[i - 1].us > {s.gap_multiplier}D * cadence_minutes * {MINUTE}D)"
-    ordered, n = f"array_sort(offset_z_{c})", "size(offset_rows)"
-    return (
-        {"offset_rows": _rows(f"greatest({o.window}D, {o.min_samples - 1} * cadence_minutes)")},
-        {f"offset_z_{c}": f"transform(offset_rows, x -> (x.{k} - x.e{k}) / nullif(x.s{k}, 0D))"},
-        {f"departure_{c}": f"if({n} < {o.min_samples}, null, if({broken}, null, ({ordered}[int(floor(({n} - 1) / 2))] + {ordered}[int(floor({n} / 2))]) / 2D))"})
+    return Check("drift", c, F.col(f"peak_{c}") >= s.cusum.h, True, F.col(f"peak_{c}"))
 
 
 def offset(c: str, s: Settings = DEFAULT) -> Check:
-    own, calm, needs = F.col(f"departure_{c}"), F.lit(True), departure_needs(c, s)
+    """The median departure is large while those of the other channels are small."""
+    calm = F.lit(True)
     for other in CHANNELS:
         if other != c:
             calm = calm & (F.abs(F.col(f"departure_{other}")) < s.offset.others_below)
-            needs = tuple({**a, **b} for a, b in zip(needs, departure_needs(other, s), strict=True))
-    return Check("offset", c, (F.abs(own) >= s.offset.z) & calm, True, own, needs)
+    return Check("offset", c, (F.abs(F.col(f"departure_{c}")) >= s.offset.z) & calm, True, F.col(f"departure_{c}"))
+
+
+def clock(s: Settings = DEFAULT) -> Check:
+    """Needs clock_flag (see clock.results)."""
+    return Check("clock", None, F.col("clock_flag"), True)
 
 
 def cojump(s: Settings = DEFAULT) -> Check:
@@ -200,34 +147,20 @@ def health(s: Settings = DEFAULT, now: Column | None = None) -> list[Check]:
     return out + [offset(c, s) for c in CHANNELS if s.offset.enabled]
 
 
-def all_checks(s: Settings = DEFAULT, *, now: Column | None = None, clock: Callable[[], Check] | None = None, models: list[Check] = ()) -> list[Check]:
-    """Every check of the layers that are on, in their order."""
+def all_checks(s: Settings = DEFAULT, *, now: Column | None = None, with_clock: bool = False, models: list[Check] = ()) -> list[Check]:
+    """Every check of the layers that are on, in their order. models: the checks of the isolation forest and the distance."""
     out: list[Check] = []
     if s.layers.physics:
         out += physics(s)
     if s.layers.health:
         out += health(s, now)
     if s.layers.timing:
-        out += ([clock()] if clock else []) + [cojump(s)]
+        out += ([clock(s)] if with_clock else []) + [cojump(s)]
     if s.layers.normality:
         out += [normal(c, s) for c in CHANNELS]
     return out + list(models)
 
 
-def prepared(features: DataFrame, needs: list[tuple[dict[str, str], ...]]) -> DataFrame:
-    """features with the columns that checks need, step by step, each once."""
-    for step_ in range(max((len(n) for n in needs), default=0)):
-        new: dict[str, str] = {}
-        for n in needs:
-            if step_ < len(n):
-                new |= n[step_]
-        features = features.withColumns({k: F.expr(v) for k, v in new.items()})
-    return features
-
-
 def apply(features: DataFrame, checks: list[Check]) -> DataFrame:
-    """features with the array of check results. The columns made on the way are dropped again."""
-    rows = prepared(features, [c.needs for c in checks])
-    made = {name for c in checks for n in c.needs for name in n}
-    found = F.array(*[c.column for c in checks]) if checks else F.array().cast(f"array<{CHECK}>")
-    return rows.withColumn("checks", found).drop(*made)
+    """features with the array of check results."""
+    return features.withColumn("checks", F.array(*[c.column for c in checks]) if checks else F.array().cast(f"array<{CHECK}>"))

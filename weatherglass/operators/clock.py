@@ -2,48 +2,66 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import MINUTE, long_form, micros
+from ..functions.core import MINUTE, importable, micros
 from ..settings import DEFAULT, Settings
+from .features import kept_rows, numbered, with_limits
+from .history import group_starts
 
 HOUR = 60 * MINUTE
 
 
-def instants(readings: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """(station_id, seq, us): the greedy throttle, a reading once `every_hours` of data time have gone by since the last pick.
-    Only three numbers a reading go to the picker, in arrival order."""
-    step = int(s.timing.every_hours * HOUR)
+def instants(readings: DataFrame, s: Settings = DEFAULT, every_hours: float | None = None) -> DataFrame:
+    """(station_id, seq, us): the greedy throttle, a reading whenever `every_hours` of data time have gone by since the last
+    pick, or time has gone back behind it. The rule is sequential, so a station's rows pass one task in arrival order; it holds
+    one batch of three numbers a row, and only one time from batch to batch."""
+    step = int((s.timing.every_hours if every_hours is None else every_hours) * HOUR)
 
-    def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq", kind="stable")
-        keep, last = [], None
-        for us in frame["us"].tolist():
-            ok = last is None or us >= last + step
-            keep.append(ok)
-            last = us if ok else last
-        return frame[keep]
+    def pick(batches):
+        name, last = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            us, keep = batch.column(2).to_numpy(), []
+            starts = np.unique(group_starts(pa.Table.from_batches([batch]), ("station_id",))).tolist()
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                own = batch.column(0)[a].as_py()
+                name, last = own, last if own == name else None
+                at = a
+                while at < b:
+                    if last is not None:  # the next row that the rule picks
+                        part = us[at:b]
+                        hit = np.flatnonzero((part >= last + step) | (part < last))
+                        if not len(hit):
+                            break
+                        at += int(hit[0])
+                    last = int(us[at])
+                    keep.append(at)
+                    at += 1
+            yield batch.take(pa.array(keep, pa.int64()))
 
-    return readings.select("station_id", "seq", micros("ts").alias("us")).groupBy("station_id").applyInPandas(pick, "station_id string, seq long, us long")
+    rows = importable(readings).select("station_id", F.col("seq").cast("long").alias("seq"), micros("ts").alias("us"))
+    return rows.repartition("station_id").sortWithinPartitions("station_id", "seq").mapInArrow(pick, "station_id string, seq long, us long")
 
 
-def shift_scores(readings: DataFrame, cells: DataFrame, at: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+def shift_scores(readings: DataFrame, stations: DataFrame, cells: DataFrame, at: DataFrame, limits: DataFrame | None = None, s: Settings = DEFAULT) -> DataFrame:
     """(station_id, seq, shift, score, terms) for each instant of at: mean squared departure of the hourly means of the last
-    day from the pattern, for each shift. Readings meet instants by station and day, not by all pairs."""
+    day of the kept history from the pattern, for each shift. Readings meet instants by station and day, not by all pairs."""
     p = s.timing
-    values = long_form(readings.select("station_id", "seq", "ts", *p.channels).withColumn("us", micros("ts")).withColumns({c: F.lit(None).cast("double") for c in ("pressure_hpa",)}), "station_id", "seq", "us")
-    values = values.filter(F.col("value").isNotNull() & F.col("channel").isin(*p.channels)).withColumnRenamed("seq", "seen")
-    day = 24 * HOUR
-    window = int(p.window * MINUTE)
+    placed = numbered(with_limits(readings.withColumn("us", micros("ts")), stations, limits, s).withColumn("kept_rows", kept_rows(s, limits=limits is not None, clock=True)))
+    values = placed.unpivot(["station_id", "us", "place"], list(p.channels), "channel", "value").filter("value IS NOT NULL")
+    day, window = 24 * HOUR, int(p.window * MINUTE)
     spread = -(-window // day)
     dealt = values.withColumn("day", F.explode(F.array(*[F.floor(F.col("us") / day) + k for k in range(spread + 1)])))
-    near = at.withColumnRenamed("us", "at_us").withColumn("day", F.floor(F.col("at_us") / day)).join(dealt, ["station_id", "day"])
-    near = near.filter((F.col("us") >= F.col("at_us") - window) & (F.col("seen") <= F.col("seq")))
+    asked = at.select("station_id", "seq").join(placed.select("station_id", "seq", "kept_rows", F.col("us").alias("at_us"), F.col("place").alias("at_place")), ["station_id", "seq"])
+    near = asked.withColumn("day", F.floor(F.col("at_us") / day)).join(dealt, ["station_id", "day"])
+    near = near.filter((F.col("us") >= F.col("at_us") - window) & (F.col("place") <= F.col("at_place")) & (F.col("place") > F.col("at_place") - F.col("kept_rows")))
     hourly = near.groupBy("station_id", "seq", F.floor(F.col("us") / HOUR).alias("hour"), "channel").agg(F.avg("value").alias("mean"))
-    shifts = F.sequence(F.lit(-p.max_shift), F.lit(p.max_shift))
-    moved = hourly.withColumn("shift", F.explode(shifts))
+    moved = hourly.withColumn("shift", F.explode(F.sequence(F.lit(-p.max_shift), F.lit(p.max_shift))))
     time = F.timestamp_seconds((F.col("hour") + F.col("shift")) * 3600)
     pattern = cells.select("station_id", "channel", F.col("month").alias("m"), F.col("hour").alias("h"), F.col("mean").alias("normal"), F.col("std").alias("spread"))
     found = moved.withColumns({"m": F.month(time), "h": F.hour(time)}).join(pattern, ["station_id", "channel", "m", "h"])
@@ -66,9 +84,17 @@ def check(scores: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     return best.filter("score_0 IS NOT NULL AND shifts >= 2").select("station_id", "seq", "best_shift", "best_score", "score_0", flagged.alias("flagged"))
 
 
-def attach(readings: DataFrame, at: DataFrame, checked: DataFrame) -> DataFrame:
-    """readings with clock_flag, the result of the latest instant up to each (an as-of lookup)."""
-    results = at.select("station_id", "seq").join(checked.select("station_id", "seq", "flagged"), ["station_id", "seq"], "left").withColumn("result", F.struct(F.coalesce("flagged", F.lit(False)).alias("flagged"))).drop("flagged")
-    order = Window.partitionBy("station_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    joined = readings.join(results, ["station_id", "seq"], "left")
-    return joined.withColumn("clock_flag", F.coalesce(F.last("result", ignorenulls=True).over(order)["flagged"], F.lit(False))).drop("result")
+def results(readings: DataFrame, stations: DataFrame, cells: DataFrame, limits: DataFrame | None = None, s: Settings = DEFAULT, start: DataFrame | None = None) -> DataFrame:
+    """(station_id, seq, us, flagged) at each instant; each holds until the next one of its station. start: the same of the
+    last instant before, for stations that have been seen, at the last reading that was."""
+    rows = readings.select("station_id", F.col("seq").cast("long").alias("seq"), "ts")
+    if start is not None:
+        seen = start.select("station_id", F.col("seq").alias("seen"))
+        epoch = "timestampadd(MICROSECOND, us, TIMESTAMP_NTZ'1970-01-01 00:00:00')"
+        rows = rows.join(seen, "station_id", "left").filter("seen IS NULL OR seq > seen").drop("seen").unionByName(start.select("station_id", "seq", F.expr(epoch).alias("ts")))
+    at = instants(rows, s)
+    if start is not None:
+        at = at.join(start.select("station_id", "seq"), ["station_id", "seq"], "left_anti")
+    found = check(shift_scores(readings, stations, cells, at, limits, s), s)
+    out = at.join(found.select("station_id", "seq", "flagged"), ["station_id", "seq"], "left").withColumn("flagged", F.coalesce("flagged", F.lit(False)))
+    return out if start is None else out.unionByName(start.select(*out.columns))

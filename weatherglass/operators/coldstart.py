@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.core import stored
 from ..functions.physics import haversine_km
 from ..settings import DEFAULT, Settings
 
@@ -43,23 +44,35 @@ def blend_limits(others: DataFrame, own: DataFrame, days: DataFrame, s: Settings
     return joined.select("station_id", "channel", F.coalesce("resolution", "base_resolution").alias("resolution"), *mixed, "n_runs")
 
 
-def distances(stations: DataFrame, most_km: float | None = None) -> DataFrame:
-    """(station_id, other, km) of stations within most_km. Pairs are made through cells of one degree of latitude (all cells
-    within reach), so that far ones never meet; without a bound all stations of the (small) table meet."""
-    other = stations.select(F.col("station_id").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    here = stations.select("station_id", "lat", "lon")
-    if most_km is None:
-        near = here.withColumn("one", F.lit(1)).join(other.withColumn("one", F.lit(1)), "one")
-    else:
-        bands = int(most_km / 111.0) + 1
-        near = here.withColumn("band", F.explode(F.sequence(F.floor("lat") - bands, F.floor("lat") + bands))).join(other.withColumn("band", F.floor("lat2")), "band")
-    found = near.filter("station_id <> other").withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
-    return (found if most_km is None else found.filter(F.col("km") <= most_km)).select("station_id", "other", "km")
+def distances(stations: DataFrame, most_km: float, among: DataFrame | None = None) -> DataFrame:
+    """(station_id, other, km) of stations within most_km (of those in `among`, if given). Pairs are made through bands of one
+    degree of latitude within reach, so that far ones never meet."""
+    other = (stations if among is None else among).select(F.col("station_id").alias("other"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), F.floor("lat").alias("band"))
+    reach = min(int(most_km / 111.0) + 1, 180)
+    here = stations.select("station_id", "lat", "lon", F.explode(F.sequence(F.greatest(F.floor("lat") - reach, F.lit(-90)), F.least(F.floor("lat") + reach, F.lit(90)))).alias("band"))
+    found = here.join(other, "band").filter("station_id <> other").withColumn("km", haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
+    return found.filter(F.col("km") <= most_km).select("station_id", "other", "km")
 
 
-def nearest(stations: DataFrame, k: int = 1) -> DataFrame:
+#: Half of the earth's circumference: no two stations are farther apart.
+FARTHEST_KM = 20_038.0
+
+
+def nearest(stations: DataFrame, k: int = 1, start_km: float = 250.0) -> DataFrame:
+    """(station_id, other, km, rank) of the k nearest. Stations with fewer within the radius are asked again with twice the
+    radius; those that have enough within it have their nearest among them."""
     order = Window.partitionBy("station_id").orderBy("km", "other")
-    return distances(stations).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    asked, radius, out = stations.select("station_id", "lat", "lon"), start_km, None
+    while True:
+        ranked = distances(asked, radius, stations).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        enough = ranked.groupBy("station_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k) if radius < FARTHEST_KM else asked
+        found = ranked.join(enough.select("station_id"), "station_id", "left_semi")
+        out = found if out is None else out.unionByName(found)
+        if radius >= FARTHEST_KM:
+            return out
+        asked, radius = stored(asked.join(enough.select("station_id"), "station_id", "left_anti")), min(2 * radius, FARTHEST_KM)
+        if asked.isEmpty():
+            return out
 
 
 def same_zone(stations: DataFrame) -> DataFrame:

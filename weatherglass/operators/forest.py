@@ -6,10 +6,12 @@ import io
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.core import importable
+from ..functions.core import importable, stored
 from ..settings import CHANNELS, DEFAULT, Settings
 from .checks import Check
 
@@ -78,29 +80,78 @@ class Forest:
             return cls(z["feature"], z["threshold"], z["left"], z["right"], z["length"], int(z["rows"]))
 
 
+#: Packed forests of all stations up to this size are sent to all tasks.
+BROADCAST_BYTES = 64 << 20
+#: Rows that meet their station's forest at once, where forests are too large to be sent to all tasks.
+PART_ROWS = 65_536
+
+
 def fit(rows: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """(station_id, forest, threshold) from usable rows (see mahalanobis.rates)."""
+    """(station_id, forest, threshold) from usable rows (see mahalanobis.rates). A station's trees grow from as many rows as
+    they draw, those with the smallest hashes, which Spark picks before it brings them together; the threshold is a quantile of
+    the scores of all usable rows."""
     m = s.models
+    order = Window.partitionBy("station_id").orderBy(F.xxhash64("station_id", "seq", F.lit(m.seed)), "seq")
+    used = rows.filter("usable").select("station_id", "seq", *FEATURES)
+    drawn = used.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= m.trees * m.subsample).drop("k")
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("seq", kind="stable")
-        x = frame[list(FEATURES)].to_numpy(np.float64)
-        forest = Forest.fit(x, m.trees, m.subsample, m.seed)
-        return pd.DataFrame({"station_id": frame["station_id"].iloc[:1], "forest": [forest.packed()], "threshold": [float(np.quantile(forest.score(x), m.forest_quantile))]})
+        x = frame.sort_values("seq", kind="stable")[list(FEATURES)].to_numpy(np.float64)
+        return pd.DataFrame({"station_id": frame["station_id"].iloc[:1], "forest": [Forest.fit(x, m.trees, m.subsample, m.seed).packed()]})
+
+    forests = stored(importable(drawn).groupBy("station_id").applyInPandas(one, "station_id string, forest binary"))
+    limit = F.percentile_approx("iforest_score", m.forest_quantile, 100_000).alias("threshold")
+    return forests.join(attach(used.withColumn("usable", F.lit(True)), forests).groupBy("station_id").agg(limit), "station_id")
+
+
+def _scores(table: pa.Table, forests: dict[str, Forest]) -> np.ndarray:
+    """The scores of a table's usable rows; none for the others and for stations without a forest."""
+    out = np.full(table.num_rows, np.nan)
+    usable = table.column("usable").to_numpy(zero_copy_only=False)
+    names = np.array(table.column("station_id").to_pylist(), object)
+    x = np.column_stack([table.column(f).to_numpy().astype(np.float64) for f in FEATURES])
+    for name in set(names[usable]):
+        if name in forests:
+            own = np.flatnonzero(usable & (names == name))
+            out[own] = forests[name].score(x[own])
+    return out
+
+
+def attach(rows: DataFrame, models: DataFrame) -> DataFrame:
+    """rows (with usable and FEATURES) with iforest_score, null where a row is not usable. Small models (up to BROADCAST_BYTES)
+    are sent to all tasks; else each PART_ROWS rows or so of a station meet its forest in a task."""
+    importable(rows)
+    schema = T.StructType([*rows.schema.fields, T.StructField("iforest_score", T.DoubleType())])
+    size = models.agg(F.coalesce(F.sum(F.octet_length("forest")), F.lit(0))).first()[0]
+
+    def scored(table: pa.Table, forests: dict[str, Forest]) -> pa.Table:
+        return table.append_column("iforest_score", pa.array(_scores(table, forests), from_pandas=True))
+
+    if size <= BROADCAST_BYTES:
+        known = rows.sparkSession.sparkContext.broadcast({r["station_id"]: bytes(r["forest"]) for r in models.select("station_id", "forest").collect()})
+
+        def run(batches):
+            forests = {k: Forest.unpacked(v) for k, v in known.value.items()}
+            for batch in batches:
+                if batch.num_rows:
+                    yield from scored(pa.Table.from_batches([batch]), forests).to_batches()
+
+        return rows.mapInArrow(run, schema)
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        return scored(left, {n: Forest.unpacked(f) for n, f in zip(right.column("station_id").to_pylist(), right.column("forest").to_pylist(), strict=True)})
 
-    return importable(rows).filter("usable").select("station_id", "seq", *FEATURES).groupBy("station_id").applyInPandas(one, "station_id string, forest binary, threshold double")
+    counts = rows.groupBy("station_id").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts_"))
+    left = rows.join(counts, "station_id").withColumn("part_", F.pmod(F.xxhash64("seq"), F.col("parts_"))).drop("parts_")
+    right = models.select("station_id", "forest").join(counts, "station_id").withColumn("part_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_") - 1))).drop("parts_")
+    out = T.StructType([*left.schema.fields, T.StructField("iforest_score", T.DoubleType())])
+    return left.groupBy("station_id", "part_").cogroup(right.groupBy("station_id", "part_")).applyInArrow(meet, out).drop("part_")
 
 
 def score(rows: DataFrame, models: DataFrame) -> DataFrame:
-    """(station_id, seq, iforest_score, iforest_threshold) of usable rows. Rows meet their station's model in batches."""
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"station_id": [], "seq": [], "iforest_score": [], "iforest_threshold": []})
-        forest = Forest.unpacked(right["forest"].iloc[0])
-        return pd.DataFrame({"station_id": left["station_id"], "seq": left["seq"], "iforest_score": forest.score(left[list(FEATURES)].to_numpy(np.float64)), "iforest_threshold": right["threshold"].iloc[0]})
-
-    used = importable(rows).filter("usable").select("station_id", "seq", *FEATURES)
-    return used.groupBy("station_id").cogroup(models.groupBy("station_id")).applyInPandas(run, "station_id string, seq long, iforest_score double, iforest_threshold double")
+    """(station_id, seq, iforest_score, iforest_threshold) of usable rows."""
+    used = rows.filter("usable").select("station_id", "seq", "usable", *FEATURES)
+    return attach(used, models).join(models.select("station_id", F.col("threshold").alias("iforest_threshold")), "station_id").select("station_id", "seq", "iforest_score", "iforest_threshold")
 
 
 def check() -> Check:

@@ -5,17 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import MINUTE
 from ..settings import CHANNELS, DEFAULT, Settings
 from .checks import allowed_step
-from .features import SHORT
 
 
 def moves(c: str, s: Settings = DEFAULT) -> Column:
     """+1, -1 or 0: the change against the latest row of the kept history that is old enough (0 if its value is missing)."""
-    back = F.greatest(F.lit(s.fusion.direction_window), F.col("cadence_minutes")) * float(MINUTE)
-    older = F.filter(F.slice("history", F.lit(1), F.size("history") - 1), lambda x: x["us"] <= F.col("us") - back)
-    change = F.col(c) - F.try_element_at(older, F.lit(-1))[SHORT[c]]
+    change = F.col(c) - F.col(f"before_{c}")
     return F.when(F.abs(change) < s.fusion.min_move[c], 0).when(change > 0, 1).when(change < 0, -1).otherwise(0)
 
 

@@ -22,8 +22,13 @@ def daily_residuals(fused: DataFrame, s: Settings = DEFAULT) -> DataFrame:
 
 def usable_days(daily: DataFrame, cadence: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """(station_id, channel, day, mean) of days with enough samples for the station's cadence."""
-    rows = daily.join(cadence.select("station_id", "cadence_minutes"), "station_id")
-    return rows.filter(F.col("n") >= F.greatest(F.lit(1.0), s.drift.day_fraction * 1440.0 / F.col("cadence_minutes"))).select("station_id", "channel", "day", (F.col("sum") / F.col("n")).alias("mean"))
+    rows = usable_days_of(daily.join(cadence.select("station_id", "cadence_minutes"), "station_id"), s)
+    return rows.select("station_id", "channel", "day", (F.col("sum") / F.col("n")).alias("mean"))
+
+
+def usable_days_of(daily: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+    """The rows with enough samples (n) for their cadence_minutes."""
+    return daily.filter(F.col("n") >= F.greatest(F.lit(1.0), s.drift.day_fraction * 1440.0 / F.col("cadence_minutes")))
 
 
 def drift(days: DataFrame, at: DataFrame, s: Settings = DEFAULT) -> DataFrame:

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.core import MINUTE, long_form, micros, minutes
 from ..settings import CHANNELS, DEFAULT, Settings
-from . import checks as C
-from .features import station, history
+from .features import BLOCK_ROWS, clean, dealt, numbered, station
+from .history import jitters
 
 
 def series():
@@ -51,12 +51,20 @@ def steps(readings: DataFrame, cadences: DataFrame, s: Settings = DEFAULT) -> Da
     return rows.filter((F.col("dt") > 0) & (F.col("dt") <= s.gap_multiplier * F.col("cadence_minutes")) & F.col("change").isNotNull())
 
 
-def noise_estimates(readings: DataFrame, cadences: DataFrame, s: Settings = DEFAULT, rows: int = 64) -> DataFrame:
-    """(station_id, channel, seq, jitter) where a full window lies behind a reading. rows: the most that a window can hold."""
-    none = F.lit(None).cast("double")
-    base = readings.join(cadences.select("station_id", "cadence_minutes"), "station_id").withColumns({"us": micros("ts")} | {f"{x}_{c}": none for c in CHANNELS for x in "es"})
-    held = base.withColumn("history", history(rows))
-    found = C.prepared(held, [C.noise_needs(s)]).select("station_id", "seq", *[F.expr(C.noise_estimate(c, s)).alias(c) for c in CHANNELS])
+def running_cadence(readings: DataFrame, rows: int = 33) -> DataFrame:
+    """readings with running_cadence, the median of the positive gaps among the last `rows` arrivals; null without any."""
+    gap = minutes(F.lag("us").over(station()), F.col("us"))
+    timed = readings.withColumn("us", micros("ts")).withColumn("gap_", F.when(gap > 0, gap))
+    return timed.withColumn("running_cadence", F.expr("percentile(gap_, 0.5D)").over(station().rowsBetween(2 - rows, 0))).drop("us", "gap_")
+
+
+def noise_estimates(readings: DataFrame, cadences: DataFrame, s: Settings = DEFAULT, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(station_id, channel, seq, jitter) where a full window lies behind a reading, in the order of time. A window meets two
+    of the station's time ranges of its width at most, so their counts bound the rows that a block needs before it."""
+    base = clean(readings).join(cadences.select("station_id", "cadence_minutes"), "station_id")
+    base = base.withColumn("noise_window", F.greatest(F.lit(s.noise.window), (s.noise.min_samples - 1) * F.col("cadence_minutes")))
+    most = base.groupBy("station_id", F.floor(F.col("us") / (F.col("noise_window") * MINUTE))).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    found = jitters(dealt(numbered(base, "us", block_rows), 2 * most, block_rows).sortWithinPartitions("station_id", "block", "place"), s)
     return found.unpivot(["station_id", "seq"], list(CHANNELS), "channel", "jitter").filter("jitter IS NOT NULL")
 
 
@@ -71,10 +79,10 @@ def fit(readings: DataFrame, cadences: DataFrame | None = None, s: Settings = DE
     keys = ["station_id", "channel"]
     moved = steps(readings, cadences, s)
     near = F.when(F.col("dt") <= 1.5 * F.col("cadence_minutes"), F.col("change"))
-    out = resolution(readings)
-    out = out.join(runs(readings, cadences, s).groupBy(keys).agg(F.count("*").alias("n_runs"), _quantile("minutes", p.frozen_quantile, p.frozen_margin, p.min_runs).alias("frozen_minutes")), keys, "left")
-    out = out.join(noise_estimates(readings, cadences, s).groupBy(keys).agg(_quantile("jitter", p.noise_quantile, p.noise_margin, p.min_noise).alias("noise_std")), keys, "left")
-    out = out.join(moved.withColumn("near", near).groupBy(keys).agg(_quantile("near", p.usual_percentile, 1.0, p.min_usual).alias("typical_step"), _quantile("change", p.step_quantile, p.step_margin, p.min_steps).alias("step_cap")), keys, "left")
+    found = moved.withColumn("near", near).groupBy(keys).agg(_quantile("near", p.usual_percentile, 1.0, p.min_usual).alias("typical_step"), _quantile("change", p.step_quantile, p.step_margin, p.min_steps).alias("step_cap"))
+    run = runs(readings, cadences, s).groupBy(keys).agg(F.count("*").alias("n_runs"), _quantile("minutes", p.frozen_quantile, p.frozen_margin, p.min_runs).alias("frozen_minutes"))
+    noise = noise_estimates(readings, cadences, s).groupBy(keys).agg(_quantile("jitter", p.noise_quantile, p.noise_margin, p.min_noise).alias("noise_std"))
+    out = resolution(readings).join(run, keys, "left").join(noise, keys, "left").join(found, keys, "left")
     return out.join(cadences.select("station_id", "cadence_minutes"), "station_id").select(
         "station_id", "cadence_minutes", "channel", "resolution", "frozen_minutes", "noise_std", "typical_step", "step_cap", F.coalesce("n_runs", F.lit(0)).alias("n_runs"))
 

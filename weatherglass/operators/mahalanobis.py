@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.core import stored
 from ..settings import CHANNELS, DEFAULT, Settings
 from .checks import Check
 
@@ -60,7 +61,9 @@ def fit(rows: DataFrame, s: Settings = DEFAULT) -> DataFrame:
                 out.append(np.linalg.inv(m).ravel())
             yield pd.DataFrame({"station_id": frame["station_id"], "mean": frame["mean"], "inv_cov": out})
 
+    rows = stored(rows.filter("usable").select("station_id", "usable", *FEATURES))
     models = covariance(rows, s).select("station_id", "mean", "cov").mapInPandas(inverse, "station_id string, mean array<double>, inv_cov array<double>")
+    models = stored(models)
     limit = distances(rows, models).filter("d2 IS NOT NULL").groupBy("station_id").agg(F.expr(f"percentile(d2, {s.models.distance_quantile}D)").alias("threshold"))
     return models.join(limit, "station_id")
 
@@ -88,3 +91,23 @@ def check() -> Check:
 def ranked_contributions() -> Column:
     """Contributions by size, largest first."""
     return F.array_sort(F.zip_with("contributions", F.array(*map(F.lit, FEATURES)), lambda v, n: F.struct((-F.abs(v)).alias("order"), n.alias("feature"), v.alias("contribution"))))
+
+
+def explain(rows: DataFrame, distance: DataFrame, forests: DataFrame | None = None) -> DataFrame:
+    """Why the statistical layers found rows (departures() and rates() done) unusual: their squared distance with its exact
+    contributions by size, and the forest's score, both against their thresholds. Not available where a row is not usable."""
+    out = distances(rows, distance)
+    told = [F.col("d2").isNotNull().alias("available"), F.bround("d2", 3).alias("distance2"), F.bround("threshold", 3).alias("distance_threshold"), (F.col("d2") > F.col("threshold")).alias("far"),
+            F.transform(ranked_contributions(), lambda x: F.struct(x["feature"].alias("feature"), F.bround(x["contribution"], 4).alias("value"))).alias("contributions")]
+    if forests is not None:
+        from . import forest
+
+        out = forest.attach(out, forests).join(forests.select("station_id", F.col("threshold").alias("iforest_threshold")), "station_id", "left")
+        told += [F.bround("iforest_score", 4).alias("forest_score"), F.bround("iforest_threshold", 4).alias("forest_threshold"), (F.col("iforest_score") < F.col("iforest_threshold")).alias("rare")]
+    return out.select("station_id", "seq", "ts", *told)
+
+
+def explain_latest(rows: DataFrame, distance: DataFrame, station: str, seq: int | None = None, forests: DataFrame | None = None, newest: int = 60) -> DataFrame:
+    """explain() of a station's latest row, or of a certain one among its newest rows."""
+    recent = rows.filter(F.col("station_id") == station).orderBy(F.desc("ts"), F.desc("seq")).limit(newest)
+    return explain(recent.limit(1) if seq is None else recent.filter(F.col("seq") == seq), distance, forests)

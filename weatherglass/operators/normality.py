@@ -18,39 +18,41 @@ def fit(readings: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
     return cells.filter(F.col("n") >= settings.normality.min_samples)
 
 
-def as_map(cells: DataFrame) -> DataFrame:
-    """One row a station: cells[channel][month * 24 + hour] as (mean, std)."""
+#: Places in a station's array of cells: month * 24 + hour.
+PLACES = 13 * 24
+
+
+def by_place(cells: DataFrame) -> DataFrame:
+    """One row a station: cells_<channel>, an array with the cell (mean, std) of each place, null where there is none."""
     entry = F.struct((F.col("month") * 24 + F.col("hour")).alias("key"), F.struct("mean", "std").alias("value"))
-    return cells.groupBy("station_id").agg(*[
-        F.map_from_entries(F.collect_list(F.when(F.col("channel") == c, entry))).alias(f"cells_{c}") for c in CHANNELS])
+    maps = cells.groupBy("station_id").agg(*[F.map_from_entries(F.collect_list(F.when(F.col("channel") == c, entry))).alias(f"map_{c}") for c in CHANNELS])
 
+    def listed(c: str) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(PLACES - 1)), lambda k: F.try_element_at(F.col(f"map_{c}"), k))
 
-def cell(channel: str, month: Column, hour: Column) -> Column:
-    return F.try_element_at(F.col(f"cells_{channel}"), month * 24 + hour)
+    return maps.select("station_id", *[listed(c).alias(f"cells_{c}") for c in CHANNELS])
 
 
-def attach(readings: DataFrame, cells: DataFrame) -> DataFrame:
-    """readings with the cell maps of their station. Spark broadcasts the maps only if they are small."""
-    return readings.join(as_map(cells), "station_id", "left")
+def cell(channel: str, month: Column, hour: Column) -> Column:
+    return F.get(F.col(f"cells_{channel}"), month * 24 + hour)
 
 
-def expected(channel: str, ts: str = "ts") -> Column:
-    return cell(channel, F.month(ts), F.hour(ts))["mean"]
+def attach(readings: DataFrame, cells: DataFrame) -> DataFrame:
+    """readings with the cells of their station. Spark broadcasts these only if they are small."""
+    return readings.join(by_place(cells), "station_id", "left")
 
 
-def sigma(channel: str, settings: Settings = DEFAULT, ts: str = "ts") -> Column:
-    """The cell's spread, at least the channel's floor."""
-    std = cell(channel, F.month(ts), F.hour(ts))["std"]
-    return F.when(std.isNotNull(), F.greatest(std, F.lit(settings.normality.min_std[channel])))
+def expected_cell(channel: str, ts: str = "ts") -> Column:
+    return cell(channel, F.month(ts), F.hour(ts))
 
 
-def z(channel: str, settings: Settings = DEFAULT) -> Column:
-    return (F.col(channel) - expected(channel)) / sigma(channel, settings)
+#: Helper columns of corners(): the places of the four cells around a time, and their weights.
+CORNERS = tuple(f"corner_{x}{k}" for x in "kw" for k in range(4))
 
 
-def corners(ts: str = "ts") -> Column:
-    """The four cells around a time, (key, weight): neighbouring hours by the minute, and neighbouring middles of months by day
-    and hour. Computed once a row, for all channels."""
+def corners(ts: str = "ts") -> dict[str, Column]:
+    """The four cells around a time: neighbouring hours by the minute, and neighbouring middles of months by day and hour.
+    Computed once a row, for all channels."""
     month, hour, part = F.month(ts), F.hour(ts), F.minute(ts) / 60.0
     place = (F.dayofmonth(ts) - 0.5 + hour / 24.0) / F.dayofmonth(F.last_day(ts))
     late = place >= 0.5
@@ -58,14 +60,17 @@ def corners(ts: str = "ts") -> Column:
     second = F.when(late, F.pmod(month, F.lit(12)) + 1).otherwise(month)
     share = F.when(late, place - 0.5).otherwise(place + 0.5)
     after = F.pmod(hour + 1, F.lit(24))
-    return F.array(*[F.struct((m * 24 + h).alias("key"), (wm * wh).alias("w")) for m, wm in ((first, 1.0 - share), (second, share)) for h, wh in ((hour, 1.0 - part), (after, part))])
+    found = [(m * 24 + h, wm * wh) for m, wm in ((first, 1.0 - share), (second, share)) for h, wh in ((hour, 1.0 - part), (after, part))]
+    return dict(zip(CORNERS, [k for k, _ in found] + [w for _, w in found], strict=True))
 
 
-def smooth_expected(channel: str, around: str = "corners") -> Column:
-    """The expected value without steps: the weighted mean of the corner cells that exist."""
-    found = F.filter(F.transform(around, lambda x: F.struct(x["w"].alias("w"), F.try_element_at(F.col(f"cells_{channel}"), x["key"])["mean"].alias("mean"))), lambda x: x["mean"].isNotNull())
-    zero = F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("weight"))
-    return F.aggregate(found, zero, lambda a, x: F.struct((a["total"] + x["w"] * x["mean"]).alias("total"), (a["weight"] + x["w"]).alias("weight")), lambda a: a["total"] / F.nullif(a["weight"], F.lit(0.0)))
+def smooth_expected(channel: str) -> Column:
+    """The expected value without steps: the weighted mean of the corner cells that exist. Needs the columns of corners()."""
+    total, weight = F.lit(0.0), F.lit(0.0)
+    for k in range(4):
+        mean, w = F.get(F.col(f"cells_{channel}"), F.col(f"corner_k{k}"))["mean"], F.col(f"corner_w{k}")
+        total, weight = total + F.coalesce(w * mean, F.lit(0.0)), weight + F.when(mean.isNotNull(), w).otherwise(0.0)
+    return total / F.nullif(weight, F.lit(0.0))
 
 
 def centred(channel: str, ts: Column) -> tuple[Column, Column]:

@@ -3,27 +3,42 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cached_property
+from typing import ClassVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.core import MINUTE, long_form, micros
+from ..functions.core import MINUTE, long_form, micros, stored
 from ..operators import checks as C
-from ..operators import clock, coldstart, edge, engine, evaluation, features, forest, fusion, health, imputation, injection, mahalanobis, normality, peers, serving
+from ..operators import clock, coldstart, edge, engine, evaluation, features, forest, fusion, health, imputation, injection, mahalanobis, normality, peers, serving, studies
 from ..operators import limits as learned
 from ..settings import CHANNELS, DEFAULT
 from ..sources import events
 from . import oracles
 
 CADENCE = events.CADENCE
+_NO_FOREST = replace(DEFAULT, layers=replace(DEFAULT.layers, mlmodel=False))
 
 
 class Tables:
-    """The frames that queries are made of, each defined once."""
+    """The frames that queries are made of, each defined once. What stations have learned and the verdicts are written to the
+    shared folder when a query first needs them; later queries of the session on the same folder read them there."""
+
+    known: ClassVar[dict[tuple[str, str], Tables]] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
+        # Wide projections run faster as functions than as one method that the JVM does not compile.
+        spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
+
+    @classmethod
+    def of(cls, spark: SparkSession, sf_dir: str) -> Tables:
+        key = (spark.sparkContext.applicationId, sf_dir)
+        if key not in cls.known:
+            cls.known[key] = cls(spark, sf_dir)
+        return cls.known[key]
 
     @cached_property
     def readings(self) -> DataFrame:
@@ -35,24 +50,31 @@ class Tables:
 
     @cached_property
     def cells(self) -> DataFrame:
-        return normality.fit(self.readings)
+        return stored(normality.fit(self.readings))
 
     @cached_property
     def limits(self) -> DataFrame:
-        return learned.fit(self.readings, self.stations)
+        return stored(learned.fit(self.readings, self.stations))
 
     @cached_property
     def features(self) -> DataFrame:
-        return features.features(self.readings, self.stations, self.cells, self.limits, DEFAULT, CADENCE)
+        return features.features(self.readings, self.stations, self.cells, self.limits)
 
     @cached_property
     def plain(self) -> DataFrame:
-        """Features without learned limits."""
-        return features.features(self.readings, self.stations, self.cells, None, DEFAULT, CADENCE)
+        """Features without learned limits and history."""
+        return features.features(self.readings, self.stations, self.cells, measure=False)
+
+    @cached_property
+    def models(self) -> engine.Models:
+        """Without the isolation forest, which no SQL can check."""
+        rows = mahalanobis.fit(self.departures)
+        return engine.Models(self.cells, self.limits, stored(rows))
 
     @cached_property
     def judged(self) -> DataFrame:
-        return engine.judge(self.readings, self.stations, engine.Models(self.cells, self.limits), DEFAULT, cadence=CADENCE)
+        """All verdicts, written once for all that a query makes of them."""
+        return stored(engine.records(engine.judge(self.readings, self.stations, self.models, _NO_FOREST), "qc_flag"))
 
     @cached_property
     def departures(self) -> DataFrame:
@@ -60,11 +82,17 @@ class Tables:
 
     @cached_property
     def reports(self) -> DataFrame:
-        return health.reports(health.scores(self.judged))
+        return health.reports(health.scores(self.judged, self.last_drift))
+
+    @cached_property
+    def last_drift(self) -> DataFrame:
+        """Drift at each station's newest day, if it has held on the days before."""
+        found = health.persistent(health.isolated(self.drift(True)).filter("drift_z IS NOT NULL"))
+        return found.join(self.readings.groupBy("station_id").agg(F.to_date(F.max("ts")).alias("at")), ["station_id", "at"], "left_semi")
 
     @cached_property
     def days(self) -> DataFrame:
-        return health.usable_days(health.daily_residuals(self.judged), self.stations)
+        return stored(health.usable_days(health.daily_residuals(self.judged), self.stations))
 
     def drift(self, every_day: bool) -> DataFrame:
         span = self.readings.groupBy("station_id").agg(F.to_date(F.min("ts")).alias("a"), F.to_date(F.max("ts")).alias("b"))
@@ -86,12 +114,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str | None = None, at: str | None = None):
+def query(sql: str | None = None):
     """Registers a function of Tables under its name, with the SQL (after the common tables) that checks it."""
     def register(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables.of(spark, sf_dir))
         if sql:
-            ORACLES[f.__name__] = oracles.tables(oracles.EVERY if at == "every" else oracles.LAST) + sql
+            ORACLES[f.__name__] = oracles.TABLES + sql
         return f
 
     return register
@@ -138,14 +166,14 @@ def _register_checks() -> None:
         ("step_check", ("step",), "features", lambda: per_channel(C.step)),
         ("spike_check", ("spike",), "plain", lambda: per_channel(C.spike)),
         ("noise_check", ("noise",), "features", lambda: per_channel(C.noise)),
-        ("cusum_drift", ("drift",), "plain", lambda: per_channel(C.drift)),
+        ("cusum_drift", ("drift",), "features", lambda: per_channel(C.drift)),
         ("cojump", ("cojump",), "plain", lambda: [C.cojump()]),
         ("normality_check", ("normality",), "plain", lambda: per_channel(C.normal)),
         ("health_bundle", ("timestamp", "dropout", "gap", "limits", "frozen", "step", "spike", "noise", "drift"), "features", C.health),
         ("all_checks", ("range", "dew_point", "wet_bulb", "timestamp", "dropout", "gap", "limits", "frozen", "step", "spike", "noise", "drift", "cojump", "normality"), "features", C.all_checks),
     ):
-        QUERIES[name] = lambda spark, sf_dir, frame=frame, found=found: flagged(getattr(Tables(spark, sf_dir), frame), found())
-        ORACLES[name] = oracles.tables() + _listed(*kinds)
+        QUERIES[name] = lambda spark, sf_dir, frame=frame, found=found: flagged(getattr(Tables.of(spark, sf_dir), frame), found())
+        ORACLES[name] = oracles.TABLES + _listed(*kinds)
 
 
 _register_checks()
@@ -158,7 +186,7 @@ def step_plain(t: Tables) -> DataFrame:
 
 @query("SELECT station_id, seq, channel, round(peak, 4) AS peak FROM measured WHERE peak IS NOT NULL")
 def cusum_peak(t: Tables) -> DataFrame:
-    rows = C.prepared(t.plain, [C.cusum_needs(c, DEFAULT) for c in CHANNELS]).select("station_id", "seq", *[F.round(f"peak_{c}", 4).alias(c) for c in CHANNELS])
+    rows = t.features.select("station_id", "seq", *[F.round(f"peak_{c}", 4).alias(c) for c in CHANNELS])
     return rows.unpivot(["station_id", "seq"], list(CHANNELS), "channel", "peak").filter("peak IS NOT NULL")
 
 
@@ -171,11 +199,8 @@ SELECT station_id, seq, channel, round(own, 6) AS departure FROM (
     AND len(list_filter(range(1, len(rows_)), lambda i: rows_[i + 1].us - rows_[i].us > 90 * 6e7)) = 0)
 """)
 def offset_departure(t: Tables) -> DataFrame:
-    from dataclasses import replace
-
     s = replace(DEFAULT, offset=replace(DEFAULT.offset, enabled=True))
-    rows = features.features(t.readings, t.stations, t.cells, None, s, CADENCE)
-    out = C.prepared(rows, [C.departure_needs(c, s) for c in CHANNELS]).select("station_id", "seq", *[F.round(f"departure_{c}", 6).alias(c) for c in CHANNELS])
+    out = features.features(t.readings, t.stations, t.cells, None, s).select("station_id", "seq", *[F.round(f"departure_{c}", 6).alias(c) for c in CHANNELS])
     return out.unpivot(["station_id", "seq"], list(CHANNELS), "channel", "departure").filter("departure IS NOT NULL")
 
 
@@ -241,6 +266,11 @@ def cadence_median(t: Tables) -> DataFrame:
     return rounded(learned.cadence(t.readings), "cadence_minutes")
 
 
+@query("SELECT station_id, seq, round(quantile_cont(gap, 0.5) OVER (PARTITION BY station_id ORDER BY seq ROWS BETWEEN 31 PRECEDING AND CURRENT ROW), 3) AS running_cadence FROM (SELECT *, CASE WHEN us > lag(us) OVER w THEN (us - lag(us) OVER w) / 6e7 END AS gap FROM readings WINDOW w AS (PARTITION BY station_id ORDER BY seq))")
+def cadence_running(t: Tables) -> DataFrame:
+    return rounded(learned.running_cadence(t.readings).select("station_id", "seq", "running_cadence"), "running_cadence", digits=3)
+
+
 @query("""
 SELECT station_id, 30.0::DOUBLE AS cadence_minutes, channel, round(coalesce(noise_std, CASE WHEN channel = 'humidity_pct' THEN 7.0 END), 6) AS noise_std FROM limits
 """)
@@ -266,24 +296,20 @@ def learn_stations(t: Tables) -> DataFrame:
 # Timing.
 
 
-@query("""
-, instants AS (SELECT station_id, seq, us FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY seq) AS n FROM readings) WHERE n % 25 = 0),
-hourly AS (SELECT i.station_id, i.seq, l.channel, l.us // 3600000000 AS hour, avg(l.value) AS mean FROM instants i JOIN long_ l ON l.station_id = i.station_id AND l.seq <= i.seq AND l.us >= i.us - 1440 * 6e7 AND l.channel <> 'pressure_hpa' AND l.value IS NOT NULL GROUP BY ALL),
-enough AS (SELECT station_id, seq FROM hourly GROUP BY ALL HAVING count(DISTINCT hour) >= 18),
-moved AS (SELECT h.*, s.shift, make_timestamp((hour + s.shift) * 3600000000) AS at_time FROM hourly h JOIN enough USING (station_id, seq), range(-6, 7) s(shift))
-SELECT m.station_id, m.seq, CAST(m.shift AS INTEGER) AS shift, round(avg(pow((m.mean - c.mean) / greatest(c.std, """ + oracles.MIN_STD.replace("channel", "c.channel") + """), 2)), 6) AS score, count(*) AS terms
-FROM moved m JOIN cells c ON c.station_id = m.station_id AND c.channel = m.channel AND c.month = month(at_time) AND c.hour = hour(at_time) GROUP BY m.station_id, m.seq, m.shift HAVING count(*) >= 18
-""")
+@query("SELECT station_id, seq, us FROM instants")
+def clock_instants(t: Tables) -> DataFrame:
+    return clock.instants(t.readings)
+
+
+@query("SELECT station_id, seq, CAST(shift AS INTEGER) AS shift, round(score, 6) AS score, terms FROM clock_scores")
 def clock_shift_scores(t: Tables) -> DataFrame:
-    every = t.readings.withColumn("n", F.row_number().over(features.station())).filter("n % 25 = 0").select("station_id", "seq", micros("ts").alias("us"))
-    return rounded(clock.shift_scores(t.readings, t.cells, every), "score")
+    return rounded(clock.shift_scores(t.readings, t.stations, t.cells, clock.instants(t.readings), t.limits), "score")
 
 
-@query()
+@query("SELECT station_id, seq, flag AS clock_flag FROM clock_")
 def clock_check(t: Tables) -> DataFrame:
-    at = clock.instants(t.readings)
-    found = clock.check(clock.shift_scores(t.readings, t.cells, at))
-    return clock.attach(t.readings, at, found).select("station_id", "seq", "clock_flag")
+    found = stored(clock.results(t.readings, t.stations, t.cells, t.limits))
+    return features.features(t.readings, t.stations, t.cells, t.limits, clock=found, measure=False).select("station_id", "seq", "clock_flag")
 
 
 # Models.
@@ -297,28 +323,28 @@ def features_rates(t: Tables) -> DataFrame:
     return rounded(rows.select("station_id", "seq", *[f"r_{c}" for c in CHANNELS]), *[f"r_{c}" for c in CHANNELS])
 
 
-_PAIRS = [(a, b) for i, a in enumerate(mahalanobis.FEATURES) for b in mahalanobis.FEATURES[i:]]
+_PLACES = [(i, j) if i >= j else (j, i) for i in range(6) for j in range(i, 6)]
 
 
-@query("""
-, wide AS (SELECT f.station_id, f.seq, max(dt1) AS dt1, """ + ", ".join(f"max(CASE WHEN f.channel = '{c}' THEN value END) AS {c}, max(CASE WHEN f.channel = '{c}' THEN v1 END) AS {c}_1, max(CASE WHEN f.channel = '{c}' THEN smooth END) AS m_{c}" for c in CHANNELS) + """ FROM feat f LEFT JOIN smooth s USING (station_id, seq, channel) GROUP BY f.station_id, f.seq),
-used AS (SELECT station_id, """ + ", ".join(f"{c} - m_{c} AS d_{c}, ({c} - {c}_1) / dt1 AS r_{c}" for c in CHANNELS) + " FROM wide WHERE dt1 > 0 AND " + " AND ".join(f"{c} IS NOT NULL AND {c}_1 IS NOT NULL AND m_{c} IS NOT NULL" for c in CHANNELS) + """)
-SELECT station_id, count(*) AS n, """ + ", ".join(f"round(covar_samp({a}, {b}), 6) AS c{k}" for k, (a, b) in enumerate(_PAIRS)) + " FROM used GROUP BY station_id HAVING count(*) >= 50")
+@query("SELECT u.station_id, n, " + ", ".join(f"round(a{i}{j}{' - 1e-6' * (i == j)}, 6) AS c{k}" for k, (i, j) in enumerate(_PLACES)) + " FROM spread_ JOIN (SELECT station_id, count(*) AS n FROM used GROUP BY ALL) u USING (station_id)")
 def mahalanobis_covariance(t: Tables) -> DataFrame:
     found = mahalanobis.covariance(t.departures)
-    return found.select("station_id", "n", *[F.round(F.col("cov")[k], 6).alias(f"c{k}") for k in range(len(_PAIRS))])
+    return found.select("station_id", "n", *[F.round(F.col("cov")[k], 6).alias(f"c{k}") for k in range(len(_PLACES))])
 
 
-@query()
+_NAMES = ", ".join(f"'{x}'" for x in mahalanobis.FEATURES)
+
+
+@query(f"SELECT station_id, seq, round(d2, 5) AS d2, [{_NAMES}][list_position(parts, list_max(parts))] AS top_feature, far AS flagged FROM far_")
 def mahalanobis_check(t: Tables) -> DataFrame:
-    found = mahalanobis.distances(t.departures, mahalanobis.fit(t.departures))
-    return rounded(found.filter("d2 IS NOT NULL").select("station_id", "seq", "d2", "top_feature", (F.col("d2") > F.col("threshold")).alias("flagged")), "d2")
+    found = mahalanobis.distances(t.departures, stored(mahalanobis.fit(t.departures)))
+    return rounded(found.filter("d2 IS NOT NULL").select("station_id", "seq", "d2", "top_feature", (F.col("d2") > F.col("threshold")).alias("flagged")), "d2", digits=5)
 
 
 @query()
 def iforest_check(t: Tables) -> DataFrame:
     rows = mahalanobis.rates(t.plain)
-    return forest.score(rows, forest.fit(rows)).withColumn("flagged", F.col("iforest_score") < F.col("iforest_threshold"))
+    return forest.score(rows, stored(forest.fit(rows))).withColumn("flagged", F.col("iforest_score") < F.col("iforest_threshold"))
 
 
 # Fusion.
@@ -341,7 +367,7 @@ def confidence_by_station(t: Tables) -> DataFrame:
 
 @query("SELECT station_id, seq, move_t, move_p, move_h FROM per_reading")
 def movement(t: Tables) -> DataFrame:
-    return t.plain.select("station_id", "seq", *[fusion.moves(c).alias(f"move_{c[0]}") for c in CHANNELS])
+    return t.features.select("station_id", "seq", *[fusion.moves(c).alias(f"move_{c[0]}") for c in CHANNELS])
 
 
 @query("SELECT station_id, seq, channel FROM marked WHERE quiet")
@@ -360,13 +386,35 @@ def flagged_channels(t: Tables) -> DataFrame:
     return t.judged.select("station_id", "seq", F.explode_outer("flagged_channels").alias("channel")).filter("channel IS NOT NULL")
 
 
+@query()
+def fuse_full(t: Tables) -> DataFrame:
+    """With all layers, the isolation forest too."""
+    models = replace(t.models, forest=stored(forest.fit(mahalanobis.rates(t.plain))))
+    return engine.judge(t.readings, t.stations, models).select("station_id", "seq", "verdict", "confidence", "rule")
+
+
+@query("SELECT v.station_id, v.seq, round(d2, 3) AS distance2, round(threshold, 3) AS threshold, far AS flagged, [" + _NAMES + "][list_position(list_transform(parts, lambda x: abs(x)), list_max(list_transform(parts, lambda x: abs(x))))] AS first_feature, round(list_sum(parts), 3) AS total FROM (SELECT station_id, max(seq) AS seq FROM readings WHERE station_id = 'S3' GROUP BY ALL) v JOIN far_ USING (station_id, seq)")
+def explain_latest(t: Tables) -> DataFrame:
+    found = mahalanobis.explain_latest(t.departures, t.models.distance, "S3").filter("available")
+    total = F.round(F.aggregate("contributions", F.lit(0.0), lambda a, x: a + x["value"]), 3)
+    return found.select("station_id", "seq", F.round("distance2", 3).alias("distance2"), F.round("distance_threshold", 3).alias("threshold"), F.col("far").alias("flagged"), F.col("contributions")[0]["feature"].alias("first_feature"), total.alias("total"))
+
+
 # Imputation.
 
-_IMPUTED = """
+_TRUSTED = """
 , trusted AS (SELECT station_id, seq, channel, ts, us, value, verdict, pointed_at, value IS NULL OR (verdict = 'FAULT' AND pointed_at) AS needed,
   last_value(CASE WHEN value IS NOT NULL AND NOT (verdict = 'FAULT' AND pointed_at) THEN {'us': us, 'ts': ts, 'v': value} END IGNORE NULLS) OVER (PARTITION BY station_id, channel ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_ FROM judged),
-aged AS (SELECT *, (us - last_.us) / 6e7 AS age, last_.ts AS then_ FROM trusted WHERE needed AND last_ IS NOT NULL AND last_.us < us AND us - last_.us <= 180 * 6e7),
-centres AS (SELECT *, date_trunc('hour', ts) + INTERVAL 30 MINUTE AS c1, date_trunc('hour', then_) + INTERVAL 30 MINUTE AS c2 FROM aged),
+aged AS (SELECT *, (us - last_.us) / 6e7 AS age, last_.ts AS then_ FROM trusted WHERE needed AND last_ IS NOT NULL AND last_.us < us AND us - last_.us <= 180 * 6e7)
+"""
+_FILLED = """
+, spans_ AS (SELECT l.station_id, l.seq, l.channel, l.ts, l.us, last_value(CASE WHEN value IS NOT NULL THEN {'us': l.us, 'ts': l.ts, 'v': value} END IGNORE NULLS) OVER (PARTITION BY l.station_id, l.channel ORDER BY l.seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_,
+  lead(l.us) OVER (PARTITION BY l.station_id, l.channel ORDER BY l.seq) - l.us AS gap FROM long_ l),
+missing_ AS (SELECT *, unnest(range(1, least(10, CAST(round_even(gap / 6e7 / 30, 0) AS INTEGER) - 1) + 1)) AS k FROM spans_ WHERE gap > 90 * 6e7),
+aged AS (SELECT station_id, seq, channel, ts + k * INTERVAL 30 MINUTE AS ts, us + k * 1800000000 AS us, last_, (us + k * 1800000000 - last_.us) / 6e7 AS age, last_.ts AS then_ FROM missing_ WHERE last_ IS NOT NULL AND us + k * 1800000000 - last_.us <= 180 * 6e7)
+"""
+_ESTIMATES = """
+, centres AS (SELECT *, date_trunc('hour', ts) + INTERVAL 30 MINUTE AS c1, date_trunc('hour', then_) + INTERVAL 30 MINUTE AS c2 FROM aged),
 around AS (SELECT *, ts + CASE WHEN ts >= c1 THEN INTERVAL 1 HOUR ELSE INTERVAL (-1) HOUR END AS o1, then_ + CASE WHEN then_ >= c2 THEN INTERVAL 1 HOUR ELSE INTERVAL (-1) HOUR END AS o2, abs(epoch_us(ts) - epoch_us(c1)) / 3.6e9 AS w1, abs(epoch_us(then_) - epoch_us(c2)) / 3.6e9 AS w2 FROM centres),
 cells4 AS (SELECT x.*, CASE WHEN b.mean IS NULL THEN a.mean ELSE (1 - w1) * a.mean + w1 * b.mean END AS mean1, CASE WHEN b.mean IS NULL THEN a.std ELSE (1 - w1) * a.std + w1 * b.std END AS std1, CASE WHEN d.mean IS NULL THEN c.mean ELSE (1 - w2) * c.mean + w2 * d.mean END AS mean2 FROM around x
   LEFT JOIN cells a ON a.station_id = x.station_id AND a.channel = x.channel AND a.month = month(ts) AND a.hour = hour(ts) LEFT JOIN cells b ON b.station_id = x.station_id AND b.channel = x.channel AND b.month = month(o1) AND b.hour = hour(o1)
@@ -376,7 +424,7 @@ imputed AS (SELECT *, CASE WHEN known THEN mean1 + rho * (last_.v - mean2) ELSE
 """
 
 
-@query(_IMPUTED + "SELECT station_id, seq, channel, round_even(estimate, 4) AS value, round_even(estimate - 1.96::DOUBLE * spread, 4) AS lower, round_even(estimate + 1.96::DOUBLE * spread, 4) AS upper, CASE WHEN known THEN 'normal' ELSE 'last' END AS method FROM imputed")
+@query(_TRUSTED + _ESTIMATES + "SELECT station_id, seq, channel, round_even(estimate, 4) AS value, round_even(estimate - 1.96::DOUBLE * spread, 4) AS lower, round_even(estimate + 1.96::DOUBLE * spread, 4) AS upper, CASE WHEN known THEN 'normal' ELSE 'last' END AS method FROM imputed")
 def impute_band(t: Tables) -> DataFrame:
     rows = imputation.impute(t.judged, t.cells).select("station_id", "seq", F.explode("imputation").alias("channel", "x"))
     return rows.select("station_id", "seq", "channel", "x.value", "x.lower", "x.upper", "x.method")
@@ -397,7 +445,7 @@ def gap_fill_times(t: Tables) -> DataFrame:
     return imputation.gap_times(t.readings, t.stations).groupBy("station_id").agg(F.count("*").alias("n"), F.sum("at_us").alias("times"))
 
 
-@query()
+@query(_FILLED + _ESTIMATES + "SELECT station_id, ts, channel, round_even(estimate, 4) AS value, round_even(estimate - 1.96::DOUBLE * spread, 4) AS lower, round_even(estimate + 1.96::DOUBLE * spread, 4) AS upper, round_even(age, 2) AS age_minutes, CASE WHEN known THEN 'normal' ELSE 'last' END AS method FROM imputed")
 def gap_fill(t: Tables) -> DataFrame:
     return imputation.fill_gaps(t.readings, t.stations, t.cells)
 
@@ -415,43 +463,56 @@ def usable_days(t: Tables) -> DataFrame:
     return dated(rounded(t.days, "mean"), "day")
 
 
-@query("SELECT station_id, channel, CAST(eval_day AS VARCHAR) AS day, n, round(slope, 6) AS drift_per_day, round(z, 4) AS drift_z, round(4 * se, 6) AS drift_floor_per_day, round(offset_now, 4) AS offset_now FROM tested")
+@query("SELECT station_id, channel, CAST(eval_day AS VARCHAR) AS day, n, round(slope, 6) AS drift_per_day, round(z, 4) AS drift_z, round(4 * se, 6) AS drift_floor_per_day, round(offset_now, 4) AS offset_now FROM tested JOIN last_day USING (station_id, eval_day)")
 def drift_test(t: Tables) -> DataFrame:
     out = t.drift(False).filter("drift_per_day IS NOT NULL").select("station_id", "channel", F.col("at").cast("string").alias("day"), F.col("n").cast("long").alias("n"), "drift_per_day", "drift_z", "drift_floor_per_day", "offset_now")
     return rounded(rounded(out, "drift_per_day", "drift_floor_per_day"), "drift_z", "offset_now", digits=4)
 
 
-@query("SELECT station_id, channel, CAST(eval_day AS VARCHAR) AS day, significant AS drift_significant, round(z, 4) AS drift_z FROM isolated", at="every")
+@query("SELECT station_id, channel, CAST(eval_day AS VARCHAR) AS day, significant AS drift_significant, round(z, 4) AS drift_z FROM isolated")
 def drift_isolated(t: Tables) -> DataFrame:
     out = health.isolated(t.drift(True)).filter("drift_z IS NOT NULL").select("station_id", "channel", F.col("at").cast("string").alias("day"), "drift_significant", "drift_z")
     return rounded(out, "drift_z", digits=4)
 
 
-@query("""
-SELECT station_id, channel, CAST(eval_day AS VARCHAR) AS day, coalesce(sum(CASE WHEN significant AND slope > 0 THEN 1 ELSE 0 END) OVER w = 7 OR sum(CASE WHEN significant AND slope < 0 THEN 1 ELSE 0 END) OVER w = 7, FALSE) AS drift_significant FROM isolated
-WINDOW w AS (PARTITION BY station_id, channel ORDER BY datediff('day', DATE '1970-01-01', eval_day) RANGE BETWEEN 6 PRECEDING AND CURRENT ROW)
-""", at="every")
+@query("SELECT station_id, channel, CAST(eval_day AS VARCHAR) AS day, drifts AS drift_significant FROM persistent")
 def drift_persistent(t: Tables) -> DataFrame:
     found = health.persistent(health.isolated(t.drift(True)).filter("drift_z IS NOT NULL"))
     return found.select("station_id", "channel", F.col("at").cast("string").alias("day"), "drift_significant")
 
 
-@query("SELECT station_id, channel, records, round(fault_fraction, 6) AS fault_fraction, round(suspect_fraction, 6) AS suspect_fraction, score FROM scored")
+@query("""
+, daily AS (SELECT station_id, eval_day, count(*) AS n, count(*) FILTER (drifts) AS claims FROM persistent GROUP BY ALL)
+SELECT station_id, CAST(sum(n) AS BIGINT) AS channel_days, CAST(sum(claims) AS BIGINT) AS significant, count(*) AS days, count(*) FILTER (claims > 0) AS days_with_significant FROM daily GROUP BY station_id
+""")
+def drift_claims(t: Tables) -> DataFrame:
+    return studies.false_claims(health.persistent(health.isolated(t.drift(True)).filter("drift_z IS NOT NULL")))
+
+
+@query()
+def drift_power(t: Tables) -> DataFrame:
+    """A month of readings: the ramp begins on the eighth day."""
+    return rounded(studies.drift_power(t.plain.withColumn("chunk", F.lit(0)), t.stations, start_day=8, ramp_days=8, least_days=20), "mean_offset_ratio")
+
+
+@query("SELECT station_id, channel, records, round(fault_fraction, 6) AS fault_fraction, round(suspect_fraction, 6) AS suspect_fraction, coalesce(drifts, FALSE) AS drift_significant, CAST(service_date AS VARCHAR) AS service_date, score FROM scored")
 def health_score(t: Tables) -> DataFrame:
-    return rounded(health.scores(t.judged).select("station_id", "channel", "records", "fault_fraction", "suspect_fraction", "score"), "fault_fraction", "suspect_fraction")
+    found = health.scores(t.judged, t.last_drift).withColumn("drift_significant", F.coalesce("drift_significant", F.lit(False)))
+    return dated(rounded(found.select("station_id", "channel", "records", "fault_fraction", "suspect_fraction", "drift_significant", "service_date", "score"), "fault_fraction", "suspect_fraction"), "service_date")
 
 
-@query("SELECT station_id, now, records, score, ticket, channels FROM reports")
+@query("SELECT station_id, now, records, score, CAST(service_date AS VARCHAR) AS service_date, ticket, channels FROM reports")
 def ticket(t: Tables) -> DataFrame:
-    return t.reports.drop("service_date")
+    return dated(t.reports, "service_date")
 
 
-@query()
+@query("""
+, hourly_ AS (SELECT station_id, min(seq) AS seq, arg_min(us, seq) AS us FROM readings GROUP BY station_id
+  UNION ALL SELECT i.station_id, min(r.seq), arg_min(r.us, r.seq) FROM hourly_ i JOIN readings r ON r.station_id = i.station_id AND r.seq > i.seq AND (r.us >= i.us + 3600000000 OR r.us < i.us) GROUP BY i.station_id)
+SELECT station_id, count(*) AS n FROM hourly_ GROUP BY station_id
+""")
 def health_instants(t: Tables) -> DataFrame:
-    from dataclasses import replace
-
-    hourly = replace(DEFAULT, timing=replace(DEFAULT.timing, every_hours=DEFAULT.health.every / 60))
-    return clock.instants(t.readings, hourly).groupBy("station_id").agg(F.count("*").alias("n"))
+    return clock.instants(t.readings, every_hours=DEFAULT.health.every / 60).groupBy("station_id").agg(F.count("*").alias("n"))
 
 
 # Serving.
@@ -488,11 +549,11 @@ def retention(t: Tables) -> DataFrame:
 
 
 @query("""
-SELECT v.station_id, v.verdict, v.ts, a.alerts, r.score, r.ticket, CASE v.verdict WHEN 'FAULT' THEN 0 WHEN 'SUSPECT' THEN 1 WHEN 'WEATHER' THEN 2 ELSE 3 END AS urgency
+SELECT v.station_id, v.verdict, v.ts, a.alerts, r.score, CAST(r.service_date AS VARCHAR) AS service_date, r.ticket, CASE v.verdict WHEN 'FAULT' THEN 0 WHEN 'SUSPECT' THEN 1 WHEN 'WEATHER' THEN 2 ELSE 3 END AS urgency
 FROM (SELECT station_id, arg_max(verdict, seq) AS verdict, arg_max(ts, seq) AS ts FROM verdicts GROUP BY station_id) v JOIN (SELECT station_id, least(200, count(*) FILTER (verdict <> 'VALID')) AS alerts FROM verdicts GROUP BY station_id) a USING (station_id) LEFT JOIN reports r USING (station_id)
 """)
 def fleet(t: Tables) -> DataFrame:
-    return serving.fleet(t.judged, t.reports, t.stations).drop("service_date")
+    return dated(serving.fleet(t.judged, t.reports, t.stations), "service_date")
 
 
 # Cold start and peers.
@@ -579,8 +640,6 @@ def peer_limit(t: Tables) -> DataFrame:
 
 def _sparse_peers():
     """The adapter's stations lie far apart and report less than hourly, so fewer hours of a week have a value."""
-    from dataclasses import replace
-
     return replace(DEFAULT, peers=replace(DEFAULT.peers, radius_km=1000.0, fraction=10 / 168, min_windows=50))
 
 
@@ -617,7 +676,14 @@ def event_sharp(t: Tables) -> DataFrame:
     return rounded(evaluation.sharp(_gridded(t)), "score")
 
 
-@query()
+@query("""
+, low AS (SELECT station_id, ts, base - pressure_hpa AS score, row_number() OVER (PARTITION BY station_id ORDER BY base - pressure_hpa DESC, ts) AS k FROM (
+  SELECT *, quantile_cont(pressure_hpa, 0.5) OVER w AS base, count(*) OVER w AS held FROM readings WHERE pressure_hpa IS NOT NULL WINDOW w AS (PARTITION BY station_id ORDER BY us RANGE BETWEEN 2591999999999 PRECEDING AND CURRENT ROW)) WHERE held >= 20 AND pressure_hpa - base <= -10),
+picked AS (SELECT station_id, k, ts, score, [ts] AS chosen FROM low WHERE k = 1
+  UNION ALL SELECT p.station_id, l.k, l.ts, l.score, list_append(p.chosen, l.ts) FROM picked p JOIN LATERAL (
+    SELECT * FROM low l WHERE l.station_id = p.station_id AND l.k > p.k AND len(list_filter(p.chosen, lambda c: abs(epoch_us(c) - epoch_us(l.ts)) <= 3 * 86400000000)) = 0 ORDER BY l.k LIMIT 1) l ON TRUE WHERE len(p.chosen) < 8)
+SELECT station_id, ts, score FROM picked
+""")
 def greedy_separation(t: Tables) -> DataFrame:
     return evaluation.separated(evaluation.low_pressure(t.readings), evaluation.APART["low"], evaluation.MOST["low"])
 
@@ -706,7 +772,7 @@ SELECT station_id, seq, verdict, CASE WHEN bool_or(range_flag) THEN 'FAULT' ELSE
 """)
 def baselines(t: Tables) -> DataFrame:
     names = ["baseline_range", "baseline_persistence", "baseline_rules", "baseline_climatology"]
-    return evaluation.baselines(t.judged).select("station_id", "seq", "verdict", *names)
+    return evaluation.baselines(t.features).join(t.judged.select("station_id", "seq", "verdict"), ["station_id", "seq"]).select("station_id", "seq", "verdict", *names)
 
 
 @query("SELECT m.station_id, m.seq, m.temperature_c AS a, m.temperature_c + 1 AS b FROM readings m WHERE seq % 7 = 0 AND temperature_c IS NOT NULL")
@@ -716,6 +782,81 @@ def run_difference(t: Tables) -> DataFrame:
     return evaluation.difference(a, b, ["station_id", "seq"], "temperature_c")
 
 
+# Systems side by side.
+
+_SYSTEMS = _WINDOWS + """
+, placed_ AS (SELECT r.station_id, r.seq, max(s.window_) AS event, any_value(r.qc_flag) AS qc_flag FROM readings r LEFT JOIN spans s ON s.station_id = r.station_id AND r.ts BETWEEN s.start_ AND s.end_ GROUP BY r.station_id, r.seq),
+simple AS (SELECT station_id, seq, CASE WHEN bool_or(range_flag) THEN 'FAULT' ELSE 'VALID' END AS r, CASE WHEN bool_or(range_flag OR frozen_flag OR plain_step OR value IS NULL) THEN 'FAULT' ELSE 'VALID' END AS b, CASE WHEN bool_or(normality_flag) THEN 'FAULT' ELSE 'VALID' END AS c FROM marked GROUP BY ALL),
+systems AS (SELECT p.*, x.system, x.verdict FROM placed_ p JOIN (
+  SELECT 'full' AS system, station_id, seq, verdict FROM verdicts UNION ALL SELECT 'range', station_id, seq, r FROM simple UNION ALL SELECT 'rules', station_id, seq, b FROM simple UNION ALL SELECT 'climatology', station_id, seq, c FROM simple) x USING (station_id, seq)),
+counted AS (SELECT system, count(*) FILTER (event IS NULL) AS clean_n, count(*) FILTER (event IS NULL AND verdict IN ('FAULT', 'SUSPECT')) AS clean_alarm, count(*) FILTER (event IS NULL AND verdict = 'FAULT') AS clean_fault, count(*) FILTER (event IS NOT NULL) AS event_n, count(*) FILTER (event IS NOT NULL AND verdict = 'FAULT') AS event_fault,
+  count(*) FILTER (event IS NOT NULL AND verdict = 'SUSPECT') AS event_suspect, count(*) FILTER (event IS NOT NULL AND verdict = 'WEATHER') AS event_weather, count(DISTINCT {'s': station_id, 'e': event}) FILTER (event IS NOT NULL) AS windows, count(DISTINCT {'s': station_id, 'e': event}) FILTER (event IS NOT NULL AND verdict = 'FAULT') AS windows_with_fault FROM systems GROUP BY system),
+kinds_ AS (SELECT system, CASE qc_flag WHEN 1 THEN 'suspect' ELSE 'erroneous' END AS fault_type, count(*) AS injected, count(*) FILTER (verdict IN ('FAULT', 'SUSPECT')) AS detected_new FROM systems WHERE qc_flag > 0 GROUP BY ALL)
+"""
+
+
+def _systems(t: Tables) -> DataFrame:
+    """system, station_id, seq, verdict, qc_flag and event (of a hot spell, else null)."""
+    spans = _spans(t).withColumnRenamed("window", "event")
+    inside = evaluation.inside(t.judged.select("station_id", "seq", "ts"), spans, 0.0).groupBy("station_id", "seq").agg(F.max("event").alias("event"))
+    simple = evaluation.baselines(t.features).select("station_id", "seq", "qc_flag", F.col("baseline_range").alias("range"), F.col("baseline_rules").alias("rules"), F.col("baseline_climatology").alias("climatology"))
+    rows = simple.join(t.judged.select("station_id", "seq", F.col("verdict").alias("full")), ["station_id", "seq"]).join(inside, ["station_id", "seq"], "left")
+    return rows.unpivot(["station_id", "seq", "qc_flag", "event"], ["full", "range", "rules", "climatology"], "system", "verdict")
+
+
+def _kinds(rows: DataFrame) -> DataFrame:
+    """What the source's own flags mark stands for injected faults."""
+    found = rows.filter("qc_flag > 0").groupBy("system", F.when(F.col("qc_flag") == 1, "suspect").otherwise("erroneous").alias("fault_type"))
+    return found.agg(F.count("*").alias("injected"), F.count_if(F.col("verdict").isin(*evaluation.ALARM)).alias("detected_new"))
+
+
+@query(_SYSTEMS + "SELECT * FROM counted")
+def system_counts(t: Tables) -> DataFrame:
+    return studies.by_system(_systems(t))
+
+
+@query(_SYSTEMS + """
+, change AS (SELECT k.system, k.fault_type, 100 * (k.detected_new - f.detected_new) / f.injected AS change FROM kinds_ k JOIN kinds_ f ON f.system = 'full' AND f.fault_type = k.fault_type),
+worst AS (SELECT system, least(0, min(change)) AS worst_change, CASE WHEN min(change) < 0 THEN arg_min(fault_type, {'a': change, 'b': fault_type}) END AS worst_type FROM change GROUP BY system)
+SELECT c.system, round(worst_change, 6) AS worst_change, worst_type, 0.0::DOUBLE AS level_shift_gain, round(100 * (c.clean_alarm / c.clean_n - f.clean_alarm / f.clean_n), 6) AS clean_rise, round(100 * (coalesce(c.event_suspect / nullif(c.event_n, 0), 0) - coalesce(f.event_suspect / nullif(f.event_n, 0), 0)), 6) AS suspect_rise,
+  c.windows_with_fault <= f.windows_with_fault AND coalesce(c.event_fault / nullif(c.event_n, 0), 0) <= coalesce(f.event_fault / nullif(f.event_n, 0), 0) AND worst_change >= -2 AND c.clean_alarm / c.clean_n - f.clean_alarm / f.clean_n <= 0.002 AS adopt
+FROM counted c JOIN counted f ON f.system = 'full' AND c.system <> 'full' JOIN worst w ON w.system = c.system
+""")
+def decision_rules(t: Tables) -> DataFrame:
+    rows = stored(_systems(t))
+    return rounded(studies.decisions(studies.by_system(rows), _kinds(rows)), "worst_change", "level_shift_gain", "clean_rise", "suspect_rise")
+
+
+@query(_SYSTEMS + """
+SELECT c.system, arg_min(fault_type, {'a': 100 * detected_new / injected, 'b': fault_type}) AS weakest_type, round(min(100 * detected_new / injected), 6) AS weakest_percent, round(any_value(100 * clean_alarm / clean_n), 6) AS clean_alarm_percent, any_value(windows_with_fault) AS windows_with_fault, any_value(windows) AS windows FROM counted c JOIN kinds_ USING (system) GROUP BY c.system
+""")
+def tradeoff(t: Tables) -> DataFrame:
+    rows = stored(_systems(t))
+    return rounded(studies.tradeoff(studies.by_system(rows), _kinds(rows)), "weakest_percent", "clean_alarm_percent")
+
+
+@query(_SYSTEMS + """
+SELECT station_id, round(100 * count(*) FILTER (event IS NULL AND verdict IN ('FAULT', 'SUSPECT')) / count(*) FILTER (event IS NULL), 6) AS clean_alarm, round(100 * count(*) FILTER (event IS NULL AND verdict = 'FAULT') / count(*) FILTER (event IS NULL), 6) AS clean_fault,
+  round(100 * count(*) FILTER (event IS NOT NULL AND verdict = 'FAULT') / nullif(count(*) FILTER (event IS NOT NULL), 0), 6) AS event_fault, round(100 * count(*) FILTER (event IS NOT NULL AND verdict = 'WEATHER') / nullif(count(*) FILTER (event IS NOT NULL), 0), 6) AS event_weather,
+  count(DISTINCT event) AS windows, count(DISTINCT event) FILTER (verdict = 'FAULT') AS windows_with_fault, 30.0::DOUBLE AS cadence_minutes FROM systems WHERE system = 'full' GROUP BY station_id
+""")
+def station_table(t: Tables) -> DataFrame:
+    return rounded(studies.by_station(_systems(t).filter("system = 'full'"), t.stations), "clean_alarm", "clean_fault", "event_fault", "event_weather")
+
+
+@query(_WINDOWS + """
+SELECT v.station_id, CAST(s.window_ AS BIGINT) AS event, v.seq, l.kind || coalesce(':' || l.channel, '') AS check_name, l.severity FROM verdicts v JOIN spans s ON s.station_id = v.station_id AND v.ts BETWEEN s.start_ AND s.end_ JOIN listed l ON l.station_id = v.station_id AND l.seq = v.seq WHERE verdict = 'FAULT'
+""")
+def window_forensics(t: Tables) -> DataFrame:
+    rows = evaluation.inside(t.judged, _spans(t).withColumnRenamed("window", "event"))
+    return studies.forensics(rows).select("station_id", "event", "seq", F.col("check").alias("check_name"), "severity")
+
+
+@query()
+def distance_baseline(t: Tables) -> DataFrame:
+    return studies.raw_distance(t.plain).groupBy("station_id", "baseline_distance").agg(F.count("*").alias("n"))
+
+
 # Injection.
 
 
@@ -726,29 +867,35 @@ def _plan(t: Tables) -> DataFrame:
     return t.stations.select("station_id", F.explode(rows).alias("x")).select("station_id", "x.*", F.lit(1.0).alias("sign"))
 
 
-@query("""
-, numbered AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY seq) - 1 AS idx FROM readings), held AS (SELECT station_id, temperature_c AS hold FROM numbered WHERE idx = 9)
-SELECT n.station_id, idx, CASE WHEN idx BETWEEN 10 AND 17 THEN hold WHEN idx BETWEEN 55 AND 66 THEN temperature_c + 5.0::DOUBLE * (idx - 54) / 12 ELSE temperature_c END AS temperature_c, CASE WHEN idx = 30 THEN pressure_hpa + 15 WHEN idx = 75 THEN NULL ELSE pressure_hpa END AS pressure_hpa,
-  CASE WHEN idx IN (45, 46) THEN humidity_pct + 45 ELSE humidity_pct END AS humidity_pct, CASE WHEN idx BETWEEN 10 AND 17 THEN 'frozen' WHEN idx = 30 THEN 'spike' WHEN idx IN (45, 46) THEN 'step' WHEN idx BETWEEN 55 AND 66 THEN 'drift' WHEN idx = 75 THEN 'dropout' END AS fault_type
-FROM numbered n LEFT JOIN held h USING (station_id)
-""")
+_FAULTED = """
+  SELECT n.station_id, n.seq, n.ts, n.us, n.idx, CASE WHEN idx BETWEEN 10 AND 17 THEN hold WHEN idx BETWEEN 55 AND 66 THEN temperature_c + 5.0::DOUBLE * (idx - 54) / 12 ELSE temperature_c END AS temperature_c, CASE WHEN idx = 30 THEN pressure_hpa + 15 WHEN idx = 75 THEN NULL ELSE pressure_hpa END AS pressure_hpa,
+  CASE WHEN idx IN (45, 46) THEN humidity_pct + 45 ELSE humidity_pct END AS humidity_pct, CASE WHEN idx BETWEEN 10 AND 17 THEN 'frozen' WHEN idx = 30 THEN 'spike' WHEN idx IN (45, 46) THEN 'step' WHEN idx BETWEEN 55 AND 66 THEN 'drift' WHEN idx = 75 THEN 'dropout' END AS fault_type, n.qc_flag
+FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY seq) - 1 AS idx FROM readings) n LEFT JOIN (SELECT station_id, temperature_c AS hold FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY seq) - 1 AS idx FROM readings) WHERE idx = 9) h USING (station_id)
+"""
+
+
+@query("SELECT station_id, idx, temperature_c, pressure_hpa, humidity_pct, fault_type FROM (" + _FAULTED + ")")
 def inject_faults(t: Tables) -> DataFrame:
     return injection.inject(t.readings, _plan(t), CADENCE).select("station_id", "idx", *CHANNELS, "fault_type")
 
 
-@query()
+@query(oracles.judging(_FAULTED) + """
+, plan_ AS (SELECT * FROM (VALUES (0, 'frozen', 10, 17), (1, 'spike', 30, 30), (2, 'step', 45, 46), (3, 'drift', 55, 66), (4, 'dropout', 75, 75)) p(event, fault_type, a, b)),
+hits AS (SELECT r.station_id, p.event, p.fault_type, r.idx - p.a AS place, f.verdict IN ('FAULT', 'SUSPECT') AS alarm, c.verdict IN ('FAULT', 'SUSPECT') AS was, f.verdict AS v, c.verdict AS w
+  FROM plan_ p JOIN readings_f r ON r.idx BETWEEN p.a AND p.b + 2 JOIN verdicts_f f ON f.station_id = r.station_id AND f.seq = r.seq JOIN verdicts c ON c.station_id = r.station_id AND c.seq = r.seq)
+SELECT station_id, CAST(event AS INTEGER) AS event, fault_type, bool_or(alarm) AS detected, bool_or(alarm AND NOT was) AS detected_new, CAST(min(place) FILTER (alarm) * 30 AS DOUBLE) AS delay_minutes, CAST(min(place) FILTER (alarm AND NOT was) * 30 AS DOUBLE) AS delay_new_minutes,
+  bool_or(alarm AND NOT was) AND bool_or(v = 'FAULT' AND w <> 'FAULT') AS named_fault, NOT bool_or(alarm AND NOT was) AND bool_or(v = 'WEATHER' AND w <> 'WEATHER') AS masked_as_weather FROM hits GROUP BY ALL
+""")
 def detection_paired(t: Tables) -> DataFrame:
     faulted = injection.inject(t.readings, _plan(t), CADENCE)
-    models = engine.Models(t.cells, t.limits)
-    judged = engine.judge(faulted.select("station_id", "seq", "ts", "idx", *CHANNELS), t.stations, models, cadence=CADENCE).select("station_id", "idx", "verdict")
-    clean = t.judged.withColumn("idx", F.row_number().over(features.station()) - 1).select("station_id", "idx", "verdict")
+    judged = engine.judge(faulted.select("station_id", "seq", "ts", "idx", *CHANNELS), t.stations, t.models, _NO_FOREST).select("station_id", "idx", "verdict")
+    clean = t.judged.select("station_id", (F.col("place") - 1).alias("idx"), "verdict")
     return evaluation.detection(_plan(t), judged, clean, CADENCE)
 
 
 @query()
 def make_plan(t: Tables) -> DataFrame:
-    lengths = {r["station_id"]: r["n"] for r in t.readings.groupBy("station_id").agg(F.count("*").alias("n")).orderBy("station_id").collect()}
-    return injection.make_plan(t.spark, lengths, CADENCE)
+    return injection.make_plan(t.readings.groupBy("station_id").agg(F.count("*").alias("n")), CADENCE)
 
 
 # Devices.
@@ -759,8 +906,6 @@ def make_plan(t: Tables) -> DataFrame:
 SELECT station_id, minute, count(*) AS samples, CASE WHEN count(*) FILTER (v BETWEEN -90 AND 60) >= 12 THEN round(CAST(avg(v) FILTER (v BETWEEN -90 AND 60) AS FLOAT)::DOUBLE, 3) END AS temperature_c, count(*) FILTER (v > 60) > 0 AS out_of_range FROM samples GROUP BY ALL
 """)
 def edge_minute(t: Tables) -> DataFrame:
-    from dataclasses import replace
-
     raw = t.spark.read.parquet(f"{t.sf_dir}/events.parquet")
     k = F.get_json_object("props", "$.k").cast("int")
     samples = raw.select(

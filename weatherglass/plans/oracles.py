@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 CHANNELS = ("temperature_c", "pressure_hpa", "humidity_pct")
 
 
@@ -14,8 +16,26 @@ ALLOWED = f"least({RATE} * dt1, {CAP})"
 ALLOWED2 = f"least({RATE} * dt2, {CAP})"
 PLACE = _by(1, 2, 3)
 
+
+
+def _factors() -> str:
+    """The factors of a symmetric 6 x 6 matrix a = L D L': l<i><j> and d<j>, each from those before it."""
+    out = []
+    for j in range(6):
+        out.append(" - ".join([f"a{j}{j}", *(f"l{j}{k} * l{j}{k} * d{k}" for k in range(j))]) + f" AS d{j}")
+        for i in range(j + 1, 6):
+            out.append("(" + " - ".join([f"a{i}{j}", *(f"l{i}{k} * l{j}{k} * d{k}" for k in range(j))]) + f") / d{j} AS l{i}{j}")
+    return ", ".join(out)
+
+
+def _solved() -> str:
+    """r = a^-1 q by substitution forwards (y) and backwards (r)."""
+    out = [" - ".join([f"q{i}", *(f"l{i}{k} * y{k}" for k in range(i))]) + f" AS y{i}" for i in range(6)]
+    return ", ".join(out + [" - ".join([f"y{i} / d{i}", *(f"l{k}{i} * r{k}" for k in range(i + 1, 6))]) + f" AS r{i}" for i in range(5, -1, -1)])
+
+
 TABLES = f"""
-WITH base_ AS (
+WITH RECURSIVE base_ AS (
   SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events
 ), readings AS (
   SELECT 'S' || CAST(user_id % 10 AS VARCHAR) AS station_id, event_id AS seq, ts, epoch_us(ts) AS us,
@@ -26,6 +46,11 @@ WITH base_ AS (
   FROM base_
 ), stations AS (
   SELECT 'S' || CAST(i AS VARCHAR) AS station_id, 10 + 1.5::DOUBLE * i AS lat, 70 + (i * 7) % 10 * 0.8::DOUBLE AS lon, 'Z' || CAST(i % 3 AS VARCHAR) AS climate_zone, 30.0::DOUBLE AS cadence_minutes FROM range(10) r(i)
+), instants AS (
+  -- One reading whenever three hours of data time have gone by since the last one, or time has gone back behind it.
+  SELECT station_id, min(seq) AS seq, arg_min(us, seq) AS us FROM readings GROUP BY station_id
+  UNION ALL
+  SELECT i.station_id, min(r.seq), arg_min(r.us, r.seq) FROM instants i JOIN readings r ON r.station_id = i.station_id AND r.seq > i.seq AND (r.us >= i.us + 10800000000 OR r.us < i.us) GROUP BY i.station_id
 ), long_ AS (
   SELECT station_id, seq, ts, us, 'temperature_c' AS channel, temperature_c AS value, temperature_c AS t, humidity_pct AS h FROM readings
   UNION ALL SELECT station_id, seq, ts, us, 'pressure_hpa', pressure_hpa, temperature_c, humidity_pct FROM readings
@@ -36,10 +61,18 @@ WITH base_ AS (
 ), joined AS (
   SELECT l.*, c.mean AS e, greatest(c.std, {MIN_STD.replace('channel', 'l.channel')}) AS s FROM long_ l
   LEFT JOIN cells c ON c.station_id = l.station_id AND c.channel = l.channel AND c.month = month(l.ts) AND c.hour = hour(l.ts)
+), corners AS (
+  SELECT l.station_id, l.seq, l.channel, l.ts, l.value, (day(l.ts) - 0.5::DOUBLE + hour(l.ts) / 24.0::DOUBLE) / day(last_day(l.ts)) AS pos, minute(l.ts) / 60.0::DOUBLE AS wh, month(l.ts) AS m, hour(l.ts) AS h FROM long_ l
+), weighted AS (
+  SELECT station_id, seq, channel, (CASE WHEN b.late THEN CASE WHEN pos >= 0.5 THEN m % 12 + 1 ELSE m END ELSE CASE WHEN pos >= 0.5 THEN m ELSE (m + 10) % 12 + 1 END END) AS month,
+    (CASE WHEN d.next THEN (h + 1) % 24 ELSE h END) AS hour,
+    (CASE WHEN b.late THEN CASE WHEN pos >= 0.5 THEN pos - 0.5 ELSE pos + 0.5 END ELSE 1 - CASE WHEN pos >= 0.5 THEN pos - 0.5 ELSE pos + 0.5 END END) * (CASE WHEN d.next THEN wh ELSE 1 - wh END) AS w
+  FROM corners, (VALUES (FALSE), (TRUE)) b(late), (VALUES (FALSE), (TRUE)) d(next)
+), smooth AS (
+  SELECT w.station_id, w.seq, w.channel, sum(w.w * c.mean) / nullif(sum(w.w), 0) AS smooth FROM weighted w JOIN cells c ON c.station_id = w.station_id AND c.channel = w.channel AND c.month = w.month AND c.hour = w.hour GROUP BY ALL
 ), feat_ AS (
   SELECT *, CASE WHEN e IS NULL THEN NULL ELSE s END AS sg, (value - e) / s AS z,
-    lag(value) OVER w AS v1, lag(value, 2) OVER w AS v2, lag(e) OVER w AS e1, lag(us) OVER w AS us1, lag(us, 2) OVER w AS us2, row_number() OVER w AS place,
-    list({{'us': us, 'v': value, 'e': e, 's': s, 't': t, 'h': h}}) OVER (PARTITION BY station_id, channel ORDER BY seq ROWS BETWEEN 20 PRECEDING AND CURRENT ROW) AS hist
+    lag(value) OVER w AS v1, lag(value, 2) OVER w AS v2, lag(e) OVER w AS e1, lag(us) OVER w AS us1, lag(us, 2) OVER w AS us2, row_number() OVER w AS place
   FROM joined WINDOW w AS (PARTITION BY station_id, channel ORDER BY seq)
 ), feat AS (
   SELECT *, (us - us1) / 6e7 AS dt1, (us1 - us2) / 6e7 AS dt2 FROM feat_
@@ -49,8 +82,8 @@ WITH base_ AS (
 ), runs AS (
   SELECT station_id, channel, min(us) AS start_us, count(*) AS n, (max(us) - min(us)) / 6e7 AS minutes FROM runs_ WHERE value IS NOT NULL GROUP BY station_id, channel, run HAVING count(*) >= 2
 ), jitter_ AS (
-  SELECT *, list_transform(list_filter(hist64, lambda x: x.us >= us - 180 * 6e7), lambda x: x.v) AS vals FROM (
-    SELECT *, list({{'us': us, 'v': value}}) OVER (PARTITION BY station_id, channel ORDER BY seq ROWS BETWEEN 63 PRECEDING AND CURRENT ROW) AS hist64 FROM feat)
+  SELECT *, list_transform(window_, lambda x: x.v) AS vals FROM (
+    SELECT *, list({{'v': value}}) OVER (PARTITION BY station_id, channel ORDER BY us RANGE BETWEEN 10800000000 PRECEDING AND CURRENT ROW) AS window_ FROM feat)
 ), jitter AS (
   SELECT station_id, channel, seq, sqrt(list_sum(list_transform(range(1, len(vals) - 1), lambda i: pow(vals[i + 2] - 2 * vals[i + 1] + vals[i], 2))) / (len(vals) - 2) / 6.0) AS jitter
   FROM jitter_ WHERE len(vals) >= 7 AND len(list_filter(vals, lambda v: v IS NULL)) = 0
@@ -66,10 +99,16 @@ WITH base_ AS (
   LEFT JOIN (SELECT station_id, channel, CASE WHEN count(*) >= 200 THEN quantile_cont(jitter, 0.999) * 1.1 END AS noise_std FROM jitter GROUP BY ALL) b USING (station_id, channel)
   LEFT JOIN (SELECT station_id, channel, CASE WHEN count(CASE WHEN dt <= 45 THEN 1 END) >= 200 THEN quantile_cont(CASE WHEN dt <= 45 THEN change END, 0.75) END AS typical_step,
                     CASE WHEN count(*) >= 500 THEN quantile_cont(change, 0.999) * 1.1 END AS step_cap FROM steps GROUP BY ALL) c USING (station_id, channel)
+), history_rows AS (
+  -- Rows of history: the longest configured window (360 minutes), or twice the longest learned frozen window, at 30 minutes, and 9.
+  SELECT station_id, CAST(ceil(greatest(360, 2 * coalesce(max(frozen_minutes), 0)) / 30.0) AS INTEGER) + 9 AS rows_, CAST(ceil(greatest(1440, 2 * coalesce(max(frozen_minutes), 0)) / 30.0) AS INTEGER) + 9 AS clock_rows FROM limits GROUP BY station_id
+), held AS (
+  SELECT f.*, list({{'us': us, 'v': value, 'e': e, 's': s, 't': t, 'h': h}}) OVER (PARTITION BY station_id, channel ORDER BY seq ROWS BETWEEN 200 PRECEDING AND CURRENT ROW)[-rows_:] AS hist
+  FROM feat f JOIN history_rows USING (station_id)
 ), both_ AS (
   SELECT f.*, l.frozen_minutes, l.noise_std, l.typical_step, greatest({_by(60.0, 180.0, 120.0).replace('channel', 'f.channel')}, 60.0, coalesce(l.frozen_minutes, 0))::DOUBLE AS frozen_window,
     CASE WHEN f.e IS NOT NULL AND f.e1 IS NOT NULL AND abs(f.value - f.v1 - (f.e - f.e1)) < abs(f.value - f.v1) THEN f.value - f.v1 - (f.e - f.e1) ELSE f.value - f.v1 END AS judged_step
-  FROM feat f LEFT JOIN limits l USING (station_id, channel)
+  FROM held f LEFT JOIN limits l USING (station_id, channel)
 ), lists_ AS (
   SELECT *, list_filter(hist, lambda x: x.us >= us - frozen_window * 6e7) AS frozen_rows, list_filter(hist, lambda x: x.us >= us - 180 * 6e7) AS noise_rows,
     list_transform(list_filter(hist, lambda x: x.us >= us - 360 * 6e7 AND x.v IS NOT NULL AND x.e IS NOT NULL), lambda x: greatest(-4.0, least(4.0, (x.v - x.e) / x.s))) AS zs
@@ -103,6 +142,43 @@ WITH base_ AS (
   FROM measured
 ), marked AS (
   SELECT *, CASE WHEN abs(value - before_v) < {_by(1.0, 1.0, 5.0)} THEN 0 WHEN value - before_v > 0 THEN 1 WHEN value - before_v < 0 THEN -1 ELSE 0 END AS move FROM flags_
+), wide_ AS (
+  SELECT f.station_id, f.seq, max(dt1) AS dt1, {", ".join(f"max(CASE WHEN f.channel = '{c}' THEN value END) AS {c}, max(CASE WHEN f.channel = '{c}' THEN v1 END) AS {c}_1, max(CASE WHEN f.channel = '{c}' THEN smooth END) AS m_{c}" for c in CHANNELS)}
+  FROM feat f LEFT JOIN smooth s USING (station_id, seq, channel) GROUP BY f.station_id, f.seq
+), used AS (
+  SELECT station_id, seq, {", ".join(f"{c} - m_{c} AS x{k}, ({c} - {c}_1) / dt1 AS x{k + 3}" for k, c in enumerate(CHANNELS))} FROM wide_
+  WHERE dt1 > 0 AND {" AND ".join(f"{c} IS NOT NULL AND {c}_1 IS NOT NULL AND m_{c} IS NOT NULL" for c in CHANNELS)}
+), spread_ AS (
+  SELECT station_id, {", ".join(f"avg(x{i}) AS m{i}" for i in range(6))}, {", ".join(f"covar_samp(x{i}, x{j}){' + 1e-6' * (i == j)} AS a{i}{j}" for i in range(6) for j in range(i + 1))}
+  FROM used GROUP BY station_id HAVING count(*) >= 50
+), factors AS (
+  SELECT station_id, {", ".join(f"m{i}" for i in range(6))}, {_factors()} FROM spread_
+), solved AS (
+  SELECT station_id, seq, {", ".join(f"x{i} - m{i} AS q{i}" for i in range(6))}, {_solved()} FROM used JOIN factors USING (station_id)
+), distance AS (
+  SELECT station_id, seq, {" + ".join(f"q{i} * r{i}" for i in range(6))} AS d2, [{", ".join(f"q{i} * r{i}" for i in range(6))}] AS parts FROM solved
+), far_limit AS (
+  SELECT station_id, quantile_cont(d2, 0.995) AS threshold FROM distance GROUP BY station_id
+), far_ AS (
+  SELECT d.*, threshold, d2 > threshold AS far FROM distance d JOIN far_limit USING (station_id)
+), ranked AS (
+  SELECT station_id, seq, us, row_number() OVER (PARTITION BY station_id ORDER BY seq) AS place FROM readings
+), clock_hours AS (
+  SELECT i.station_id, i.seq, l.channel, l.us // 3600000000 AS hour, avg(l.value) AS mean FROM instants i JOIN ranked p USING (station_id, seq) JOIN history_rows k USING (station_id)
+  JOIN ranked r ON r.station_id = i.station_id AND r.place <= p.place AND r.place > p.place - k.clock_rows AND r.us >= i.us - 86400000000
+  JOIN long_ l ON l.station_id = r.station_id AND l.seq = r.seq AND l.channel <> 'pressure_hpa' AND l.value IS NOT NULL GROUP BY ALL
+), clock_enough AS (
+  SELECT station_id, seq FROM clock_hours GROUP BY ALL HAVING count(DISTINCT hour) >= 18
+), clock_moved AS (
+  SELECT h.*, s.shift, make_timestamp((hour + s.shift) * 3600000000) AS at_time FROM clock_hours h JOIN clock_enough USING (station_id, seq), range(-6, 7) s(shift)
+), clock_scores AS (
+  SELECT m.station_id, m.seq, m.shift, avg(pow((m.mean - c.mean) / greatest(c.std, {MIN_STD.replace('channel', 'c.channel')}), 2)) AS score, count(*) AS terms
+  FROM clock_moved m JOIN cells c ON c.station_id = m.station_id AND c.channel = m.channel AND c.month = month(at_time) AND c.hour = hour(at_time) GROUP BY m.station_id, m.seq, m.shift HAVING count(*) >= 18
+), clock_best AS (
+  SELECT station_id, seq, arg_min(shift, {{'a': score, 'b': abs(shift)}}) AS best, min(score) AS low, max(CASE WHEN shift = 0 THEN score END) AS zero, count(*) AS n FROM clock_scores GROUP BY ALL
+), clock_ AS (
+  SELECT station_id, seq, coalesce(last_value(flag IGNORE NULLS) OVER (PARTITION BY station_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), FALSE) AS flag FROM (
+    SELECT r.station_id, r.seq, CASE WHEN p.seq IS NOT NULL THEN coalesce(best <> 0 AND n >= 2 AND low < 0.5 * zero, FALSE) END AS flag FROM readings r LEFT JOIN instants p USING (station_id, seq) LEFT JOIN clock_best b USING (station_id, seq))
 ), formulas AS (
   SELECT station_id, seq, ts, temperature_c AS t, pressure_hpa AS p, humidity_pct AS h,
     CASE WHEN humidity_pct > 0 THEN 243.12 * (ln(humidity_pct / 100.0) + 17.62 * temperature_c / nullif(temperature_c + 243.12, 0)) / nullif(17.62 - (ln(humidity_pct / 100.0) + 17.62 * temperature_c / nullif(temperature_c + 243.12, 0)), 0) END AS dew_point,
@@ -121,6 +197,8 @@ WITH base_ AS (
   UNION ALL SELECT station_id, seq, 'spike', channel, 'hard', 302 + 10 * {PLACE}, NULL FROM marked WHERE spike_flag
   UNION ALL SELECT station_id, seq, 'noise', channel, 'hard', 303 + 10 * {PLACE}, jitter FROM marked WHERE noise_flag
   UNION ALL SELECT station_id, seq, 'drift', channel, 'soft', 304 + 10 * {PLACE}, peak FROM marked WHERE drift_flag
+  UNION ALL SELECT station_id, seq, 'clock', NULL, 'soft', 399, NULL FROM clock_ WHERE flag
+  UNION ALL SELECT station_id, seq, 'mahalanobis', NULL, 'soft', 520, d2 FROM far_ WHERE far
   UNION ALL SELECT station_id, seq, 'cojump', NULL, 'hard', 400, count(*) FROM marked WHERE plain_step GROUP BY station_id, seq HAVING count(*) >= 2
   UNION ALL SELECT station_id, seq, 'normality', channel, 'soft', 500 + {PLACE}, z FROM marked WHERE normality_flag
 ), per_reading AS (
@@ -154,15 +232,6 @@ WITH base_ AS (
 ), judged AS (
   SELECT v.*, l.channel, l.value, p.channel IS NOT NULL AS pointed_at, r.qc_flag FROM verdicts v JOIN long_ l USING (station_id, seq) JOIN readings r USING (station_id, seq)
   LEFT JOIN pointed p ON p.station_id = v.station_id AND p.seq = v.seq AND p.channel = l.channel
-), corners AS (
-  SELECT l.station_id, l.seq, l.channel, l.ts, l.value, (day(l.ts) - 0.5::DOUBLE + hour(l.ts) / 24.0::DOUBLE) / day(last_day(l.ts)) AS pos, minute(l.ts) / 60.0::DOUBLE AS wh, month(l.ts) AS m, hour(l.ts) AS h FROM long_ l
-), weighted AS (
-  SELECT station_id, seq, channel, (CASE WHEN b.late THEN CASE WHEN pos >= 0.5 THEN m % 12 + 1 ELSE m END ELSE CASE WHEN pos >= 0.5 THEN m ELSE (m + 10) % 12 + 1 END END) AS month,
-    (CASE WHEN d.next THEN (h + 1) % 24 ELSE h END) AS hour,
-    (CASE WHEN b.late THEN CASE WHEN pos >= 0.5 THEN pos - 0.5 ELSE pos + 0.5 END ELSE 1 - CASE WHEN pos >= 0.5 THEN pos - 0.5 ELSE pos + 0.5 END END) * (CASE WHEN d.next THEN wh ELSE 1 - wh END) AS w
-  FROM corners, (VALUES (FALSE), (TRUE)) b(late), (VALUES (FALSE), (TRUE)) d(next)
-), smooth AS (
-  SELECT w.station_id, w.seq, w.channel, sum(w.w * c.mean) / nullif(sum(w.w), 0) AS smooth FROM weighted w JOIN cells c ON c.station_id = w.station_id AND c.channel = w.channel AND c.month = w.month AND c.hour = w.hour GROUP BY ALL
 ), residuals AS (
   SELECT j.station_id, j.channel, CAST(j.ts AS DATE) AS day, sum(greatest(-3 * f.s, least(3 * f.s, j.value - m.smooth))) AS sum, count(*) AS n
   FROM judged j JOIN smooth m USING (station_id, seq, channel) JOIN joined f USING (station_id, seq, channel)
@@ -171,9 +240,11 @@ WITH base_ AS (
   SELECT station_id, channel, day, sum / n AS mean FROM residuals WHERE n >= 24
 ), last_day AS (
   SELECT station_id, max(CAST(ts AS DATE)) AS eval_day FROM readings GROUP BY ALL
+), every_day AS (
+  SELECT station_id, CAST(unnest(range(CAST(min(ts) AS DATE), CAST(max(ts) AS DATE) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS eval_day FROM readings GROUP BY station_id
 ), evaluated AS (
   SELECT station_id, channel, eval_day, list(x ORDER BY x) AS xs, list(mean ORDER BY x) AS ys FROM (
-    SELECT d.station_id, d.channel, a.eval_day, d.mean, datediff('day', DATE '0001-01-01', d.day)::DOUBLE + 1 AS x FROM days d JOIN at_ a USING (station_id) WHERE d.day <= a.eval_day AND datediff('day', d.day, a.eval_day) < 60) GROUP BY ALL
+    SELECT d.station_id, d.channel, a.eval_day, d.mean, datediff('day', DATE '0001-01-01', d.day)::DOUBLE + 1 AS x FROM days d JOIN every_day a USING (station_id) WHERE d.day <= a.eval_day AND datediff('day', d.day, a.eval_day) < 60) GROUP BY ALL
 ), fitted_ AS (
   SELECT *, len(xs) AS n, list_avg(xs) AS mx, list_avg(ys) AS my FROM evaluated WHERE len(xs) >= 21
 ), fitted AS (
@@ -191,23 +262,41 @@ WITH base_ AS (
       list_median(ys) - slope * list_median(list_transform(xs, lambda x: x - xs[1])) + slope * (datediff('day', DATE '0001-01-01', eval_day) + 1 - xs[1]) AS offset_now FROM tested_)
 ), isolated AS (
   SELECT *, abs(z) >= 4 AND count(*) FILTER (abs(z) >= 2.5) OVER (PARTITION BY station_id, eval_day) - CASE WHEN abs(z) >= 2.5 THEN 1 ELSE 0 END = 0 AS significant FROM tested
+), persistent AS (
+  SELECT *, coalesce(sum(CASE WHEN significant AND slope > 0 THEN 1 ELSE 0 END) OVER w = 7 OR sum(CASE WHEN significant AND slope < 0 THEN 1 ELSE 0 END) OVER w = 7, FALSE) AS drifts,
+    (CASE WHEN slope > 0 THEN 1 ELSE -1 END * {_by(0.5, 1.0, 3.0)} - offset_now) / nullif(slope, 0) AS ahead
+  FROM isolated WINDOW w AS (PARTITION BY station_id, channel ORDER BY datediff('day', DATE '1970-01-01', eval_day) RANGE BETWEEN 6 PRECEDING AND CURRENT ROW)
+), lasting AS (
+  SELECT station_id, channel, drifts, offset_now, CASE WHEN drifts AND ahead <= 0 THEN eval_day WHEN drifts AND ahead <= 3650 THEN CAST(eval_day + CAST(floor(ahead) AS INTEGER) AS DATE) END AS service_date FROM persistent JOIN last_day USING (station_id, eval_day)
 ), scored AS (
-  SELECT station_id, channel, records, now, fault_fraction, suspect_fraction, recent_fraction, round_even(least(100.0::DOUBLE, greatest(0.0::DOUBLE, 100 - 100 * fault_fraction - 50 * suspect_fraction)), 2) AS score FROM (
+  SELECT f.*, drifts, service_date, round_even(least(100.0::DOUBLE, greatest(0.0::DOUBLE, 100 - 100 * fault_fraction - 50 * suspect_fraction - CASE WHEN drifts THEN 40 * least(1.0, abs(offset_now) / {_by(0.5, 1.0, 3.0)}) ELSE 0 END)), 2) AS score FROM (
     SELECT station_id, channel, count(*) AS records, max(ts) AS now, avg(CAST(verdict = 'FAULT' AND pointed_at AS INTEGER)) AS fault_fraction, avg(CAST(verdict = 'SUSPECT' AND pointed_at AS INTEGER)) AS suspect_fraction,
       avg(CAST(verdict = 'FAULT' AND pointed_at AS INTEGER)) FILTER (us >= now_us - 3600000000) AS recent_fraction
-    FROM (SELECT *, max(us) OVER (PARTITION BY station_id) AS now_us FROM judged) WHERE us >= now_us - 10080 * 6e7 GROUP BY station_id, channel HAVING count(*) >= 30)
+    FROM (SELECT *, max(us) OVER (PARTITION BY station_id) AS now_us FROM judged) WHERE us >= now_us - 10080 * 6e7 GROUP BY station_id, channel HAVING count(*) >= 30) f LEFT JOIN lasting USING (station_id, channel)
+), tickets AS (
+  SELECT *, coalesce(recent_fraction >= 0.5, FALSE) AS faulty, coalesce(datediff('day', CAST(now AS DATE), service_date) <= 30, FALSE) AS due FROM scored
 ), reports AS (
-  SELECT station_id, max(now) AS now, max(records) AS records, min(score) AS score, CAST(NULL AS DATE) AS service_date,
-    CASE WHEN count(*) FILTER (score <= 60 OR coalesce(recent_fraction >= 0.5, FALSE)) = 0 THEN NULL WHEN bool_or(coalesce(recent_fraction >= 0.5, FALSE)) OR min(score) <= 30 THEN 'high' ELSE 'normal' END AS ticket,
-    coalesce(string_agg(channel, ',' ORDER BY {PLACE}) FILTER (score <= 60 OR coalesce(recent_fraction >= 0.5, FALSE)), '') AS channels
-  FROM scored GROUP BY station_id
+  SELECT station_id, max(now) AS now, max(records) AS records, min(score) AS score, min(service_date) AS service_date,
+    CASE WHEN count(*) FILTER (score <= 60 OR faulty OR due) = 0 THEN NULL WHEN bool_or(faulty OR (due AND service_date <= CAST(now AS DATE))) OR min(score) <= 30 THEN 'high' ELSE 'normal' END AS ticket,
+    coalesce(string_agg(channel, ',' ORDER BY {PLACE}) FILTER (score <= 60 OR faulty OR due), '') AS channels
+  FROM tickets GROUP BY station_id
 )
 """
 
-#: The days at which drift is evaluated: each station's last day, or all of its days.
-LAST = "SELECT station_id, eval_day FROM last_day"
-EVERY = "SELECT station_id, CAST(unnest(range(CAST(min(ts) AS DATE), CAST(max(ts) AS DATE) + INTERVAL 1 DAY, INTERVAL 1 DAY)) AS DATE) AS eval_day FROM readings GROUP BY station_id"
+#: The tables that depend on the readings to judge, not on what the models learn from.
+JUDGED = ("readings", "instants", "long_", "joined", "corners", "weighted", "smooth", "feat_", "feat", "held", "both_", "lists_", "measured", "flags_", "marked", "wide_", "used", "solved", "distance", "far_", "ranked",
+          "clock_hours", "clock_enough", "clock_moved", "clock_scores", "clock_best", "clock_", "formulas", "listed", "per_reading", "summed", "ruled", "verdicts")
 
 
-def tables(at: str = LAST) -> str:
-    return TABLES.replace("), evaluated AS (", f"), at_ AS (\n  {at}\n), evaluated AS (")
+def judging(readings: str, suffix: str = "_f") -> str:
+    """Tables after TABLES that judge other readings (a SELECT with the columns of readings) by the same models; their names end
+    in suffix."""
+    names = "|".join(sorted(JUDGED, key=len, reverse=True))
+    parts = re.split(r"^\), (\w+) AS \($", re.sub(r"^WITH RECURSIVE ", "), ", TABLES.strip(), count=1), flags=re.M)
+    out = [f", readings{suffix} AS ({readings})"]
+    for name, body in zip(parts[1::2], parts[2::2], strict=True):
+        if name in JUDGED and name != "readings":
+            own = re.sub(rf"\b(FROM|JOIN) ({names})\b", rf"\1 \2{suffix}", body.rstrip())
+            own = re.sub(r"\b(readings|long_|listed|instants|ranked)\.", rf"\1{suffix}.", own)
+            out.append(f", {name}{suffix} AS ({own})")
+    return "\n".join(out)

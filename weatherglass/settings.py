@@ -250,11 +250,19 @@ class Settings:
     edge: Edge = Edge()
     peers: Peers = Peers()
 
+    @property
+    def spare_rows(self) -> int:
+        """Rows of history besides those of the longest window."""
+        return max(self.frozen.min_samples, self.noise.min_samples) + 2
+
+    def widest_window(self, clock: bool = False) -> float:
+        """Minutes of the longest configured window; clock: with that of the clock check."""
+        return max([self.frozen.window[c] for c in CHANNELS] + [self.noise.window, self.cusum.window, self.fusion.direction_window]
+                   + [self.offset.window] * self.offset.enabled + [self.timing.window] * (clock and self.layers.timing))
+
     def history_rows(self, cadence: float, frozen: float = 0.0, clock: bool = False) -> int:
-        """Rows of history that a station of this cadence keeps."""
-        widest = max([self.frozen.window[c] for c in CHANNELS] + [self.noise.window, self.cusum.window, self.fusion.direction_window, frozen]
-                     + [self.offset.window] * self.offset.enabled + [self.timing.window] * clock)
-        return -int(-widest // cadence) + max(self.frozen.min_samples, self.noise.min_samples) + 2
+        """Rows of history that a station of this cadence keeps, if its longest learned frozen window is so many minutes."""
+        return -int(-max(self.widest_window(clock), frozen * self.frozen.hard_multiplier) // cadence) + self.spare_rows
 
 
 def merged(settings, changes: dict):

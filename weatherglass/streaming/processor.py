@@ -2,64 +2,112 @@
 
 A micro-batch is judged by the same operators as history: each station's kept rows (state) are put before its new ones, all
 are judged together, and the new ones are kept. So streaming and batch give the same verdicts on the same arrival order, and
-a late reading is judged, not dropped. State is a table of the last rows of each station, replaced batch by batch in the
-shared folder; a batch that is repeated after a failure finds the state of the batch before it.
+a late reading is judged, not dropped. State is three small tables, written anew batch by batch in the shared folder: the last
+rows of each station, the time and result of its last clock check, and how far each armed fault has come. A batch that is
+repeated after a failure finds the state of the batch before it.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import engine
+from ..functions.core import importable, stored
+from ..operators import clock, engine, features
 from ..settings import CHANNELS, DEFAULT, Settings
 
 READING = ("station_id", "seq", "ts", *CHANNELS)
-FAULTS = "station_id string, fault_type string, channel string, first_seq long, samples long, magnitude double"
-
-
-def armed(readings: DataFrame, faults: DataFrame) -> DataFrame:
-    """readings altered by faults on the next samples of a station from a sequence number on: frozen holds the last value
-    before it, step and spike add, drift grows, dropout removes. Raw values are kept as raw_<channel>."""
-    before = Window.partitionBy("station_id").orderBy("seq")
-    rows = readings.withColumns({f"raw_{c}": F.col(c) for c in CHANNELS} | {f"prior_{c}": F.last(c, ignorenulls=True).over(before.rowsBetween(Window.unboundedPreceding, -1)) for c in CHANNELS})
-    joined = rows.join(faults, (rows["station_id"] == faults["station_id"]) & (rows["seq"] >= faults["first_seq"]), "left").drop(faults["station_id"])
-    counted = joined.withColumn("k", F.when(F.col("first_seq").isNotNull(), F.row_number().over(Window.partitionBy("station_id", "first_seq", "fault_type", "channel").orderBy("seq"))))
-    out = counted
-    for c in CHANNELS:
-        on = (F.col("channel") == c) & (F.col("k") <= F.col("samples"))
-        hold = F.first(f"prior_{c}").over(Window.partitionBy("station_id", "first_seq", "fault_type", "channel").orderBy("seq"))
-        kind = F.col("fault_type")
-        out = out.withColumn(c, F.when(on & (kind == "frozen") & F.col(c).isNotNull(), hold).when(on & kind.isin("step", "spike"), F.col(c) + F.col("magnitude"))
-                             .when(on & (kind == "drift"), F.col(c) + F.col("magnitude") * F.col("k") / F.col("samples")).when(on & (kind == "dropout"), None).otherwise(F.col(c)))
-    one = Window.partitionBy("station_id", "seq").orderBy(F.desc_nulls_last(F.when(F.col("k") <= F.col("samples"), F.col("first_seq"))))
-    return out.withColumn("pick", F.row_number().over(one)).filter("pick = 1").drop("pick", "k", "first_seq", "samples", "magnitude", "channel", *[f"prior_{c}" for c in CHANNELS])
+FAULTS = "fault_id long, station_id string, fault_type string, channel string, samples long, magnitude double"
+#: A fault's progress; without a fault_id, the last unaltered value of a channel.
+PROGRESS = "station_id string, fault_id long, channel string, applied long, held double"
+
+
+def altered(readings: DataFrame, faults: DataFrame, progress: DataFrame | None = None, seed: int = 42) -> DataFrame:
+    """readings as failing sensors would have sent them, and the faults' progress: rows with part "reading" (raw values kept as
+    raw_<channel>) and rows with part "progress" (columns of PROGRESS). Faults act in the order of fault_id, each on the next
+    `samples` readings of its station that it can alter, counted on over batches: frozen holds the last unaltered value before
+    it, spike and step add, drift grows, noise adds draws, dropout removes; what is missing stays missing. A station's rows of
+    one batch are one group."""
+    raw = [f"raw_{c}" for c in CHANNELS]
+    kinds = "part string, station_id string, seq long, ts timestamp_ntz, " + ", ".join(f"{c} double" for c in (*CHANNELS, *raw)) + ", fault_id long, channel string, applied long, held double"
+    names = [x.split()[0] for x in kinds.split(", ")]
+
+    def one(key, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("seq", kind="stable").reset_index(drop=True)
+        last = {r.channel: r.held for r in known[known["fault_id"].isna()].itertuples()}
+        armed = [[int(r.fault_id), r.fault_type, r.channel, int(r.samples), r.magnitude, int(r.applied), r.held] for r in known[known["fault_id"].notna()].sort_values("fault_id").itertuples()]
+        out = rows.assign(part="reading", **{f"raw_{c}": rows[c] for c in CHANNELS})
+        values = {c: rows[c].to_numpy(np.float64, na_value=np.nan).copy() for c in CHANNELS}
+        for i, seq in enumerate(rows["seq"]):
+            unaltered = {c: values[c][i] for c in CHANNELS}
+            for f in armed:
+                number, kind, channel, samples, size, applied, held = f
+                now = values[channel][i]
+                if applied >= samples or np.isnan(now) and kind != "dropout":
+                    continue
+                if kind == "frozen" and np.isnan(held):
+                    f[6] = held = last.get(channel, now)
+                draw = np.random.default_rng([seed, number, int(seq) & 0xFFFFFFFF]).normal(0.0, abs(size)) if kind == "noise" else 0.0
+                values[channel][i] = {"frozen": held, "spike": now + size, "step": now + size, "drift": now + size * (applied + 1) / samples, "noise": now + draw, "dropout": np.nan}[kind]
+                f[5] = applied + 1
+            last |= {c: x for c, x in unaltered.items() if not np.isnan(x)}
+        state = [(key[0], f[0], f[2], f[5], f[6]) for f in armed] + [(key[0], None, c, None, x) for c, x in last.items()]
+        told = pd.DataFrame(state, columns=["station_id", "fault_id", "channel", "applied", "held"]).astype({"fault_id": "Int64", "applied": "Int64"}).assign(part="progress")
+        return pd.concat([out.assign(**values), told], ignore_index=True).reindex(columns=names)
+
+    if progress is None:
+        progress = readings.sparkSession.createDataFrame([], PROGRESS)
+    known = faults.join(progress.filter("fault_id IS NOT NULL").select("station_id", "fault_id", "applied", "held"), ["station_id", "fault_id"], "left")
+    known = known.withColumn("applied", F.coalesce("applied", F.lit(0))).unionByName(progress.filter("fault_id IS NULL"), allowMissingColumns=True)
+    return importable(readings).select(*READING).groupBy("station_id").cogroup(known.groupBy("station_id")).applyInPandas(one, kinds)
 
 
 class Processor:
     """Judges micro-batches; use `run` as the function of foreachBatch, or `start` for a whole query."""
 
-    def __init__(self, stations: DataFrame, models: engine.Models, folder: str, s: Settings = DEFAULT, cadence: float = 60.0, faults: DataFrame | None = None):
-        self.stations, self.models, self.folder, self.s, self.cadence, self.faults = stations, models, folder, s, cadence, faults
-        self.rows = s.history_rows(cadence) + 2
-
-    def judge(self, new: DataFrame, state: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """(records of new, next state)."""
-        fresh = armed(new, self.faults).select(*READING) if self.faults is not None else new.select(*READING)
-        every = fresh.withColumn("fresh", F.lit(True))
-        if state is not None:
-            every = every.unionByName(state.select(*READING).withColumn("fresh", F.lit(False)))
-        judged = engine.judge(every, self.stations, self.models, self.s, cadence=self.cadence)
+    def __init__(self, stations: DataFrame, models: engine.Models, folder: str, s: Settings = DEFAULT, faults: DataFrame | None = None):
+        self.stations, self.models, self.folder, self.s, self.faults = stations, models, folder, s, faults
+        self.rows = features.reach_of(stations, models.limits, s, clock=True) + 2
+
+    def judge(self, new: DataFrame, kept: DataFrame | None = None, checked: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        """(records of new, next kept rows, next clock state) from the state before."""
+        every = new.select(*READING).withColumn("fresh", F.lit(True))
+        if kept is not None:
+            every = every.unionByName(kept.select(*READING).withColumn("fresh", F.lit(False)))
+        results = None
+        if self.s.layers.timing and self.models.cells is not None:
+            results = stored(clock.results(every.drop("fresh"), self.stations, self.models.cells, self.models.limits, self.s, start=checked))
+        judged = engine.judge(every, self.stations, self.models, self.s, clock_results=results)
         newest = Window.partitionBy("station_id").orderBy(F.desc("seq"))
-        kept = every.withColumn("k", F.row_number().over(newest)).filter(F.col("k") <= self.rows).select(*READING)
-        return engine.records(judged.filter("fresh")), kept
+        held = every.withColumn("k", F.row_number().over(newest)).filter(F.col("k") <= self.rows).select(*READING)
+        state = None
+        if results is not None:  # the last check counts for the newest row from now on
+            last = results.groupBy("station_id").agg(F.max_by(F.struct("us", "flagged"), "seq").alias("x"))
+            state = every.groupBy("station_id").agg(F.max("seq").alias("seq")).join(last, "station_id").select("station_id", "seq", "x.us", "x.flagged")
+        return engine.records(judged.filter("fresh")), held, state
 
     def run(self, batch: DataFrame, number: int) -> None:
         spark: SparkSession = batch.sparkSession
-        state = spark.read.parquet(f"{self.folder}/state/{number - 1}") if number else None
-        records, kept = self.judge(batch, state)
+
+        def before(name: str) -> DataFrame | None:
+            return spark.read.parquet(f"{self.folder}/{name}/{number - 1}") if number else None
+
+        if self.faults is not None:
+            both = altered(batch, self.faults, before("faults"))
+            both.write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/altered/{number}")
+            both = spark.read.parquet(f"{self.folder}/altered/{number}")
+            progress = both.filter("part = 'progress'").select("station_id", "fault_id", "channel", "applied", "held")
+            if number:  # stations without readings in this batch keep theirs
+                progress = progress.unionByName(before("faults").join(progress.select("station_id").distinct(), "station_id", "left_anti"))
+            progress.write.mode("overwrite").parquet(f"{self.folder}/faults/{number}")
+            batch = both.filter("part = 'reading'")
+        records, kept, checked = self.judge(batch, before("state"), before("clock") if self.s.layers.timing and self.models.cells is not None else None)
         records.write.mode("overwrite").parquet(f"{self.folder}/records/batch={number}")
         kept.write.mode("overwrite").parquet(f"{self.folder}/state/{number}")
+        if checked is not None:
+            checked.write.mode("overwrite").parquet(f"{self.folder}/clock/{number}")
 
     def start(self, stream: DataFrame, checkpoint: str):
         return stream.writeStream.foreachBatch(self.run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
