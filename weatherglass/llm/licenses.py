@@ -1,12 +1,13 @@
 """License scans by patience alignment.
 
 Words are those of the decontamination operator (A-Z lower-cased, runs of digits, letters and non-ASCII characters). A
-license occurs where a window of a text, 1.25 times the template's words long, aligns with the template with a coverage
+license occurs where a window of a text, 1.25 times and 3 words as long as the template, aligns with it with a coverage
 (aligned words over the template's words) of at least COVERAGE. Alignment: equal words at both ends are matched; then the
 words that occur once in the window and once in the template, and in the longest increasing subsequence of their places, are
 anchors; the gaps between anchors are aligned in the same way, within which other words are unique. Windows are tried where
-they hold enough of the template's words for that coverage (no other window can reach it), from left to right without
-overlaps.
+they hold enough of the template's words for that coverage (no other window can reach it), from left to right. Of windows that
+begin inside a match the one with most aligned words counts (of equal ones that whose match is shorter, then the first), so
+matches don't overlap and none is cut short by a window that began too early.
 
 Null and empty texts have no license. Repeated rows are kept, each with its result. Columns beside doc_id and text are
 ignored. A template that equals a part of another is found beside it; the best match is the one with most aligned words, ties
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import chunks, prepare, utf8
 from .decontamination import words_of
 
-COVERAGE, STRETCH = 0.8, 1.25
+COVERAGE, STRETCH, SLACK = 0.8, 1.25, 3
 
 #: Notices and texts of common licenses (fixed values).
 TEMPLATES = {
@@ -110,7 +111,7 @@ class Templates:
         for name, text in sorted(texts.items()):
             ids = [self.symbols.setdefault(w, len(self.symbols) + 1) for w in words_of(text.encode())]
             if ids:
-                self.known.append((name, ids, max(len(ids), int(len(ids) * STRETCH)), max(1, int(np.ceil(coverage * len(ids) - 1e-9)))))
+                self.known.append((name, ids, int(len(ids) * STRETCH) + SLACK, max(1, int(np.ceil(coverage * len(ids) - 1e-9)))))
 
     def scan(self, texts: list[bytes | None]) -> tuple[list[int], list[list[tuple[str, float, int, int, int]]]]:
         """Words of each text, and its matches (name, coverage, first word, end word, aligned words)."""
@@ -128,16 +129,24 @@ class Templates:
             total = np.concatenate(([0], np.cumsum(held)))
             last = np.minimum(np.arange(len(coded)) + width, len(coded))
             tried = np.flatnonzero(held & (total[last] - total[:-1] >= least))
-            free = 0
-            for at in tried.tolist():
-                if at < free:
-                    continue
+            k = 0
+            while k < len(tried):
+                at = int(tried[k])
                 d = int(np.searchsorted(starts, at, side="right")) - 1
-                pairs = patience(ids, coded[at : min(at + width, int(ends[d]))].tolist())
-                if len(pairs) >= least:
-                    free = at + pairs[-1][1] + 1
-                    first = int(at + pairs[0][1] - starts[d])
-                    out[d].append((name, len(pairs) / len(ids), first, int(free - starts[d]), len(pairs)))
+                stop = int(ends[d])
+                pairs = patience(ids, coded[at : min(at + width, stop)].tolist())
+                k += 1
+                if len(pairs) < least:
+                    continue
+                best = (-len(pairs), pairs[-1][1] - pairs[0][1], at + pairs[0][1], at + pairs[-1][1] + 1)
+                while k < len(tried) and tried[k] < best[3] and -best[0] < len(ids):
+                    at = int(tried[k])
+                    pairs = patience(ids, coded[at : min(at + width, stop)].tolist())
+                    if len(pairs) >= least:
+                        best = min(best, (-len(pairs), pairs[-1][1] - pairs[0][1], at + pairs[0][1], at + pairs[-1][1] + 1))
+                    k += 1
+                k = int(np.searchsorted(tried, best[3], side="left"))
+                out[d].append((name, -best[0] / len(ids), int(best[2] - starts[d]), int(best[3] - starts[d]), -best[0]))
         return sizes.tolist(), out
 
 
