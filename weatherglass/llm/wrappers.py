@@ -8,12 +8,16 @@ side has becomes optional, and texts that differ become a slot. Each task folds
 tasks' wrappers of a host are then folded into one, so no task holds a host's pages, and a wrapper's size is bounded by the
 variety of tags, not by the pages.
 
-The wrapper gives the host's main region: the smallest element outside which there is nothing but menus, headers, footers,
-sidebars, notices, adverts, forms, comments, and blocks that are the same in all pages of the host. Where layouts differ it
-is what they have in common, and of a host's only page nothing counts as the same in all. Extraction parses each page, finds the region
-in it and joins its blocks: white space inside a block becomes one space, blocks are joined by one space, character
-references are decoded, and what is boilerplate by its element or by the words of its class, id or role is left out. A page
-without the region falls back on its own main region.
+The wrapper tells what is the host's and what is an article's (rules): the main region, the smallest element outside which
+there is nothing but menus, headers, footers, sidebars, notices, adverts, forms, comments, and blocks that are the same in all
+pages of the host; the blocks inside it that stand in all pages with the same text; and which elements, though their class, id
+or role has a word of boilerplate, are an article's own, since under half of the pages have them. Where layouts differ the
+region is what they have in common, and of a host's only page nothing counts as the same in all. Extraction parses each page,
+finds the region in it and joins its blocks: white space inside a block becomes one space, blocks are joined by one space,
+character references are decoded. A page without the region falls back on its own main region.
+
+Numbers in class, id and role count as equal, and a node with very many different children tells them apart by name only, so
+that ids that differ from page to page don't make the wrapper grow.
 
 Wrappers are sent to the tasks if they are below BROADCAST_BYTES; else pages and wrappers are joined by host.
 
@@ -55,7 +59,8 @@ MARKED = re.compile(
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
 
-TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[(.*?)(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+DIGITS = re.compile(r"\d+")
+STOP, NAME = re.compile("[>\"']"), re.compile(r"[a-zA-Z][^\s/>]*")
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -72,60 +77,123 @@ class Element:
         return self.name in ASIDE or bool(self.mark and self.name not in ("html", "body", "main", "article") and MARKED.search(self.mark))
 
 
+class Stack:
+    """The open elements, with the places of each name and of those that are not inline: every question takes constant time."""
+
+    def __init__(self, root: Element):
+        self.open, self.places, self.blocks = [root], {}, [0]
+
+    def push(self, e: Element) -> None:
+        self.places.setdefault(e.name, []).append(len(self.open))
+        if e.name not in INLINE:
+            self.blocks.append(len(self.open))
+        self.open.append(e)
+
+    def close(self, k: int) -> None:
+        while len(self.open) > k:
+            e = self.open.pop()
+            self.places[e.name].pop()
+            if e.name not in INLINE:
+                self.blocks.pop()
+
+    def last(self, names) -> int:
+        return max((self.places[n][-1] for n in names if self.places.get(n)), default=0)
+
+    def end(self, name: str) -> None:
+        """An end tag; that of an inline element does not reach out of a block."""
+        k = self.last((name,))
+        if k and not (name in INLINE and self.blocks[-1] > k):
+            self.close(k)
+
+    def close_to(self, names, stops) -> None:
+        k = self.last(names)
+        if k and k >= self.last(stops):
+            self.close(k)
+
+
+P_STOPS = frozenset("table td th li div article section main body button blockquote form".split())
+
+
+def tag_end(page: str, at: int, quotes: dict[str, int]) -> int:
+    """The place of the > that ends a tag, outside quotes that are closed later; -1 without one. quotes: the last of each kind."""
+    while m := STOP.search(page, at):
+        if m[0] == ">":
+            return m.start()
+        at = page.find(m[0], m.end()) + 1 if quotes[m[0]] > m.start() else m.end()
+    return -1
+
+
 def parse(page: str) -> Element:
-    """The tree of a page's tokens; unclosed and stray tags are mended as browsers do."""
+    """The tree of a page's tokens; unclosed and stray tags are mended as browsers do. Time is linear in the page."""
     root = Element("#page")
-    stack, at = [root], 0
+    stack, at, begun, n = Stack(root), 0, 0, len(page)
+    quotes = {q: page.rfind(q) for q in "\"'"}
 
-    def close_to(names, stops) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in names:
-                del stack[k:]
-                return
-            if stack[k].name in stops:
-                return
+    def said(a: int, b: int) -> None:
+        if a < b:
+            stack.open[-1].children.append(entities.unescape(page[a:b]))
 
     while True:
-        m = TAG.search(page, at)
-        text = page[at : m.start()] if m else page[at:]
-        if text:
-            stack[-1].children.append(entities.unescape(text))
-        if not m:
+        lt = page.find("<", at)
+        if lt < 0 or lt + 1 == n:
+            said(begun, n)
             return root
-        at = m.end()
-        if m[1] is not None:
-            stack[-1].children.append(m[1])
-        name = (m[3] or "").lower()
-        if not name:
+        head = page[lt + 1]
+        if head in "!?":
+            said(begun, lt)
+            if page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                at = n if end < 0 else end + 3
+            elif page.startswith("<![CDATA[", lt):
+                end = page.find("]]>", lt + 9)
+                stack.open[-1].children.append(page[lt + 9 : n if end < 0 else end])
+                at = n if end < 0 else end + 3
+            else:
+                end = page.find(">", lt)
+                at = n if end < 0 else end + 1
+            begun = at
             continue
-        if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
-                if name in INLINE and stack[k].name not in INLINE:
-                    break
+        closing = head == "/"
+        name = NAME.match(page, lt + 1 + closing)
+        end = -1
+        if name:
+            end = tag_end(page, name.end(), quotes)
+            end = page.find(">", name.end()) if end < 0 else end
+            if end < 0:  # no tag ends from here on
+                said(begun, n)
+                return root
+        if end < 0:
+            at = lt + 1
+            continue
+        said(begun, lt)
+        at = begun = end + 1
+        attributes, name = page[name.end() : end], name[0].lower()
+        if closing:
+            stack.end(name)
             continue
         if name in ENDS_P:
-            close_to({"p"}, {"table", "td", "th", "li", "div", "article", "section", "main", "body", "button", "blockquote", "form"})
+            stack.close_to(("p",), P_STOPS)
         if name in SIBLINGS:
-            close_to({"dt", "dd"} if name in ("dt", "dd") else {"td", "th"} if name in ("td", "th") else {name}, SIBLINGS[name])
-        mark = " ".join(x[1] or x[2] or x[3] for x in ATTRIBUTE.findall(m[4])).lower() if m[4] and m[4].strip() else ""
+            stack.close_to(("dt", "dd") if name in ("dt", "dd") else ("td", "th") if name in ("td", "th") else (name,), SIBLINGS[name])
+        mark = DIGITS.sub("#", " ".join(x[1] or x[2] or x[3] for x in ATTRIBUTE.findall(attributes)).lower()) if attributes.strip() else ""
         own = Element(name, mark)
-        stack[-1].children.append(own)
-        if name in VOID or m[4].endswith("/"):
+        stack.open[-1].children.append(own)
+        if name in VOID or attributes.endswith("/"):
             continue
         if name in RAW:
-            end = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(page, at)
-            own.children.append(page[at : end.start()] if end else page[at:])
-            at = end.end() if end else len(page)
+            close = re.compile(f"</{re.escape(name)}\\s*>", re.I).search(page, at)
+            own.children.append(page[at : close.start() if close else n])
+            at = begun = close.end() if close else n
             continue
-        stack.append(own)
+        stack.push(own)
+
 
+# A wrapper's node: [name, mark, optional, repeated, children, digest, pages]; a text: ["#text", constant or None for a slot,
+# optional, repeated, [characters seen], digest, pages]. The digest is that of all text inside, outside boilerplate: "" without
+# text, None where it differs between pages; pages is the number of pages that have the node.
 
-# A wrapper's node: [name, mark, optional, repeated, children, digest]; a text: ["#text", constant or None for a slot,
-# optional, repeated, [characters seen], digest]. The digest is that of all text inside, outside boilerplate: "" without
-# text, None where it differs between pages.
+#: Children from which a node's children are told apart by their names only: ids that differ from page to page don't add up.
+WIDE = 96
 
 
 def deep() -> None:
@@ -152,7 +220,7 @@ def folded(element: Element) -> list:
         run.clear()
         if text:
             text_ = constant(text)
-            children.append(["#text", text_, 0, 0, [len(text)], text_])
+            children.append(["#text", text_, 0, 0, [len(text)], text_, 1])
 
     if element.name not in RAW:
         for x in element.children:
@@ -171,7 +239,7 @@ def folded(element: Element) -> list:
     if not element.boilerplate:
         for x in children:
             told = both(told, x[5])
-    return [element.name, element.mark, 0, 0, squeezed(children), told]
+    return [element.name, element.mark, 0, 0, bounded(squeezed(children), both), told, 1]
 
 
 def both(a: str | None, b: str | None) -> str | None:
@@ -205,6 +273,21 @@ def squeezed(nodes: list) -> list:
     return out
 
 
+def bounded(nodes: list, digest) -> list:
+    """nodes, if they are few; else with no more of their marks than the word that makes them boilerplate, and if that is not
+    enough, one repeated node of each key: a wrapper grows with the variety of tags, not with the pages."""
+    if len(nodes) <= WIDE:
+        return nodes
+    nodes = squeezed([x if x[0] == "#text" else [x[0], "" if _plain(x[0], x[1]) else MARKED.search(x[1] or " nav ")[0].strip(), *x[2:]] for x in nodes])
+    if len(nodes) <= WIDE:
+        return nodes
+    held: dict[tuple, list] = {}
+    for x in nodes:
+        held[key(x)] = joined(held[key(x)], x, digest if digest is both else same) if key(x) in held else x
+        held[key(x)][3] = 1
+    return list(held.values())
+
+
 def same(a: str | None, b: str | None) -> str | None:
     """The digest of one place in two pages."""
     return a if a == b else None
@@ -212,10 +295,10 @@ def same(a: str | None, b: str | None) -> str | None:
 
 def joined(a: list, b: list, digest=same) -> list:
     """Two matching nodes as one: of different pages, or (digest: both) neighbours in a page."""
-    flags = a[2] | b[2], a[3] | b[3]
+    flags, pages = (a[2] | b[2], a[3] | b[3]), max(a[6], b[6]) if digest is both else a[6] + b[6]
     if a[0] == "#text":
-        return ["#text", a[1] if a[1] == b[1] else None, *flags, [a[4][0] + b[4][0]], digest(a[5], b[5])]
-    return [a[0], a[1], *flags, aligned(a[4], b[4], digest), digest(a[5], b[5])]
+        return ["#text", a[1] if a[1] == b[1] else None, *flags, [a[4][0] + b[4][0]], digest(a[5], b[5]), pages]
+    return [a[0], a[1], *flags, aligned(a[4], b[4], digest), digest(a[5], b[5]), pages]
 
 
 def aligned(a: list, b: list, digest=same) -> list:
@@ -239,7 +322,7 @@ def aligned(a: list, b: list, digest=same) -> list:
         else:
             out.append([*b[j][:2], 1, *b[j][3:]])
             j += 1
-    return squeezed(out)
+    return bounded(squeezed(out), digest)
 
 
 def expression(node: list) -> str:
@@ -259,7 +342,7 @@ def packed(wrapper: list) -> str:
         if node[0] == "#text":
             out.append(node)
         else:
-            out.append([*node[:4], len(node[4]), node[5]])
+            out.append([*node[:4], len(node[4]), *node[5:]])
             left.extend(reversed(node[4]))
     return json.dumps(out)
 
@@ -325,6 +408,31 @@ def region(wrapper: list) -> list[tuple[str, str]]:
             return path
 
 
+#: Pages of a host from which what is the same in all of them is the host's, not an article's.
+LEAST_PAGES = 3
+
+
+def rules(wrapper: list) -> dict:
+    """What the wrapper says of its host's pages. path: to the main element. spared: elements that are marked like boilerplate
+    but that under half of the pages have, so that they belong to articles. constants: blocks that stand in all pages with the
+    same text (name, mark, digest), of at least LEAST_PAGES pages that are not all the same."""
+    pages, spared, fixed_ = wrapper[6], [], []
+    todo = [wrapper]
+    while todo:
+        for x in todo.pop()[4]:
+            if x[0] == "#text" or x[0] in ASIDE:
+                continue
+            if not _plain(x[0], x[1]):
+                if 2 * x[6] < pages:
+                    spared.append([x[0], x[1]])
+                continue
+            if pages >= LEAST_PAGES and wrapper[5] is None and fixed(x) and x[5] and not x[3] and x[6] == pages:
+                fixed_.append([x[0], x[1], x[5]])
+            else:
+                todo.append(x)
+    return {"path": region(wrapper), "spared": spared, "constants": fixed_}
+
+
 def found(root: Element, path: list) -> list[Element]:
     """The elements of a page at a path (all of them at the last step)."""
     here = [root]
@@ -333,15 +441,21 @@ def found(root: Element, path: list) -> list[Element]:
     return here
 
 
-def text_of(*elements: Element) -> str:
-    """The blocks of elements, joined."""
+def text_of(*elements: Element, spared: frozenset = frozenset(), constants: frozenset = frozenset()) -> str:
+    """The blocks of elements, joined, without boilerplate (but what is spared) and without the host's constant blocks."""
     blocks: list[list[str]] = [[]]
+    same_names = {(n, m) for n, m, _ in constants}
+
+    def dropped(x: Element) -> bool:
+        if x.boilerplate and (x.name in ASIDE or (x.name, x.mark) not in spared):
+            return True
+        return (x.name, x.mark) in same_names and (x.name, x.mark, folded(x)[5]) in constants
 
     def walk(e: Element) -> None:
         for x in e.children:
             if isinstance(x, str):
                 blocks[-1].append(x)
-            elif x.boilerplate:
+            elif dropped(x):
                 if x.name not in INLINE:
                     blocks.append([])
             elif x.name in INLINE:
@@ -364,13 +478,15 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def main_text(page: str, path: list | None) -> str:
-    """The main text of a page, given its host's region."""
+def main_text(page: str, known: dict | None) -> str:
+    """The main text of a page, given what its host's wrapper says."""
     root = parse(page)
-    if path and (text := text_of(*found(root, path))):
+    known = known or {"path": [], "spared": [], "constants": []}
+    spared, constants = frozenset(map(tuple, known["spared"])), frozenset(map(tuple, known["constants"]))
+    if known["path"] and (text := text_of(*found(root, known["path"]), spared=spared, constants=constants)):
         return text
     own = found(root, region(folded(root)))
-    return text_of(*(own or [root]))
+    return text_of(*(own or [root]), spared=spared, constants=constants)
 
 
 def _fold(held: dict[str, list], host: str, wrapper: list) -> None:
@@ -439,7 +555,7 @@ def _regions():
     @F.pandas_udf("string")
     def regions(x: pd.Series) -> pd.Series:
         deep()
-        return x.map(lambda w: json.dumps(region(unpacked(w))))
+        return x.map(lambda w: json.dumps(rules(unpacked(w))))
 
     return regions
 
