@@ -12,6 +12,7 @@ slackened by a rounding margin; scores themselves are exact integers, ties go to
 Vectors that are null, empty, or hold null or non-finite components take no part, as candidates or as queries. Shorter
 vectors count as padded by zeros. A scaled component or a score beyond a 64-bit integer is held at that integer's limit.
 Rows with a null id take no part. Rows that share an id are candidates each, and a query's own row is every row with its id.
+Query rows that share an id have a result each, ranks from 1 in each.
 """
 
 from __future__ import annotations
@@ -159,14 +160,15 @@ class Searcher:
         return [(s, -i) for s, i in found]
 
 
-SCHEMA = "query_id long, vec_id long, score long"
+SCHEMA = "number long, query_id long, vec_id long, score long"
 
 
 def search(vectors: DataFrame, queries: DataFrame, *, k: int = TOP, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k highest inner products for each row of queries (vec_id, embedding),
     over all rows of vectors but those with the query's own id."""
     prepare(vectors.sparkSession)
-    points, asked = cut(integers(vectors)), integers(queries)
+    points = cut(integers(vectors))
+    asked = cut(integers(queries).withColumn("number", F.monotonically_increasing_id()))
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     n, bound, width = points.agg(F.count("*"), F.max(norm), F.max(F.size("v"))).first()
     asked = asked.withColumn("v", F.slice("v", 1, max(1, width or 1)))
@@ -180,11 +182,11 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = TOP, block_rows:
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "tree": pa.array([pack(tree)], pa.binary())})
 
     def gather(key, table):
-        data = pack({"ids": np.asarray(table.column("vec_id")), "v": matrix(table.column("v").to_pylist(), width)})
+        data = pack({"ids": np.asarray(table.column("vec_id")), "numbers": np.asarray(table.column("number")), "v": matrix(table.column("v").to_pylist(), width)})
         return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "queries": pa.array([data], pa.binary())})
 
     trees = points.withColumn("block", F.expr(f"cast(pmod(xxhash64(vec_id), {blocks}) as int)")).groupBy("block").applyInArrow(grow, "block int, tree binary")
-    packs = asked.withColumn("part", F.expr(f"cast(pmod(xxhash64(vec_id, 1), {parts}) as int)")).groupBy("part").applyInArrow(gather, "part int, queries binary")
+    packs = asked.withColumn("part", F.expr(f"cast(pmod(xxhash64(number), {parts}) as int)")).groupBy("part").applyInArrow(gather, "part int, queries binary")
     # Each tree meets each query block once, by their pair of numbers.
     left = trees.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("part", F.col("part").cast("int"))
     right = packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("int"))
@@ -198,14 +200,14 @@ def search(vectors: DataFrame, queries: DataFrame, *, k: int = TOP, block_rows:
                 if part not in floors:
                     floors = {part: {}}  # the k-th scores of one query block at a time
                 known, rows = floors[part], []
-                for i, q in zip(asked["ids"].tolist(), asked["v"], strict=True):
-                    found = own.top(i, q, k, known.get(i))
+                for number, i, q in zip(asked["numbers"].tolist(), asked["ids"].tolist(), asked["v"], strict=True):
+                    found = own.top(i, q, k, known.get(number))
                     if len(found) == k:
-                        known[i] = max(known.get(i, -LIMIT), min(found)[0])
-                    rows += [(i, v, s) for s, v in found]
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
+                        known[number] = max(known.get(number, -LIMIT), min(found)[0])
+                    rows += [(number, i, v, s) for s, v in found]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], names=["number", "query_id", "vec_id", "score"])
 
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
     ranked = met.mapInArrow(run, SCHEMA).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
 
