@@ -160,7 +160,9 @@ def train(documents: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS) ->
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).select("doc_id", "quality")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # chosen has at most `rows` rows of two numbers.
-    sample = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    sample = texts.join(F.broadcast(chosen), "doc_id")
+    # Of documents that share an id one is used, the first by a hash of its text: so at most `rows` rows reach the driver.
+    sample = sample.groupBy("doc_id").agg(F.min_by(F.struct("quality", "text"), F.sha2(F.coalesce("text", F.lit("")), 256)).alias("x")).select("doc_id", "x.quality", "x.text")
 
     def run(batches):
         for b in batches:
@@ -170,7 +172,7 @@ def train(documents: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS) ->
                 names=["doc_id", "quality", "at", "value", "stats"])
 
     got = sample.mapInArrow(run, "doc_id long, quality int, at array<long>, value array<double>, stats array<double>").toArrow().to_pandas()
-    got = got.sort_values(["doc_id"], kind="stable").drop_duplicates("doc_id").head(rows)
+    got = got.sort_values("doc_id", kind="stable")
     if got["quality"].nunique() < 2:
         return None
     return fit(list(zip(got["at"], got["value"], got["stats"], strict=True)), got["quality"].to_numpy())
