@@ -6,35 +6,35 @@ symbols: a word of the benchmark has its number, any other word is a break. Runs
 as the shortest window (no other run can hold one) are the text of the shard's index. Windows are found by backward
 search through the wavelet matrix, occurrences are located by sampled suffix positions, and their spans are merged.
 
-The benchmark's windows go to the tasks in blocks of at most BLOCK_BYTES of text; a larger benchmark takes more passes.
+The benchmark's windows go to the tasks in blocks of about BLOCK_BYTES of text, one after the other: each is a pass of its own
+over the documents that keeps only the rows with occurrences, and its windows are freed before the next one. So neither the
+driver nor a worker ever holds more than one block (about 90 bytes for each of its bytes).
 
-Null and empty texts have no words and are never contaminated. Null items have no windows. Repeated rows are kept and
+Null and empty texts have no words and are never contaminated. Null items have no windows; a null item_id
+counts as an empty one. Repeated rows are kept and
 each gets its own result. Columns beside doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from .common import chunks, passing, prepare, scalar, utf8
+from .common import chunks, cut, prepare, scalar, utf8
 from .fm_index import FMIndex
 
 WINDOW = 13
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 2 << 20
 #: 20 * hit words >= words: the share of hit words from which a document counts as contaminated.
 SHARE = 20
 
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
-SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<first: long, end: long>>"
-
-
 def words_of(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
@@ -52,7 +52,7 @@ class Windows:
             for i in range(max(1, len(ids) - size + 1) if ids else 0):
                 held.setdefault(tuple(ids[i : i + size]), set()).add(number[name])
         self.lengths = np.array([len(w) for w in held], np.int64)
-        self.patterns = np.array([(0,) * (size - len(w)) + w for w in held], np.int64).reshape(len(held), size)
+        self.patterns = np.array([(0,) * (size - len(w)) + w for w in held], np.int32).reshape(len(held), size)
         self.item_counts = np.array([len(x) for x in held.values()], np.int64)
         self.items = np.array([i for x in held.values() for i in sorted(x)], np.int64)
         self.item_starts = np.cumsum(self.item_counts) - self.item_counts
@@ -114,55 +114,84 @@ def merged(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int
     return out
 
 
-def windows_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list:
-    """The windows of benchmark (item_id, text) as broadcasts, each of about block_bytes of text at most."""
+def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES):
+    """The windows of benchmark (item_id, text) as one broadcast after the other, each of about block_bytes of text, and whether
+    it is the only one. A broadcast is freed when the next one is asked for."""
     spark = prepare(benchmark.sparkSession)
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     blocks = max(1, -(-int(scalar(bench, "coalesce(sum(octet_length(text)), 0)")) // block_bytes))
-    held = []
     for block in range(blocks):
         part = bench.filter(F.expr(f"pmod(xxhash64(item_id, text), {blocks}) = {block}")) if blocks > 1 else bench
-        held.append(spark.sparkContext.broadcast(Windows([("" if r[0] is None else r[0], r[1].encode()) for r in part.collect()])))
-    return held
+        held = spark.sparkContext.broadcast(Windows([("" if r[0] is None else r[0], r[1].encode()) for r in part.collect()]))
+        yield held, blocks == 1
+        if blocks > 1:
+            held.unpersist()
 
 
-def hits(held: list, texts: list[bytes | None]):
+def hits(windows: Windows, texts: list[bytes | None]):
     """(words, merged spans, items) of each text."""
     for a, b in chunks(texts):
-        sizes, spans, items = held[0].value.find(texts[a:b])
-        for other in held[1:]:
-            _, more, names = other.value.find(texts[a:b])
-            spans = [merged(x, y) for x, y in zip(spans, more, strict=True)]
-            items = [sorted({*x, *y}) for x, y in zip(items, names, strict=True)]
-        yield from zip(sizes, spans, items, strict=True)
+        yield from zip(*windows.find(texts[a:b]), strict=True)
+
+
+SPANS = "array<struct<first: long, end: long>>"
+_SPANS = pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))
+
+
+def found(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The columns of documents (with text) and n_words, spans and items of each row."""
+    added = f"n_words long, spans {SPANS}, items array<string>"
+
+    def searched(rows: DataFrame, held) -> DataFrame:
+        names = [*rows.columns, "n_words", "spans", "items"]
 
+        def run(batches):
+            for batch in batches:
+                out = list(hits(held.value, utf8(batch.column(names.index("text")))))
+                columns = [pa.array([r[0] for r in out], pa.int64()), pa.array([[{"first": x, "end": y} for x, y in r[1]] for r in out], _SPANS), pa.array([r[2] for r in out], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
 
-def contaminated(words: int, hit: int) -> bool:
-    return hit > 0 and SHARE * hit >= words
+        return rows.mapInArrow(run, StructType([*rows.schema.fields, *StructType.fromDDL(added).fields]))
+
+    rows, parts, counts = None, None, None
+    for held, only in blocks_of(benchmark, block_bytes):
+        if only:
+            return searched(documents, held)
+        if rows is None:  # a number for each row that stays the same in all passes
+            rows = cut(documents.withColumn("row_", F.monotonically_increasing_id()))
+        part = cut(searched(rows.select("row_", "text"), held).select("row_", "n_words", "spans", "items").filter("n_words > 0" if counts is None else "size(spans) > 0"))
+        counts = part.select("row_", "n_words") if counts is None else counts
+        some = part.filter("size(spans) > 0").select("row_", "spans", "items")
+        parts = some if parts is None else parts.unionByName(some)
+    fold = """aggregate(array_sort(spans), cast(array() as array<struct<first: bigint, end: bigint>>), (a, x) ->
+        if(size(a) > 0 and x.first <= element_at(a, -1).end, concat(slice(a, 1, size(a) - 1), array(named_struct('first', element_at(a, -1).first, 'end', greatest(element_at(a, -1).end, x.end)))), concat(a, array(x))))"""
+    merged = parts.groupBy("row_").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")).withColumn("spans", F.expr(fold))
+    out = rows.join(counts, "row_", "left").join(merged, "row_", "left").drop("row_")
+    return out.withColumns({"n_words": F.coalesce("n_words", F.lit(0)), "spans": F.coalesce("spans", F.array().cast(SPANS)), "items": F.coalesce("items", F.array().cast("array<string>"))})
+
+
+def hit_words() -> Column:
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["first"])
+
+
+def contaminated(words: Column, hit: Column) -> Column:
+    return (hit > 0) & (SHARE * hit >= words)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: its words, hit words, items with occurring windows, merged spans (in words) and whether it is
     contaminated. documents needs doc_id and text, benchmark item_id and text."""
-    held = windows_of(benchmark, block_bytes)
-
-    def run(batches):
-        for batch in batches:
-            out: list[tuple] = []
-            for n, s, i in hits(held, utf8(batch.column(1))):
-                hit = sum(y - x for x, y in s)
-                out.append((n, hit, len(i), hashlib.sha256(",".join(i).encode()).hexdigest(), contaminated(n, hit), i, [{"first": x, "end": y} for x, y in s]))
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())]))]
-            columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans"])
-
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    rows = found(documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), benchmark, block_bytes)
+    told = rows.select("doc_id", "n_words", hit_words().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "items", "spans")
+    return told.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"), "items", "spans")
 
 
 def kept(documents: DataFrame, benchmark: DataFrame, *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of documents, with all their columns, that are not contaminated."""
-    held = windows_of(benchmark, block_bytes)
-    return passing(documents, lambda texts: [not contaminated(n, sum(y - x for x, y in s)) for n, s, _ in hits(held, texts)])
+    taken = [f"in_{k}" for k in range(len(documents.columns))]  # own names, whatever those of the documents are
+    named = documents.toDF(*["text" if c == "text" else t for c, t in zip(documents.columns, taken, strict=True)])
+    rows = found(named, benchmark, block_bytes).filter(~contaminated(F.col("n_words"), hit_words()))
+    return rows.select(*[F.col("text" if c == "text" else t).alias(c) for c, t in zip(documents.columns, taken, strict=True)])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
