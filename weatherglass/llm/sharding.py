@@ -4,12 +4,13 @@ Rows are ordered by (XXH64 of the text, doc_id), so that equal texts are neighbo
 by counting: each round sums the exact bytes between candidate boundaries inside the ranges that still hold a splitter
 (4096 a range, by the next 12 bits of the key), until a range is within TOLERANCE of a shard's bytes or holds one text.
 The splitter then goes to the range's nearer edge. A group of equal texts stays in one shard unless it is larger than
-GROUP_SHARE of a shard; a larger one is cut inside by doc_id in the same way. Only counts per candidate reach the driver,
-at most 4096 for each splitter. The rows are then exchanged once, by shard.
+GROUP_SHARE of a shard (else one side of the splitter would miss its size by more than that); a larger one is cut inside by
+doc_id in the same way, and rows of it that share a doc_id as well by a number that each row has got. Only counts per candidate
+reach the driver, at most 4096 for each splitter. The rows are then exchanged once, by shard.
 
 The law is `bytes`: sizes (UTF-8 bytes of the text plus 16; null: 16) are near equal. slot numbers the rows of a shard from
 0 in key order. Null texts are a group of their own; a null doc_id counts as the smallest; repeated rows are kept, each with
-a slot; an empty table gives no rows. A single row larger than a shard stays whole.
+a slot, and may lie in several shards; an empty table gives no rows. A single row larger than a shard stays whole.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ def keyed(documents: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
         F.coalesce(F.crc32(text), F.lit(0)).cast("long").alias("text_crc32"),
         F.xxhash64(text).alias("h"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(LEAST)).alias("k"),
+        F.monotonically_increasing_id().alias("r"),
         *carry,
     )
 
@@ -91,33 +93,48 @@ def _search(rows: DataFrame, by: list[str], column: str, goals: dict, start: int
     return found, inside
 
 
-def splitters(rows: DataFrame, parts: int) -> list[tuple[int, int]]:
-    """The parts - 1 keys (h, k) at which a new part begins, in order."""
+def _widest(rows: DataFrame, by: str, column: str) -> int:
+    """The bits that tell the column's values apart inside the groups."""
+    ranges = rows.groupBy(by).agg(F.min(column).alias("low"), F.max(column).alias("high")).collect()  # a row a group that holds a splitter
+    return max((r["high"] ^ r["low"] if (r["high"] < 0) == (r["low"] < 0) else (1 << 64) - 1).bit_length() for r in ranges)
+
+
+def splitters(rows: DataFrame, parts: int) -> list[tuple[int, int, int]]:
+    """The parts - 1 keys (h, k, r) at which a new part begins, in order."""
     total = rows.agg(F.sum("size")).first()[0] or 0
     share = total / parts
     goals = {i: (None, total * i // parts) for i in range(1, parts)}
     if not total:
         return []
-    found, inside = _search(rows, [], "h", goals, 64, share, True)
-    keys = [(h, LEAST) for h in found.values()]
-    if inside:
-        hot = rows.filter(F.col("h").isin(sorted({h for h, _ in inside.values()})))
-        widest = max((r["high"] ^ r["low"] if (r["high"] < 0) == (r["low"] < 0) else (1 << 64) - 1).bit_length() for r in hot.groupBy("h").agg(F.min("k").alias("low"), F.max("k").alias("high")).collect())
-        within, _ = _search(hot, ["h"], "k", {i: (h, goals[i][1] - below) for i, (h, below) in inside.items()}, widest, share, False)
-        keys += [(inside[i][0], k) for i, k in within.items()]
+    found, texts = _search(rows, [], "h", goals, 64, share, True)
+    keys = [(h, LEAST, LEAST) for h in found.values()]
+    if texts:
+        hot = rows.filter(F.col("h").isin(sorted({h for h, _ in texts.values()})))
+        inner = {i: (h, goals[i][1] - below) for i, (h, below) in texts.items()}
+        within, ids = _search(hot, ["h"], "k", inner, _widest(hot, "h", "k"), share, True)
+        keys += [(texts[i][0], k, LEAST) for i, k in within.items()]
+        if ids:  # one text and one id: rows by their numbers
+            pairs = {i: f"{texts[i][0]}|{k}" for i, (k, _) in ids.items()}
+            same = hot.withColumn("hk", F.concat_ws("|", F.col("h").cast("string"), F.col("k").cast("string"))).filter(F.col("hk").isin(sorted(set(pairs.values()))))
+            last, _ = _search(same, ["hk"], "r", {i: (pairs[i], inner[i][1] - below) for i, (_, below) in ids.items()}, _widest(same, "hk", "r"), share, False)
+            keys += [(texts[i][0], ids[i][0], r) for i, r in last.items()]
     return sorted(keys)
 
 
-def _at_least(key: tuple[int, int]):
-    h, k = key
+def _at_least(key: tuple[int, int, int]):
+    h, k, r = key
     if h >= 1 << 63:
         return F.lit(0)
-    if k >= 1 << 63:
-        return (F.col("h") > F.lit(h)).cast("int")
-    return ((F.col("h") > F.lit(h)) | ((F.col("h") == F.lit(h)) & (F.col("k") >= F.lit(k)))).cast("int")
+    above = F.col("h") > F.lit(h)
+    if k < 1 << 63:
+        later = F.col("k") > F.lit(k)
+        if r < 1 << 63:
+            later = later | ((F.col("k") == F.lit(k)) & (F.col("r") >= F.lit(r)))
+        above = above | ((F.col("h") == F.lit(h)) & later)
+    return above.cast("int")
 
 
-def _count(keys: list[tuple[int, int]]):
+def _count(keys: list[tuple[int, int, int]]):
     out = F.lit(0)
     for key in keys:
         out = out + _at_least(key)
@@ -127,12 +144,11 @@ def _count(keys: list[tuple[int, int]]):
 def shard(documents: DataFrame, *, shards: int = SHARDS, carry: tuple[str, ...] = (), part_rows: int = PART_ROWS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard for each row of documents (doc_id, text), and the columns
     named in carry."""
-    rows = cut(keyed(documents))
+    rows = cut(keyed(documents, carry))
     each = max(1, -(-rows.count() // (shards * part_rows)))
     keys = splitters(rows, shards * each)
-    source = keyed(documents, carry) if carry else rows
-    placed = source.withColumn("part", _count(keys)).withColumn("shard", F.floor(F.col("part") / each).cast("int"))
-    order = Window.partitionBy("shard", "part").orderBy("h", "k")
+    placed = rows.withColumn("part", _count(keys)).withColumn("shard", F.floor(F.col("part") / each).cast("int"))
+    order = Window.partitionBy("shard", "part").orderBy("h", "k", "r")
     slots = placed.withColumn("slot", (F.row_number().over(order) - 1).cast("long"))
     if each > 1:
         # At most shards * each rows, each a constant number of bytes.
