@@ -7,8 +7,9 @@ marker behind another character, no piece can cross such a cut, so encoding segm
 (Where one has, texts are encoded whole.) Each distinct segment of a batch is encoded once, by a multithreaded batch call,
 and remembered within a bound.
 
-Parity: every distinct segment's ids are compared with those of the sentencepiece library itself, which replace them where
-they differ (parity is then false), and of every PARITY_EVERY-th document (by hash) the whole text's ids are compared too.
+Parity: every distinct segment's ids are compared with those of the sentencepiece library itself. Whole texts are compared
+where a segment can't be given to the library by itself (a lone marker; any segment, if the model has a normaliser or adds no
+marker), and of every PARITY_EVERY-th other document (by hash). The ids stay the backend's; parity tells whether all agree.
 
 Null texts are empty; empty texts have no tokens. Rows are kept, also repeated ones; columns beside doc_id and text are
 ignored. Decoding gives the normalised text (a literal U+2581 comes back as a space).
@@ -32,8 +33,8 @@ from .common import chunks, prepare, utf8
 
 MARK = "▁"
 PARITY_EVERY = 64
-#: Segments remembered by a worker before it starts anew.
-REMEMBERED = 200_000
+#: Bytes of segments and ids that a worker remembers before it starts anew.
+REMEMBERED = 64 << 20
 THREADS = 2
 
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -118,7 +119,10 @@ class Codec:
         self.bytes = {i for i, (_, _, kind) in enumerate(m.pieces) if kind == BYTE}
         self.library = SentencePieceProcessor(model_proto=data)
         self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+") if m.splits else re.compile("(?s).+")
-        self.known: dict[str, tuple[bytes, str, int, bool]] = {}
+        self.known: dict[str, tuple[bytes, str, int, bool | None]] = {}
+        self.held = 0
+        #: Whether segments mean the same to the library as in their text.
+        self.alike = self.prior is None and m.dummy_prefix
 
     def normalised(self, text: str) -> str:
         if self.prior:
@@ -127,24 +131,24 @@ class Codec:
         return MARK + text if text and self.model.dummy_prefix else text
 
     def learn(self, segments: list[str]) -> None:
-        """Encode, decode and verify segments, and remember them: (ids, text, byte tokens, parity)."""
+        """Encode, decode and verify segments, and remember them: (ids, text, byte tokens, parity: None if not compared)."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
-        plain = [s[1:] if self.model.dummy_prefix and s[:1] == MARK else None for s in segments]
-        asked = [k for k, s in enumerate(plain) if s]
-        same = [True] * len(ids)
-        for k, own in zip(asked, self.library.encode([plain[k] for k in asked], num_threads=1) if not self.prior else (), strict=False):
-            if own != ids[k]:
-                ids[k], same[k] = own, False
+        same: list[bool | None] = [None] * len(ids)
+        asked = [k for k, s in enumerate(segments) if self.alike and s[:1] == MARK and len(s) > 1]
+        for k, own in zip(asked, self.library.encode([segments[k][1:] for k in asked], num_threads=1) if asked else (), strict=True):
+            same[k] = own == ids[k]
         texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
         for s, i, t, ok in zip(segments, ids, texts, same, strict=True):
             self.known[s] = (np.array(i, "<i4").tobytes(), t, sum(x in self.bytes for x in i) if len(i) > 1 else 0, ok)
+            self.held += 200 + 4 * len(s) + 4 * len(i) + 4 * len(t)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str, int, bool]]:
         """Of each text: ids as little-endian int32, the text decoded from them, its byte tokens, and parity."""
         normal = [self.normalised(t) for t in texts]
         cuts = [self.cut.findall(t) for t in normal]
-        if len(self.known) > REMEMBERED:
+        if self.held > REMEMBERED:
             self.known.clear()
+            self.held = 0
         new = list(dict.fromkeys(s for s in chain.from_iterable(cuts) if s not in self.known))
         if new:
             self.learn(new)
@@ -152,10 +156,10 @@ class Codec:
         for text, whole, parts in zip(texts, normal, cuts, strict=True):
             found = list(map(self.known.__getitem__, parts))
             ids, back = b"".join([x[0] for x in found]), "".join([x[1] for x in found])
-            same = all(x[3] for x in found)
-            if zlib.crc32(whole.encode()) % PARITY_EVERY == 0 and self.library.encode(text) != np.frombuffer(ids, "<i4").tolist():
-                ids, same = np.array(self.library.encode(text), "<i4").tobytes(), False
-                back = self.library.decode(np.frombuffer(ids, "<i4").tolist())
+            told = [x[3] for x in found]
+            same = False not in told
+            if None in told or zlib.crc32(whole.encode()) % PARITY_EVERY == 0:
+                same = same and self.library.encode(text) == np.frombuffer(ids, "<i4").tolist()
             out.append((ids, back[1:] if self.model.dummy_prefix and back[:1] == " " else back, sum(x[2] for x in found), same))
         return out
 
@@ -196,12 +200,19 @@ def encode(documents: DataFrame, model_path: str, *, ids: bool = False, carry: t
         for batch in batches:
             texts = utf8(batch.column(1))
             rows: list[tuple] = []
+            coded_texts: list[bytes] = []
             for a, b in chunks(texts, 2 << 20):
                 part = [(t or b"").decode() for t in texts[a:b]]
                 for text, (coded, back, fallback, same) in zip(part, own.encode(part), strict=True):
-                    rows.append((len(coded) // 4, fallback, hashlib.sha256(coded).hexdigest(), back == own.expected(text), same) + ((np.frombuffer(coded, "<i4"),) if ids else ()))
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()] + [pa.list_(pa.int32())] * ids
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names=names)
+                    rows.append((len(coded) // 4, fallback, hashlib.sha256(coded).hexdigest(), back == own.expected(text), same))
+                    if ids:
+                        coded_texts.append(coded)
+            kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
+            columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
+            if ids:
+                ends = np.cumsum([0, *(len(x) // 4 for x in coded_texts)])
+                columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded_texts), "<i4"))))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *columns], names=names)
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA + ", ids array<int>" * ids)
 
