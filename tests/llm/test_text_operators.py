@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 import zlib
 
 import numpy as np
@@ -255,6 +256,14 @@ def test_licenses(spark, documents, nothing):
     assert licenses.scan(documents).count() == documents.count() and licenses.scan(nothing).count() == 0
 
 
+def test_licenses_take_the_best_window(spark):
+    notice = "released under the mit license"
+    rows = [(1, f"the the {notice}."), (2, "Released under the terms of the MIT License"), (3, f"mit {notice} license the mit"), (4, f"{notice} {notice}"), (5, f"the {notice} the")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: (r.n_matches, r.coverage) for k, r in got.items()} == {1: (1, 1.0), 2: (1, 1.0), 3: (1, 1.0), 4: (2, 1.0), 5: (1, 1.0)}
+    assert (got[1].matches[0].first, got[1].matches[0].end) == (2, 7) and (got[3].matches[0].first, got[3].matches[0].end) == (1, 6)
+
+
 def test_patience_is_a_common_subsequence():
     r = random.Random(3)
     for _ in range(200):
@@ -274,5 +283,84 @@ def _increasing(places):
     return out
 
 
+def test_sharding_of_repeated_rows(spark):
+    rows = [(7, "the same text " * 3)] * 3000 + [(k, f"other {k}") for k in range(200)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), shards=20).collect()
+    sizes = {}
+    for r in got:
+        sizes.setdefault(r.shard, []).append(r)
+    mean = sum(r.size for r in got) / 20
+    assert len(got) == 3200 and len(sizes) == 20 and all(abs(sum(r.size for r in x) - mean) < 0.13 * mean for x in sizes.values())
+    assert all(sorted(r.slot for r in x) == list(range(len(x))) for x in sizes.values())
+
+
+def test_decontamination_in_blocks(spark, documents):
+    bench = spark.createDataFrame([(f"b{k}", prose(30, 1)[k * 3 :]) for k in range(6)] + [(None, prose(60, 2)), ("none", None), ("short", "Two words")], "item_id string, text string")
+    one = sorted(map(str, D.decontaminate(documents, bench).collect()))
+    assert one == sorted(map(str, D.decontaminate(documents, bench, block_bytes=150).collect())) and any("contaminated=True" in r for r in one)
+    kept = [sorted(map(str, D.kept(documents, bench, block_bytes=b).collect())) for b in (1 << 20, 150)]
+    assert kept[0] == kept[1] and 0 < len(kept[0]) < documents.count()
+    blocks = [len(h.value.names) for h, _ in D.blocks_of(bench, 150)]
+    assert len(blocks) > 3 and sum(blocks) == 8
+
+
+def test_quality_of_repeated_documents(spark):
+    docs = spark.createDataFrame([(k, f"good words {k} of a text") for k in range(40)] + [(k, f"!!! bad {k}") for k in range(40, 80)] + [(3, f"again {j}") for j in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k < 40)) for k in range(80)], "doc_id long, quality int")
+    a, b = (quality.train(d, labels) for d in (docs, docs.repartition(7)))
+    assert np.array_equal(a.factors, b.factors) and np.array_equal(a.linear, b.linear)
+
+
+def test_quality_on_held_out_labels(spark):
+    data = "/root/testdata/sf0.01"
+    got = quality.query(spark, data).filter("held_out").join(spark.read.parquet(f"{data}/labels.parquet"), "doc_id").toPandas()
+    good, bad = got[got.quality == 1].score.to_numpy(), got[got.quality == 0].score.to_numpy()
+    assert len(good) > 20 and len(bad) > 5 and (good[:, None] > bad[None, :]).mean() > 0.95 and (got.predicted == got.quality).mean() > 0.9
+
+
+def _message(number, data):
+    """A field of a protobuf message: bytes, an int or a float."""
+    def varint(n):
+        return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+    if isinstance(data, bytes):
+        return varint(number << 3 | 2) + varint(len(data)) + data
+    if isinstance(data, float):
+        return varint(number << 3 | 5) + struct.pack("<f", data)
+    return varint(number << 3) + varint(data)
+
+
+def _unigram(dummy_prefix=1):
+    """A small unigram model, written out: its pieces have made-up scores."""
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{b:02X}>", -20.0, 6) for b in range(256)), ("▁", -3.0, 1)]
+    pieces += [(p, -4.0 - 0.01 * k, 1) for k, p in enumerate(["▁the", "▁a", "th", "e", "t", "h", "a", "b", "c", "▁ab", "bc", "abc", "d"])]
+    out = b"".join(_message(1, _message(1, p.encode()) + _message(2, s) + _message(3, kind)) for p, s, kind in pieces)
+    return out + _message(2, _message(3, 1) + _message(35, 1) + _message(40, 0)) + _message(3, _message(3, dummy_prefix) + _message(4, 1) + _message(5, 1))
+
+
+@pytest.mark.parametrize("dummy_prefix", [0, 1])
+def test_unigram_models(spark, tmp_path, dummy_prefix):
+    from sentencepiece import SentencePieceProcessor
+
+    data = _unigram(dummy_prefix)
+    (tmp_path / "u.model").write_bytes(data)
+    library, texts = SentencePieceProcessor(model_proto=data), ["", "the abc", "a  b", "abcabc thethe", "é the", "d", " the ", "ab abc bc", None]
+    got = sentencepiece_codec.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), str(tmp_path / "u.model"), ids=True).orderBy("doc_id").collect()
+    for r, t in zip(got, texts, strict=True):
+        assert r.parity == (r.ids == library.encode(t or "")), t
+    assert all(r.parity and r.round_trip for r in got)
+
+
+def test_codec_memory_is_bounded():
+    own = sentencepiece_codec.Codec(open(MODEL, "rb").read())
+    small, sentencepiece_codec.REMEMBERED = sentencepiece_codec.REMEMBERED, 200_000
+    try:
+        for k in range(12):
+            assert all(x[3] for x in own.encode([f"x{k}" * 5000, prose(200, k)]))
+            assert own.held < 600_000
+    finally:
+        sentencepiece_codec.REMEMBERED = small
+
+
 def test_checkpoint_folder_is_the_sessions(spark):
     assert checkpoint_dir(spark)
