@@ -43,7 +43,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.encode(docs, f"{sentencepiece_codec.TOKENIZERS}/piece_bpe_32k.model")
+    return sentencepiece_codec.encode(docs, f"{sentencepiece_codec.TOKENIZERS}/piece_bpe_32k.model", ids=True)
 
 
 STAGES = [
