@@ -11,9 +11,9 @@ from ..schema import STATIONS
 
 def stations(spark: SparkSession, path: str) -> DataFrame:
     """The stations of a YAML file (stations: by id, with lat, lon, climate_zone, cadence_minutes)."""
-    text = spark.read.option("wholetext", True).text(path).first()[0]
+    text = spark.read.text(path, wholetext=True).first()[0]
     known = yaml.safe_load(text) or {}
-    rows = [(str(name), *(None if s.get(k) is None else float(s[k]) for k in ("lat", "lon")), s.get("climate_zone"), None if s.get("cadence_minutes") is None else float(s["cadence_minutes"])) for name, s in (known.get("stations") or known).items()]
+    rows = [(name, *(None if s.get(k) is None else float(s[k]) for k in ("lat", "lon")), s.get("climate_zone"), None if s.get("cadence_minutes") is None else float(s["cadence_minutes"])) for name, s in ((str(k), v or {}) for k, v in (known.get("stations") or known).items())]
     return spark.createDataFrame(rows, STATIONS)
 
 
