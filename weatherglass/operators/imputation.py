@@ -39,17 +39,17 @@ def estimate(c: str, ts: Column, us: Column, last: Column, s: Settings) -> Colum
 def impute(fused: DataFrame, cells: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     """fused with the map channel -> estimate for each missing value, and for each flagged channel of a FAULT. fused needs
     verdict and flagged_channels; raw values stay as they are."""
-    rows = normality.attach(fused, cells)
-    # The latest of the trusted rows before, among those that are older than the reading.
+    # The latest of the trusted rows before, among those that are older than the reading. Cells join after the window: they are
+    # wide, and no exchange should carry them.
     last = {f"last_{c}": F.last(F.when(trusted(c), F.struct("us", "ts", F.col(c).alias("v"))), ignorenulls=True).over(before()) for c in CHANNELS}
-    rows = rows.withColumns(last)
-    entries = []
+    rows = normality.attach(fused.withColumns(last), cells)
+    found, entries = {}, []
     for c in CHANNELS:
         need = F.col(c).isNull() | ((F.col("verdict") == "FAULT") & F.array_contains("flagged_channels", c))
-        found = estimate(c, F.col("ts"), F.col("us"), F.when(F.col(f"last_{c}")["us"] < F.col("us"), F.col(f"last_{c}")), s)
-        entries.append(F.when(need & found.isNotNull(), F.struct(F.lit(c).alias("key"), found.alias("value"))))
-    out = rows.withColumn("imputation", F.map_from_entries(F.array_compact(F.array(*entries))))
-    return out.drop(*last, *[f"cells_{c}" for c in CHANNELS])
+        found[f"estimate_{c}"] = F.when(need, estimate(c, F.col("ts"), F.col("us"), F.when(F.col(f"last_{c}")["us"] < F.col("us"), F.col(f"last_{c}")), s))
+        entries.append(F.when(F.col(f"estimate_{c}").isNotNull(), F.struct(F.lit(c).alias("key"), F.col(f"estimate_{c}").alias("value"))))
+    rows = rows.withColumns(found).drop(*last, *[f"cells_{c}" for c in CHANNELS])
+    return rows.withColumn("imputation", F.map_from_entries(F.array_compact(F.array(*entries)))).drop(*found)
 
 
 def gap_times(readings: DataFrame, stations: DataFrame, s: Settings = DEFAULT) -> DataFrame:
