@@ -154,13 +154,12 @@ class Codec:
             self.learn(new)
         out = []
         for text, whole, parts in zip(texts, normal, cuts, strict=True):
-            found = list(map(self.known.__getitem__, parts))
-            ids, back = b"".join([x[0] for x in found]), "".join([x[1] for x in found])
-            told = [x[3] for x in found]
+            coded, backs, fallback, told = zip(*map(self.known.__getitem__, parts), strict=True) if parts else ((),) * 4
+            ids, back, told = b"".join(coded), "".join(backs), set(told)
             same = False not in told
             if None in told or zlib.crc32(whole.encode()) % PARITY_EVERY == 0:
                 same = same and self.library.encode(text) == np.frombuffer(ids, "<i4").tolist()
-            out.append((ids, back[1:] if self.model.dummy_prefix and back[:1] == " " else back, sum(x[2] for x in found), same))
+            out.append((ids, back[1:] if self.model.dummy_prefix and back[:1] == " " else back, sum(fallback), same))
         return out
 
     def expected(self, text: str) -> str:
