@@ -158,6 +158,26 @@ def test_vectors(spark):
     assert mtree.search(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("cells", [1, 12])
+def test_queries_meet_few_cells_of_clustered_vectors(spark, cells):
+    r = np.random.default_rng(8)
+    centres = r.normal(0, 1, (6, 12))
+    x = np.concatenate([40 * c / np.linalg.norm(c) + r.normal(0, 0.2, (100, 12)) for c in centres]).round(2)
+    x[250:290] = x[250]
+    vectors = spark.createDataFrame([(k % 550, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    sent: list[int] = []
+    got = mtree.search(vectors, vectors.filter("vec_id % 50 = 0"), block_rows=20, query_rows=4, cells=cells, sent=sent).collect()
+    v = np.floor(256 * x).astype(np.int64)
+    ids = np.arange(len(x)) % 550
+    want = Counter()
+    for q in np.flatnonzero(ids % 50 == 0):
+        order = [i for i in np.lexsort((ids, -(v @ v[q]))) if ids[i] != ids[q]][:5]
+        want.update([(int(ids[q]), n + 1, int(ids[i]), int(v[i] @ v[q])) for n, i in enumerate(order)])
+    assert Counter(tuple(row) for row in got) == want
+    asked = sum(ids % 50 == 0)
+    assert sent[0] == asked and sent[1] == 0 if cells == 1 else sum(sent) < asked * cells / 2
+
+
 def test_tree_passes_over_entries():
     r = np.random.default_rng(1)
     v = np.concatenate([r.normal(c * 40, 1, (300, 8)) for c in range(6)]).astype(np.int64)

@@ -2,12 +2,16 @@
 
 Vectors become integers, floor(256 * x) per component. With the norm bound M, each vector x gets one more component
 sqrt(M^2 - |x|^2) and a query q gets zero there; then |q - x|^2 = |q|^2 + M^2 - 2 q.x, so the highest scores are the nearest
-vectors and metric bounds hold. Vectors are dealt by a hash of vec_id into blocks of about BLOCK_ROWS; each block is an
-M-tree, stored as one row: leaf pages of at most PAGE entries, routing objects with covering radii, and each entry's distance
-to its parent. Queries are packed into blocks too, and every query block meets every tree once. A query visits the pages in
-the order of their lower bounds, max(0, d(q, routing object) - radius), until that bound exceeds its k-th distance; inside a
-page, entries with |d(q, parent) - d(entry, parent)| above it are passed over without computing their distance. Bounds are
-slackened by a rounding margin; scores themselves are exact integers, ties go to the smaller id.
+vectors and metric bounds hold.
+
+Vectors are dealt to cells, each to the nearest of at most CELLS pivots (rows drawn by a hash), and a cell's rows by a hash to
+trees of about BLOCK_ROWS; each tree is an M-tree, stored as one row: leaf pages of at most PAGE entries, routing objects with
+covering radii, and each entry's distance to its parent. Queries are packed into blocks, cell by cell. Each is searched first
+in the cell of its nearest pivot, which gives it a k-th score; it then goes only to the cells that the pivot's distance less
+the cell's covering radius doesn't exclude. In a tree, a query visits the pages in the order of their lower bounds,
+max(0, d(q, routing object) - radius), until that bound exceeds its k-th distance; inside a page, entries with
+|d(q, parent) - d(entry, parent)| above it are passed over without computing their distance. Bounds are slackened by a
+rounding margin; scores themselves are exact integers, ties go to the smaller id.
 
 Vectors that are null, empty, or hold null or non-finite components take no part, as candidates or as queries. Shorter
 vectors count as padded by zeros. A scaled component or a score beyond a 64-bit integer is held at that integer's limit.
@@ -29,6 +33,8 @@ from .common import cut, prepare
 
 SCALE, TOP, EVERY = 256, 5, 50
 BLOCK_ROWS, PAGE, QUERY_ROWS = 4096, 256, 1024
+#: Most pivots: their vectors and a row for each cell are what reaches the driver.
+CELLS = 256
 LIMIT = 1 << 63
 
 
@@ -92,10 +98,29 @@ def build(ids: np.ndarray, v: np.ndarray, bound: float, page: int = PAGE) -> dic
         tree["root"] = objects
         reach = np.maximum.reduceat(far + reach, np.concatenate(([0], ends[:-1])))
         points, child, level = objects, np.arange(len(objects)), level + 1
-    tree |= {"levels": np.array(level), "ids": ids[tree["child0"]], "v": (v.astype(np.float64) if bound < 2.0**50 else v)[tree["child0"]], "bound": np.array(bound)}
+    tree |= {"levels": np.array(level), "ids": ids[tree["child0"]], "bound": np.array(bound)}
+    if bound >= 2.0**50:  # below that the points hold the integers exactly
+        tree["v"] = v[tree["child0"]]
     return tree
 
 
+def slack_of(square, bound: float):
+    return 1e-9 * (square + bound) + 1e-9
+
+
+def reach_of(square, bound: float, score):
+    """The distance, slackened, of vectors that score as much. A score held at a long's lower limit excludes nothing."""
+    return np.where(np.asarray(score, np.float64) <= -LIMIT, np.inf, np.sqrt(np.maximum(0.0, square + bound - 2.0 * np.asarray(score, np.float64)) + slack_of(square, bound)))
+
+
+def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Of each row of x to each pivot."""
+    out = np.empty((len(x), len(pivots)))
+    for k, p in enumerate(pivots):
+        out[:, k] = np.sqrt(((x - p) ** 2).sum(axis=1))
+    return out
+
+
 def exact(v: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Integer inner products, held at the limits of a long. v holds floats where all products fit in their 53 bits."""
     if v.dtype == q.dtype == np.float64:
@@ -107,6 +132,7 @@ def exact(v: np.ndarray, q: np.ndarray) -> np.ndarray:
 class Searcher:
     def __init__(self, tree: dict[str, np.ndarray]):
         self.tree, self.levels, self.bound = tree, int(tree["levels"]), float(tree["bound"])
+        self.v = tree["v"] if "v" in tree else np.ascontiguousarray(tree["points0"][:, :-1])
         self.starts = [np.concatenate(([0], tree[f"ends{k}"][:-1])) for k in range(self.levels)]
         #: Distances computed and passed over, for tests and tuning.
         self.computed = self.skipped = 0
@@ -116,14 +142,14 @@ class Searcher:
         t = self.tree
         x = np.append(q.astype(np.float64), 0.0)
         square = float((x**2).sum())
-        fits = t["v"].dtype == np.float64 and square * self.bound < 2.0**104
-        slack = 1e-9 * (square + self.bound) + 1e-9
+        fits = self.v.dtype == np.float64 and square * self.bound < 2.0**104
+        slack = slack_of(square, self.bound)
         found: list[tuple[int, int]] = []  # a heap of (score, -vec_id)
 
         def limit() -> float:
             s = found[0][0] if len(found) == k else None
             s = floor if s is None else s if floor is None else max(s, floor)
-            return np.inf if s is None else np.sqrt(max(0.0, square + self.bound - 2.0 * s) + slack)
+            return np.inf if s is None or s <= -LIMIT else max(0.0, square + self.bound - 2.0 * s + slack) ** 0.5
 
         top = self.levels - 1
         pages = [(0.0, top, 0, float(np.sqrt(((x - t["root"][0]) ** 2).sum())))]
@@ -145,7 +171,7 @@ class Searcher:
                         heapq.heappush(pages, (max(0.0, z), level - 1, int(t[f"child{level}"][e]), y))
                 continue
             whole = slice(a, b) if len(near) == b - a else near
-            scores, ids = exact(t["v"][whole], x[:-1] if fits else q), t["ids"][whole]
+            scores, ids = exact(self.v[whole], x[:-1] if fits else q), t["ids"][whole]
             least = found[0][0] if len(found) == k else floor
             good = ids != query_id
             if least is not None:
@@ -163,53 +189,111 @@ class Searcher:
 SCHEMA = "number long, query_id long, vec_id long, score long"
 
 
-def search(vectors: DataFrame, queries: DataFrame, *, k: int = TOP, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def search(
+    vectors: DataFrame, queries: DataFrame, *, k: int = TOP, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS, cells: int = CELLS, sent: list[int] | None = None
+) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of the k highest inner products for each row of queries (vec_id, embedding),
-    over all rows of vectors but those with the query's own id."""
+    over all rows of vectors but those with the query's own id. To sent, if given, go the pairs of a query and a cell that
+    each of the two searches reads."""
     prepare(vectors.sparkSession)
-    points = cut(integers(vectors))
+    points = cut(integers(vectors).withColumn("row", F.monotonically_increasing_id()))
     asked = cut(integers(queries).withColumn("number", F.monotonically_increasing_id()))
     norm = F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     n, bound, width = points.agg(F.count("*"), F.max(norm), F.max(F.size("v"))).first()
-    asked = asked.withColumn("v", F.slice("v", 1, max(1, width or 1)))
-    many = asked.count()
-    bound, width, blocks, parts = bound or 0.0, width or 1, max(1, -(-n // block_rows)), max(1, -(-many // query_rows))
+    bound, width = bound or 0.0, width or 1
+    asked = asked.withColumn("v", F.slice("v", 1, width))
+    drawn = points.orderBy(F.xxhash64("row"), "row").limit(max(1, min(cells, -(-n // block_rows)))).select("v").collect()
+    pivots = np.unique(extended(matrix([r.v for r in drawn], width), bound), axis=0) if drawn else np.zeros((1, width + 1))
+
+    def near(batches):
+        for batch in batches:
+            far = distances(extended(matrix(batch.column(1).to_pylist(), width), bound), pivots)
+            cell = far.argmin(axis=1) if len(far) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cell, pa.int32()), pa.array(far[np.arange(len(far)), cell])], names=["vec_id", "v", "row", "cell", "far"])
+
+    dealt = points.select("vec_id", "v", "row").mapInArrow(near, "vec_id long, v array<long>, row long, cell int, far double")
+    sizes, radii = [0] * len(pivots), np.full(len(pivots), -np.inf)
+    for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():
+        sizes[r["cell"]], radii[r["cell"]] = r["n"], r["far"]
+    blocks = [max(1, -(-m // block_rows)) for m in sizes]
 
     def grow(key, table):
         ids = np.asarray(table.column("vec_id"))
         order = np.argsort(ids, kind="stable")
         tree = build(ids[order], matrix(table.column("v").to_pylist(), width)[order], bound)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "tree": pa.array([pack(tree)], pa.binary())})
+        return pa.table({"cell": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "tree": pa.array([pack(tree)], pa.binary())})
 
-    def gather(key, table):
-        data = pack({"ids": np.asarray(table.column("vec_id")), "numbers": np.asarray(table.column("number")), "v": matrix(table.column("v").to_pylist(), width)})
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "queries": pa.array([data], pa.binary())})
+    def of_cell(values: list[int]):
+        return F.get(F.lit(values), F.col("cell"))
 
-    trees = points.withColumn("block", F.expr(f"cast(pmod(xxhash64(vec_id), {blocks}) as int)")).groupBy("block").applyInArrow(grow, "block int, tree binary")
-    packs = asked.withColumn("part", F.expr(f"cast(pmod(xxhash64(number), {parts}) as int)")).groupBy("part").applyInArrow(gather, "part int, queries binary")
-    # Each tree meets each query block once, by their pair of numbers.
-    left = trees.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("part", F.col("part").cast("int"))
-    right = packs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("block", F.col("block").cast("int"))
-    met = left.join(right, ["part", "block"]).select("part", "tree", "queries")
+    numbered = dealt.select("vec_id", "v", "cell", F.pmod(F.xxhash64("row"), of_cell(blocks)).cast("int").alias("block"))
+    trees = cut(numbered.groupBy("cell", "block").applyInArrow(grow, "cell int, block int, tree binary"))
+
+    def home(batches):
+        for batch in batches:
+            far = distances(np.pad(matrix(batch.column(1).to_pylist(), width).astype(np.float64), ((0, 0), (0, 1))), pivots)
+            far[:, ~np.isfinite(radii)] = np.inf
+            cell = far.argmin(axis=1) if len(far) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell, pa.int32()), pa.nulls(len(cell), pa.int64())], names=["number", "cell", "floor"])
+
+    def others(batches):
+        for batch in batches:
+            x = np.pad(matrix(batch.column(1).to_pylist(), width).astype(np.float64), ((0, 0), (0, 1)))
+            square, far = (x**2).sum(axis=1), distances(x, pivots)
+            floors = batch.column(3).to_pylist()
+            most = reach_of(square, bound, [-LIMIT if f is None else f for f in floors])
+            open_ = (far - radii <= (most + slack_of(square, bound) ** 0.5)[:, None]) & np.isfinite(radii)
+            open_[np.arange(len(x)), np.asarray(batch.column(2))] = False
+            i, cell = np.nonzero(open_)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i)), pa.array(cell, pa.int32()), batch.column(3).take(pa.array(i))], names=["number", "cell", "floor"])
+
+    def gather(key, table):
+        floors = table.column("floor")
+        data = pack({
+            "ids": np.asarray(table.column("vec_id")), "numbers": np.asarray(table.column("number")), "v": matrix(table.column("v").to_pylist(), width),
+            "floors": np.asarray(floors.fill_null(-LIMIT)), "told": np.asarray(floors.is_valid()),
+        })
+        return pa.table({"cell": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "queries": pa.array([data], pa.binary())})
 
     def run(batches):
-        floors: dict[int, dict[int, int]] = {}
+        at, known = None, {}
         for batch in batches:
-            for part, tree, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own, asked = Searcher(unpack(tree)), unpack(data)
-                if part not in floors:
-                    floors = {part: {}}  # the k-th scores of one query block at a time
-                known, rows = floors[part], []
-                for number, i, q in zip(asked["numbers"].tolist(), asked["ids"].tolist(), asked["v"], strict=True):
+            for cell, part, tree, data in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                own, block, rows = Searcher(unpack(tree)), unpack(data), []
+                if at != (cell, part):  # the k-th scores of one query block at a time
+                    at, known = (cell, part), {int(i): int(f) for i, f, told in zip(block["numbers"], block["floors"], block["told"], strict=True) if told}
+                for number, i, q in zip(block["numbers"].tolist(), block["ids"].tolist(), block["v"], strict=True):
                     found = own.top(i, q, k, known.get(number))
                     if len(found) == k:
                         known[number] = max(known.get(number, -LIMIT), min(found)[0])
                     rows += [(number, i, v, s) for s, v in found]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], names=["number", "query_id", "vec_id", "score"])
 
-    order = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
-    ranked = met.mapInArrow(run, SCHEMA).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    best = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
+
+    def ranked(rows):
+        return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+    def met(links):
+        """Results of the pairs (number, cell, floor): each tree of a cell meets each block of the cell's queries once."""
+        counts = [0] * len(pivots)
+        for r in links.groupBy("cell").count().collect():
+            counts[r["cell"]] = r["count"]
+        if sent is not None:
+            sent.append(sum(counts))
+        parts = [-(-c // query_rows) for c in counts]
+        chosen = links.join(asked, "number").withColumn("part", F.pmod(F.xxhash64("number"), of_cell(parts)).cast("int"))
+        packs = chosen.groupBy("cell", "part").applyInArrow(gather, "cell int, part int, queries binary")
+        left = trees.filter(of_cell(parts) > 0).withColumn("part", F.explode(F.sequence(F.lit(0), of_cell(parts) - 1)))
+        right = packs.withColumn("block", F.explode(F.sequence(F.lit(0), of_cell(blocks) - 1)))
+        return left.join(right, ["cell", "part", "block"]).select("cell", "part", "tree", "queries").mapInArrow(run, SCHEMA)
+
+    homes = cut(asked.select("number", "v").mapInArrow(home, "number long, cell int, floor long"))
+    first = cut(ranked(met(homes)).drop("rank"))
+    floors = first.groupBy("number").agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
+    told = asked.select("number", "v").join(homes.drop("floor"), "number").join(floors, "number", "left")
+    links = cut(told.select("number", "v", "cell", "floor").mapInArrow(others, "number long, cell int, floor long"))
+    return ranked(first.unionByName(met(links))).select("query_id", "rank", "vec_id", "score")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
