@@ -26,6 +26,7 @@ import io
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,9 +47,10 @@ def integers(vectors: DataFrame) -> DataFrame:
 
 
 def matrix(column, width: int) -> np.ndarray:
-    out = np.zeros((len(column), width), np.int64)
-    for k, v in enumerate(column):
-        out[k, : len(v)] = v
+    """The lists of an Arrow column, none longer than width, as rows padded by zeros."""
+    sizes = np.asarray(pc.list_value_length(column))
+    out = np.zeros((len(sizes), width), np.int64)
+    out[np.arange(width) < sizes[:, None]] = np.asarray(pc.list_flatten(column))
     return out
 
 
@@ -203,11 +205,11 @@ def search(
     bound, width = bound or 0.0, width or 1
     asked = asked.withColumn("v", F.slice("v", 1, width))
     drawn = points.orderBy(F.xxhash64("row"), "row").limit(max(1, min(cells, -(-n // block_rows)))).select("v").collect()
-    pivots = np.unique(extended(matrix([r.v for r in drawn], width), bound), axis=0) if drawn else np.zeros((1, width + 1))
+    pivots = np.unique(extended(matrix(pa.array([r.v for r in drawn], pa.list_(pa.int64())), width), bound), axis=0) if drawn else np.zeros((1, width + 1))
 
     def near(batches):
         for batch in batches:
-            far = distances(extended(matrix(batch.column(1).to_pylist(), width), bound), pivots)
+            far = distances(extended(matrix(batch.column(1), width), bound), pivots)
             cell = far.argmin(axis=1) if len(far) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cell, pa.int32()), pa.array(far[np.arange(len(far)), cell])], names=["vec_id", "v", "row", "cell", "far"])
 
@@ -220,7 +222,7 @@ def search(
     def grow(key, table):
         ids = np.asarray(table.column("vec_id"))
         order = np.argsort(ids, kind="stable")
-        tree = build(ids[order], matrix(table.column("v").to_pylist(), width)[order], bound)
+        tree = build(ids[order], matrix(table.column("v"), width)[order], bound)
         return pa.table({"cell": pa.array([key[0].as_py()], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "tree": pa.array([pack(tree)], pa.binary())})
 
     def of_cell(values: list[int]):
@@ -231,14 +233,14 @@ def search(
 
     def home(batches):
         for batch in batches:
-            far = distances(np.pad(matrix(batch.column(1).to_pylist(), width).astype(np.float64), ((0, 0), (0, 1))), pivots)
+            far = distances(np.pad(matrix(batch.column(1), width).astype(np.float64), ((0, 0), (0, 1))), pivots)
             far[:, ~np.isfinite(radii)] = np.inf
             cell = far.argmin(axis=1) if len(far) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell, pa.int32()), pa.nulls(len(cell), pa.int64())], names=["number", "cell", "floor"])
 
     def others(batches):
         for batch in batches:
-            x = np.pad(matrix(batch.column(1).to_pylist(), width).astype(np.float64), ((0, 0), (0, 1)))
+            x = np.pad(matrix(batch.column(1), width).astype(np.float64), ((0, 0), (0, 1)))
             square, far = (x**2).sum(axis=1), distances(x, pivots)
             floors = batch.column(3).to_pylist()
             most = reach_of(square, bound, [-LIMIT if f is None else f for f in floors])
@@ -250,7 +252,7 @@ def search(
     def gather(key, table):
         floors = table.column("floor")
         data = pack({
-            "ids": np.asarray(table.column("vec_id")), "numbers": np.asarray(table.column("number")), "v": matrix(table.column("v").to_pylist(), width),
+            "ids": np.asarray(table.column("vec_id")), "numbers": np.asarray(table.column("number")), "v": matrix(table.column("v"), width),
             "floors": np.asarray(floors.fill_null(-LIMIT)), "told": np.asarray(floors.is_valid()),
         })
         return pa.table({"cell": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "queries": pa.array([data], pa.binary())})
