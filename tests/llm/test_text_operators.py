@@ -128,7 +128,8 @@ def test_simhash(spark, documents, nothing):
     assert simhash.near_duplicates(nothing).count() == 0
 
 
-def test_anchor_covering_loses_no_link(spark):
+@pytest.mark.parametrize("bounds", [{}, {"members": 64, "rows": 256}, {"members": 0, "rows": 1}])
+def test_anchor_covering_loses_no_link(spark, bounds):
     r = np.random.default_rng(3)
     base = r.integers(0, 1 << 63, 60, dtype=np.uint64)
     near = [b ^ np.uint64(sum(1 << int(x) for x in r.choice(64, k, replace=False))) for b in base for k in (1, 2, 2, 3)]
@@ -136,7 +137,7 @@ def test_anchor_covering_loses_no_link(spark):
     crowd = [base[0] ^ np.uint64(1 << int(a)) ^ np.uint64(1 << int(b)) for a in range(40) for b in range(40)]  # a crowded anchor
     fps = np.unique(np.concatenate((base, near, chain, crowd)).astype(np.uint64))
     words = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    got = {row.node: row.root for row in components(simhash.links(words)).collect()}
+    got = {row.node: row.root for row in components(simhash.links(words, **bounds)).collect()}
     a, b = [], []
     for i in range(len(fps)):
         j = np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= 2) + i + 1

@@ -11,6 +11,8 @@ d1 + d2 <= 2 bits of the two halves, the second lies within 3 + d1 and 3 + d2 of
 fingerprints are compared with all that were sent there. An anchor with many members (a large group of near copies) is not
 compared pair by pair: two fingerprints link there if and only if one word is within one bit of both, so that its members
 are grouped by the 65 words around each, which is linear. Each task emits a spanning forest of its links, not the pairs.
+An anchor with more members than a task should hold (MEMBERS) passes them on as they come: they are grouped by those words in
+one more exchange, where no group can have more than 65 distinct fingerprints.
 
 Equal fingerprints count once in all this. Null texts are empty texts. Rows are kept, also repeated ones; a null doc_id
 stays null and takes part with the others, but never names a component unless all of it is null.
@@ -23,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, prepare, utf8
@@ -34,6 +36,11 @@ SEED, SHINGLE, THRESHOLD = 42, 3, 2
 #: Members from which an anchor's fingerprints are linked through their one-bit neighbourhoods.
 CROWDED = 48
 
+#: Members of an anchor that a task holds at once; beyond them they are linked in an exchange of their own.
+MEMBERS = 1 << 21
+#: Rows that a task collects before it compares the anchors that are whole.
+ROWS = 1 << 18
+
 #: The Golay code's generator, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0xC75
 
@@ -222,41 +229,60 @@ def compare(anchors: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return nodes[moved], nodes[label[moved]]
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def sphere_edges(fps: DataFrame) -> DataFrame:
+    """Edges (u, v) between fingerprints (fp: long, no repeats) at 2 or fewer bits: each with the least of those that share a
+    word within one bit, of which there are 65 at most."""
+    around = F.concat(F.array("fp"), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), k))))
+    words = fps.select(F.explode(around).alias("word"), "fp")
+    return words.withColumn("u", F.min("fp").over(Window.partitionBy("word"))).filter("u != fp").select("u", F.col("fp").alias("v")).distinct()
+
+
+def links(distinct: DataFrame, *, members: int = MEMBERS, rows: int = ROWS) -> DataFrame:
     """Edges (u, v) between the fingerprints of distinct (fp: long, no repeats) whose components are those of all links."""
 
     def spread(batches):
         for batch in batches:
             fps = batch.column(0).to_numpy()
             for k in range(0, len(fps), 1 << 13):
-                rows, anchors = replicas(fps[k : k + (1 << 13)])
-                yield pa.RecordBatch.from_arrays([pa.array(anchors.astype(np.int32)), pa.array(fps[k : k + (1 << 13)][rows])], names=["anchor", "fp"])
+                at, anchors = replicas(fps[k : k + (1 << 13)])
+                yield pa.RecordBatch.from_arrays([pa.array(anchors.astype(np.int32)), pa.array(fps[k : k + (1 << 13)][at])], names=["anchor", "fp"])
+
+    def emit(u, v):
+        return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     def per_anchor(batches):
-        anchors, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        """Edges, and the members of an anchor that has too many with no v."""
         held: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def emit(anchors, fps):
-            u, v = compare(anchors, fps)
-            return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-        rows = 0
+        count, passing = 0, None  # the rows held; the anchor whose members are passed on
         for batch in batches:
-            held.append((batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy()))
-            rows += batch.num_rows
-            if rows < 1 << 18:
+            anchors, fps = batch.column(0).to_numpy().astype(np.int64), batch.column(1).to_numpy()
+            if passing is not None:
+                end = int(np.searchsorted(anchors, passing, side="right"))
+                if end:
+                    yield emit(fps[:end], [None] * end)
+                anchors, fps = anchors[end:], fps[end:]
+                if not len(anchors):
+                    continue
+                passing = None
+            held.append((anchors, fps))
+            count += len(anchors)
+            if count < rows:
                 continue
             anchors, fps = (np.concatenate(x) for x in zip(*held, strict=True))
             last = int(np.searchsorted(anchors, anchors[-1]))  # the last anchor may go on in the next batch
             if last:
-                yield emit(anchors[:last], fps[:last])
-            held, rows = [(anchors[last:], fps[last:])], 0
+                yield emit(*compare(anchors[:last], fps[:last]))
+            held, count = [(anchors[last:], fps[last:])], 0
+            if len(anchors) - last > members:
+                passing, held = anchors[-1], []
+                yield emit(fps[last:], [None] * (len(fps) - last))
         if held:
-            anchors, fps = (np.concatenate(x) for x in zip(*held, strict=True))
-            yield emit(anchors, fps)
+            yield emit(*compare(*(np.concatenate(x) for x in zip(*held, strict=True))))
 
     replicated = distinct.mapInArrow(spread, "anchor int, fp long")
-    return replicated.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(per_anchor, "u long, v long")
+    found = cut(replicated.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(per_anchor, "u long, v long"))
+    crowd = found.filter("v IS NULL").select(F.col("u").alias("fp")).distinct()
+    return found.filter("v IS NOT NULL").unionByName(sphere_edges(crowd))
 
 
 def rooted(rows: DataFrame, least: Column) -> DataFrame:
