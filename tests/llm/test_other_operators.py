@@ -208,9 +208,10 @@ def test_layouts(spark):
     table = spark.sql("SELECT 1 AS conv_id, 'q' AS prompt, 'a' AS response, 'other' AS text, 3 AS turn")
     assert chat.layout_of(table.schema).name == "prompt_response"
     rows = ['{"messages": [{"role": "user", "content": "q"}], "id": 3}', '{"conversations": [{"from": "human", "value": "q"}]}', '{"instruction": "q", "input": "", "output": "a"}', '{"prompt": "q", "completion": "a"}', '{"foo": 1}', None, "broken"]
+    rows += ['{"messages": [{"content": "q"}, {"role": "user", "content": "r"}]}', '{"messages": [{"role": "user", "content": "q"}, {"from": "human", "value": "lost"}]}', '{"messages": [{"role": "user", "content": "q"}, 5]}', '{"messages": []}', '{"messages": "x"}']
     got = chat.canonical_turns_json(spark.createDataFrame(list(enumerate(rows)), "k int, js string"), "js", "k").orderBy("k").collect()
-    assert [r.layout for r in got] == ["messages", "from_value", "instruction", "prompt_completion", None, None, None]
-    assert [[(t.role, t.text) for t in r.turns or []] for r in got] == [[("user", "q")], [("user", "q")], [("user", "q"), ("assistant", "a")], [("user", "q"), ("assistant", "a")], [], [], []]
+    assert [r.layout for r in got] == ["messages", "from_value", "instruction", "prompt_completion", None, None, None, "messages", None, None, None, None]
+    assert [[(t.role, t.text) for t in r.turns or []] for r in got] == [[("user", "q")], [("user", "q")], [("user", "q"), ("assistant", "a")], [("user", "q"), ("assistant", "a")], [], [], [], [("", "q"), ("user", "r")], [], [], [], []]
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))

@@ -2,8 +2,9 @@
 
 A source's layout is recognised by a fingerprint: the hash of its sorted nested field paths (list levels as []). Each known
 fingerprint selects a declarative mapping into canonical turns (role, text). Typed tables are fingerprinted by their schema,
-JSON rows one by one, so that one column may mix layouts. Fields that no layout names are left out of the fingerprint, so
-extra columns change nothing; of several layouts that fit, the first counts.
+JSON rows one by one, so that one column may mix layouts. A list has the paths that any of its elements has; one with an
+element of none of the known fields has no paths, so that no turn is lost in silence. Fields that no layout names are left
+out of the fingerprint, so extra columns change nothing; of several layouts that fit, the first counts.
 
 Turns are then written as `### role: text</turn>` and a line break. Inside roles and texts `\\`, `#`, `<` and (in roles) `:`
 are written as `\\e`, `\\h`, `\\l` and `\\c`, so that no text can contain a mark, and reading back is exact.
@@ -114,13 +115,16 @@ def canonical_turns_json(source: DataFrame, column: str, key: str) -> DataFrame:
     """(key, layout, turns) of JSON rows: each row's own fingerprint selects its mapping."""
     known = sorted({p for x in LAYOUTS if not x.rows for p in x.paths})
     nested = [f"{name}[]." for name in sorted({p.split("[")[0] for p in known if "[" in p})]
-    paths = F.coalesce(F.json_object_keys(column), F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
 
     def below(prefix: str) -> Column:
-        inner = F.json_object_keys(F.get_json_object(column, f"$.{prefix[:-3]}[0]"))
-        return F.coalesce(F.transform(inner, lambda k: F.concat(F.lit(prefix), k)), F.array().cast("array<string>"))
+        names = F.array(*[F.lit(p.removeprefix(prefix)) for p in known if p.startswith(prefix)])
+        elements = F.from_json(F.get_json_object(column, f"$.{prefix[:-3]}"), "array<string>")
+        own = F.transform(elements, lambda e: F.coalesce(F.array_intersect(F.json_object_keys(e), names), none))
+        inner = F.when(~F.exists(own, lambda k: F.size(k) == 0), F.array_distinct(F.flatten(own)))
+        return F.coalesce(F.transform(inner, lambda k: F.concat(F.lit(prefix), k)), none)
 
-    paths = F.concat(paths, *map(below, nested))
+    paths = F.concat(F.coalesce(F.json_object_keys(column), none), *map(below, nested))
     parsed = source.select(F.col(key), F.from_json(column, JSON_SCHEMA).alias("row"), paths.alias("paths"))
     name, turns = F.lit(None).cast("string"), F.lit(None).cast("array<struct<role: string, text: string>>")
     for layout in reversed([x for x in LAYOUTS if not x.rows]):
