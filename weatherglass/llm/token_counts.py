@@ -123,17 +123,19 @@ def scan_files(spark, folder: str, *, end: int = END, kind: str = "<u2", block_b
 
 def remove(folder: str) -> None:
     fs, path = store(folder)
-    fs.delete_dir(path)
+    if fs.get_file_info(path).type != pafs.FileType.NotFound:
+        fs.delete_dir(path)
 
 
 def count(documents: DataFrame, ranks_path: str, *, end: int = END) -> DataFrame:
     """doc_id and n_tokens for each row of documents, through token files that are removed afterwards."""
     spark = documents.sparkSession
     folder = f"{checkpoint_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    names = write_files(documents, folder, ranks_path, end=end)
-    counted = cut(names.join(scan_files(spark, folder, end=end), ["file", "ordinal"]).select("doc_id", "n_tokens"))
-    remove(folder)
-    return counted
+    try:
+        names = write_files(documents, folder, ranks_path, end=end)
+        return cut(names.join(scan_files(spark, folder, end=end), ["file", "ordinal"]).select("doc_id", "n_tokens"))
+    finally:
+        remove(folder)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
