@@ -1,5 +1,9 @@
 """Every query against its SQL on the smallest tables."""
 
+import subprocess
+import sys
+from pathlib import Path
+
 import duckdb
 import numpy as np
 import pandas as pd
@@ -7,6 +11,7 @@ import pytest
 
 from weatherglass.plans import catalog
 
+ROOT = str(Path(__file__).resolve().parents[1])
 DATA = "/root/testdata/sf0.001"
 
 
@@ -36,3 +41,7 @@ def test_llm_part_is_optional():
     import __spark_entry__ as entry
 
     assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+    # In an interpreter that can import neither of the optional parts.
+    blocked = "import sys; sys.modules.update({'weatherglass.llm': None, 'corpus_pipeline': None}); import __spark_entry__ as e; print(*e.queries()); print(*e.oracle_sql())"
+    names, told = subprocess.run([sys.executable, "-c", blocked], cwd=ROOT, capture_output=True, text=True, check=True).stdout.splitlines()[-2:]
+    assert names.split() == list(catalog.QUERIES) and told.split() == list(catalog.ORACLES)
