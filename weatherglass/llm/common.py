@@ -66,6 +66,17 @@ def chunks(texts: list[bytes | None], limit: int = 8 << 20):
         yield begin, len(texts)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names like those given, none of which df has (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def scalar(df: DataFrame, expr) -> object:
     return df.agg(F.expr(expr) if isinstance(expr, str) else expr).first()[0]
 

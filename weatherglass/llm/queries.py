@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, licenses, mtree, quality, sentencepiece_codec, sharding, simhash, token_counts, wrappers
+from . import chat, decontamination, exact_dedup, licenses, mtree, quality, sentencepiece_codec, sharding, simhash, token_counts, wrappers
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_sharding": sharding.query,
         "op9_simhash_dedup": simhash.query,
         "op10_sentencepiece": sentencepiece_codec.query,
+        "op11_exact_dedup": exact_dedup.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_top_k": mtree.ORACLE, "op5_chat_formatting": chat.ORACLE}
+    return {"op4_exact_top_k": mtree.ORACLE, "op5_chat_formatting": chat.ORACLE, "op11_exact_dedup": exact_dedup.ORACLE}
