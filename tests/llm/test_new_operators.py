@@ -1,13 +1,16 @@
 """Exact duplicates, periodic runs and hard negatives against brute force."""
 
 import hashlib
+import random
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
 
 from weatherglass.llm import exact_dedup as E
+from weatherglass.llm import periodic_runs as P
 
 SCHEMA = "doc_id long, text string, key int, row string, again boolean"
 LONG = "many words of one text " * 100_000
@@ -69,3 +72,97 @@ def test_filter_misses_no_repeated_key():
         one.twice = np.packbits(twice, bitorder="little")
         again = one.again(keys)
         assert again[:100].all() and again[100:].mean() < 0.05
+
+
+def runs(w):
+    """(start, end, smallest period) of all runs, by comparing the words at every distance."""
+    n, best = len(w), {}
+    for q in range(1, n // 2 + 1):
+        k = 0
+        while k < n - q:
+            s = k
+            while k < n - q and w[k] == w[k + q]:
+                k += 1
+            if k > s and k + q - s >= max(12, 2 * q):
+                best.setdefault((s, k + q), q)
+            k += 1
+    return sorted(((s, e, q) for (s, e), q in best.items()), key=lambda x: (x[0], x[2]))
+
+
+def made(kind, n, r):
+    if kind in (1, 2):
+        return [r.randint(1, kind + 1) for _ in range(n)]
+    if kind == 3:  # Fibonacci words have many runs
+        a, b = [1], [1, 2]
+        while len(b) < n:
+            a, b = b, b + a
+        return b[:n]
+    if kind == 4:
+        w = [1] * n
+        for _ in range(r.randint(0, 3)):
+            w[r.randrange(n)] = 2
+        return w
+    w = []
+    while len(w) < n:
+        part = [r.randint(1, 4) for _ in range(r.randint(1, max(1, n // 5)))]
+        w += (part * r.randint(1, 3) + part[: r.randint(0, len(part))]) * r.randint(1, 3)
+    return w
+
+
+def test_runs_are_those_of_brute_force():
+    r = random.Random(1)
+    for k in range(600):
+        w = made(k % 6, r.randint(1, 150) if k % 20 else 1200, r)
+        assert [tuple(x) for x in P.runs_of(np.array(w)).tolist()] == runs(w), w
+    for size in (12, 13, 24, 25):  # the shortest runs of each period
+        for q in range(1, size // 2 + 1):
+            w = [9, *(100 + k % q for k in range(size)), 8]
+            assert [tuple(x) for x in P.runs_of(np.array(w)).tolist()] == runs(w)
+
+
+def test_long_runs_take_little_time():
+    n = 300_000
+    for w in (np.ones(n, int), np.resize(np.arange(1, 8), n), np.resize(np.random.default_rng(1).integers(1, 5, 999), n)):
+        assert P.runs_of(w)[0][:2].tolist() == [0, n]
+    assert len(P.runs_of(np.resize([*[1] * 100, 2], n))) > n // 101
+
+
+def periodic(doc_id, text):
+    """What the query says of a document, by brute force."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    n = len(words)
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 == 0 and n:
+        a = h // 10 % n
+        p = 1 + (n - a) // (3 + h // 10 % 8)
+        words = [words[i if i < a else a + (i - a) % p] for i in range(n)]
+    found = runs(words)
+    gone = {i for s, e, q in found for i in range(s + q, e)}
+    best = min(((s - e, s, q) for s, e, q in found), default=None)
+    lines = "".join(f"{s},{e - s},{q}\n" for s, e, q in found)
+    kept = " ".join(w for i, w in enumerate(words) if i not in gone)
+    told = (best[1], -best[0], best[2], 1000 * -best[0] // best[2]) if best else (None,) * 4
+    return (doc_id, len(found), *told, hashlib.sha256(lines.encode()).hexdigest(), hashlib.sha256(kept.encode()).hexdigest())
+
+
+@pytest.mark.parametrize("part_bytes", [1, 1 << 20])
+def test_periodic_runs(spark, part_bytes):
+    r = random.Random(2)
+    rows = [(k, " ".join(f"w{x}" for x in made(k % 6, r.randint(1, 200), r))) for k in range(80)]
+    rows += [(200 + k, " \n".join(str(x) for x in r.choices(range(60), k=r.randint(1, 300)))) for k in range(60)]
+    rows += [(None, "a " * 30), (None, None), (300, None), (301, ""), (302, " \x0b\n"), (303, "x\u00a0y " * 20), (303, "x\u00a0y " * 20), (304, "\x00 \x1f " * 9), (305, "one"), (306, "a b " * 6), (307, "a b " * 5 + "a")]
+    assert sum(zlib.crc32(str(i).encode()) % 10 == 0 for i, _ in rows) > 8
+    docs = spark.createDataFrame([(*x, 1, "c", 5) for x in rows], "doc_id long, text string, runs int, collapsed string, start long").repartition(3)
+    got = P.told(P.periodic_runs(P.planted(docs), part_bytes=part_bytes))
+    assert got.columns == ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted((periodic(*x) for x in rows), key=str)
+    assert P.told(P.periodic_runs(P.planted(docs.limit(0)))).count() == 0
+
+
+def test_periodic_runs_of_long_texts(spark):
+    text = "the same few words again " * 120_000 + "end " * 90_000
+    docs = spark.createDataFrame([(1, text), (5, text + "x")], "doc_id long, text string")
+    assert all(zlib.crc32(str(i).encode()) % 10 for i in (1, 5))
+    got = sorted((r.doc_id, [tuple(x) for x in r.runs], r.collapsed) for r in P.periodic_runs(docs).collect())
+    want = [(0, 600_000, 5), (600_000, 90_000, 1)]
+    assert got == [(1, want, "the same few words again end"), (5, want, "the same few words again end x")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, exact_dedup, licenses, mtree, quality, sentencepiece_codec, sharding, simhash, token_counts, wrappers
+from . import chat, decontamination, exact_dedup, licenses, mtree, periodic_runs, quality, sentencepiece_codec, sharding, simhash, token_counts, wrappers
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_simhash_dedup": simhash.query,
         "op10_sentencepiece": sentencepiece_codec.query,
         "op11_exact_dedup": exact_dedup.query,
+        "op12_periodic_runs": periodic_runs.query,
     }
 
 
