@@ -4,12 +4,14 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weatherglass.llm import exact_dedup as E
+from weatherglass.llm import hard_negatives as H
 from weatherglass.llm import periodic_runs as P
 
 SCHEMA = "doc_id long, text string, key int, row string, again boolean"
@@ -166,3 +168,75 @@ def test_periodic_runs_of_long_texts(spark):
     got = sorted((r.doc_id, [tuple(x) for x in r.runs], r.collapsed) for r in P.periodic_runs(docs).collect())
     want = [(0, 600_000, 5), (600_000, 90_000, 1)]
     assert got == [(1, want, "the same few words again end"), (5, want, "the same few words again end x")]
+
+
+def negatives(rows, anchors, positives=5, kept=3):
+    """A Counter of all result rows for (vec_id, embedding, label) by comparing all pairs."""
+    width = max((len(v) for _, v, _ in rows if v), default=1)
+    used = [(i, [int(np.floor(256 * np.float64(x))) for x in v] + [0] * (width - len(v)), c) for i, v, c in rows if i is not None and c is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    hold = lambda x: max(-(1 << 63), min((1 << 63) - 1, x))
+    used = [(i, [hold(x) for x in v], c) for i, v, c in used]
+    out = Counter()
+    for i, v, c in used:
+        if not anchors(i):
+            continue
+        scored = sorted((-hold(sum(a * b for a, b in zip(v, w, strict=True))), j, d) for j, w, d in used if j != i)
+        for s, j in [(-s, j) for s, j, d in scored if d == c][:positives]:
+            fit = [(-t, m) for t, m, d in scored if d != c and 50 * s <= 100 * -t <= 95 * s][:kept]
+            out.update((i, j, n + 1, m, s, t) for n, (t, m) in enumerate(fit))
+    return out
+
+
+@pytest.mark.parametrize("bounds", [{}, {"strip_rows": 40, "pack_rows": 3, "bucket_rows": 16}, {"strip_rows": 100, "pack_rows": 50, "bucket_rows": 7}])
+def test_hard_negatives(spark, bounds):
+    r = np.random.default_rng(6)
+    x = (r.normal(0, 1, (500, 8)) * r.lognormal(0, 0.8, (500, 1))).round(2)
+    x[100:260] = x[100]  # a hot vector, of all labels
+    label = np.where(r.random(500) < 0.4, 3, r.integers(-2, 40, 500))  # a hot label and rare ones
+    rows = [(k, v.tolist(), int(c)) for k, (v, c) in enumerate(zip(x, label, strict=True))]
+    rows += [(600, None, 3), (605, [1.0, None], 3), (610, [float("nan")] * 8, 3), (615, [float("inf")] * 8, 3), (620, [1.0] * 8, None), (None, [1.0] * 8, 3), (625, [], 3), (630, [2.0, -1.0], 3), (50, [0.5] * 8, 3), (50, [0.5] * 8, 3), (635, [0.0] * 8, 3), (640, [1.0] * 8, 9999)]
+    vectors = spark.createDataFrame([(*row, 1, "n", 2) for row in rows], "vec_id long, embedding array<double>, label int, number int, part string, norm int").repartition(4)
+    got = H.hard_negatives(vectors, F.col("vec_id") % 5 == 0, **bounds)
+    assert got.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+    assert Counter(map(tuple, got.collect())) == negatives(rows, lambda i: i % 5 == 0)
+    assert H.hard_negatives(vectors.limit(0), F.col("vec_id") % 5 == 0).count() == 0
+    assert H.hard_negatives(vectors, F.lit(False)).count() == 0
+
+
+def test_hard_negatives_of_huge_components(spark):
+    rows = [(0, [1e15, -1e15], 1), (1, [3e15, 2e15], 1), (2, [1e12, 5.0], 1), (3, [1e13, 1e3], 2), (4, [7e14, 7e14], 2), (5, [1e-3, 1e3], 2), (6, [1e3, 1e3], 1), (7, [9e2, 8e2], 2)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+    assert Counter(map(tuple, H.hard_negatives(vectors, F.lit(True)).collect())) == negatives(rows, lambda i: True)
+
+
+def test_buckets_below_the_limit_are_left_out(spark):
+    r = np.random.default_rng(2)
+    x = r.normal(0, 1, (4000, 16))
+    x *= (0.999 ** np.arange(4000))[:, None]
+    rows = [(k, v.tolist(), k % 4) for k, v in enumerate(x.round(3))]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    sent = []
+    got = Counter(map(tuple, H.hard_negatives(vectors, F.col("vec_id") % 200 == 0, strip_rows=50, pack_rows=1, sent=sent).collect()))
+    assert got == negatives(rows, lambda i: i % 200 == 0)
+    assert len(sent) == 4 and all(a < b / 2 for a, b in sent[:2]) and sum(a for a, _ in sent[2:]) < 0.8 * sent[3][1]
+    v = np.floor(256 * x.round(3)).astype(np.int64)
+    norms = np.sqrt((v.astype(float) ** 2).sum(axis=1))
+    strip = H.Strip(H.Strip.made(np.arange(4000), np.arange(4000) % 4, v, norms))
+    block = {"ids": np.arange(8), "labels": np.arange(8) % 4, "v": v[:8], "norms": norms[:8], "lows": np.full((8, 1), -(1 << 63)), "highs": np.full((8, 1), (1 << 63) - 1)}
+    strip.best(block, 5, True, 64)
+    assert strip.passed > strip.met > 0
+
+
+def test_new_oracles(spark):
+    import duckdb
+
+    from weatherglass.llm import queries
+
+    data, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    for name in ("op11_exact_dedup", "op13_hard_negatives"):
+        got = queries.queries()[name](spark, data).toPandas()
+        order = list(got.columns)
+        want = con.execute(queries.oracle_sql()[name]).df()[order]
+        assert len(got) and got.sort_values(order).reset_index(drop=True).equals(want.sort_values(order).reset_index(drop=True))

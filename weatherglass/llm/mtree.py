@@ -27,7 +27,7 @@ import io
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, prepare
@@ -39,11 +39,11 @@ CELLS = 256
 LIMIT = 1 << 63
 
 
-def integers(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v: array<long>) of the rows that take part."""
+def integers(vectors: DataFrame, *carried: Column) -> DataFrame:
+    """(vec_id, v: array<long>) and the carried columns of the rows that take part."""
     scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * SCALE).cast("long"))
     good = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) != float("inf")))
-    return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).filter(F.coalesce(good, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"))
+    return vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).filter(F.coalesce(good, F.lit(False))).select(F.col("vec_id").cast("long").alias("vec_id"), scaled.alias("v"), *carried)
 
 
 def matrix(column, width: int) -> np.ndarray:

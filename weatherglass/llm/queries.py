@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontamination, exact_dedup, licenses, mtree, periodic_runs, quality, sentencepiece_codec, sharding, simhash, token_counts, wrappers
+from . import chat, decontamination, exact_dedup, hard_negatives, licenses, mtree, periodic_runs, quality, sentencepiece_codec, sharding, simhash, token_counts, wrappers
 
 
 def queries() -> dict:
@@ -19,8 +19,9 @@ def queries() -> dict:
         "op10_sentencepiece": sentencepiece_codec.query,
         "op11_exact_dedup": exact_dedup.query,
         "op12_periodic_runs": periodic_runs.query,
+        "op13_hard_negatives": hard_negatives.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_top_k": mtree.ORACLE, "op5_chat_formatting": chat.ORACLE, "op11_exact_dedup": exact_dedup.ORACLE}
+    return {"op4_exact_top_k": mtree.ORACLE, "op5_chat_formatting": chat.ORACLE, "op11_exact_dedup": exact_dedup.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
