@@ -8,16 +8,23 @@ side has becomes optional, and texts that differ become a slot. Each task folds
 tasks' wrappers of a host are then folded into one, so no task holds a host's pages, and a wrapper's size is bounded by the
 variety of tags, not by the pages.
 
-The wrapper tells what is the host's and what is an article's (rules): the main region, the smallest element outside which
-there is nothing but menus, headers, footers, sidebars, notices, adverts, forms, comments, and blocks that are the same in all
-pages of the host; the blocks inside it that stand in all pages with the same text; and which elements, though their class, id
-or role has a word of boilerplate, are an article's own, since under half of the pages have them. Where layouts differ the
-region is what they have in common, and of a host's only page nothing counts as the same in all. Extraction parses each page,
-finds the region in it and joins its blocks: white space inside a block becomes one space, blocks are joined by one space,
-character references are decoded. A page without the region falls back on its own main region.
-
-Numbers in class, id and role count as equal, and a node with very many different children tells them apart by name only, so
-that ids that differ from page to page don't make the wrapper grow.
+The wrapper tells what is the host's and what is an article's (rules): the main region, the smallest element that all pages
+have and outside which there is nothing but menus, headers, footers, sidebars, notices, adverts, forms, comments, and blocks
+that are the same in all pages of the host; and those of its blocks that stand in all pages with the same text. Where layouts
+differ the region is what they have in common, and of a host's only page nothing counts as the same in all. Extraction parses
+each page, finds the region in it and joins its blocks: white space inside a block becomes one space, blocks are joined by one
+space, character references are decoded. A page without the region falls back on its own main region.
+
+What is boilerplate in a page is told by the names of elements and by the tokens of class, id and role: a token counts if all
+of its words are of a fixed list, with one for boilerplate among them ("cookie-notice", "share-buttons"; not "menu-recipe"). No
+count of pages overrules that, but the page's own structure and prose (text outside links and headings) do: what holds the main element or
+the only article is no boilerplate, and where a word may also name an article's part ("notice", "social", "related"), the
+element that holds most of the page's prose is not dropped. A section for discussion or replies behind the article is readers'
+comments. What all pages have is kept apart as a set that only shrinks, so that it depends neither on the order in which pages
+are folded nor on how many children an element has.
+
+Numbers in class, id and role count as equal. Of many children of an element, those that come again count as repeated, and
+those that some pages lack are told apart by name only: ids that differ from page to page don't make the wrapper grow.
 
 Wrappers are sent to the tasks if they are below BROADCAST_BYTES; else pages and wrappers are joined by host.
 
@@ -31,6 +38,9 @@ import html as entities
 import json
 import re
 import sys
+from bisect import bisect_left
+from collections import Counter
+from functools import lru_cache
 from urllib.parse import urlsplit
 
 import pandas as pd
@@ -49,12 +59,54 @@ SHORT = 64
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+#: Elements whose text is no prose.
+NO_PROSE = frozenset("a h1 h2 h3 h4 h5 h6".split())
 #: Elements that are no part of an article.
 ASIDE = frozenset("nav header footer aside form script style noscript iframe template button select option textarea input svg math dialog menu object embed canvas head title".split())
-#: Words in class, id or role that mark boilerplate.
-MARKED = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar|aside|widget\w*|footer|masthead|site-?header|page-?header|header|cookie\w*|consent|notice\w*|gdpr|popup|modal|"
-    r"newsletter|subscribe|signup|sign-up|login|share|sharing|social|comments?|respond|disqus|related|recommend\w*|toolbar|pagination|pager|skip|contentinfo|search|navigation|complementary|alert)(?:$|[^a-z])")
+#: Words that mark boilerplate in class, id and role: those that hardly name an article's part, and those that may (fixed lists).
+HARD = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsored cookie cookies consent gdpr comment comments disqus respond newsletter subscribe signup login share sharing nav navbar navigation "
+    "breadcrumb breadcrumbs sidebar footer contentinfo complementary masthead pagination pager toolbar popup modal skip".split())
+SOFT = frozenset("banner sponsor sponsors promo promos promotion promotions menu menus aside widget widgets header notice notices social related recommended recommendation recommendations search alert alerts".split())
+#: Words that say where or how such an element stands, and the parts of an article that hard words are joined with.
+FRAME = frozenset(
+    "box bar bars wrap wrapper container list lists item items link links button buttons btn section sections area block blocks top bottom left right middle inner outer site page global primary secondary unit units slot slots form "
+    "policy message messages panel panels posts articles body content row col column group holder module zone floating sticky fixed overlay thread text icon icons toggle count more latest popular up sign".split())
+OWN = frozenset("post article entry".split())
+#: Words of a section behind the article that holds readers' comments; inside an article they are its own.
+BEHIND = frozenset("discussion replies reactions responses".split())
+LONGEST = max(map(len, HARD | SOFT | FRAME | OWN))
+
+
+@lru_cache(1 << 16)
+def parts(token: str) -> tuple[str, ...] | None:
+    """A class token as words of the lists, joined by -, _ or nothing; None if that can't be."""
+    ways: list[tuple[str, ...] | None] = [()] + [None] * len(token)
+    for k in range(1, len(token) + 1):
+        if token[k - 1] in "-_#":
+            ways[k] = ways[k - 1]
+            continue
+        for j in range(max(0, k - LONGEST), k):  # the longest word first
+            if ways[j] is not None and any(token[j:k] in x for x in (HARD, SOFT, FRAME, OWN)):
+                ways[k] = (*ways[j], token[j:k])
+                break
+    return ways[-1]
+
+
+@lru_cache(1 << 16)
+def marked(mark: str) -> str:
+    """"hard" or "soft" if a token of class, id or role consists of words that mark boilerplate and of words for its place; else
+    "". A token with any other word says what its element is about, and marks nothing."""
+    found = ""
+    for token in mark.split():
+        told = frozenset(parts(token) or ())
+        if told & HARD:
+            return "hard"
+        if told & SOFT and not told & OWN:
+            found = "soft"
+    return found
+
+
 #: Tags that end an open paragraph or list item.
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr li main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr"}, "th": {"tr"}, "option": {"select"}}
@@ -65,16 +117,19 @@ ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 
 
 class Element:
-    """name, mark (words of class, id and role), and children: elements and texts."""
+    """name, mark (words of class, id and role), and children: elements and texts. settled() tells kind: "hard" or "soft"
+    boilerplate, or "" for what is none, the digest and size of the text inside, and prose: its characters outside links and headings."""
 
-    __slots__ = ("name", "mark", "children")
+    __slots__ = ("name", "mark", "children", "kind", "digest", "size", "prose", "alone")
 
     def __init__(self, name: str, mark: str = ""):
         self.name, self.mark, self.children = name, mark, []
+        self.kind = "hard" if name in ASIDE else marked(mark) if mark and name not in ("html", "body", "main", "article") else ""
+        self.digest, self.size, self.prose, self.alone = "", 0, 0, True
 
     @property
     def boilerplate(self) -> bool:
-        return self.name in ASIDE or bool(self.mark and self.name not in ("html", "body", "main", "article") and MARKED.search(self.mark))
+        return bool(self.kind)
 
 
 class Stack:
@@ -128,6 +183,7 @@ def parse(page: str) -> Element:
     root = Element("#page")
     stack, at, begun, n = Stack(root), 0, 0, len(page)
     quotes = {q: page.rfind(q) for q in "\"'"}
+    articles = 0
 
     def said(a: int, b: int) -> None:
         if a < b:
@@ -137,7 +193,7 @@ def parse(page: str) -> Element:
         lt = page.find("<", at)
         if lt < 0 or lt + 1 == n:
             said(begun, n)
-            return root
+            return settled(root)
         head = page[lt + 1]
         if head in "!?":
             said(begun, lt)
@@ -161,7 +217,7 @@ def parse(page: str) -> Element:
             end = page.find(">", name.end()) if end < 0 else end
             if end < 0:  # no tag ends from here on
                 said(begun, n)
-                return root
+                return settled(root)
         if end < 0:
             at = lt + 1
             continue
@@ -176,6 +232,9 @@ def parse(page: str) -> Element:
         if name in SIBLINGS:
             stack.close_to(("dt", "dd") if name in ("dt", "dd") else ("td", "th") if name in ("td", "th") else (name,), SIBLINGS[name])
         mark = DIGITS.sub("#", " ".join(x[1] or x[2] or x[3] for x in ATTRIBUTE.findall(attributes)).lower()) if attributes.strip() else ""
+        if mark and articles and not stack.places.get("article") and BEHIND & set(mark.split()):
+            mark += " comments"
+        articles += name == "article"
         own = Element(name, mark)
         stack.open[-1].children.append(own)
         if name in VOID or attributes.endswith("/"):
@@ -190,10 +249,14 @@ def parse(page: str) -> Element:
 
 # A wrapper's node: [name, mark, optional, repeated, children, digest, pages]; a text: ["#text", constant or None for a slot,
 # optional, repeated, [characters seen], digest, pages]. The digest is that of all text inside, outside boilerplate: "" without
-# text, None where it differs between pages; pages is the number of pages that have the node.
+# text, None where it differs between pages; pages is the number of pages that have the node. The page's own node has one more
+# part: what all pages have (shared).
 
-#: Children from which a node's children are told apart by their names only: ids that differ from page to page don't add up.
+#: Children from which equal ones count as repeated, and those that some pages lack are told apart by their names only: ids that
+#: differ from page to page don't add up. What the wrapper decides rests on nodes that all pages have, which always stay.
 WIDE = 96
+#: Before the mark of an element that is an article's own, though it is marked like boilerplate.
+KEPT = "+ "
 
 
 def deep() -> None:
@@ -210,6 +273,113 @@ def constant(text: str) -> str:
     return text if len(text) <= SHORT else f"{text[:SHORT]}… {len(text)} {xxhash.xxh3_128_hexdigest(text)}"
 
 
+def settled(root: Element) -> Element:
+    """root, with the digest and prose of each element, and with an end to doubts about its kind: what is marked is no boilerplate
+    if it holds the page's main or only article; and a soft mark does not count on what holds most of the page's prose."""
+    articles = 0
+    marked_: list[tuple[Element, bool]] = []
+
+    def count(e: Element) -> tuple[int, bool]:
+        nonlocal articles
+        held, main = int(e.name == "article"), e.name == "main"
+        articles += held
+        for x in e.children:
+            if not isinstance(x, str) and x.name not in RAW:
+                more = count(x)
+                held, main = held + more[0], main or more[1]
+        if e.kind and e.name not in ASIDE:
+            marked_.append((e, main or held == 1))
+        return held, main
+
+    def measure(e: Element, link: bool) -> int:
+        e.prose = 0
+        if e.name not in RAW and e.name not in ASIDE:
+            link = link or e.name in NO_PROSE
+            for x in e.children:
+                if isinstance(x, str):
+                    e.prose += 0 if link else len(x.strip())
+                else:
+                    inner = measure(x, link)
+                    e.prose += 0 if x.kind else inner
+        return e.prose
+
+    def outer(e: Element) -> list[Element]:
+        """The soft elements outside other boilerplate."""
+        out = []
+        for x in e.children:
+            if not isinstance(x, str) and x.name not in RAW:
+                out += [x] if x.kind == "soft" else [] if x.kind else outer(x)
+        return out
+
+    def keep(e: Element) -> None:
+        e.kind, e.mark = "", KEPT + e.mark
+
+    def digest(e: Element) -> None:
+        names: dict[tuple, Element | None] = {}
+        run: list[str] = []
+        told, e.size = "", 0
+
+        def end() -> str:
+            if not run:
+                return ""
+            text = words("".join(run))
+            run.clear()
+            e.size += len(text)
+            return constant(text)
+
+        for x in e.children:
+            if isinstance(x, str):
+                run.append(x)
+            elif x.name == "br":
+                run.append(" ")
+            elif x.name in INLINE:
+                if not x.boilerplate:
+                    run.append(f" {text_of(x)} ")
+            else:
+                told = both(told, end())
+                digest(x)
+                if not x.boilerplate:
+                    told, e.size = both(told, x.digest), e.size + x.size
+                first = names.setdefault((x.name, x.mark), x)
+                if first is not x:
+                    first.alone = x.alone = False
+        e.digest = "" if e.name in RAW else both(told, end())
+
+    count(root)
+    for e, holds in marked_:
+        if holds and articles == 1:
+            keep(e)
+    if marked_:
+        measure(root, False)
+        while soft := outer(root):
+            most = max(soft, key=lambda x: x.prose)
+            if not most.prose or 2 * most.prose < root.prose + sum(x.prose for x in soft):
+                if root.prose or not most.prose:
+                    break
+            keep(most)
+            measure(root, False)
+    digest(root)
+    return root
+
+
+def name_of(e: Element) -> str:
+    """What stands for an element with its text, where those of different pages are compared."""
+    return xxhash.xxh3_128_hexdigest(f"{e.name}\0{e.mark}\0{e.digest}")
+
+
+def shared(root: Element) -> list[str]:
+    """The names of a page's blocks outside boilerplate that have text and no sibling of their kind."""
+    out: set[str] = set()
+    todo = [root]
+    while todo:
+        for x in todo.pop().children:
+            if not isinstance(x, str) and x.name not in INLINE and not x.boilerplate:
+                if x.digest and x.alone:
+                    out.add(name_of(x))
+                todo.append(x)
+    return sorted(out)
+
+
 def folded(element: Element) -> list:
     """The wrapper of one page: equal neighbours are folded into repeated groups."""
     children: list = []
@@ -235,11 +405,8 @@ def folded(element: Element) -> list:
                 end()
                 children.append(folded(x))
         end()
-    told = ""
-    if not element.boilerplate:
-        for x in children:
-            told = both(told, x[5])
-    return [element.name, element.mark, 0, 0, bounded(squeezed(children), both), told, 1]
+    node = [element.name, element.mark, 0, 0, bounded(squeezed(children), both), "" if element.boilerplate else element.digest, 1]
+    return [*node, shared(element)] if element.name == "#page" else node
 
 
 def both(a: str | None, b: str | None) -> str | None:
@@ -274,18 +441,29 @@ def squeezed(nodes: list) -> list:
 
 
 def bounded(nodes: list, digest) -> list:
-    """nodes, if they are few; else with no more of their marks than the word that makes them boilerplate, and if that is not
-    enough, one repeated node of each key: a wrapper grows with the variety of tags, not with the pages."""
-    if len(nodes) <= WIDE:
-        return nodes
-    nodes = squeezed([x if x[0] == "#text" else [x[0], "" if _plain(x[0], x[1]) else MARKED.search(x[1] or " nav ")[0].strip(), *x[2:]] for x in nodes])
-    if len(nodes) <= WIDE:
-        return nodes
-    held: dict[tuple, list] = {}
-    for x in nodes:
-        held[key(x)] = joined(held[key(x)], x, digest if digest is both else same) if key(x) in held else x
-        held[key(x)][3] = 1
-    return list(held.values())
+    """nodes, if they are few; else with one repeated node for each key that comes again, and if that is not enough, with one
+    optional node a name for those that some pages lack. A wrapper grows with the variety of tags and with what all pages have,
+    not with the pages."""
+    for kind in (key, lambda x: (x[0], "" if x[0] == "#text" or _plain(x[0], x[1]) else "ad")):
+        if len(nodes) <= WIDE:
+            return nodes
+        out: list = []
+        at: dict[tuple, int] = {}
+        for x in nodes:
+            k = kind(x)
+            if kind is not key:
+                if not x[2]:
+                    out.append(x)
+                    continue
+                x = [k[0], x[1] if k[0] == "#text" else k[1], *x[2:]]
+            if k in at:
+                out[at[k]] = joined(out[at[k]], x, digest if digest is both else same)
+                out[at[k]][3] = 1
+            else:
+                at[k] = len(out)
+                out.append(x)
+        nodes = out
+    return nodes
 
 
 def same(a: str | None, b: str | None) -> str | None:
@@ -298,30 +476,67 @@ def joined(a: list, b: list, digest=same) -> list:
     flags, pages = (a[2] | b[2], a[3] | b[3]), max(a[6], b[6]) if digest is both else a[6] + b[6]
     if a[0] == "#text":
         return ["#text", a[1] if a[1] == b[1] else None, *flags, [a[4][0] + b[4][0]], digest(a[5], b[5]), pages]
-    return [a[0], a[1], *flags, aligned(a[4], b[4], digest), digest(a[5], b[5]), pages]
+    node = [a[0], a[1], *flags, aligned(a[4], b[4], digest), digest(a[5], b[5]), pages]
+    return [*node, sorted(set(a[7]) & set(b[7]))] if len(a) > 7 else node
 
 
-def aligned(a: list, b: list, digest=same) -> list:
-    """Two child lists as one, by their longest common subsequence: what only one has becomes optional."""
-    ka, kb = [key(x) for x in a], [key(x) for x in b]
-    if ka == kb:
-        return [joined(x, y, digest) for x, y in zip(a, b, strict=True)]
+def common(a: list, b: list) -> list[tuple[int, int]]:
+    """The places of a longest common subsequence; in long lists, of one through the keys that both have once."""
     n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if ka[i] == kb[j] else max(best[i + 1][j], best[i][j + 1])
+    begin = 0
+    while begin < min(n, m) and a[begin] == b[begin]:
+        begin += 1
+    end = 0
+    while end < min(n, m) - begin and a[n - 1 - end] == b[m - 1 - end]:
+        end += 1
+    a_, b_ = a[begin : n - end], b[begin : m - end]
+    out = [(k, k) for k in range(begin)]
+    if a_ and b_ and len(a_) * len(b_) <= WIDE * WIDE:
+        best = [[0] * (len(b_) + 1) for _ in range(len(a_) + 1)]
+        for i in range(len(a_) - 1, -1, -1):
+            for j in range(len(b_) - 1, -1, -1):
+                best[i][j] = best[i + 1][j + 1] + 1 if a_[i] == b_[j] else max(best[i + 1][j], best[i][j + 1])
+        i = j = 0
+        while i < len(a_) and j < len(b_):
+            if a_[i] == b_[j]:
+                out.append((begin + i, begin + j))
+                i, j = i + 1, j + 1
+            elif best[i + 1][j] >= best[i][j + 1]:
+                i += 1
+            else:
+                j += 1
+    elif a_ and b_:
+        once = [{k: i for i, k in enumerate(x) if c[k] == 1} for x in (a_, b_) for c in (Counter(x),)]
+        pairs = [(i, once[1][k]) for k, i in sorted(once[0].items(), key=lambda x: x[1]) if k in once[1]]
+        ends: list[int] = []  # the last place of the best chain of each length, and the chain's pairs before it
+        last: list[int] = []
+        before = [-1] * len(pairs)
+        for k, (_, j) in enumerate(pairs):
+            at = bisect_left(ends, j)
+            before[k] = last[at - 1] if at else -1
+            ends[at : at + 1], last[at : at + 1] = [j], [k]
+        chain, k = [], last[-1] if last else -1
+        while k >= 0:
+            chain.append(pairs[k])
+            k = before[k]
+        i = j = 0
+        for x, y in [*reversed(chain), (len(a_), len(b_))]:
+            if chain:
+                out += [(begin + i + u, begin + j + v) for u, v in common(a_[i:x], b_[j:y])]
+            if x < len(a_):
+                out.append((begin + x, begin + y))
+            i, j = x + 1, y + 1
+    return out + [(n - k, m - k) for k in range(end, 0, -1)]
+
+
+def aligned(a: list, b: list, digest=same) -> list:
+    """Two child lists as one, by a common subsequence: what only one has becomes optional."""
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and ka[i] == kb[j]:
-            out.append(joined(a[i], b[j], digest))
-            i, j = i + 1, j + 1
-        elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
-            out.append([*a[i][:2], 1, *a[i][3:]])
-            i += 1
-        else:
-            out.append([*b[j][:2], 1, *b[j][3:]])
-            j += 1
+    for x, y in [*common([key(x) for x in a], [key(x) for x in b]), (len(a), len(b))]:
+        out += [[*v[:2], 1, *v[3:]] for v in (*a[i:x], *b[j:y])]
+        if x < len(a):
+            out.append(joined(a[x], b[y], digest))
+        i, j = x + 1, y + 1
     return bounded(squeezed(out), digest)
 
 
@@ -360,8 +575,9 @@ def unpacked(text: str) -> list:
     return top[0]
 
 
+@lru_cache(1 << 16)
 def _plain(name: str, mark: str) -> bool:
-    return not Element(name, mark).boilerplate
+    return mark.startswith(KEPT) and name not in ASIDE or not Element(name, mark).boilerplate
 
 
 def masses(wrapper: list, sometimes: bool) -> dict[int, int]:
@@ -397,7 +613,7 @@ def region(wrapper: list) -> list[tuple[str, str]]:
         inner = [x for x in node[4] if x[0] == "#text" or _plain(x[0], x[1])]
         total = mass[id(node)]
         heavy = max(inner, key=lambda x: mass[id(x)], default=None)
-        if heavy is None or not total or mass[id(heavy)] < 0.6 * total or heavy[0] in ("#text", "p", "ul", "ol", "table", "blockquote", "pre", "h1", "h2", "dl", "figure"):
+        if heavy is None or heavy[2] or not total or mass[id(heavy)] < 0.6 * total or heavy[0] in ("#text", "p", "ul", "ol", "table", "blockquote", "pre", "h1", "h2", "dl", "figure"):
             return path
         if any(x is not heavy and x[5] != "" and (sometimes or not fixed(x)) for x in inner):
             return path
@@ -408,29 +624,10 @@ def region(wrapper: list) -> list[tuple[str, str]]:
             return path
 
 
-#: Pages of a host from which what is the same in all of them is the host's, not an article's.
-LEAST_PAGES = 3
-
-
 def rules(wrapper: list) -> dict:
-    """What the wrapper says of its host's pages. path: to the main element. spared: elements that are marked like boilerplate
-    but that under half of the pages have, so that they belong to articles. constants: blocks that stand in all pages with the
-    same text (name, mark, digest), of at least LEAST_PAGES pages that are not all the same."""
-    pages, spared, fixed_ = wrapper[6], [], []
-    todo = [wrapper]
-    while todo:
-        for x in todo.pop()[4]:
-            if x[0] == "#text" or x[0] in ASIDE:
-                continue
-            if not _plain(x[0], x[1]):
-                if 2 * x[6] < pages:
-                    spared.append([x[0], x[1]])
-                continue
-            if pages >= LEAST_PAGES and wrapper[5] is None and fixed(x) and x[5] and not x[3] and x[6] == pages:
-                fixed_.append([x[0], x[1], x[5]])
-            else:
-                todo.append(x)
-    return {"path": region(wrapper), "spared": spared, "constants": fixed_}
+    """What the wrapper says of its host's pages. path: to the main element. constants: blocks that stand in all pages with the
+    same text (name_of), if there are several pages that are not all the same."""
+    return {"path": region(wrapper), "constants": wrapper[7] if wrapper[6] > 1 and wrapper[5] is None else []}
 
 
 def found(root: Element, path: list) -> list[Element]:
@@ -441,15 +638,14 @@ def found(root: Element, path: list) -> list[Element]:
     return here
 
 
-def text_of(*elements: Element, spared: frozenset = frozenset(), constants: frozenset = frozenset()) -> str:
-    """The blocks of elements, joined, without boilerplate (but what is spared) and without the host's constant blocks."""
+def text_of(*elements: Element, constants: frozenset = frozenset()) -> str:
+    """The blocks of elements, joined, without boilerplate and without the host's constant blocks, unless such a block holds most
+    of the elements' text."""
     blocks: list[list[str]] = [[]]
-    same_names = {(n, m) for n, m, _ in constants}
+    size = sum(e.size for e in elements)
 
     def dropped(x: Element) -> bool:
-        if x.boilerplate and (x.name in ASIDE or (x.name, x.mark) not in spared):
-            return True
-        return (x.name, x.mark) in same_names and (x.name, x.mark, folded(x)[5]) in constants
+        return x.boilerplate or bool(constants and x.digest and 2 * x.size <= size and name_of(x) in constants)
 
     def walk(e: Element) -> None:
         for x in e.children:
@@ -481,12 +677,12 @@ def host_of(url: str | None) -> str:
 def main_text(page: str, known: dict | None) -> str:
     """The main text of a page, given what its host's wrapper says."""
     root = parse(page)
-    known = known or {"path": [], "spared": [], "constants": []}
-    spared, constants = frozenset(map(tuple, known["spared"])), frozenset(map(tuple, known["constants"]))
-    if known["path"] and (text := text_of(*found(root, known["path"]), spared=spared, constants=constants)):
+    known = known or {"path": [], "constants": []}
+    constants = frozenset(known["constants"])
+    if known["path"] and (text := text_of(*found(root, known["path"]), constants=constants)):
         return text
     own = found(root, region(folded(root)))
-    return text_of(*(own or [root]), spared=spared, constants=constants)
+    return text_of(*(own or [root]), constants=constants)
 
 
 def _fold(held: dict[str, list], host: str, wrapper: list) -> None:
