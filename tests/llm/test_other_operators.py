@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from weatherglass.llm import chat, mtree, queries, wrappers
 
@@ -310,6 +311,29 @@ def test_pipeline_keeps_a_row_of_each_component(spark):
     assert sorted(map(str, ((r.doc_id, r.text) for r in got.collect()))) == sorted(map(str, want))
 
 
+@pytest.mark.parametrize("k", range(4))
+def test_stages_keep_columns_of_clashing_names(spark, k):
+    import corpus_pipeline as P
+
+    names = ["id_", "no_id_", "digest_", "copy_", "no_text", "id", "no_id", "digest", "row_", "row", "score", "predicted", "quality", "held_out", "toxic", "label", "item_id", "fp", "root", "least", "key", "node", "u", "v", "anchor", "in_0", "in_1", "spans", "items", "n_words", "count", "parity", "ids", "n_tokens", "ID__"]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60).cache()
+    more = docs.select("*", *(F.concat(F.lit(f"{n} of "), "doc_id").alias(n) for n in names))
+    name, stage = P.STAGES[k]
+    got, plain = stage(spark, more, DATA).collect(), stage(spark, docs, DATA).collect()
+    assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in plain) and len(got) > 10
+    if name != "tokens":
+        assert stage(spark, more, DATA).columns == more.columns
+        assert all(r[n] == f"{n} of {r.doc_id}" for r in got for n in names)
+
+
+def test_many_equal_rows_are_one_before_their_exchange(spark):
+    import corpus_pipeline as P
+
+    docs = spark.range(9000).selectExpr("CAST(NULL AS long) AS doc_id", "IF(id % 3 = 0, NULL, IF(id % 3 = 1, '', 'one text of these')) AS text", "id AS n").repartition(6)
+    got = P.near_duplicate_stage(spark, docs, DATA)
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == [(None, ""), (None, "one text of these")]
+
+
 def test_pipeline(spark):
     import corpus_pipeline as P
 

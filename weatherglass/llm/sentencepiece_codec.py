@@ -7,9 +7,7 @@ marker behind another character, no piece can cross such a cut, so encoding segm
 (Where one has, texts are encoded whole.) Each distinct segment of a batch is encoded once, by a multithreaded batch call,
 and remembered within a bound.
 
-Parity: every distinct segment's ids are compared with those of the sentencepiece library itself. Whole texts are compared
-where a segment can't be given to the library by itself (a lone marker; any segment, if the model has a normaliser or adds no
-marker), and of every PARITY_EVERY-th other document (by hash). The ids stay the backend's; parity tells whether all agree.
+Parity: the sentencepiece library encodes every whole text too. The ids stay the backend's; parity tells whether all agree.
 
 Null texts are empty; empty texts have no tokens. Rows are kept, also repeated ones; columns beside doc_id and text are
 ignored. Decoding gives the normalised text (a literal U+2581 comes back as a space).
@@ -21,7 +19,6 @@ import hashlib
 import os
 import re
 import struct
-import zlib
 from itertools import chain
 
 import numpy as np
@@ -32,7 +29,6 @@ from pyspark.sql import functions as F
 from .common import chunks, prepare, utf8
 
 MARK = "▁"
-PARITY_EVERY = 64
 #: Bytes of segments and ids that a worker remembers before it starts anew.
 REMEMBERED = 64 << 20
 THREADS = 2
@@ -119,10 +115,8 @@ class Codec:
         self.bytes = {i for i, (_, _, kind) in enumerate(m.pieces) if kind == BYTE}
         self.library = SentencePieceProcessor(model_proto=data)
         self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+") if m.splits else re.compile("(?s).+")
-        self.known: dict[str, tuple[bytes, str, int, bool | None]] = {}
+        self.known: dict[str, tuple[bytes, str, int]] = {}
         self.held = 0
-        #: Whether segments mean the same to the library as in their text.
-        self.alike = self.prior is None and m.dummy_prefix
 
     def normalised(self, text: str) -> str:
         if self.prior:
@@ -131,21 +125,16 @@ class Codec:
         return MARK + text if text and self.model.dummy_prefix else text
 
     def learn(self, segments: list[str]) -> None:
-        """Encode, decode and verify segments, and remember them: (ids, text, byte tokens, parity: None if not compared)."""
+        """Encode and decode segments, and remember them: (ids, text, byte tokens)."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
-        same: list[bool | None] = [None] * len(ids)
-        asked = [k for k, s in enumerate(segments) if self.alike and s[:1] == MARK and len(s) > 1]
-        for k, own in zip(asked, self.library.encode([segments[k][1:] for k in asked], num_threads=1) if asked else (), strict=True):
-            same[k] = own == ids[k]
         texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        for s, i, t, ok in zip(segments, ids, texts, same, strict=True):
-            self.known[s] = (np.array(i, "<i4").tobytes(), t, sum(x in self.bytes for x in i) if len(i) > 1 else 0, ok)
+        for s, i, t in zip(segments, ids, texts, strict=True):
+            self.known[s] = (np.array(i, "<i4").tobytes(), t, sum(x in self.bytes for x in i) if len(i) > 1 else 0)
             self.held += 200 + 4 * len(s) + 4 * len(i) + 4 * len(t)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, str, int, bool]]:
         """Of each text: ids as little-endian int32, the text decoded from them, its byte tokens, and parity."""
-        normal = [self.normalised(t) for t in texts]
-        cuts = [self.cut.findall(t) for t in normal]
+        cuts = [self.cut.findall(self.normalised(t)) for t in texts]
         if self.held > REMEMBERED:
             self.known.clear()
             self.held = 0
@@ -153,12 +142,10 @@ class Codec:
         if new:
             self.learn(new)
         out = []
-        for text, whole, parts in zip(texts, normal, cuts, strict=True):
-            coded, backs, fallback, told = zip(*map(self.known.__getitem__, parts), strict=True) if parts else ((),) * 4
-            ids, back, told = b"".join(coded), "".join(backs), set(told)
-            same = False not in told
-            if None in told or zlib.crc32(whole.encode()) % PARITY_EVERY == 0:
-                same = same and self.library.encode(text) == np.frombuffer(ids, "<i4").tolist()
+        for text, parts in zip(texts, cuts, strict=True):
+            coded, backs, fallback = zip(*map(self.known.__getitem__, parts), strict=True) if parts else ((),) * 3
+            ids, back = b"".join(coded), "".join(backs)
+            same = np.array(self.library.encode(text), "<i4").tobytes() == ids
             out.append((ids, back[1:] if self.model.dummy_prefix and back[:1] == " " else back, sum(fallback), same))
         return out
 
