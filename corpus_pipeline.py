@@ -2,8 +2,8 @@
 
 1. quality: documents that the quality classifier rejects go.
 2. near_duplicates: one row of each SimHash component stays, that with the smallest id; null ids come last, and of rows with
-   one id that with the smallest digest of its text stays. Ids name no rows here: those that share one, or have none, stay
-   each for its own component.
+   one id that with the smallest digest of its text stays, and of rows that are equal in both, one (with an empty text rather
+   than none). Ids name no rows here: those that share one, or have none, stay each for its own component.
 3. decontamination: documents that benchmark passages contaminate go; all others stay whole.
 4. tokens: each document's SentencePiece ids, with their digest and the checks of the round trip.
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weatherglass.llm import common, decontamination, quality, sentencepiece_codec, simhash
@@ -25,17 +25,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # A row is known by its id and its text's digest: each component's least row is found without the texts. These then have
-    # one exchange, by the same key: the join builds its hash tables from the keys, and the window, which leaves one of rows
-    # that are equal in both, keeps the partitioning.
-    names = ("no_id_", "id_", "digest_")
-    doc_id, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
-    key = [x.alias(n) for x, n in zip((doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), F.sha2(text, 256)), names, strict=True)]
-    rows = common.cut(simhash.fingerprints(docs, *key))
+    # A row is known by its id and its text's digest: each component's least row is found without the texts. Rows that are equal
+    # in both become one before and in the exchange of the texts, so that no key brings many of them into a task; the join with
+    # the least rows keeps that exchange's partitioning and order.
+    names = common.fresh(docs, "no_id", "id", "digest", "no_text")
+    doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    values = (doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), F.sha2(F.coalesce(text, F.lit("")), 256), text.isNull())
+    key = [x.alias(n) for x, n in zip(values, names, strict=True)]
+    rows = common.cut(simhash.fingerprints(docs.select("doc_id", "text"), *key))
     first = simhash.rooted(rows, F.min(F.struct(*names))).groupBy("root").agg(F.min("least").alias("least")).select("least.*")
-    stay = docs.select("*", *key).join(first.hint("shuffle_hash"), list(names), "left_semi")
-    order = Window.partitionBy(*names).orderBy(F.col("text").asc_nulls_last())
-    return stay.withColumn("copy_", F.row_number().over(order)).filter("copy_ = 1").select(*docs.columns)
+    one = docs.select("*", *key).dropDuplicates(names)
+    return one.join(first, list(names), "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
