@@ -1,4 +1,9 @@
-"""Isolation forest in numpy: fitted per station, all trees walked at once for a batch of rows."""
+"""Isolation forest in numpy: fitted per station, all trees walked at once for a batch of rows.
+
+All draws (which rows a tree grows from, on which feature and where a node is cut) come from one integer mixing function, so that
+an engine with integer arithmetic alone grows the same trees. Nodes are numbered as in a heap: 1 is the root, 2n and 2n + 1 are
+the children of n. Path lengths are kept in millionths, as integers: their sum over the trees is exact in any order.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +12,34 @@ import io
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.core import importable, stored
 from ..settings import CHANNELS, DEFAULT, Settings
 from .checks import Check
 
 FEATURES = (*CHANNELS, *(f"r_{c}" for c in CHANNELS), "hour_sin", "hour_cos")
+#: Rows of a station, by draw, among which its trees choose: so many times what a tree grows from.
+POOL = 16
+#: The modulus of draws, and the constants that mix them.
+PRIME, FACTOR, TERM = 2_147_483_647, 48_271, 11
+MILLION = 1_000_000
+#: Features closer than this are not cut.
+LEAST_SPREAD = 1e-9
+
+
+def mixed(h, x):
+    """The next draw, an integer below PRIME, from the last one and a number (both integers, arrays or Columns)."""
+    y = (h * FACTOR + (x % PRIME + PRIME) % PRIME + TERM) % PRIME
+    return (y * y + h) % PRIME
+
+
+def draw(seed: int, *numbers):
+    h = seed
+    for x in numbers:
+        h = mixed(h, x)
+    return h
 
 
 def average_depth(n) -> np.ndarray:
@@ -26,58 +50,59 @@ def average_depth(n) -> np.ndarray:
 
 
 class Forest:
-    """Trees as arrays: feature (-1 at a leaf), threshold, left, right and the path length that a leaf stands for."""
+    """Trees as arrays over heap numbers: feature (-1 at a leaf), threshold, and the path length that a leaf stands for."""
 
-    def __init__(self, feature, threshold, left, right, length, rows: int):
-        self.feature, self.threshold, self.left, self.right, self.length, self.rows = feature, threshold, left, right, length, rows
+    def __init__(self, feature, threshold, length, rows: int):
+        self.feature, self.threshold, self.length, self.rows = feature, threshold, length, rows
 
     @classmethod
-    def fit(cls, x: np.ndarray, trees: int, subsample: int, seed: int) -> Forest:
-        rng = np.random.default_rng(seed)
+    def fit(cls, x: np.ndarray, trees: int, subsample: int, seed: int, seq: np.ndarray | None = None) -> Forest:
+        """From the rows of x, numbered by seq (else by place). A tree grows from those with its smallest draws."""
+        seq = np.arange(len(x)) if seq is None else np.asarray(seq, np.int64)
         rows = min(subsample, len(x))
         depth = int(np.ceil(np.log2(max(rows, 2))))
         size = 2 ** (depth + 1)
-        feature, left, right = (np.full((trees, size), -1, np.int32) for _ in range(3))
-        threshold, length = np.zeros((trees, size), np.float32), np.zeros((trees, size))
+        feature, threshold, length = np.full((trees, size), -1, np.int8), np.zeros((trees, size)), np.zeros((trees, size), np.int64)
         for t in range(trees):
-            todo, free = [(0, x[rng.choice(len(x), rows, replace=False)], 0)], 1
+            chosen = np.lexsort((seq, mixed(draw(seed, t), seq)))[:rows]
+            todo = [(1, x[chosen], 0)]
             while todo:
                 node, part, level = todo.pop()
-                low, high = (part.min(axis=0), part.max(axis=0)) if len(part) else (None, None)
-                open_ = np.flatnonzero(high > low) if len(part) > 1 else []
+                low, high = (part.min(axis=0), part.max(axis=0)) if len(part) else (np.zeros(0), np.zeros(0))
+                open_ = np.flatnonzero(high - low > LEAST_SPREAD)
                 if level == depth or not len(open_):
-                    length[t, node] = level + average_depth(len(part))
+                    length[t, node] = level * MILLION + int(np.rint(average_depth(len(part)) * MILLION))
                     continue
-                f = int(rng.choice(open_))
-                cut = np.float32(rng.uniform(low[f], high[f]))
+                f = int(open_[draw(seed, t, node, 1) % len(open_)])
+                cut = low[f] + draw(seed, t, node, 2) / PRIME * (high[f] - low[f])
                 goes = part[:, f] <= cut
-                feature[t, node], threshold[t, node], left[t, node], right[t, node] = f, cut, free, free + 1
-                todo += [(free, part[goes], level + 1), (free + 1, part[~goes], level + 1)]
-                free += 2
-        return cls(feature, threshold, left, right, length, rows)
+                feature[t, node], threshold[t, node] = f, cut
+                todo += [(2 * node, part[goes], level + 1), (2 * node + 1, part[~goes], level + 1)]
+        return cls(feature, threshold, length, rows)
 
-    def score(self, x: np.ndarray) -> np.ndarray:
-        """-2^(-mean path / average depth): the lower, the more unusual."""
-        x = x.astype(np.float32)
-        trees, at = np.arange(len(self.feature)), np.zeros((len(x), len(self.feature)), np.int64)
+    def totals(self, x: np.ndarray) -> np.ndarray:
+        """The sum of each row's path lengths in all trees, in millionths."""
+        trees, at = np.arange(len(self.feature)), np.ones((len(x), len(self.feature)), np.int64)
         while True:
             f = self.feature[trees, at]
             if (f < 0).all():
-                break
-            goes = np.take_along_axis(x, np.maximum(f, 0), axis=1) <= self.threshold[trees, at]
-            at = np.where(f < 0, at, np.where(goes, self.left[trees, at], self.right[trees, at]))
-        depth = self.length[trees, at].mean(axis=1)
-        return -np.exp2(-depth / max(float(average_depth(self.rows)), 1e-9))
+                return self.length[trees, at].sum(axis=1)
+            right = np.take_along_axis(x, np.maximum(f, 0).astype(np.int64), axis=1) > self.threshold[trees, at]
+            at = np.where(f < 0, at, 2 * at + right)
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """-2^(-mean path / average depth): the lower, the more unusual."""
+        return -np.exp2(-(self.totals(x) / MILLION / len(self.feature)) / max(float(average_depth(self.rows)), 1e-9))
 
     def packed(self) -> bytes:
         out = io.BytesIO()
-        np.savez_compressed(out, feature=self.feature, threshold=self.threshold, left=self.left, right=self.right, length=self.length, rows=self.rows)
+        np.savez_compressed(out, feature=self.feature, threshold=self.threshold, length=self.length, rows=self.rows)
         return out.getvalue()
 
     @classmethod
     def unpacked(cls, data: bytes) -> Forest:
         with np.load(io.BytesIO(data), allow_pickle=False) as z:
-            return cls(z["feature"], z["threshold"], z["left"], z["right"], z["length"], int(z["rows"]))
+            return cls(z["feature"], z["threshold"], z["length"], int(z["rows"]))
 
 
 #: Packed forests of all stations up to this size are sent to all tasks.
@@ -87,65 +112,67 @@ PART_ROWS = 65_536
 
 
 def fit(rows: DataFrame, s: Settings = DEFAULT) -> DataFrame:
-    """(station_id, forest, threshold) from usable rows (see mahalanobis.rates). A station's trees grow from as many rows as
-    they draw, those with the smallest hashes, which Spark picks before it brings them together; the threshold is a quantile of
-    the scores of all usable rows."""
+    """(station_id, forest, threshold) from usable rows (see mahalanobis.rates). A station's trees choose among POOL times as many
+    rows as one grows from, those with the smallest draws, which Spark picks before it brings them together; the threshold is a
+    quantile of the scores of all usable rows."""
     m = s.models
-    order = Window.partitionBy("station_id").orderBy(F.xxhash64("station_id", "seq", F.lit(m.seed)), "seq")
+    order = Window.partitionBy("station_id").orderBy(mixed(mixed(F.lit(m.seed).cast("long"), F.col("seq").cast("long")), F.lit(1).cast("long")), "seq")
     used = rows.filter("usable").select("station_id", "seq", *FEATURES)
-    drawn = used.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= m.trees * m.subsample).drop("k")
+    drawn = used.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= POOL * m.subsample).drop("k")
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
-        x = frame.sort_values("seq", kind="stable")[list(FEATURES)].to_numpy(np.float64)
-        return pd.DataFrame({"station_id": frame["station_id"].iloc[:1], "forest": [Forest.fit(x, m.trees, m.subsample, m.seed).packed()]})
+        x = frame[list(FEATURES)].to_numpy(np.float64)
+        return pd.DataFrame({"station_id": frame["station_id"].iloc[:1], "forest": [Forest.fit(x, m.trees, m.subsample, m.seed, frame["seq"].to_numpy()).packed()]})
 
     forests = stored(importable(drawn).groupBy("station_id").applyInPandas(one, "station_id string, forest binary"))
     limit = F.percentile_approx("iforest_score", m.forest_quantile, 100_000).alias("threshold")
     return forests.join(attach(used.withColumn("usable", F.lit(True)), forests).groupBy("station_id").agg(limit), "station_id")
 
 
-def _scores(table: pa.Table, forests: dict[str, Forest]) -> np.ndarray:
-    """The scores of a table's usable rows; none for the others and for stations without a forest."""
-    out = np.full(table.num_rows, np.nan)
-    usable = table.column("usable").to_numpy(zero_copy_only=False)
-    names = np.array(table.column("station_id").to_pylist(), object)
-    x = np.column_stack([table.column(f).to_numpy().astype(np.float64) for f in FEATURES])
+def _scores(names: np.ndarray, usable: np.ndarray, x: np.ndarray, forests: dict[str, Forest]) -> pa.Array:
+    """The scores of usable rows; none for the others and for stations without a forest."""
+    out = np.full(len(names), np.nan)
     for name in set(names[usable]):
         if name in forests:
             own = np.flatnonzero(usable & (names == name))
             out[own] = forests[name].score(x[own])
-    return out
+    return pa.array(out, from_pandas=True)
+
+
+def _columns(parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """station_id, usable and FEATURES as arrays."""
+    names, usable, *x = parts
+    return np.array(names.to_pylist(), object), np.asarray(usable.fill_null(False).to_numpy(zero_copy_only=False), bool), np.column_stack([f.to_numpy(zero_copy_only=False).astype(np.float64) for f in x])
 
 
 def attach(rows: DataFrame, models: DataFrame) -> DataFrame:
-    """rows (with usable and FEATURES) with iforest_score, null where a row is not usable. Small models (up to BROADCAST_BYTES)
-    are sent to all tasks; else each PART_ROWS rows or so of a station meet its forest in a task."""
+    """rows (with usable and FEATURES) with iforest_score, null where a row is not usable. Only the features go to Python. Small
+    models (up to BROADCAST_BYTES) are sent to all tasks; else each PART_ROWS rows or so of a station meet their forest in a task,
+    and the scores are joined to the rows by station and seq (which then must name a row)."""
     importable(rows)
-    schema = T.StructType([*rows.schema.fields, T.StructField("iforest_score", T.DoubleType())])
     size = models.agg(F.coalesce(F.sum(F.octet_length("forest")), F.lit(0))).first()[0]
-
-    def scored(table: pa.Table, forests: dict[str, Forest]) -> pa.Table:
-        return table.append_column("iforest_score", pa.array(_scores(table, forests), from_pandas=True))
-
     if size <= BROADCAST_BYTES:
         known = rows.sparkSession.sparkContext.broadcast({r["station_id"]: bytes(r["forest"]) for r in models.select("station_id", "forest").collect()})
+        held: dict[str, Forest] = {}
 
-        def run(batches):
-            forests = {k: Forest.unpacked(v) for k, v in known.value.items()}
-            for batch in batches:
-                if batch.num_rows:
-                    yield from scored(pa.Table.from_batches([batch]), forests).to_batches()
+        @F.arrow_udf("double")
+        def scored(parts: pa.Array) -> pa.Array:
+            if not held:
+                held.update((k, Forest.unpacked(v)) for k, v in known.value.items())
+            return _scores(*_columns(parts.flatten()), held)
 
-        return rows.mapInArrow(run, schema)
+        return rows.withColumn("iforest_score", scored(F.struct("station_id", "usable", *FEATURES)))
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        return scored(left, {n: Forest.unpacked(f) for n, f in zip(right.column("station_id").to_pylist(), right.column("forest").to_pylist(), strict=True)})
+    def meet(left, right):
+        forests = {n: Forest.unpacked(f) for n, f in zip(right.column("station_id").to_pylist(), right.column("forest").to_pylist(), strict=True)}
+        return left.select(["station_id", "seq"]).append_column("iforest_score", _scores(*_columns([left.column(c).combine_chunks() for c in ("station_id", "usable", *FEATURES)]), forests))
 
-    counts = rows.groupBy("station_id").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts_"))
-    left = rows.join(counts, "station_id").withColumn("part_", F.pmod(F.xxhash64("seq"), F.col("parts_"))).drop("parts_")
+    used = rows.filter("usable").select("station_id", "seq", "usable", *FEATURES)
+    counts = used.groupBy("station_id").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts_"))
+    left = used.join(counts, "station_id").withColumn("part_", F.pmod(F.xxhash64("seq"), F.col("parts_"))).drop("parts_")
     right = models.select("station_id", "forest").join(counts, "station_id").withColumn("part_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_") - 1))).drop("parts_")
-    out = T.StructType([*left.schema.fields, T.StructField("iforest_score", T.DoubleType())])
-    return left.groupBy("station_id", "part_").cogroup(right.groupBy("station_id", "part_")).applyInArrow(meet, out).drop("part_")
+    found = left.groupBy("station_id", "part_").cogroup(right.groupBy("station_id", "part_")).applyInArrow(meet, f"station_id string, seq {rows.schema['seq'].dataType.simpleString()}, iforest_score double")
+    return rows.join(found, ["station_id", "seq"], "left")
 
 
 def score(rows: DataFrame, models: DataFrame) -> DataFrame:
@@ -154,5 +181,9 @@ def score(rows: DataFrame, models: DataFrame) -> DataFrame:
     return attach(used, models).join(models.select("station_id", F.col("threshold").alias("iforest_threshold")), "station_id").select("station_id", "seq", "iforest_score", "iforest_threshold")
 
 
+def rare() -> Column:
+    return F.col("iforest_score") < F.col("iforest_threshold")
+
+
 def check() -> Check:
-    return Check("isolation_forest", None, F.col("iforest_score") < F.col("iforest_threshold"), True, F.col("iforest_score"))
+    return Check("isolation_forest", None, rare(), True, F.col("iforest_score"))

@@ -103,7 +103,7 @@ def explain(rows: DataFrame, distance: DataFrame, forests: DataFrame | None = No
         from . import forest
 
         out = forest.attach(out, forests).join(forests.select("station_id", F.col("threshold").alias("iforest_threshold")), "station_id", "left")
-        told += [F.bround("iforest_score", 4).alias("forest_score"), F.bround("iforest_threshold", 4).alias("forest_threshold"), (F.col("iforest_score") < F.col("iforest_threshold")).alias("rare")]
+        told += [F.bround("iforest_score", 4).alias("forest_score"), F.bround("iforest_threshold", 4).alias("forest_threshold"), forest.rare().alias("rare")]
     return out.select("station_id", "seq", "ts", *told)
 
 

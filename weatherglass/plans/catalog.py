@@ -19,7 +19,6 @@ from ..sources import events
 from . import oracles
 
 CADENCE = events.CADENCE
-_NO_FOREST = replace(DEFAULT, layers=replace(DEFAULT.layers, mlmodel=False))
 
 
 class Tables:
@@ -67,14 +66,12 @@ class Tables:
 
     @cached_property
     def models(self) -> engine.Models:
-        """Without the isolation forest, which no SQL can check."""
-        rows = mahalanobis.fit(self.departures)
-        return engine.Models(self.cells, self.limits, stored(rows))
+        return engine.Models(self.cells, self.limits, stored(mahalanobis.fit(self.departures)), stored(forest.fit(mahalanobis.rates(self.plain))))
 
     @cached_property
     def judged(self) -> DataFrame:
         """All verdicts, written once for all that a query makes of them."""
-        return stored(engine.records(engine.judge(self.readings, self.stations, self.models, _NO_FOREST), "qc_flag"))
+        return stored(engine.records(engine.judge(self.readings, self.stations, self.models), "qc_flag"))
 
     @cached_property
     def departures(self) -> DataFrame:
@@ -341,10 +338,10 @@ def mahalanobis_check(t: Tables) -> DataFrame:
     return rounded(found.filter("d2 IS NOT NULL").select("station_id", "seq", "d2", "top_feature", (F.col("d2") > F.col("threshold")).alias("flagged")), "d2", digits=5)
 
 
-@query()
+@query("SELECT station_id, seq, round(score, 6) AS iforest_score, round(threshold, 6) AS iforest_threshold, rare AS flagged FROM rare_")
 def iforest_check(t: Tables) -> DataFrame:
-    rows = mahalanobis.rates(t.plain)
-    return forest.score(rows, stored(forest.fit(rows))).withColumn("flagged", F.col("iforest_score") < F.col("iforest_threshold"))
+    found = forest.score(mahalanobis.rates(t.plain), t.models.forest).withColumn("flagged", forest.rare())
+    return rounded(found, "iforest_score", "iforest_threshold")
 
 
 # Fusion.
@@ -386,11 +383,14 @@ def flagged_channels(t: Tables) -> DataFrame:
     return t.judged.select("station_id", "seq", F.explode_outer("flagged_channels").alias("channel")).filter("channel IS NOT NULL")
 
 
-@query()
+@query("""
+SELECT v.station_id, v.seq, verdict, confidence, rule, coalesce(checks, '') AS checks FROM verdicts v
+LEFT JOIN (SELECT station_id, seq, string_agg(kind || coalesce(':' || channel, ''), ' ' ORDER BY place) AS checks FROM listed GROUP BY ALL) USING (station_id, seq)
+""")
 def fuse_full(t: Tables) -> DataFrame:
-    """With all layers, the isolation forest too."""
-    models = replace(t.models, forest=stored(forest.fit(mahalanobis.rates(t.plain))))
-    return engine.judge(t.readings, t.stations, models).select("station_id", "seq", "verdict", "confidence", "rule")
+    """Each verdict with the names of all flagged checks, in the order in which the layers run."""
+    names = F.transform(F.filter("checks", lambda x: x["flagged"]), lambda x: x["check"])
+    return t.judged.select("station_id", "seq", "verdict", "confidence", "rule", F.array_join(names, " ").alias("checks"))
 
 
 @query("SELECT v.station_id, v.seq, round(d2, 3) AS distance2, round(threshold, 3) AS threshold, far AS flagged, [" + _NAMES + "][list_position(list_transform(parts, lambda x: abs(x)), list_max(list_transform(parts, lambda x: abs(x))))] AS first_feature, round(list_sum(parts), 3) AS total FROM (SELECT station_id, max(seq) AS seq FROM readings WHERE station_id = 'S3' GROUP BY ALL) v JOIN far_ USING (station_id, seq)")
@@ -888,7 +888,7 @@ SELECT station_id, CAST(event AS INTEGER) AS event, fault_type, bool_or(alarm) A
 """)
 def detection_paired(t: Tables) -> DataFrame:
     faulted = injection.inject(t.readings, _plan(t), CADENCE)
-    judged = engine.judge(faulted.select("station_id", "seq", "ts", "idx", *CHANNELS), t.stations, t.models, _NO_FOREST).select("station_id", "idx", "verdict")
+    judged = engine.judge(faulted.select("station_id", "seq", "ts", "idx", *CHANNELS), t.stations, t.models).select("station_id", "idx", "verdict")
     clean = t.judged.select("station_id", (F.col("place") - 1).alias("idx"), "verdict")
     return evaluation.detection(_plan(t), judged, clean, CADENCE)
 

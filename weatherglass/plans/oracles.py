@@ -28,6 +28,65 @@ def _factors() -> str:
     return ", ".join(out)
 
 
+#: The forest of operators.forest in SQL: its constants, draws and depth.
+PRIME, TREES, SUBSAMPLE, DEPTH, SEED = 2147483647, 100, 256, 8, 42
+
+
+def _mixed(h: str, x: str) -> str:
+    y = f"((({h}) * 48271 + (CAST({x} AS BIGINT) % {PRIME} + {PRIME}) % {PRIME} + 11) % {PRIME})"
+    return f"(({y} * {y} + ({h})) % {PRIME})"
+
+
+def _average_depth(n: str) -> str:
+    return f"CASE WHEN {n} > 2 THEN 2 * (ln({n} - 1) + 0.5772156649015329::DOUBLE) - 2 * ({n} - 1)::DOUBLE / {n} WHEN {n} = 2 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END"
+
+
+def _forest() -> str:
+    """Trees level by level: members of each node, its split (feature f, cut; none at a leaf), and its children's members; then
+    the walk of all usable rows."""
+    x = ", ".join(f"x{i}" for i in range(8))
+    out = [f"""forest_pool AS MATERIALIZED (
+  SELECT station_id, seq, {x} FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY {_mixed(_mixed(f'{SEED}::BIGINT', 'seq'), '1')}, seq) AS k FROM forest_rows) WHERE k <= {16 * SUBSAMPLE}
+), forest_trees AS MATERIALIZED (
+  SELECT t::BIGINT AS tree, {_mixed(f'{SEED}::BIGINT', 't::BIGINT')} AS h FROM range({TREES}) r(t)
+), forest_m0 AS MATERIALIZED (
+  SELECT station_id, tree, h, 1::BIGINT AS node, {x} FROM (SELECT p.*, tree, h, row_number() OVER (PARTITION BY station_id, tree ORDER BY {_mixed('h', 'seq')}, seq) AS k FROM forest_pool p, forest_trees) WHERE k <= {SUBSAMPLE}
+)"""]
+    for level in range(DEPTH + 1):
+        open_ = "[" + ", ".join(f"CASE WHEN high[{i + 1}] - low[{i + 1}] > 1e-9 THEN {i + 1} END" for i in range(8)) + "]"
+        leaf = "TRUE" if level == DEPTH else "len(open_) = 0"
+        out.append(f"""forest_s{level} AS MATERIALIZED (
+  SELECT station_id, tree, node, f, CASE WHEN f IS NULL THEN {level * 1_000_000} + CAST(round_even(1000000 * ({_average_depth('n')}), 0) AS BIGINT) END AS length,
+    low[f] + {_mixed('g', '2')}::DOUBLE / {PRIME} * (high[f] - low[f]) AS cut FROM (
+    SELECT *, CASE WHEN {leaf} THEN NULL ELSE open_[1 + ({_mixed('g', '1')}) % len(open_)] END AS f FROM (
+      SELECT *, {_mixed('h', 'node')} AS g, list_filter({open_}, lambda v: v IS NOT NULL) AS open_ FROM (
+        SELECT station_id, tree, h, node, count(*) AS n, [{', '.join(f'min(x{i})' for i in range(8))}] AS low, [{', '.join(f'max(x{i})' for i in range(8))}] AS high FROM forest_m{level} GROUP BY ALL)))
+)""")
+        if level < DEPTH:
+            out.append(f"""forest_m{level + 1} AS MATERIALIZED (
+  SELECT m.station_id, m.tree, h, 2 * m.node + CASE WHEN [{', '.join(f'x{i}' for i in range(8))}][f] > cut THEN 1 ELSE 0 END AS node, {x} FROM forest_m{level} m JOIN forest_s{level} s ON s.station_id = m.station_id AND s.tree = m.tree AND s.node = m.node WHERE f IS NOT NULL
+)""")
+    out.append("forest_nodes AS MATERIALIZED (\n  " + " UNION ALL ".join(f"SELECT * FROM forest_s{level}" for level in range(DEPTH + 1)) + "\n)")
+    out.append(f"""forest_sizes AS MATERIALIZED (
+  SELECT station_id, least({SUBSAMPLE}, count(*)) AS rows_ FROM forest_pool GROUP BY ALL
+)""")
+    out.append("""forest_w0 AS MATERIALIZED (
+  SELECT r.station_id, r.seq, t.tree, 1::BIGINT AS node, [x0, x1, x2, x3, x4, x5, x6, x7] AS x FROM forest_rows r, forest_trees t
+)""")
+    for level in range(DEPTH):
+        out.append(f"""forest_w{level + 1} AS MATERIALIZED (
+  SELECT w.station_id, w.seq, w.tree, CASE WHEN f IS NULL THEN w.node WHEN x[f] > cut THEN 2 * w.node + 1 ELSE 2 * w.node END AS node, x FROM forest_w{level} w JOIN forest_nodes s ON s.station_id = w.station_id AND s.tree = w.tree AND s.node = w.node
+)""")
+    out.append(f"""forest_totals AS MATERIALIZED (
+  SELECT w.station_id, w.seq, CAST(sum(s.length) AS BIGINT) AS total FROM forest_w{DEPTH} w JOIN forest_nodes s ON s.station_id = w.station_id AND s.tree = w.tree AND s.node = w.node GROUP BY ALL
+)""")
+    return ", ".join(out) + f""", forest_limit AS MATERIALIZED (
+  SELECT station_id, quantile_disc(total, 0.005) AS least FROM forest_totals GROUP BY station_id
+), rare_ AS (
+  SELECT t.station_id, t.seq, total < least AS rare, -pow(2, -(total::DOUBLE / 1000000 / {TREES}) / ({_average_depth('rows_')})) AS score, -pow(2, -(least::DOUBLE / 1000000 / {TREES}) / ({_average_depth('rows_')})) AS threshold
+  FROM forest_totals t JOIN forest_limit l ON l.station_id = t.station_id JOIN forest_sizes z ON z.station_id = t.station_id"""
+
+
 def _solved() -> str:
     """r = a^-1 q by substitution forwards (y) and backwards (r)."""
     out = [" - ".join([f"q{i}", *(f"l{i}{k} * y{k}" for k in range(i))]) + f" AS y{i}" for i in range(6)]
@@ -161,6 +220,11 @@ WITH RECURSIVE base_ AS (
   SELECT station_id, quantile_cont(d2, 0.995) AS threshold FROM distance GROUP BY station_id
 ), far_ AS (
   SELECT d.*, threshold, d2 > threshold AS far FROM distance d JOIN far_limit USING (station_id)
+), forest_rows AS (
+  SELECT w.station_id, w.seq, w.temperature_c AS x0, w.pressure_hpa AS x1, w.humidity_pct AS x2, {", ".join(f"(w.{c} - w.{c}_1) / dt1 AS x{k + 3}" for k, c in enumerate(CHANNELS))},
+    sin(2 * 3.141592653589793::DOUBLE * (hour(r.ts) + minute(r.ts) / 60.0::DOUBLE) / 24) AS x6, cos(2 * 3.141592653589793::DOUBLE * (hour(r.ts) + minute(r.ts) / 60.0::DOUBLE) / 24) AS x7
+  FROM wide_ w JOIN readings r ON r.station_id = w.station_id AND r.seq = w.seq WHERE dt1 > 0 AND {" AND ".join(f"w.{c} IS NOT NULL AND w.{c}_1 IS NOT NULL" for c in CHANNELS)}
+), {_forest()}
 ), ranked AS (
   SELECT station_id, seq, us, row_number() OVER (PARTITION BY station_id ORDER BY seq) AS place FROM readings
 ), clock_hours AS (
@@ -198,6 +262,7 @@ WITH RECURSIVE base_ AS (
   UNION ALL SELECT station_id, seq, 'noise', channel, 'hard', 303 + 10 * {PLACE}, jitter FROM marked WHERE noise_flag
   UNION ALL SELECT station_id, seq, 'drift', channel, 'soft', 304 + 10 * {PLACE}, peak FROM marked WHERE drift_flag
   UNION ALL SELECT station_id, seq, 'clock', NULL, 'soft', 399, NULL FROM clock_ WHERE flag
+  UNION ALL SELECT station_id, seq, 'isolation_forest', NULL, 'soft', 510, score FROM rare_ WHERE rare
   UNION ALL SELECT station_id, seq, 'mahalanobis', NULL, 'soft', 520, d2 FROM far_ WHERE far
   UNION ALL SELECT station_id, seq, 'cojump', NULL, 'hard', 400, count(*) FROM marked WHERE plain_step GROUP BY station_id, seq HAVING count(*) >= 2
   UNION ALL SELECT station_id, seq, 'normality', channel, 'soft', 500 + {PLACE}, z FROM marked WHERE normality_flag
@@ -285,6 +350,7 @@ WITH RECURSIVE base_ AS (
 
 #: The tables that depend on the readings to judge, not on what the models learn from.
 JUDGED = ("readings", "instants", "long_", "joined", "corners", "weighted", "smooth", "feat_", "feat", "held", "both_", "lists_", "measured", "flags_", "marked", "wide_", "used", "solved", "distance", "far_", "ranked",
+          "forest_rows", *(f"forest_w{k}" for k in range(DEPTH + 1)), "forest_totals", "rare_",
           "clock_hours", "clock_enough", "clock_moved", "clock_scores", "clock_best", "clock_", "formulas", "listed", "per_reading", "summed", "ruled", "verdicts")
 
 
@@ -292,7 +358,7 @@ def judging(readings: str, suffix: str = "_f") -> str:
     """Tables after TABLES that judge other readings (a SELECT with the columns of readings) by the same models; their names end
     in suffix."""
     names = "|".join(sorted(JUDGED, key=len, reverse=True))
-    parts = re.split(r"^\), (\w+) AS \($", re.sub(r"^WITH RECURSIVE ", "), ", TABLES.strip(), count=1), flags=re.M)
+    parts = re.split(r"^\), (\w+) AS (?:MATERIALIZED )?\($", re.sub(r"^WITH RECURSIVE ", "), ", TABLES.strip(), count=1), flags=re.M)
     out = [f", readings{suffix} AS ({readings})"]
     for name, body in zip(parts[1::2], parts[2::2], strict=True):
         if name in JUDGED and name != "readings":
