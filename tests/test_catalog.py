@@ -18,7 +18,8 @@ DATA = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def con():
     c = duckdb.connect()
-    c.execute(f"CREATE VIEW events AS SELECT * FROM '{DATA}/events.parquet'")
+    for t in ("events", "supplier"):
+        c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     return c
 
 
@@ -45,3 +46,16 @@ def test_llm_part_is_optional():
     blocked = "import sys; sys.modules.update({'weatherglass.llm': None, 'corpus_pipeline': None}); import __spark_entry__ as e; print(*e.queries()); print(*e.oracle_sql())"
     names, told = subprocess.run([sys.executable, "-c", blocked], cwd=ROOT, capture_output=True, text=True, check=True).stdout.splitlines()[-2:]
     assert names.split() == list(catalog.QUERIES) and told.split() == list(catalog.ORACLES)
+
+
+def test_tables_are_made_anew_when_their_files_change(spark, tmp_path):
+    import shutil
+
+    shutil.copytree(DATA, tmp_path / "in")
+    first = catalog.Tables.of(spark, str(tmp_path / "in"))
+    assert catalog.Tables.of(spark, str(tmp_path / "in")) is first
+    spark.read.parquet(f"{DATA}/events.parquet").limit(10).write.parquet(str(tmp_path / "some"))
+    shutil.rmtree(tmp_path / "in" / "events.parquet") if (tmp_path / "in" / "events.parquet").is_dir() else (tmp_path / "in" / "events.parquet").unlink()
+    shutil.copytree(tmp_path / "some", tmp_path / "in" / "events.parquet")
+    again = catalog.Tables.of(spark, str(tmp_path / "in"))
+    assert again is not first and again.readings.count() == 10

@@ -35,6 +35,20 @@ def shared_folder(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def file_state(spark: SparkSession, paths: list[str]) -> tuple:
+    """Name, size and time of each file of the tables at paths, in any file system that Spark reads; missing ones have none."""
+    jvm, conf, out = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            files = fs.listFiles(path, True)
+            while files.hasNext():
+                f = files.next()
+                out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df, written once to the shared folder as Parquet: what reads it has its columns pruned, and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"

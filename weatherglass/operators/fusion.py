@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..settings import CHANNELS, DEFAULT, Settings
 from .checks import allowed_step
+from .reasons import clauses
 
 
 def moves(c: str, s: Settings = DEFAULT) -> Column:
@@ -75,11 +76,11 @@ def fuse(checked: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     base = F.when(F.col("rule") == 1, c["fault1"]).when(F.col("rule") == 2, c["fault2"]).when(F.col("rule") == 3, c["weather"]).when(F.col("rule") == 4, c["suspect"]).otherwise(c["valid"])
     # A suspect verdict rests on its first flag, which then supports nothing.
     support = F.col("soft_flags") - ((F.col("rule") == 4) & (F.try_element_at("flags", F.lit(1))["severity"] == "soft")).cast("int")
-    names = F.array_join(F.transform(F.when(F.col("rule") == 1, F.col("faults")).when(F.col("rule") == 2, F.col("jumps")).otherwise(F.col("flags")), lambda x: x["check"]), " ")
-    told = (F.when(F.col("rule") == 1, F.concat(F.lit("Sensor fault, impossible, frozen or missing value: "), names))
-            .when(F.col("rule") == 2, F.concat(F.lit("Sensor fault, one channel jumped alone: "), names))
-            .when(F.col("rule") == 3, F.concat(F.lit("Likely weather, "), F.coalesce("signature", F.lit("several channels far from normal")), F.lit(": "), names))
-            .when(F.col("rule") == 4, F.concat(F.lit("Unusual: "), names)).otherwise("All checks passed."))
+    why = clauses(F.when(F.col("rule") == 1, F.col("faults")).when(F.col("rule") == 2, F.col("jumps")).otherwise(F.col("flags")))
+    told = (F.when(F.col("rule") == 1, F.concat(F.lit("The sensor is at fault: "), why))
+            .when(F.col("rule") == 2, F.concat(F.lit("The sensor of one channel is at fault, the others are calm: "), why))
+            .when(F.col("rule") == 3, F.concat(F.lit("Weather, "), F.coalesce("signature", F.concat(F.col("coherent").cast("string"), F.lit(" channels far from normal"))), F.lit(": "), why))
+            .when(F.col("rule") == 4, F.concat(F.lit("Worth a look: "), why)).otherwise("Nothing stands out."))
     return rows.withColumns({
         "verdict": F.when(F.col("rule") <= 2, "FAULT").when(F.col("rule") == 3, "WEATHER").when(F.col("rule") == 4, "SUSPECT").otherwise("VALID"),
         "confidence": F.bround(F.least(F.lit(f.most), base + f.bonus * support), 3),

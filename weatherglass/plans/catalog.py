@@ -10,9 +10,9 @@ from typing import ClassVar
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.core import MINUTE, long_form, micros, stored
+from ..functions.core import MINUTE, file_state, long_form, micros, stored
 from ..operators import checks as C
-from ..operators import clock, coldstart, edge, engine, evaluation, features, forest, fusion, health, imputation, injection, mahalanobis, normality, peers, serving, studies
+from ..operators import clock, coldstart, edge, engine, evaluation, features, forest, fusion, health, imputation, injection, mahalanobis, normality, peers, reasons, serving, studies
 from ..operators import limits as learned
 from ..settings import CHANNELS, DEFAULT
 from ..sources import events
@@ -25,7 +25,8 @@ class Tables:
     """The frames that queries are made of, each defined once. What stations have learned and the verdicts are written to the
     shared folder when a query first needs them; later queries of the session on the same folder read them there."""
 
-    known: ClassVar[dict[tuple[str, str], Tables]] = {}
+    #: By application and folder: the state of the folder's files that the tables come from, and the tables.
+    known: ClassVar[dict[tuple[str, str], tuple[tuple, Tables]]] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -34,10 +35,11 @@ class Tables:
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Tables:
-        key = (spark.sparkContext.applicationId, sf_dir)
-        if key not in cls.known:
-            cls.known[key] = cls(spark, sf_dir)
-        return cls.known[key]
+        """The tables of a folder; made anew if its files have changed since."""
+        key, state = (spark.sparkContext.applicationId, sf_dir), file_state(spark, [f"{sf_dir}/{x}.parquet" for x in ("events", "supplier")])
+        if key not in cls.known or cls.known[key][0] != state:
+            cls.known[key] = (state, cls(spark, sf_dir))
+        return cls.known[key][1]
 
     @cached_property
     def readings(self) -> DataFrame:
@@ -47,6 +49,13 @@ class Tables:
     def stations(self) -> DataFrame:
         return events.stations(self.spark)
 
+    @cached_property
+    def sites(self) -> DataFrame:
+        """A station for each supplier, with the nation as its climate zone."""
+        k = F.col("s_suppkey")
+        return self.spark.read.parquet(f"{self.sf_dir}/supplier.parquet").select(
+            F.concat(F.lit("P"), k.cast("string")).alias("station_id"), (40 + k * 37 % 200 / 10.0).alias("lat"), (k * 91 % 300 / 10.0 - 15).alias("lon"), F.concat(F.lit("Z"), F.col("s_nationkey").cast("string")).alias("climate_zone"))
+
     @cached_property
     def cells(self) -> DataFrame:
         return stored(normality.fit(self.readings))
@@ -352,6 +361,26 @@ def fuse_verdict(t: Tables) -> DataFrame:
     return t.judged.select("station_id", "seq", "verdict", "confidence", "rule", "signature", F.col("coherent").cast("long").alias("coherent"))
 
 
+def _clause() -> str:
+    """A row of listed as a clause (see operators.reasons)."""
+    own = "CASE l.channel WHEN 'temperature_c' THEN r.temperature_c WHEN 'pressure_hpa' THEN r.pressure_hpa WHEN 'humidity_pct' THEN r.humidity_pct END"
+    told = []
+    for kind, (before, after, digits, of_channel) in reasons.SAID.items():
+        number = "" if digits is None else f" || coalesce(CAST(TRY_CAST(round({own if of_channel else 'l.value'}, {digits}) AS DECIMAL(28, {digits})) AS VARCHAR), 'some amount')"
+        told.append(f"WHEN '{kind}' THEN '{before}'{number} || '{after}'")
+    return f"coalesce(l.channel || ' ', '') || CASE l.kind {' '.join(told)} END"
+
+
+@query(f"""
+, said AS (SELECT l.station_id, l.seq, l.place, l.kind, l.severity, {_clause()} AS clause FROM listed l JOIN readings r ON r.station_id = l.station_id AND r.seq = l.seq WHERE l.kind NOT IN ('gap', 'limits'))
+SELECT v.station_id, v.seq, CASE rule WHEN 1 THEN 'The sensor is at fault: ' WHEN 2 THEN 'The sensor of one channel is at fault, the others are calm: ' WHEN 3 THEN 'Weather, ' || coalesce(signature, coherent || ' channels far from normal') || ': ' WHEN 4 THEN 'Worth a look: ' ELSE 'Nothing stands out.' END
+  || coalesce((SELECT string_agg(clause, '; ' ORDER BY place) FROM said s WHERE s.station_id = v.station_id AND s.seq = v.seq AND (rule > 2 OR (severity = 'hard' AND ((rule = 1 AND kind IN ('range', 'dew_point', 'frozen', 'dropout')) OR (rule = 2 AND kind IN ('step', 'spike')))))), '') AS reason
+FROM verdicts v
+""")
+def verdict_reasons(t: Tables) -> DataFrame:
+    return t.judged.select("station_id", "seq", "reason")
+
+
 @query("SELECT verdict, count(*) AS n FROM verdicts GROUP BY verdict")
 def verdict_counts(t: Tables) -> DataFrame:
     return serving.counts(t.judged)
@@ -591,19 +620,22 @@ def coldstart_limits(t: Tables) -> DataFrame:
 _KM = "2 * 6371.0 * asin(least(1.0, sqrt(pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
 
 
-@query(f"SELECT station_id, other, round(km, 6) AS km, CAST(rank AS INTEGER) AS rank FROM (SELECT a.station_id, b.station_id AS other, {_KM} AS km, row_number() OVER (PARTITION BY a.station_id ORDER BY {_KM}, b.station_id) AS rank FROM stations a JOIN stations b ON a.station_id <> b.station_id) WHERE rank <= 3")
+_SITES = ", sites AS (SELECT 'P' || CAST(s_suppkey AS VARCHAR) AS station_id, 40 + s_suppkey * 37 % 200 / 10.0::DOUBLE AS lat, s_suppkey * 91 % 300 / 10.0::DOUBLE - 15 AS lon, 'Z' || CAST(s_nationkey AS VARCHAR) AS climate_zone FROM supplier) "
+
+
+@query(_SITES + f"SELECT station_id, other, round(km, 6) AS km, CAST(rank AS INTEGER) AS rank FROM (SELECT a.station_id, b.station_id AS other, {_KM} AS km, row_number() OVER (PARTITION BY a.station_id ORDER BY {_KM}, b.station_id) AS rank FROM sites a JOIN sites b ON a.station_id <> b.station_id) WHERE rank <= 3")
 def nearest_stations(t: Tables) -> DataFrame:
-    return rounded(coldstart.nearest(t.stations, 3), "km")
+    return rounded(coldstart.nearest(t.sites, 3), "km")
 
 
-@query("SELECT a.station_id, b.station_id AS other, a.climate_zone FROM stations a JOIN stations b ON a.climate_zone IS NOT DISTINCT FROM b.climate_zone AND a.station_id <> b.station_id")
+@query(_SITES + "SELECT a.station_id, b.station_id AS other, a.climate_zone FROM sites a JOIN sites b ON a.climate_zone IS NOT DISTINCT FROM b.climate_zone AND a.station_id <> b.station_id")
 def same_zone(t: Tables) -> DataFrame:
-    return coldstart.same_zone(t.stations)
+    return coldstart.same_zone(t.sites)
 
 
-@query(f"SELECT a.station_id, b.station_id AS other, round({_KM}, 6) AS km FROM stations a JOIN stations b ON a.station_id <> b.station_id WHERE {_KM} <= 400")
+@query(_SITES + f"SELECT a.station_id, b.station_id AS other, round({_KM}, 6) AS km FROM sites a JOIN sites b ON a.station_id <> b.station_id WHERE {_KM} <= 400")
 def peer_neighbours(t: Tables) -> DataFrame:
-    return rounded(peers.neighbours(t.stations).drop("place"), "km")
+    return rounded(peers.neighbours(t.sites).drop("place"), "km")
 
 
 _ANOMALY = f"""
