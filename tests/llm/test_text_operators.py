@@ -265,6 +265,134 @@ def test_licenses_take_the_best_window(spark):
     assert (got[1].matches[0].first, got[1].matches[0].end) == (2, 7) and (got[3].matches[0].first, got[3].matches[0].end) == (1, 6)
 
 
+def names(spark, *texts):
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    return [(r.license, sorted({m.license for m in r.matches})) for r in got]
+
+
+def test_members_of_a_family_are_told_apart(spark):
+    texts = {
+        "This work is licensed under the GNU Lesser General Public License, version 3.": ["lgpl-3.0-notice"], "This work is licensed under the GNU Affero General Public License, version 3.": ["agpl-3.0-notice"],
+        "This work is licensed under the GNU General Public License, version 2.": ["gpl-2.0-notice"], "This work is licensed under the GNU General Public License, version 3.": ["gpl-3.0-notice"],
+        "This work is licensed under the GNU Library General Public License, version 2.": [], "Licensed under CC BY 4.0.": ["cc-by-4.0-notice"], "Licensed under CC BY-SA 4.0.": ["cc-by-sa-4.0-notice"],
+        "Licensed under CC BY-NC 4.0.": ["cc-by-nc-4.0-notice"], "Licensed under CC BY-NC-SA 4.0.": ["cc-by-nc-sa-4.0-notice"], "Licensed under CC BY-NC 3.0.": [], "Released under the MIT License.": ["mit-notice"],
+        "This is not Licensed under the Apache License Version 2": [], "Licensed under the Apache License Version 2": ["apache-2.0-notice"], "It isn't released under the MIT License.": [], "Licensed under the Apache License, Version 1.1.": [],
+        "Never was it so. It is Licensed under the Apache License, Version 2.0.": ["apache-2.0-notice"], "Released under the BSD 3-Clause License": ["bsd-3-clause-notice"], "Released under the BSD 2-Clause License": ["bsd-2-clause-notice"],
+        "SPDX-License-Identifier: BSD-3-Clause": ["spdx:bsd-3-clause"], "// SPDX-License-Identifier: (MIT OR Apache-2.0)": ["spdx:mit or apache-2.0"], "SPDX-License-Identifier: GPL-2.0-or-later WITH LLVM-exception\nand so on": ["spdx:gpl-2.0-or-later with llvm-exception"],
+        "SPDX-License-Identifier: LicenseRef-Own": ["spdx"], "SPDX-License-Identifier: MIT and that is all": ["spdx:mit"], "SPDX-License-Identifier:": ["spdx"], "SPDX License": [],
+    }
+    for (text, want), (best, found) in zip(texts.items(), names(spark, *texts), strict=True):
+        assert found == want and best == (want[0] if want else None), text
+    plain = {n: t.replace("{", "").replace("}", "") for n, t in licenses.TEMPLATES.items()}
+    for (name, _), (best, found) in zip(plain.items(), names(spark, *plain.values()), strict=True):
+        family = name.rsplit("-", 1)[0]
+        assert best == name, name
+        assert all(x == name or x.rsplit("-", 1)[0] == family or name.startswith("apache") for x in found), (name, found)
+
+
+def _patience(a, b, i=0, j=0):
+    """Pairs by the definition: equal ends, then anchors that occur once in both, then the gaps."""
+    if not a or not b:
+        return []
+    if a[0] == b[0]:
+        return [(i, j), *_patience(a[1:], b[1:], i + 1, j + 1)]
+    if a[-1] == b[-1]:
+        return [*_patience(a[:-1], b[:-1], i, j), (i + len(a) - 1, j + len(b) - 1)]
+    once = [(x, b.index(w)) for x, w in enumerate(a) if a.count(w) == 1 and b.count(w) == 1]
+    chain = [once[k] for k in licenses.increasing([y for _, y in once])]
+    if not chain:
+        return []
+    out, x, y = [], 0, 0
+    for u, v in [*chain, (len(a), len(b))]:
+        out += _patience(a[x:u], b[y:v], i + x, j + y)
+        if u < len(a):
+            out.append((i + u, j + v))
+        x, y = u + 1, v + 1
+    return out
+
+
+def _scan(text, templates, coverage):
+    """Matches of all templates by trying every window of a text."""
+    words, out = D.words_of(text.encode()), []
+    for name, template in sorted(templates.items()):
+        parts = template.replace("}", "{").split("{")
+        own = [D.words_of(p.encode()) for p in parts]
+        t, runs, at = sum(own, []), [], 0
+        for k, p in enumerate(own):
+            if k % 2:
+                runs.append((at, at + len(p)))
+            at += len(p)
+        width, least, found = int(len(t) * 1.25) + 3, int(np.ceil(coverage * len(t) - 1e-9)), {}
+        for i in range(len(words)):
+            if words[i] in t:
+                pairs = _patience(t, words[i : i + width])
+                where = dict(pairs)
+                if len(pairs) >= least and all(a in where and all(where.get(k) == where[a] + k - a for k in range(a, b)) for a, b in runs):
+                    found[i] = (-len(pairs), pairs[-1][1] - pairs[0][1], i + pairs[0][1], i + pairs[-1][1] + 1)
+        i = 0
+        while i < len(words):
+            if i not in found:
+                i += 1
+                continue
+            best, k = found[i], i + 1
+            while k < best[3] and -best[0] < len(t):
+                best = min(best, found.get(k, best))
+                k += 1
+            i = best[3]
+            out.append((name, -best[0], best[2], best[3]))
+    return out
+
+
+def test_license_scan_is_that_of_all_windows():
+    r = random.Random(4)
+    letters = [chr(97 + k) for k in range(9)]
+    for k in range(60):
+        templates = {f"t{i}": " ".join(r.choices(letters, k=r.randint(2, 5))) + " {" + " ".join(r.choices(letters, k=r.randint(1, 2))) + "} " + " ".join(r.choices(letters, k=r.randint(1, 4))) for i in range(3)}
+        texts = []
+        for _ in range(4):
+            words = r.choices(letters, k=r.randint(0, 60))
+            for t in templates.values():
+                at = r.randint(0, len(words))
+                copy = t.replace("{", "").replace("}", "").split()
+                if r.random() < 0.5:
+                    copy[r.randrange(len(copy))] = "zz"
+                words[at:at] = copy
+            texts.append(" ".join(words))
+        coverage = r.choice([0.6, 0.8, 1.0])
+        got = licenses.Templates(templates, coverage).scan([t.encode() for t in texts])[1]
+        for text, matches in zip(texts, got, strict=True):
+            assert sorted((n, m, a, b) for n, _, a, b, m in matches) == sorted(_scan(text, templates, coverage)), text
+
+
+def test_ties_of_licenses_go_to_the_smaller_name(spark):
+    got = licenses.scan(spark.createDataFrame([(1, "alpha beta gamma delta")], "doc_id long, text string"), templates={"b": "alpha beta", "a": "gamma delta", "c": "beta"}).first()
+    assert (got.license, got.n_matches, got.matched_words) == ("a", 3, 2)
+
+
+#: Megabytes of words in one text.
+HUGE = " ".join(VOCABULARY[(7 * k + k // 11) % len(VOCABULARY)] for k in range(1_700_000))
+
+
+def test_texts_of_several_megabytes(spark):
+    assert len(HUGE) > 8 << 20
+    notice, passage = licenses.TEMPLATES["mit-notice"].replace("{", "").replace("}", ""), prose(40, 501)
+    text = f"{notice} {HUGE} {passage} {notice}"
+    docs = spark.createDataFrame([(1, text), (2, "short one"), (3, HUGE)], "doc_id long, text string")
+    n = len(D.words_of(text.encode()))
+    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
+    assert (got[1].n_matches, got[1].n_words, got[1].matches[1].end, got[3].n_matches) == (2, n, n, 0)
+    bench = spark.createDataFrame([("7", passage)], "item_id string, text string")
+    hit = {r.doc_id: r for r in D.decontaminate(docs, bench).collect()}
+    assert (hit[1].n_words, hit[1].n_hit, hit[1].n_items, hit[1].contaminated, hit[3].n_hit) == (n, 40, 1, False, 0)
+    told = {r.doc_id: int(r.fingerprint, 16) for r in simhash.near_duplicates(docs).collect()}
+    hashes = np.array([xxhash.xxh64_intdigest(" ".join(w), 42) for w in zip(*(HUGE.split()[k:] for k in range(3)), strict=False)], np.uint64)
+    assert told[3] == sum(1 << j for j in range(64) if 2 * int(((hashes >> np.uint64(j)) & np.uint64(1)).sum()) > len(hashes))
+    counts = {r.doc_id: r for r in sentencepiece_codec.encode(docs, MODEL).collect()}
+    assert all(r.parity and r.round_trip for r in counts.values()) and counts[1].n_tokens > counts[3].n_tokens > 1_000_000
+    labels = spark.createDataFrame([(k, k % 2) for k in range(4)], "doc_id long, quality int")
+    assert quality.score(docs, labels).count() == 3
+
+
 def test_patience_is_a_common_subsequence():
     r = random.Random(3)
     for _ in range(200):
