@@ -19,7 +19,6 @@ import hashlib
 import os
 import re
 import struct
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -115,7 +114,8 @@ class Codec:
         self.bytes = {i for i, (_, _, kind) in enumerate(m.pieces) if kind == BYTE}
         self.library = SentencePieceProcessor(model_proto=data)
         self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+") if m.splits else re.compile("(?s).+")
-        self.known: dict[str, tuple[bytes, str, int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.odd: dict[str, tuple[int, bool]] = {}
         self.held = 0
 
     def normalised(self, text: str) -> str:
@@ -125,28 +125,38 @@ class Codec:
         return MARK + text if text and self.model.dummy_prefix else text
 
     def learn(self, segments: list[str]) -> None:
-        """Encode and decode segments, and remember them: (ids, text, byte tokens)."""
+        """Encode and decode segments, and remember their ids; and of those with byte tokens, or that decoding doesn't give back,
+        (byte tokens, given back)."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
         texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
         for s, i, t in zip(segments, ids, texts, strict=True):
-            self.known[s] = (np.array(i, "<i4").tobytes(), t, sum(x in self.bytes for x in i) if len(i) > 1 else 0)
-            self.held += 200 + 4 * len(s) + 4 * len(i) + 4 * len(t)
-
-    def encode(self, texts: list[str]) -> list[tuple[bytes, str, int, bool]]:
-        """Of each text: ids as little-endian int32, the text decoded from them, its byte tokens, and parity."""
-        cuts = [self.cut.findall(self.normalised(t)) for t in texts]
+            self.known[s] = np.array(i, "<i4").tobytes()
+            self.held += 200 + 4 * len(s) + 4 * len(i)
+            fallback, back = sum(x in self.bytes for x in i) if len(i) > 1 else 0, t == s.replace(MARK, " ")
+            if fallback or not back:
+                self.odd[s] = (fallback, back)
+
+    def encode(self, texts: list[str]) -> list[tuple[bytes, bool, int, bool]]:
+        """Of each text: ids as little-endian int32, whether they give the normalised text back, byte tokens, and parity."""
+        normal = [self.normalised(t) for t in texts]
+        cuts = [self.cut.findall(t) for t in normal]
         if self.held > REMEMBERED:
             self.known.clear()
+            self.odd.clear()
             self.held = 0
-        new = list(dict.fromkeys(s for s in chain.from_iterable(cuts) if s not in self.known))
+        new = list({s for parts in cuts for s in parts}.difference(self.known))
         if new:
             self.learn(new)
-        out = []
+        out, get = [], self.known.__getitem__
         for text, parts in zip(texts, cuts, strict=True):
-            coded, backs, fallback = zip(*map(self.known.__getitem__, parts), strict=True) if parts else ((),) * 3
-            ids, back = b"".join(coded), "".join(backs)
+            ids = b"".join(map(get, parts))
+            told = [self.odd[s] for s in parts if s in self.odd] if self.odd and not self.odd.keys().isdisjoint(parts) else ()
+            back = all(ok for _, ok in told)
+            if not back:  # what one segment lacks, another could bring
+                own = np.frombuffer(ids, "<i4").tolist()
+                back = self.decode([own])[0] == self.expected(text)
             same = np.array(self.library.encode(text), "<i4").tobytes() == ids
-            out.append((ids, back[1:] if self.model.dummy_prefix and back[:1] == " " else back, sum(fallback), same))
+            out.append((ids, back, sum(n for n, _ in told), same))
         return out
 
     def expected(self, text: str) -> str:
@@ -189,8 +199,8 @@ def encode(documents: DataFrame, model_path: str, *, ids: bool = False, carry: t
             coded_texts: list[bytes] = []
             for a, b in chunks(texts, 2 << 20):
                 part = [(t or b"").decode() for t in texts[a:b]]
-                for text, (coded, back, fallback, same) in zip(part, own.encode(part), strict=True):
-                    rows.append((len(coded) // 4, fallback, hashlib.sha256(coded).hexdigest(), back == own.expected(text), same))
+                for coded, back, fallback, same in own.encode(part):
+                    rows.append((len(coded) // 4, fallback, hashlib.sha256(coded).hexdigest(), back, same))
                     if ids:
                         coded_texts.append(coded)
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_()]
