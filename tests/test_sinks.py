@@ -34,6 +34,31 @@ def test_records(spark, trained, tmp_path):
     assert records.purge(spark, str(tmp_path / "nothing"), dt.datetime(2026, 1, 1)) == 0
 
 
+@pytest.mark.parametrize("step", ["write_text", "remove", "moved"])
+def test_a_purge_that_ends_halfway_loses_nothing(spark, tmp_path, monkeypatch, step):
+    folder, cutoff = str(tmp_path / "records"), dt.datetime(2026, 1, 2, 6)
+    rows = synthetic.fleet(spark, 1, 3).select("station_id", "seq", "ts", F.to_date("ts").alias("day")).repartition(3)
+    records.append(rows, folder)
+    want = sorted(r.seq for r in rows.filter(F.col("ts") >= F.lit(cutoff).cast("timestamp_ntz")).collect())
+    calls = []
+
+    def broken(*args):
+        calls.append(args)
+        if len(calls) > (step == "remove"):  # the second file that goes
+            raise KeyboardInterrupt
+        return getattr(files, step)(*args)
+
+    monkeypatch.setattr(records, step, broken)
+    with pytest.raises(KeyboardInterrupt):
+        records.purge(spark, folder, cutoff)
+    monkeypatch.undo()
+    spark.catalog.clearCache()
+    left = sorted(r.seq for r in records.read(spark, folder).filter(F.col("ts") >= F.lit(cutoff).cast("timestamp_ntz")).collect())
+    assert left == want
+    records.purge(spark, folder, cutoff)
+    assert sorted(r.seq for r in records.read(spark, folder).collect()) == want and not files.exists(spark, f"{folder}.purge")
+
+
 def test_models(spark, trained, tmp_path):
     rows, stations, known = trained
     folder = str(tmp_path / "models")

@@ -41,8 +41,9 @@ def drift(days: DataFrame, at: DataFrame, s: Settings = DEFAULT) -> DataFrame:
     def ordinal(d: str) -> Column:
         return (F.datediff(d, F.lit("0001-01-01").cast("date")) + 1).cast("double")
 
-    points = at.select("station_id", "channel", F.col("day").alias("at")).join(days, ["station_id", "channel"])
-    points = points.filter((F.col("day") <= F.col("at")) & (F.datediff("at", "day") < p.window_days)).select(*keys, ordinal("day").alias("x"), F.col("mean").alias("y"))
+    # Each day goes to the evaluation days that see it, and meets them by equality.
+    seen = days.select("station_id", "channel", "day", F.col("mean").alias("y"), F.explode(F.sequence("day", F.date_add("day", p.window_days - 1))).alias("at"))
+    points = seen.join(at.select("station_id", "channel", F.col("day").alias("at")), keys).select(*keys, ordinal("day").alias("x"), "y")
     base = points.groupBy(keys).agg(
         F.count("*").alias("n"), F.min("x").alias("x0"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.regr_slope("y", "x").alias("ols"), F.regr_sxx("y", "x").alias("sxx"),
         F.expr("percentile(y, 0.5D)").alias("mid_y"), F.expr("percentile(x, 0.5D)").alias("mid_x")).filter(F.col("n") >= p.min_days)

@@ -21,6 +21,36 @@ def remove(spark: SparkSession, path: str) -> None:
     store.delete(own, True)
 
 
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the data files in a folder; none if there is no such folder."""
+    store, own = _at(spark, path)
+    return sorted(str(f.getPath()) for f in store.listStatus(own) if f.isFile() and f.getPath().getName()[0] not in "._") if store.exists(own) else []
+
+
+def moved(spark: SparkSession, path: str, folder: str) -> None:
+    """Move a file into a folder, under its own name."""
+    store, own = _at(spark, path)
+    _, to = _at(spark, folder)
+    store.mkdirs(to)
+    if not store.rename(own, to):
+        raise OSError(f"could not move {path} to {folder}")
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a file that is there as a whole or not at all."""
+    store, own = _at(spark, path)
+    _, first = _at(spark, f"{path}.part")
+    out = store.create(first, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not store.rename(first, own):
+        raise OSError(f"could not write {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    return "\n".join(r.value for r in spark.read.text(path).collect())
+
+
 def safe_name(name: Column) -> Column:
     """The base name with all but letters, digits, dot, underscore and dash replaced; it ends in .csv."""
     base = F.element_at(F.split(F.replace(name, F.lit("\\"), F.lit("/")), "/"), -1)
