@@ -422,6 +422,16 @@ def fuse_full(t: Tables) -> DataFrame:
     return t.judged.select("station_id", "seq", "verdict", "confidence", "rule", F.array_join(names, " ").alias("checks"))
 
 
+_CONFIGS = "SELECT * FROM (VALUES ('full', []::VARCHAR[]), " + ", ".join(f"('no_{k}', [{', '.join(repr(x) for x in v)}])" for k, v in studies.LAYERS.items()) + ") x(config, off)"
+
+
+@query(oracles.configured(_CONFIGS) + """
+SELECT c.config, c.station_id, c.verdict, count(*) AS n, count(*) FILTER (c.verdict <> v.verdict) AS changed FROM verdicts_c c JOIN verdicts v ON v.station_id = c.station_id AND v.seq = c.seq GROUP BY ALL
+""")
+def ablation(t: Tables) -> DataFrame:
+    return studies.ablation(engine.judge(t.readings, t.stations, t.models))
+
+
 @query("SELECT v.station_id, v.seq, round(d2, 3) AS distance2, round(threshold, 3) AS threshold, far AS flagged, [" + _NAMES + "][list_position(list_transform(parts, lambda x: abs(x)), list_max(list_transform(parts, lambda x: abs(x))))] AS first_feature, round(list_sum(parts), 3) AS total FROM (SELECT station_id, max(seq) AS seq FROM readings WHERE station_id = 'S3' GROUP BY ALL) v JOIN far_ USING (station_id, seq)")
 def explain_latest(t: Tables) -> DataFrame:
     found = mahalanobis.explain_latest(t.departures, t.models.distance, "S3").filter("available")

@@ -366,3 +366,12 @@ def judging(readings: str, suffix: str = "_f") -> str:
             own = re.sub(r"\b(readings|long_|listed|instants|ranked)\.", rf"\1{suffix}.", own)
             out.append(f", {name}{suffix} AS ({own})")
     return "\n".join(out)
+
+
+def configured(configs: str) -> str:
+    """Tables after TABLES that fuse the same checks in several configurations: configs is a SELECT of config and off, the kinds
+    that it leaves out; verdicts_c has a verdict for each reading and config."""
+    bodies = dict(re.findall(r"^\), (summed|ruled|verdicts) AS \(\n(.*?)(?=^\), )", TABLES, flags=re.M | re.S))
+    summed = bodies["summed"].replace("SELECT station_id, seq, count(*)", "SELECT config, station_id, seq, count(*)", 1).replace("FROM listed WHERE", "FROM listed, configs_ WHERE NOT list_contains(off, kind) AND").replace("GROUP BY station_id, seq", "GROUP BY config, station_id, seq")
+    ruled = bodies["ruled"].replace("FROM per_reading p LEFT JOIN summed s USING (station_id, seq)", "FROM (SELECT * FROM per_reading, configs_) p LEFT JOIN summed_c s USING (config, station_id, seq)")
+    return f", configs_ AS ({configs}), summed_c AS ({summed}), ruled_c AS ({ruled}), verdicts_c AS ({bodies['verdicts'].replace('FROM ruled', 'FROM ruled_c')})"
