@@ -371,3 +371,16 @@ def test_peer_trials(spark):
     got = {(r["mode"], r.kind): r for r in studies.peer_trials(anomalies, differences, limits_, plan).collect()}
     assert got["peer", "offset"].detected and got["peer", "drift"].detected and got["peer", "drift"].days > got["peer", "offset"].days and not got["own", "offset"].detected
     assert studies.peer_summary(studies.peer_trials(anomalies, differences, limits_, plan)).filter("mode = 'peer'").count() == 2
+
+
+def test_runs_are_compared_by_path(spark):
+    kind = "id int, x struct<a: double, b: array<struct<c: string, d: double>>, m: map<string, int>, t: string>, when_ string, n long"
+    one = [(1, (1.0, [("p", 1.0), ("q", None)], {"k": 1}, None), "now", 5), (2, None, "now", 6), (3, (float("nan"), [], {}, "x"), "now", 7), (5, (0.0, None, None, ""), "now", 8)]
+    two = [(1, (1.0 + 1e-12, [("p", 1.5)], {"k": 1, "l": 2}, None), "later", 5), (2, None, "later", 9), (3, (float("nan"), [], {}, "x"), "later", 7), (4, (1.0, [], {}, "y"), "later", 1)]
+    a, b = spark.createDataFrame(one, kind), spark.createDataFrame(two, kind)
+    got = {(r.id, r.path): (r.a, r.b, r.what) for r in evaluation.run_differences(a, b, ["id"], ignore=("when_",)).collect()}
+    missing = {(5, p) for p in ("/x/a", "/x/b", "/x/m", "/x/t", "/n")}
+    assert {k for k, v in got.items() if v[2] == "missing"} == missing | {(1, "/x/b[1]/c"), (1, "/x/b[1]/d")}
+    assert {k: v for k, v in got.items() if v[2] == "changed"} == {(1, "/x/b"): ("2.0", "1.0", "changed"), (1, "/x/b[0]/d"): ("1.0", "1.5", "changed"), (2, "/n"): ("6.0", "9.0", "changed")}
+    more = {(r.id, r.path) for r in evaluation.run_differences(a, b, ["id"], ignore=("when_",), added=True).collect() if r.what == "added"}
+    assert (1, "/x/m{l}") in more and (4, "/x/t") in more and evaluation.run_differences(a, a, ["id"]).count() == 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.core import MINUTE, micros, minutes, wilson
 from ..settings import DEFAULT, Settings
@@ -173,6 +174,50 @@ def difference(a: DataFrame, b: DataFrame, keys: list[str], value: str, toleranc
     return joined.filter(F.col("a").isNull() | F.col("b").isNull() | (F.abs(F.col("a") - F.col("b")) >= tolerance))
 
 
+def leaves(value: Column, kind: T.DataType, path: Column, ignore: frozenset[str] = frozenset()) -> Column:
+    """Every value inside a nested one as (path, kind, text, number): fields by name, elements by place, entries by key. Names
+    in ignore are passed over at any depth. An array also tells its length, so that a shorter one differs."""
+    none, unit = F.lit(None).cast("double"), "array<struct<path: string, kind: string, text: string, number: double>>"
+
+    def leaf(at: Column, name: str, text: Column, number: Column) -> Column:
+        return F.array(F.struct(at.alias("path"), F.lit(name).alias("kind"), text.cast("string").alias("text"), number.cast("double").alias("number")))
+
+    if isinstance(kind, T.StructType):
+        parts = [leaves(value[f.name], f.dataType, F.concat(path, F.lit(f"/{f.name}")), ignore) for f in kind.fields if f.name not in ignore]
+        return F.when(value.isNull(), leaf(path, "null", F.lit(None), none)).otherwise(F.concat(*parts) if parts else F.array().cast(unit))
+    if isinstance(kind, T.ArrayType):
+        inner = F.flatten(F.transform(value, lambda x, i: leaves(x, kind.elementType, F.concat(path, F.lit("["), i.cast("string"), F.lit("]")), ignore)))
+        return F.when(value.isNull(), leaf(path, "null", F.lit(None), none)).otherwise(F.concat(leaf(path, "length", F.lit(None), F.size(value)), inner))
+    if isinstance(kind, T.MapType):
+        inner = F.flatten(F.transform(F.map_entries(value), lambda e: leaves(e["value"], kind.valueType, F.concat(path, F.lit("{"), e["key"].cast("string"), F.lit("}")), ignore)))
+        return F.when(value.isNull(), leaf(path, "null", F.lit(None), none)).otherwise(inner)
+    if isinstance(kind, T.NumericType):
+        return leaf(path, "number", F.lit(None), value)
+    return leaf(path, kind.typeName(), F.base64(value) if isinstance(kind, T.BinaryType) else value, none)
+
+
+def run_differences(a: DataFrame, b: DataFrame, keys: list[str], *, ignore: tuple[str, ...] = (), tolerance: float = 1e-9, added: bool = False) -> DataFrame:
+    """(keys, path, a, b, what) where two runs of nested records differ: "changed", or "missing" in b; added: also what only b
+    has ("added"), which a later run may. Numbers differ from tolerance on, nan equals nan; a null equals a null. keys name a
+    record in each run. Columns of any types count, except those whose names are in ignore."""
+    names = frozenset(ignore)
+
+    def flat(df: DataFrame, side: str) -> DataFrame:
+        kept = [f for f in df.schema.fields if f.name not in keys and f.name not in names]
+        every = F.concat(*[leaves(F.col(f.name), f.dataType, F.lit(f"/{f.name}"), names) for f in kept])
+        return df.select(*keys, F.explode(every).alias("x")).select(*keys, "x.path", F.struct(F.col("x.kind"), F.col("x.text"), F.col("x.number")).alias(side))
+
+    both = flat(a, "a_").join(flat(b, "b_"), [*keys, "path"], "full")
+    x, y = F.col("a_"), F.col("b_")
+    near = F.when(x["number"].isNotNull() & y["number"].isNotNull(), (F.isnan(x["number"]) & F.isnan(y["number"])) | (F.abs(x["number"] - y["number"]) < tolerance) | (x["number"] == y["number"])).otherwise(x["number"].eqNullSafe(y["number"]))
+    same = (x["kind"] == y["kind"]) & x["text"].eqNullSafe(y["text"]) & near
+    what = F.when(y.isNull(), "missing").when(x.isNull(), "added").when(~same, "changed")
+    out = both.withColumn("what", what).filter("what IS NOT NULL")
+    out = out if added else out.filter("what <> 'added'")
+    told = [F.coalesce(v["text"], v["number"].cast("string")).alias(n) for v, n in ((x, "a"), (y, "b"))]
+    return out.select(*keys, "path", *told, "what")
+
+
 def shares(counts: DataFrame, part: str = "alarm", whole: str = "n") -> DataFrame:
     """counts with the share in percent and its Wilson interval."""
     low, high = wilson(F.col(part), F.col(whole))

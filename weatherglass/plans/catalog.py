@@ -824,6 +824,27 @@ def run_difference(t: Tables) -> DataFrame:
     return evaluation.difference(a, b, ["station_id", "seq"], "temperature_c")
 
 
+#: The verdicts of two runs, the second without the statistical models: what differs, by path.
+_OFF = "SELECT 'full' AS config, []::VARCHAR[] AS off UNION ALL SELECT 'plain', ['isolation_forest', 'mahalanobis']"
+
+
+@query(oracles.configured(_OFF) + """
+, runs_of AS (SELECT c.config, c.station_id, c.seq, c.verdict, c.confidence, coalesce(f.kinds, []) AS kinds FROM verdicts_c c LEFT JOIN (
+  SELECT config, station_id, seq, list(kind ORDER BY place) AS kinds FROM listed, configs_ WHERE NOT list_contains(off, kind) GROUP BY ALL) f USING (config, station_id, seq)),
+leaves AS (
+  SELECT config, station_id, seq, '/told/verdict' AS path, verdict AS x FROM runs_of UNION ALL SELECT config, station_id, seq, '/told/confidence', CAST(confidence AS VARCHAR) FROM runs_of
+  UNION ALL SELECT config, station_id, seq, '/told/kinds', CAST(len(kinds) AS VARCHAR) FROM runs_of
+  UNION ALL SELECT config, station_id, seq, '/told/kinds[' || i || ']', kinds[i + 1] FROM (SELECT *, unnest(range(len(kinds))) AS i FROM runs_of))
+SELECT a.station_id, a.seq, a.path, CASE WHEN b.x IS NULL THEN 'missing' ELSE 'changed' END AS what FROM (FROM leaves WHERE config = 'full') a LEFT JOIN (FROM leaves WHERE config = 'plain') b ON b.station_id = a.station_id AND b.seq = a.seq AND b.path = a.path
+WHERE b.x IS NULL OR (a.path <> '/told/confidence' AND a.x <> b.x) OR (a.path = '/told/confidence' AND abs(CAST(a.x AS DOUBLE) - CAST(b.x AS DOUBLE)) >= 1e-9)
+""")
+def run_compare(t: Tables) -> DataFrame:
+    judged = engine.judge(t.readings, t.stations, t.models)
+    kinds = F.transform(F.filter("checks", lambda x: x["flagged"]), lambda x: x["kind"]).alias("kinds")
+    both = [stored(x.select("station_id", "seq", F.struct("verdict", "confidence", kinds).alias("told"), F.monotonically_increasing_id().alias("run_id"))) for x in (judged, studies.without(judged, ("isolation_forest", "mahalanobis")))]
+    return evaluation.run_differences(*both, ["station_id", "seq"], ignore=("run_id",)).select("station_id", "seq", "path", "what")
+
+
 # Systems side by side.
 
 _SYSTEMS = _WINDOWS + """
