@@ -36,6 +36,8 @@ SCALE, TOP, EVERY = 256, 5, 50
 BLOCK_ROWS, PAGE, QUERY_ROWS = 4096, 256, 1024
 #: Most pivots: their vectors and a row for each cell are what reaches the driver.
 CELLS = 256
+#: Trees of up to so many tasks; further ones share tasks, one after the other.
+TASKS = 10_000
 LIMIT = 1 << 63
 
 
@@ -218,6 +220,7 @@ def search(
     for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect():
         sizes[r["cell"]], radii[r["cell"]] = r["n"], r["far"]
     blocks = [max(1, -(-m // block_rows)) for m in sizes]
+    offsets = np.cumsum([0, *blocks[:-1]]).tolist()
 
     def grow(key, table):
         ids = np.asarray(table.column("vec_id"))
@@ -258,17 +261,16 @@ def search(
         return pa.table({"cell": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "queries": pa.array([data], pa.binary())})
 
     def run(batches):
-        at, known = None, {}
+        own = None
         for batch in batches:
-            for cell, part, tree, data in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                own, block, rows = Searcher(unpack(tree)), unpack(data), []
-                if at != (cell, part):  # the k-th scores of one query block at a time
-                    at, known = (cell, part), {int(i): int(f) for i, f, told in zip(block["numbers"], block["floors"], block["told"], strict=True) if told}
-                for number, i, q in zip(block["numbers"].tolist(), block["ids"].tolist(), block["v"], strict=True):
-                    found = own.top(i, q, k, known.get(number))
-                    if len(found) == k:
-                        known[number] = max(known.get(number, -LIMIT), min(found)[0])
-                    rows += [(number, i, v, s) for s, v in found]
+            for kind, data in zip(batch.column(2).to_pylist(), batch.column(3), strict=True):
+                held, rows = unpack(data.as_py()), []
+                if not kind:  # a tree stays while the query blocks sent to it stream past
+                    own = Searcher(held)
+                    continue
+                known = [int(f) if told else None for f, told in zip(held["floors"], held["told"], strict=True)]
+                for number, i, q, floor in zip(held["numbers"].tolist(), held["ids"].tolist(), held["v"], known, strict=True):
+                    rows += [(number, i, v, s) for s, v in own.top(i, q, k, floor)]
                 yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(4)], names=["number", "query_id", "vec_id", "score"])
 
     best = Window.partitionBy("number").orderBy(F.desc("score"), "vec_id")
@@ -277,7 +279,8 @@ def search(
         return rows.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
 
     def met(links):
-        """Results of the pairs (number, cell, floor): each tree of a cell meets each block of the cell's queries once."""
+        """Results of the pairs (number, cell, floor): each tree of a cell meets each block of the cell's queries once. Trees are
+        moved once, to a task each; only query blocks are copied."""
         counts = [0] * len(pivots)
         for r in links.groupBy("cell").count().collect():
             counts[r["cell"]] = r["count"]
@@ -286,9 +289,12 @@ def search(
         parts = [-(-c // query_rows) for c in counts]
         chosen = links.join(asked, "number").withColumn("part", F.pmod(F.xxhash64("number"), of_cell(parts)).cast("int"))
         packs = chosen.groupBy("cell", "part").applyInArrow(gather, "cell int, part int, queries binary")
-        left = trees.filter(of_cell(parts) > 0).withColumn("part", F.explode(F.sequence(F.lit(0), of_cell(parts) - 1)))
-        right = packs.withColumn("block", F.explode(F.sequence(F.lit(0), of_cell(blocks) - 1)))
-        return left.join(right, ["cell", "part", "block"]).select("cell", "part", "tree", "queries").mapInArrow(run, SCHEMA)
+        placed = (of_cell(offsets) + F.col("block")).alias("tree_number"), "cell"
+        left = trees.filter(of_cell(parts) > 0).select(*placed, F.lit(0).alias("kind"), F.col("tree").alias("data"))
+        right = packs.withColumn("block", F.explode(F.sequence(F.lit(0), of_cell(blocks) - 1))).select(*placed, F.lit(1).alias("kind"), F.col("queries").alias("data"))
+        tasks = max(1, min(TASKS, sum(blocks)))
+        both = left.unionByName(right).repartitionById(tasks, F.pmod("tree_number", F.lit(tasks)).cast("int")).sortWithinPartitions("tree_number", "kind")
+        return both.mapInArrow(run, SCHEMA)
 
     homes = cut(asked.select("number", "v").mapInArrow(home, "number long, cell int, floor long"))
     first = cut(ranked(met(homes)).drop("rank"))
