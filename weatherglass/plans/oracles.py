@@ -47,29 +47,28 @@ def _forest() -> str:
     x = ", ".join(f"x{i}" for i in range(8))
     out = [f"""forest_pool AS MATERIALIZED (
   SELECT station_id, seq, {x} FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY {_mixed(_mixed(f'{SEED}::BIGINT', 'seq'), '1')}, seq) AS k FROM forest_rows) WHERE k <= {16 * SUBSAMPLE}
+), forest_sizes AS MATERIALIZED (
+  SELECT station_id, least({SUBSAMPLE}, count(*)) AS rows_, CAST(ceil(log2(greatest(least({SUBSAMPLE}, count(*)), 2))) AS INTEGER) AS depth_ FROM forest_pool GROUP BY ALL
 ), forest_trees AS MATERIALIZED (
   SELECT t::BIGINT AS tree, {_mixed(f'{SEED}::BIGINT', 't::BIGINT')} AS h FROM range({TREES}) r(t)
 ), forest_m0 AS MATERIALIZED (
-  SELECT station_id, tree, h, 1::BIGINT AS node, {x} FROM (SELECT p.*, tree, h, row_number() OVER (PARTITION BY station_id, tree ORDER BY {_mixed('h', 'seq')}, seq) AS k FROM forest_pool p, forest_trees) WHERE k <= {SUBSAMPLE}
+  SELECT station_id, tree, h, depth_, 1::BIGINT AS node, {x} FROM (SELECT p.*, depth_, tree, h, row_number() OVER (PARTITION BY p.station_id, tree ORDER BY {_mixed('h', 'seq')}, seq) AS k FROM forest_pool p JOIN forest_sizes z ON z.station_id = p.station_id, forest_trees) WHERE k <= {SUBSAMPLE}
 )"""]
     for level in range(DEPTH + 1):
         open_ = "[" + ", ".join(f"CASE WHEN high[{i + 1}] - low[{i + 1}] > 1e-9 THEN {i + 1} END" for i in range(8)) + "]"
-        leaf = "TRUE" if level == DEPTH else "len(open_) = 0"
+        leaf = f"{level} >= depth_ OR len(open_) = 0"
         out.append(f"""forest_s{level} AS MATERIALIZED (
   SELECT station_id, tree, node, f, CASE WHEN f IS NULL THEN {level * 1_000_000} + CAST(round_even(1000000 * ({_average_depth('n')}), 0) AS BIGINT) END AS length,
     low[f] + {_mixed('g', '2')}::DOUBLE / {PRIME} * (high[f] - low[f]) AS cut FROM (
     SELECT *, CASE WHEN {leaf} THEN NULL ELSE open_[1 + ({_mixed('g', '1')}) % len(open_)] END AS f FROM (
       SELECT *, {_mixed('h', 'node')} AS g, list_filter({open_}, lambda v: v IS NOT NULL) AS open_ FROM (
-        SELECT station_id, tree, h, node, count(*) AS n, [{', '.join(f'min(x{i})' for i in range(8))}] AS low, [{', '.join(f'max(x{i})' for i in range(8))}] AS high FROM forest_m{level} GROUP BY ALL)))
+        SELECT station_id, tree, h, depth_, node, count(*) AS n, [{', '.join(f'min(x{i})' for i in range(8))}] AS low, [{', '.join(f'max(x{i})' for i in range(8))}] AS high FROM forest_m{level} GROUP BY ALL)))
 )""")
         if level < DEPTH:
             out.append(f"""forest_m{level + 1} AS MATERIALIZED (
-  SELECT m.station_id, m.tree, h, 2 * m.node + CASE WHEN [{', '.join(f'x{i}' for i in range(8))}][f] > cut THEN 1 ELSE 0 END AS node, {x} FROM forest_m{level} m JOIN forest_s{level} s ON s.station_id = m.station_id AND s.tree = m.tree AND s.node = m.node WHERE f IS NOT NULL
+  SELECT m.station_id, m.tree, h, depth_, 2 * m.node + CASE WHEN [{', '.join(f'x{i}' for i in range(8))}][f] > cut THEN 1 ELSE 0 END AS node, {x} FROM forest_m{level} m JOIN forest_s{level} s ON s.station_id = m.station_id AND s.tree = m.tree AND s.node = m.node WHERE f IS NOT NULL
 )""")
     out.append("forest_nodes AS MATERIALIZED (\n  " + " UNION ALL ".join(f"SELECT * FROM forest_s{level}" for level in range(DEPTH + 1)) + "\n)")
-    out.append(f"""forest_sizes AS MATERIALIZED (
-  SELECT station_id, least({SUBSAMPLE}, count(*)) AS rows_ FROM forest_pool GROUP BY ALL
-)""")
     out.append("""forest_w0 AS MATERIALIZED (
   SELECT r.station_id, r.seq, t.tree, 1::BIGINT AS node, [x0, x1, x2, x3, x4, x5, x6, x7] AS x FROM forest_rows r, forest_trees t
 )""")
