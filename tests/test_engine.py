@@ -385,3 +385,49 @@ def test_runs_are_compared_by_path(spark):
     assert {k: v for k, v in got.items() if v[2] == "changed"} == {(1, "/x/b"): ("2.0", "1.0", "changed"), (1, "/x/b[0]/d"): ("1.0", "1.5", "changed"), (2, "/n"): ("6.0", "9.0", "changed")}
     more = {(r.id, r.path) for r in evaluation.run_differences(a, b, ["id"], ignore=("when_",), added=True).collect() if r.what == "added"}
     assert (1, "/x/m{l}") in more and (4, "/x/t") in more and evaluation.run_differences(a, a, ["id"]).count() == 0
+
+
+def greedy(times, step):
+    kept, last = [], None
+    for at, us in enumerate(times):
+        if us is not None and (last is None or us >= last + step or us < last):
+            kept.append(at)
+            last = us
+    return kept
+
+
+def test_throttle_kernels_against_the_rule():
+    from weatherglass.operators import throttle
+
+    draw = np.random.default_rng(5)
+    for trial in range(300):
+        n, step = int(draw.integers(2, 60)), int(draw.integers(1, 40))
+        us = draw.integers(-30, 60, n) if trial % 3 else np.cumsum(draw.integers(-3, 9, n))
+        want = [next((j for j in range(i + 1, n) if us[j] >= us[i] + step or us[j] < us[i]), n) for i in range(n)]
+        assert throttle.next_picks(us, step).tolist() == want
+        cut = int(draw.integers(1, n))
+        before = greedy(us[:cut].tolist(), step)
+        ends, exits = throttle.summary(us[cut:], int(us[cut - 1]), step)
+        found = exits[np.searchsorted(ends, us[before[-1]])]
+        assert (us[before[-1]] if found == throttle.NONE else found) == us[greedy(us.tolist(), step)[-1]]
+        assert len(ends) <= 2 * (n - cut) + 1
+
+
+@pytest.mark.parametrize("block_rows", [1, 7, 50, 100_000])
+def test_throttle_is_the_same_in_any_blocks(spark, block_rows):
+    import pandas as pd
+
+    from weatherglass.operators import throttle
+
+    draw = np.random.default_rng(block_rows)
+    series = {
+        "even": np.arange(400) * 30, "hot": np.cumsum(draw.integers(0, 40, 900)), "back": np.cumsum(draw.integers(-60, 90, 300)), "random": draw.integers(0, 5_000, 200),
+        "down": np.arange(50) * -20, "still": np.zeros(40, int), "one": np.array([5])}
+    rows = [(name, k, int(m) if k % 17 != 3 else None) for name, minutes in series.items() for k, m in enumerate(minutes)]
+    frame = pd.DataFrame(rows, columns=["station_id", "seq", "m"]).sample(frac=1, random_state=1)
+    readings = spark.createDataFrame(frame.astype({"m": "Int64"}).astype(object).where(frame.m.notna(), None), "station_id string, seq long, m long").selectExpr(
+        "station_id", "seq", "timestampadd(MINUTE, m, TIMESTAMP_NTZ'2024-01-01 00:00:00') AS ts", "1 AS block", "2 AS place", "3 AS last")
+    got = sorted((r.station_id, r.seq) for r in throttle.picks(readings, 180 * 60_000_000, block_rows).collect())
+    want = sorted((name, k) for name in series for k in greedy([m for n, _, m in rows if n == name], 180))
+    assert got == want
+    assert throttle.picks(readings.limit(0), 1, block_rows).count() == 0

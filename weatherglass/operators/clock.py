@@ -2,50 +2,21 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.core import MINUTE, importable, micros
+from ..functions.core import MINUTE, micros
 from ..settings import DEFAULT, Settings
+from . import throttle
 from .features import kept_rows, numbered, with_limits
-from .history import group_starts
 
 HOUR = 60 * MINUTE
 
 
 def instants(readings: DataFrame, s: Settings = DEFAULT, every_hours: float | None = None) -> DataFrame:
     """(station_id, seq, us): the greedy throttle, a reading whenever `every_hours` of data time have gone by since the last
-    pick, or time has gone back behind it. The rule is sequential, so a station's rows pass one task in arrival order; it holds
-    one batch of three numbers a row, and only one time from batch to batch."""
-    step = int((s.timing.every_hours if every_hours is None else every_hours) * HOUR)
-
-    def pick(batches):
-        name, last = None, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            us, keep = batch.column(2).to_numpy(), []
-            starts = np.unique(group_starts(pa.Table.from_batches([batch]), ("station_id",))).tolist()
-            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
-                own = batch.column(0)[a].as_py()
-                name, last = own, last if own == name else None
-                at = a
-                while at < b:
-                    if last is not None:  # the next row that the rule picks
-                        part = us[at:b]
-                        hit = np.flatnonzero((part >= last + step) | (part < last))
-                        if not len(hit):
-                            break
-                        at += int(hit[0])
-                    last = int(us[at])
-                    keep.append(at)
-                    at += 1
-            yield batch.take(pa.array(keep, pa.int64()))
-
-    rows = importable(readings).select("station_id", F.col("seq").cast("long").alias("seq"), micros("ts").alias("us"))
-    return rows.repartition("station_id").sortWithinPartitions("station_id", "seq").mapInArrow(pick, "station_id string, seq long, us long")
+    pick, or time has gone back behind it."""
+    return throttle.picks(readings, int((s.timing.every_hours if every_hours is None else every_hours) * HOUR))
 
 
 def shift_scores(readings: DataFrame, stations: DataFrame, cells: DataFrame, at: DataFrame, limits: DataFrame | None = None, s: Settings = DEFAULT) -> DataFrame:
