@@ -431,3 +431,39 @@ def test_throttle_is_the_same_in_any_blocks(spark, block_rows):
     want = sorted((name, k) for name in series for k in greedy([m for n, _, m in rows if n == name], 180))
     assert got == want
     assert throttle.picks(readings.limit(0), 1, block_rows).count() == 0
+
+
+def test_learned_limits_are_the_same_in_any_blocks(spark):
+    import pandas as pd
+
+    draw = np.random.default_rng(3)
+    rows, want = [], {}
+    for name, n in (("S1", 700), ("S2", 90), ("S3", 2)):
+        at = np.cumsum(draw.choice([60, 60, 60, 60, 400, -120], n))
+        level = np.repeat(draw.integers(0, 4, n), draw.integers(1, 25, n))[:n].astype(float)
+        level = np.where(draw.random(n) < 0.03, np.nan, level)
+        runs, begun = [], None
+        for k in range(n):
+            joined = begun is not None and not np.isnan(level[k]) and level[k] == level[k - 1] and at[k] - at[k - 1] <= DEFAULT.gap_multiplier * 60
+            if not joined:
+                begun = len(runs)
+                runs.append([])
+            runs[begun].append(k)
+        want[name] = sorted((int(at[r].min()), len(r), float(at[r].max() - at[r].min())) for r in map(np.array, runs) if len(r) > 1 and not np.isnan(level[r[0]]))
+        rows += [(name, k, T0 + dt.timedelta(minutes=int(at[k])), None if np.isnan(level[k]) else float(level[k]), 1000.0, float(k % 5), 0) for k in range(n)]
+    readings = spark.createDataFrame(rows, SCHEMA)
+    stations = spark.createDataFrame([(x, 60.0) for x in want], "station_id string, cadence_minutes double")
+    start = int((T0 - dt.datetime(1970, 1, 1)).total_seconds()) * 1_000_000
+    whole = {}
+    for block_rows in (1, 9, 100_000):
+        for name in want:
+            got = limits.runs(readings, stations, block_rows=block_rows).filter((F.col("station_id") == name) & (F.col("channel") == CHANNELS[0])).collect()
+            assert sorted(((r.start_us - start) // 60_000_000, r.n, r.minutes) for r in got) == want[name]
+        found = {
+            "steps": limits.steps(readings, stations, block_rows=block_rows).select("station_id", "channel", "dt", "change"), "cadence": limits.cadence(readings, block_rows),
+            "running": limits.running_cadence(readings, block_rows=block_rows).select("station_id", "seq", "running_cadence"), "learn": limits.learn(readings, stations.limit(0), min_days=1.0, block_rows=block_rows)[1].select("station_id", "seq", "lead")}
+        for name, frame in found.items():
+            table = frame.toPandas()
+            table = table.sort_values(list(table.columns)).reset_index(drop=True)
+            pd.testing.assert_frame_equal(table, whole.setdefault(name, table))
+    assert len(whole["learn"]) and set(whole["cadence"].cadence_minutes) == {60.0}

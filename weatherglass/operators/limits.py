@@ -7,23 +7,34 @@ from pyspark.sql import functions as F
 
 from ..functions.core import MINUTE, long_form, micros, minutes
 from ..settings import CHANNELS, DEFAULT, Settings
-from .features import BLOCK_ROWS, clean, dealt, numbered, station
+from .features import BLOCK_ROWS, clean, dealt, in_block, numbered
 from .history import jitters
 
 
-def series():
-    return Window.partitionBy("station_id", "channel").orderBy("seq")
+def neighbours(readings: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """station_id, seq, us and each channel, with those of the reading before (us1, <channel>_1). A block begins with the row
+    before it, so that no window holds a station; rows keep their block, place and order."""
+    rows = readings.select("station_id", "seq", micros("ts").alias("us"), *CHANNELS)
+    before = {f"{c}_1": F.lag(c).over(in_block()) for c in CHANNELS} | {"us1": F.lag("us").over(in_block())}
+    return dealt(numbered(rows, block_rows=block_rows), 1, block_rows).withColumns(before).filter("NOT halo").drop("halo")
 
 
-def cadence(readings: DataFrame) -> DataFrame:
-    """(station_id, cadence_minutes): the median of the positive gaps."""
-    gaps = readings.withColumn("us", micros("ts")).withColumn("gap", minutes(F.lag("us").over(station()), F.col("us"))).filter("gap > 0")
-    return gaps.groupBy("station_id").agg(F.expr("percentile(gap, 0.5)").alias("cadence_minutes"))
+def cadence(readings: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(station_id, cadence_minutes): the median of the positive gaps. Equal gaps are counted first, so that the median of a
+    station is that of few weighted values."""
+    return _cadence(neighbours(readings, block_rows))
 
 
-def _long(readings: DataFrame, cadences: DataFrame) -> DataFrame:
-    rows = long_form(readings.withColumn("us", micros("ts")), "station_id", "seq", "us")
-    return rows.join(cadences.select("station_id", "cadence_minutes"), "station_id")
+def _cadence(near: DataFrame) -> DataFrame:
+    gaps = near.withColumn("gap", minutes(F.col("us1"), F.col("us"))).filter("gap > 0").groupBy("station_id", "gap").agg(F.count("*").alias("n"))
+    return gaps.groupBy("station_id").agg(F.expr("percentile(gap, 0.5D, n)").alias("cadence_minutes"))
+
+
+def _pairs(near: DataFrame, cadences: DataFrame) -> DataFrame:
+    """One row a reading and channel: value, before and the minutes between (dt), with the station's cadence."""
+    channels = F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).alias("value"), F.col(f"{c}_1").alias("before")) for c in CHANNELS])
+    rows = near.select("station_id", "block", "place", "us", minutes(F.col("us1"), F.col("us")).alias("dt"), F.explode(channels).alias("x"))
+    return rows.select("*", "x.*").drop("x").join(cadences.select("station_id", "cadence_minutes"), "station_id")
 
 
 def resolution(readings: DataFrame) -> DataFrame:
@@ -36,26 +47,44 @@ def resolution(readings: DataFrame) -> DataFrame:
     return rows.groupBy("station_id", "channel").agg(F.when(F.count("*") >= 50, found).alias("resolution"))
 
 
-def runs(readings: DataFrame, cadences: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+def runs(readings: DataFrame, cadences: DataFrame, s: Settings = DEFAULT, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(station_id, channel, start_us, n, minutes) of runs of at least two equal values; gaps and missing values end a run."""
-    rows = _long(readings, cadences).withColumns({"before": F.lag("value").over(series()), "us1": F.lag("us").over(series())})
-    fresh = F.col("value").isNull() | F.col("before").isNull() | (F.col("value") != F.col("before")) | (minutes(F.col("us1"), F.col("us")) > s.gap_multiplier * F.col("cadence_minutes"))
-    islands = rows.withColumn("run", F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(series())).filter("value IS NOT NULL")
-    found = islands.groupBy("station_id", "channel", "run").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count("*").alias("n"))
+    return _runs(neighbours(readings, block_rows), cadences, s)
+
+
+def _runs(near: DataFrame, cadences: DataFrame, s: Settings) -> DataFrame:
+    """Runs are found in each block. Those that touch an edge, two a block at most, are joined with their other parts."""
+    fresh = F.col("value").isNull() | F.col("before").isNull() | (F.col("value") != F.col("before")) | (F.col("dt") > s.gap_multiplier * F.col("cadence_minutes"))
+    block = Window.partitionBy("station_id", "channel", "block")
+    rows = _pairs(near, cadences).withColumn("run", F.sum(F.coalesce(fresh, F.lit(True)).cast("int")).over(block.orderBy("place")))
+    # Run 0 of a block goes on with the last run of the block before.
+    parts = rows.groupBy("station_id", "channel", "block", "run").agg(F.min("us").alias("start_us"), F.max("us").alias("end_us"), F.count("value").alias("n"))
+    parts = parts.withColumn("edge", (F.col("run") == 0) | (F.col("run") == F.max("run").over(block)))
+    order = Window.partitionBy("station_id", "channel").orderBy("block", "run")
+    edges = parts.filter("edge").withColumn("whole", F.sum((F.col("run") > 0).cast("int")).over(order))
+    edges = edges.groupBy("station_id", "channel", "whole").agg(F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"), F.sum("n").alias("n"))
+    columns = ("station_id", "channel", "start_us", "end_us", "n")
+    found = parts.filter("NOT edge").select(*columns).unionByName(edges.select(*columns))
     return found.filter("n >= 2").select("station_id", "channel", "start_us", "n", minutes(F.col("start_us"), F.col("end_us")).alias("minutes"))
 
 
-def steps(readings: DataFrame, cadences: DataFrame, s: Settings = DEFAULT) -> DataFrame:
+def steps(readings: DataFrame, cadences: DataFrame, s: Settings = DEFAULT, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(station_id, channel, dt, change) of neighbouring readings that no gap parts."""
-    rows = _long(readings, cadences).withColumns({"change": F.abs(F.col("value") - F.lag("value").over(series())), "dt": minutes(F.lag("us").over(series()), F.col("us"))})
+    return _steps(neighbours(readings, block_rows), cadences, s)
+
+
+def _steps(near: DataFrame, cadences: DataFrame, s: Settings) -> DataFrame:
+    rows = _pairs(near, cadences).withColumn("change", F.abs(F.col("value") - F.col("before")))
     return rows.filter((F.col("dt") > 0) & (F.col("dt") <= s.gap_multiplier * F.col("cadence_minutes")) & F.col("change").isNotNull())
 
 
-def running_cadence(readings: DataFrame, rows: int = 33) -> DataFrame:
-    """readings with running_cadence, the median of the positive gaps among the last `rows` arrivals; null without any."""
-    gap = minutes(F.lag("us").over(station()), F.col("us"))
-    timed = readings.withColumn("us", micros("ts")).withColumn("gap_", F.when(gap > 0, gap))
-    return timed.withColumn("running_cadence", F.expr("percentile(gap_, 0.5D)").over(station().rowsBetween(2 - rows, 0))).drop("us", "gap_")
+def running_cadence(readings: DataFrame, rows: int = 33, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """readings with running_cadence, the median of the positive gaps among the last `rows` arrivals; null without any. A block
+    begins with the rows before it that this can reach."""
+    blocks = dealt(numbered(readings.withColumn("us_", micros("ts")), block_rows=block_rows), rows, block_rows)
+    gap = minutes(F.lag("us_").over(in_block()), F.col("us_"))
+    timed = blocks.withColumn("gap_", F.when(gap > 0, gap)).withColumn("running_cadence", F.expr("percentile(gap_, 0.5D)").over(in_block().rowsBetween(2 - rows, 0)))
+    return timed.filter("NOT halo").select(*readings.columns, "running_cadence")
 
 
 def noise_estimates(readings: DataFrame, cadences: DataFrame, s: Settings = DEFAULT, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -72,16 +101,17 @@ def _quantile(column: str, q: float, margin: float, least: int):
     return F.when(F.count(column) >= least, F.expr(f"percentile({column}, {q}D)") * margin)
 
 
-def fit(readings: DataFrame, cadences: DataFrame | None = None, s: Settings = DEFAULT) -> DataFrame:
-    """One row a station and channel; a limit that too few samples back is null."""
-    cadences = cadence(readings) if cadences is None else cadences
+def fit(readings: DataFrame, cadences: DataFrame | None = None, s: Settings = DEFAULT, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row a station and channel; a limit that too few samples back is null. Cadence, runs and steps share an exchange."""
+    rows = neighbours(readings, block_rows)
+    cadences = _cadence(rows) if cadences is None else cadences
     p = s.limits
     keys = ["station_id", "channel"]
-    moved = steps(readings, cadences, s)
+    moved = _steps(rows, cadences, s)
     near = F.when(F.col("dt") <= 1.5 * F.col("cadence_minutes"), F.col("change"))
     found = moved.withColumn("near", near).groupBy(keys).agg(_quantile("near", p.usual_percentile, 1.0, p.min_usual).alias("typical_step"), _quantile("change", p.step_quantile, p.step_margin, p.min_steps).alias("step_cap"))
-    run = runs(readings, cadences, s).groupBy(keys).agg(F.count("*").alias("n_runs"), _quantile("minutes", p.frozen_quantile, p.frozen_margin, p.min_runs).alias("frozen_minutes"))
-    noise = noise_estimates(readings, cadences, s).groupBy(keys).agg(_quantile("jitter", p.noise_quantile, p.noise_margin, p.min_noise).alias("noise_std"))
+    run = _runs(rows, cadences, s).groupBy(keys).agg(F.count("*").alias("n_runs"), _quantile("minutes", p.frozen_quantile, p.frozen_margin, p.min_runs).alias("frozen_minutes"))
+    noise = noise_estimates(readings, cadences, s, block_rows).groupBy(keys).agg(_quantile("jitter", p.noise_quantile, p.noise_margin, p.min_noise).alias("noise_std"))
     out = resolution(readings).join(run, keys, "left").join(noise, keys, "left").join(found, keys, "left")
     return out.join(cadences.select("station_id", "cadence_minutes"), "station_id").select(
         "station_id", "cadence_minutes", "channel", "resolution", "frozen_minutes", "noise_std", "typical_step", "step_cap", F.coalesce("n_runs", F.lit(0)).alias("n_runs"))
@@ -101,11 +131,11 @@ def complete(base: DataFrame, fresh: DataFrame) -> DataFrame:
         "channel", *[F.coalesce(v, f"new_{v}").alias(v) for v in VALUES], "n_runs")
 
 
-def learn(readings: DataFrame, known: DataFrame, fraction: float = 0.7, min_rows: int = 300, min_days: float = 14.0) -> tuple[DataFrame, DataFrame]:
+def learn(readings: DataFrame, known: DataFrame, fraction: float = 0.7, min_rows: int = 300, min_days: float = 14.0, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """(training rows, rows to judge) of stations that are not known (station_id): the first fraction teaches, if it has
     enough rows and days; the rows to judge keep two days before the cut as lead-in (lead true)."""
     new = readings.join(known.select("station_id").distinct(), "station_id", "left_anti").withColumn("us", micros("ts"))
-    counted = new.withColumns({"place": F.row_number().over(station()), "total": F.count("*").over(Window.partitionBy("station_id"))})
+    counted = numbered(new, block_rows=block_rows).join(new.groupBy("station_id").agg(F.count("*").alias("total")), "station_id")
     split = counted.withColumn("teaches", F.col("place") <= F.floor(F.col("total") * fraction))
     facts = split.filter("teaches").groupBy("station_id").agg(F.count("*").alias("rows"), F.min("us").alias("first"), F.max("us").alias("last"))
     enough = facts.filter((F.col("rows") >= min_rows) & (minutes(F.col("first"), F.col("last")) >= min_days * 1440)).select("station_id", F.col("last").alias("cut"))
