@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.core import MINUTE, file_state, long_form, micros, stored
 from ..operators import checks as C
-from ..operators import clock, coldstart, edge, engine, evaluation, features, forest, fusion, health, imputation, injection, mahalanobis, normality, peers, reasons, serving, studies
+from ..operators import clock, coldstart, edge, engine, evaluation, features, forest, fusion, health, imputation, injection, mahalanobis, normality, peers, reasons, serving, starting, studies
 from ..operators import limits as learned
 from ..settings import CHANNELS, DEFAULT
 from ..sources import events
@@ -627,6 +627,49 @@ def coldstart_limits(t: Tables) -> DataFrame:
     return rounded(out.select("station_id", "channel", "frozen_minutes", "noise_std", "typical_step"), "frozen_minutes", "noise_std", "typical_step", digits=5)
 
 
+#: Days of own history in the cold-start run, and the day from which all readings are judged.
+_DAYS, _JUDGED_FROM = (0, 3, 10), 15
+_STARTS = ", ".join(f"({d}, '{m}')" for d in _DAYS for m in starting.MODES)
+_LEARNED = "frozen_minutes noise_std typical_step".split()
+_STARTED = f"""
+, first_ AS (SELECT station_id, min(us) AS us0 FROM readings GROUP BY ALL),
+every_ AS (SELECT station_id || '|' || days || '|' || mode AS station_id, station_id AS base, station_id || '|' || days AS own, days, mode FROM stations, (VALUES {_STARTS}) x(days, mode))
+""" + oracles.judging("SELECT r.* REPLACE (r.station_id || '|' || d.days AS station_id) FROM readings r JOIN first_ f ON f.station_id = r.station_id JOIN (SELECT DISTINCT days FROM every_) d ON r.us < f.us0 + d.days * 86400000000", "_o", oracles.LEARNING) + f"""
+, facts_ AS (SELECT station_id, count(*) AS n, count(DISTINCT CAST(ts AS DATE)) AS own_days FROM readings_o GROUP BY ALL),
+own_cells AS (SELECT c.* FROM cells_o c JOIN facts_ f ON f.station_id = c.station_id WHERE f.n > 50), own_limits AS (SELECT l.* FROM limits_o l JOIN facts_ f ON f.station_id = l.station_id WHERE f.n > 200),
+start_ AS (SELECT s.station_id AS base, c.month, c.hour, c.channel, avg(c.mean) AS mean, stddev_pop(c.mean) AS between_, avg(c.std * c.std) AS within_, sum(c.n) AS n FROM stations s JOIN cells c ON c.station_id <> s.station_id GROUP BY ALL),
+mixed_ AS (SELECT coalesce(a.station_id, b.station_id) AS station_id, coalesce(a.month, b.month) AS month, coalesce(a.hour, b.hour) AS hour, coalesce(a.channel, b.channel) AS channel, least(1.0, b.n / 30.0) AS w, a.mean AS am, a.std AS asd, a.n AS an, b.mean AS bm, b.std AS bs, b.n AS bn
+  FROM (SELECT e.station_id, x.month, x.hour, x.channel, x.mean, sqrt(x.within_ + x.between_ * x.between_) AS std, x.n FROM every_ e JOIN start_ x ON x.base = e.base WHERE mode = 'starter') a
+  FULL JOIN (SELECT e.station_id, c.month, c.hour, c.channel, c.mean, c.std, c.n FROM every_ e JOIN own_cells c ON c.station_id = e.own WHERE mode = 'starter') b ON a.station_id = b.station_id AND a.month = b.month AND a.hour = b.hour AND a.channel = b.channel),
+patterns_ AS (SELECT station_id, month, hour, channel, CASE WHEN bm IS NULL THEN am WHEN am IS NULL THEN bm ELSE w * bm + (1 - w) * am END AS mean, CASE WHEN bm IS NULL THEN asd WHEN am IS NULL THEN bs ELSE sqrt(w * bs * bs + (1 - w) * asd * asd + w * (1 - w) * (bm - am) * (bm - am)) END AS std, coalesce(bn, an) AS n FROM mixed_
+  UNION ALL SELECT e.station_id, c.month, c.hour, c.channel, c.mean, c.std, c.n FROM every_ e JOIN own_cells c ON c.station_id = e.own WHERE mode = 'own_only'),
+others_ AS (SELECT s.station_id AS base, l.channel, {", ".join(f"avg(nullif(l.{x}, 0)) AS {x}" for x in _LEARNED)} FROM stations s JOIN limits l ON l.station_id <> s.station_id GROUP BY ALL),
+blended_ AS (SELECT e.station_id, 30.0::DOUBLE AS cadence_minutes, o.channel, {", ".join(f"coalesce(w * l.{x} + (1 - w) * o.{x}, l.{x}, o.{x}) AS {x}" for x in _LEARNED)} FROM (SELECT e.*, least(1.0::DOUBLE, coalesce(f.own_days, 0) / 365.0::DOUBLE) AS w FROM every_ e LEFT JOIN facts_ f ON f.station_id = e.own) e JOIN others_ o ON o.base = e.base
+    LEFT JOIN own_limits l ON l.station_id = e.own AND l.channel = o.channel WHERE mode = 'starter'
+  UNION ALL SELECT e.station_id, 30.0, l.channel, {", ".join(f"l.{x}" for x in _LEARNED)} FROM every_ e JOIN own_limits l ON l.station_id = e.own WHERE mode = 'own_only')
+"""
+_STARTED_JUDGED = _STARTED + oracles.judging(f"SELECT e.station_id, r.* EXCLUDE (station_id) FROM readings r JOIN first_ f ON f.station_id = r.station_id JOIN every_ e ON e.base = r.station_id WHERE r.us >= f.us0 + {_JUDGED_FROM} * 86400000000", "_c", given={
+    "cells": "SELECT * FROM patterns_", "limits": "SELECT * FROM blended_",
+    "history_rows": "SELECT e.station_id, CAST(ceil(greatest(360, 2 * coalesce(max(frozen_minutes), 0)) / 30.0) AS INTEGER) + 9 AS rows_, CAST(ceil(greatest(1440, 2 * coalesce(max(frozen_minutes), 0)) / 30.0) AS INTEGER) + 9 AS clock_rows FROM every_ e LEFT JOIN blended_ b ON b.station_id = e.station_id GROUP BY e.station_id"})
+
+
+@query(_STARTED + "SELECT e.base AS station_id, e.days, e.mode, p.month, p.hour, p.channel, round(p.mean, 6) AS mean, round(p.std, 5) AS std, CAST(p.n AS BIGINT) AS n FROM patterns_ p JOIN every_ e ON e.station_id = p.station_id")
+def coldstart_patterns(t: Tables) -> DataFrame:
+    """The pattern of each station as if it had just begun, after so many days, borrowing from all others and not."""
+    known = starting.models(t.readings, t.stations, t.cells, t.limits, _DAYS)
+    named = known.cells.join(starting.scenarios(t.stations, _DAYS).select("station_id", "base", "days", "mode"), "station_id")
+    return rounded(rounded(named.drop("station_id").withColumnRenamed("base", "station_id"), "mean"), "std", digits=5)
+
+
+@query(_STARTED_JUDGED + "SELECT e.base AS station_id, e.days, e.mode, v.verdict, count(*) AS n FROM verdicts_c v JOIN every_ e ON e.station_id = v.station_id GROUP BY ALL")
+def coldstart_run(t: Tables) -> DataFrame:
+    """Verdicts of the second half of each station's readings by what it would have known in each scenario."""
+    known = starting.models(t.readings, t.stations, t.cells, t.limits, _DAYS)
+    first = t.readings.groupBy("station_id").agg(F.min(micros("ts")).alias("first"))
+    later = t.readings.join(first, "station_id").filter(micros("ts") >= F.col("first") + _JUDGED_FROM * 1440 * MINUTE).drop("first")
+    return starting.judged(later, t.stations, known, _DAYS).groupBy("station_id", "days", "mode", "verdict").agg(F.count("*").alias("n"))
+
+
 _KM = "2 * 6371.0 * asin(least(1.0, sqrt(pow(sin((radians(b.lat) - radians(a.lat)) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2))))"
 
 

@@ -353,14 +353,19 @@ JUDGED = ("readings", "instants", "long_", "joined", "corners", "weighted", "smo
           "clock_hours", "clock_enough", "clock_moved", "clock_scores", "clock_best", "clock_", "formulas", "listed", "per_reading", "summed", "ruled", "verdicts")
 
 
-def judging(readings: str, suffix: str = "_f") -> str:
-    """Tables after TABLES that judge other readings (a SELECT with the columns of readings) by the same models; their names end
-    in suffix."""
-    names = "|".join(sorted(JUDGED, key=len, reverse=True))
+#: The tables from readings to what a station learns of them.
+LEARNING = ("readings", "long_", "cells", "joined", "feat_", "feat", "runs_", "runs", "jitter_", "jitter", "steps", "resolution", "limits")
+
+
+def judging(readings: str, suffix: str = "_f", tables: tuple[str, ...] = JUDGED, given: dict[str, str] | None = None) -> str:
+    """Tables after TABLES that judge other readings (a SELECT with the columns of readings) by the same models, or by those
+    given (a SELECT each); their names end in suffix."""
+    given = {"readings": readings} | (given or {})
+    names = "|".join(sorted({*tables, *given}, key=len, reverse=True))
     parts = re.split(r"^\), (\w+) AS (?:MATERIALIZED )?\($", re.sub(r"^WITH RECURSIVE ", "), ", TABLES.strip(), count=1), flags=re.M)
-    out = [f", readings{suffix} AS ({readings})"]
+    out = [f", {name}{suffix} AS ({body})" for name, body in given.items()]
     for name, body in zip(parts[1::2], parts[2::2], strict=True):
-        if name in JUDGED and name != "readings":
+        if name in tables and name not in given:
             own = re.sub(rf"\b(FROM|JOIN) ({names})\b", rf"\1 \2{suffix}", body.rstrip())
             own = re.sub(r"\b(readings|long_|listed|instants|ranked)\.", rf"\1{suffix}.", own)
             out.append(f", {name}{suffix} AS ({own})")
