@@ -467,3 +467,55 @@ def test_learned_limits_are_the_same_in_any_blocks(spark):
             table = table.sort_values(list(table.columns)).reset_index(drop=True)
             pd.testing.assert_frame_equal(table, whole.setdefault(name, table))
     assert len(whole["learn"]) and set(whole["cadence"].cadence_minutes) == {60.0}
+
+
+def test_what_a_new_station_borrows(spark):
+    from weatherglass.operators import starting
+
+    draw = np.random.default_rng(8)
+    names = [f"S{k}" for k in range(5)]
+    cells = [(n, 1, h, c, float(1000 + draw.normal()), float(draw.random()), int(draw.integers(10, 99))) for n in names for h in range(3) for c in CHANNELS if draw.random() < 0.7]
+    known = [(n, c, draw.choice([None, 0.1, 1.0]), float(draw.choice([0.0, 60.0, 90.0])), None if n == "S2" else float(draw.random()), float(draw.random())) for n in names for c in CHANNELS]
+    table = spark.createDataFrame(cells, "station_id string, month int, hour int, channel string, mean double, std double, n long")
+    limits_ = spark.createDataFrame([(a, b, None if r is None else float(r), *rest) for a, b, r, *rest in known], "station_id string, channel string, resolution double, frozen_minutes double, noise_std double, typical_step double")
+    stations = spark.createDataFrame([(n, 60.0) for n in names], "station_id string, cadence_minutes double")
+    pairs = {None: [(a, b) for a in names for b in names if a != b], "near": [("S0", "S3"), ("S1", "S0"), ("S1", "S4")]}
+    for borrow in (None, "near"):
+        frame = borrow and spark.createDataFrame(pairs[borrow], "station_id string, other string")
+        got = {(r.station_id, r.hour, r.channel): (r["mean"], r["std"], r.n) for r in starting.borrowed_cells(table, stations, frame).collect()}
+        want = {}
+        for a in names:
+            for h in range(3):
+                for c in CHANNELS:
+                    part = [x for x in cells if (a, x[0]) in pairs[borrow] and x[2:4] == (h, c)]
+                    if part:
+                        m = np.mean([x[4] for x in part])
+                        want[a, h, c] = (m, np.sqrt(np.mean([x[5] ** 2 + (x[4] - m) ** 2 for x in part])), sum(x[6] for x in part))
+        assert got.keys() == want.keys() and all(np.allclose(got[k], want[k], atol=1e-6) for k in want)
+        got = {(r.station_id, r.channel): (r.resolution, r.frozen_minutes, r.noise_std, r.typical_step) for r in starting.borrowed_limits(limits_, stations, frame).collect()}
+        for (a, c), values in got.items():
+            for i, value in enumerate(values):
+                part = [x[2 + i] for x in known if (a, x[0]) in pairs[borrow] and x[1] == c and x[2 + i]]
+                expected = (max(part) if i == 0 else np.mean(part)) if part else None
+                assert value == (None if expected is None else pytest.approx(float(expected)))
+        assert len(got) == len({a for a, _ in pairs[borrow]}) * 3
+
+
+def test_scenarios_learn_from_their_days_only(spark):
+    from weatherglass.operators import starting
+
+    draw = np.random.default_rng(2)
+    rows = [(n, k, T0 + dt.timedelta(hours=k), float(10 + j + 5 * np.sin(k / 24 * 6.28) + draw.normal(0, 0.3)), float(1000 + draw.normal()), float(50 + 3 * draw.normal()), 0) for j, n in enumerate(("A", "B", "C")) for k in range(24 * 100)]
+    readings = spark.createDataFrame(rows, SCHEMA)
+    stations = spark.createDataFrame([(n, 60.0) for n in "ABC"], "station_id string, cadence_minutes double")
+    days = (0, 20, 95)
+    known = starting.models(readings, stations, normality.fit(readings), limits.fit(readings, stations), days)
+    assert {r[0] for r in known.cells.select("station_id").distinct().collect()} == {f"{n}|{d}|{m}" for n in "ABC" for d in days for m in starting.MODES} - {f"{n}|0|own_only" for n in "ABC"}
+    own = {(r.channel, r.month, r.hour): r["mean"] for r in known.cells.filter("station_id = 'A|20|own_only'").collect()}
+    direct = {(r.channel, r.month, r.hour): r["mean"] for r in normality.fit(readings.filter("station_id = 'A' AND seq < 480")).collect()}
+    assert own == pytest.approx(direct)
+    # The forest and the distance learn only from long histories.
+    assert {r[0].split("|")[1] for r in known.distance.select("station_id").collect()} == {r[0].split("|")[1] for r in known.forest.select("station_id").collect()} == {"95"}
+    found = starting.judged(readings.filter("seq >= 2350"), stations, known, days)
+    counts = {(r.days, r["mode"]): r["count"] for r in found.groupBy("days", "mode").count().collect()}
+    assert counts == {(d, m): 150 for d in days for m in starting.MODES} and set(found.columns) >= {"station_id", "scenario", "verdict"}
