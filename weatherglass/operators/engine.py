@@ -22,6 +22,15 @@ class Models:
     distance: DataFrame | None = None
     forest: DataFrame | None = None
 
+    def named(self, names: DataFrame) -> Models:
+        """The same models under other names: names (station_id, base) may have several for a station (base)."""
+        pairs = names.select(F.col("base").alias("base_"), F.col("station_id").alias("name_"))
+
+        def under(table: DataFrame | None) -> DataFrame | None:
+            return table and table.join(pairs, F.col("station_id") == F.col("base_")).drop("station_id", "base_").withColumnRenamed("name_", "station_id")
+
+        return Models(under(self.cells), under(self.limits), under(self.distance), under(self.forest))
+
 
 def train(clean: DataFrame, stations: DataFrame, s: Settings = DEFAULT, *, limits: DataFrame | None = None) -> Models:
     """All models of the layers that are on. limits: known ones, instead of those learned from clean."""

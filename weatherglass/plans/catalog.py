@@ -999,6 +999,25 @@ def detection_paired(t: Tables) -> DataFrame:
     return evaluation.detection(_plan(t), judged, clean, CADENCE)
 
 
+_FACTORS = (0.25, 1.0, 4.0)
+_SWEPT = ", sweep_ AS (SELECT * FROM (VALUES " + ", ".join(f"('{x}', {x}::DOUBLE)" for x in _FACTORS) + ") x(name, factor))" + oracles.judging("""
+  SELECT n.* REPLACE (n.station_id || '|' || f.name AS station_id, CASE WHEN idx = 30 THEN pressure_hpa + 15 * factor ELSE pressure_hpa END AS pressure_hpa, CASE WHEN idx IN (45, 46) THEN humidity_pct + 45 * factor ELSE humidity_pct END AS humidity_pct), n.station_id AS base, factor
+  FROM (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY seq) - 1 AS idx FROM readings) n, sweep_ f
+""", "_s", given={x: f"SELECT m.* REPLACE (m.station_id || '|' || f.name AS station_id) FROM {x} m, sweep_ f" for x in ("cells", "limits", "history_rows", "factors", "far_limit", "forest_nodes", "forest_sizes", "forest_limit")})
+
+
+@query(_SWEPT + """
+, plan_ AS (SELECT * FROM (VALUES ('spike', 30, 30), ('step', 45, 46)) p(fault_type, a, b)),
+hits AS (SELECT r.base, r.factor, p.fault_type, bool_or(f.verdict IN ('FAULT', 'SUSPECT') AND c.verdict NOT IN ('FAULT', 'SUSPECT')) AS new
+  FROM plan_ p JOIN readings_s r ON r.idx BETWEEN p.a AND p.b + 2 JOIN verdicts_s f ON f.station_id = r.station_id AND f.seq = r.seq JOIN verdicts c ON c.station_id = r.base AND c.seq = r.seq GROUP BY ALL)
+SELECT fault_type, factor AS severity, count(*) AS injected, count(*) FILTER (new) AS detected_new, round(100 * avg(CAST(new AS DOUBLE)), 6) AS percent FROM hits GROUP BY ALL
+""")
+def severity_sweep(t: Tables) -> DataFrame:
+    clean = t.judged.select("station_id", (F.col("place") - 1).alias("idx"), "verdict")
+    swept = studies.severity_sweep(t.readings, _plan(t), t.stations, t.models, clean, CADENCE, _FACTORS)
+    return rounded(studies.by_severity(swept), "percent")
+
+
 @query()
 def make_plan(t: Tables) -> DataFrame:
     return injection.make_plan(t.readings.groupBy("station_id").agg(F.count("*").alias("n")), CADENCE)
