@@ -4,6 +4,7 @@ import hashlib
 import random
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -491,5 +492,28 @@ def test_codec_memory_is_bounded():
         sentencepiece_codec.REMEMBERED = small
 
 
+def test_codec_learns_common_segments_once(monkeypatch):
+    own, asked = sentencepiece_codec.Codec(open(MODEL, "rb").read()), Counter()
+    learn = own.learn
+    monkeypatch.setattr(sentencepiece_codec, "REMEMBERED", 200_000)
+    monkeypatch.setattr(own, "learn", lambda keys: asked.update(k.lstrip("▁") for k in keys) or learn(keys))
+    for k in range(20):
+        assert all(x[1] and x[3] for x in own.encode(["some common words", " ".join(f"w{k}x{j}" for j in range(200))]))
+    assert sum(asked.values()) > 4000 and {asked[w] for w in ("some", "common", "words")} == {1}
+
+
+@pytest.mark.parametrize("data", [open(MODEL, "rb").read(), _unigram(0), _unigram(1)], ids=["bpe", "plain", "prefixed"])
+def test_codec_tells_what_decoding_gives(data):
+    own, r = sentencepiece_codec.Codec(data), random.Random(8)
+    parts = [*" ▁ab\n€é🎉\0", "  ", "<0x0A>", "<0x41>", "the ", "<s>", "<unk>", "▁▁"]
+    texts = ["", " ", "▁", *("".join(r.choice(parts) for _ in range(r.randint(0, 12))) for _ in range(2000))]
+    for some in ([""], [], texts):
+        got = own.encode(some)
+        assert len(got) == len(some)
+        for text, (coded, back, _, same) in zip(some, got, strict=True):
+            ids = np.frombuffer(coded, "<i4").tolist()
+            assert (ids == own.library.encode(text)) == same and (own.decode([ids])[0] == own.expected(text)) == back, text
+
+
 def test_checkpoint_folder_is_the_sessions(spark):
     assert checkpoint_dir(spark)

@@ -4,8 +4,9 @@ The model's protobuf is parsed here into pieces, scores, types and normaliser se
 white-space rules as a normaliser, the space marker, a unigram model by its scores or a BPE model by merges in the order of
 the scores, byte fallback, and the decoder. A text is normalised and cut before each run of markers; where no piece has a
 marker behind another character, no piece can cross such a cut, so encoding segment by segment gives the ids of the whole.
-(Where one has, texts are encoded whole.) Each distinct segment of a batch is encoded once, by a multithreaded batch call,
-and remembered within a bound.
+(Where one has, texts are encoded whole.) Each distinct segment of a chunk of texts is encoded once, by the backend's model
+without the pipeline around it (whose steps are done here), and remembered within a bound: of two generations the older one
+is forgotten, but for what is met again.
 
 Parity: the sentencepiece library encodes every whole text too. The ids stay the backend's; parity tells whether all agree.
 
@@ -19,18 +20,24 @@ import hashlib
 import os
 import re
 import struct
+import sys
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import chunks, prepare, utf8
 
 MARK = "▁"
-#: Bytes of segments and ids that a worker remembers before it starts anew.
+#: Bytes of segments and ids that a worker remembers; beyond half of them a new generation begins.
 REMEMBERED = 64 << 20
-THREADS = 2
+#: Bytes of texts that are encoded at once.
+CHUNK = 2 << 20
+#: Tasks fill the cores; threads within one only cost more.
+THREADS = 1
 
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -94,7 +101,7 @@ class Codec:
     """Encoder and decoder rebuilt from a model file's bytes."""
 
     def __init__(self, data: bytes, threads: int = THREADS):
-        os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = str(threads), "true"
+        os.environ["RAYON_NUM_THREADS"], os.environ["TOKENIZERS_PARALLELISM"] = str(threads), str(threads > 1).lower()
         from sentencepiece import SentencePieceProcessor
         from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers
 
@@ -104,19 +111,26 @@ class Codec:
             core = models.BPE({p: i for i, (p, _, _) in enumerate(m.pieces)}, m.merges(), unk_token=unk, fuse_unk=True, byte_fallback=m.byte_fallback)
         else:
             core = models.Unigram([(p, s) for p, s, _ in m.pieces], m.unk_id, m.byte_fallback)
-        self.tokenizer = Tokenizer(core)
+        self.core, self.tokenizer = core, Tokenizer(core)
         steps = [normalizers.Precompiled(m.charsmap)] if m.charsmap else []
         if m.collapse:
             steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
         self.prior = normalizers.Sequence(steps) if steps else None
-        self.tokenizer.add_tokens([AddedToken(p, normalized=False) for p, _, kind in m.pieces if kind == USER_DEFINED])
+        self.added = [p for p, _, kind in m.pieces if kind == USER_DEFINED]
+        self.tokenizer.add_tokens([AddedToken(p, normalized=False) for p in self.added])
         self.tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()])
         self.bytes = {i for i, (_, _, kind) in enumerate(m.pieces) if kind == BYTE}
+        self.pieces = [p for p, _, _ in m.pieces]
+        #: Which pieces the decoder may take for bytes.
+        self.coded = np.array([kind == BYTE or p.startswith("<0x") for p, _, kind in m.pieces])
         self.library = SentencePieceProcessor(model_proto=data)
         self.cut = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+") if m.splits else re.compile("(?s).+")
+        #: What every segment begins with; segments are remembered without it.
+        self.lead = MARK if m.dummy_prefix else ""
         self.known: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
         self.odd: dict[str, tuple[int, bool]] = {}
-        self.held = 0
+        self.young = self.held = 0
 
     def normalised(self, text: str) -> str:
         if self.prior:
@@ -124,39 +138,73 @@ class Codec:
         text = text.replace(" ", MARK)
         return MARK + text if text and self.model.dummy_prefix else text
 
-    def learn(self, segments: list[str]) -> None:
-        """Encode and decode segments, and remember their ids; and of those with byte tokens, or that decoding doesn't give back,
-        (byte tokens, given back)."""
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
-        texts = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
-        for s, i, t in zip(segments, ids, texts, strict=True):
-            self.known[s] = np.array(i, "<i4").tobytes()
-            self.held += 200 + 4 * len(s) + 4 * len(i)
-            fallback, back = sum(x in self.bytes for x in i) if len(i) > 1 else 0, t == s.replace(MARK, " ")
-            if fallback or not back:
-                self.odd[s] = (fallback, back)
+    def segments(self, normal: list[str]) -> tuple[list[int], pa.ListArray]:
+        """An order of the normalised texts, and in that order their segments, without what all begin with."""
+        plain = [bool(self.lead) and self.model.splits and t != "" and MARK + MARK not in t for t in normal]
+        order = [k for k, x in enumerate(plain) if x] + [k for k, x in enumerate(plain) if not x]
+        n, begin = sum(plain), len(self.lead)
+        runs = [[s[begin:] for s in self.cut.findall(normal[k])] for k in order[n:]]
+        return order, pa.concat_arrays([pc.split_pattern(pa.array([normal[k][1:] for k in order[:n]], pa.string()), MARK), pa.array(runs, pa.list_(pa.string()))])
+
+    def learn(self, keys: list[str]) -> list[bytes]:
+        """Encode segments; of those with byte tokens, or that decoding doesn't give back, remember (byte tokens, given back)."""
+        segments = [self.lead + k for k in keys]
+        if self.added:
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(segments, add_special_tokens=False)]
+        else:
+            ids = [[t.id for t in tokens] for tokens in map(self.core.tokenize, segments)]
+        flat, ends = np.fromiter(chain.from_iterable(ids), "<i4"), np.cumsum([0, *map(len, ids)])
+        coded = np.diff(np.concatenate([[0], np.cumsum(self.coded[flat])])[ends]).tolist()
+        piece = self.pieces.__getitem__
+        for key, s, own, some in zip(keys, segments, ids, coded, strict=True):
+            # The decoder joins pieces and makes spaces of their markers, but for those that it takes for bytes.
+            if some or "".join(map(piece, own)) != s:
+                fallback = sum(x in self.bytes for x in own) if len(own) > 1 else 0
+                back = self.tokenizer.decode(own, skip_special_tokens=False) == s.replace(MARK, " ")
+                if fallback or not back:
+                    self.odd[key] = (fallback, back)
+        packed = flat.tobytes()
+        return [packed[a:b] for a, b in pairwise((4 * ends).tolist())]
+
+    def recall(self, keys: list[str]) -> list[bytes]:
+        """The ids of distinct segments; those that the younger generation lacks come to it."""
+        if self.young > REMEMBERED // 2:
+            self.before, self.known, self.held, self.young = self.known, {}, self.young, 0
+            self.odd = {s: told for s, told in self.odd.items() if s in self.before}
+        out = list(map(self.known.get, keys))
+        fresh = {s: self.before.get(s) for s, x in zip(keys, out, strict=True) if x is None}
+        new = [s for s, x in fresh.items() if x is None]
+        fresh.update(zip(new, self.learn(new), strict=True))
+        self.known.update(fresh)
+        size = 100 * len(fresh) + sum(map(sys.getsizeof, fresh)) + sum(map(sys.getsizeof, fresh.values()))
+        self.young += size
+        self.held += size
+        return [fresh[s] if x is None else x for s, x in zip(keys, out, strict=True)]
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool, int, bool]]:
         """Of each text: ids as little-endian int32, whether they give the normalised text back, byte tokens, and parity."""
-        normal = [self.normalised(t) for t in texts]
-        cuts = [self.cut.findall(t) for t in normal]
-        if self.held > REMEMBERED:
-            self.known.clear()
-            self.odd.clear()
-            self.held = 0
-        new = list({s for parts in cuts for s in parts}.difference(self.known))
-        if new:
-            self.learn(new)
-        out, get = [], self.known.__getitem__
-        for text, parts in zip(texts, cuts, strict=True):
-            ids = b"".join(map(get, parts))
-            told = [self.odd[s] for s in parts if s in self.odd] if self.odd and not self.odd.keys().isdisjoint(parts) else ()
-            back = all(ok for _, ok in told)
+        order, cuts = self.segments([self.normalised(t) for t in texts])
+        words = cuts.flatten().dictionary_encode()
+        keys = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        coded = pa.array(self.recall(keys), pa.large_binary()).take(words.indices)
+        ends, tokens = np.frombuffer(coded.buffers()[1], np.int64, len(coded) + 1), coded.buffers()[2] or b""
+        told = [(k, *self.odd[s]) for k, s in enumerate(keys) if s in self.odd]
+        fallback, lost = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        if told:
+            at, some, ok = zip(*told, strict=True)
+            fallback[list(at)], lost[list(at)] = some, ~np.array(ok)
+        codes, cut = words.indices.to_numpy(), cuts.offsets.to_numpy()
+        fallback, lost = (np.concatenate([[0], np.cumsum(x[codes])])[cut] for x in (fallback, lost))
+        place, ends = np.argsort(order), ends[cut]
+        out = []
+        for k, text in zip(place.tolist(), texts, strict=True):
+            ids = bytes(tokens[int(ends[k]) : int(ends[k + 1])])
+            back = bool(lost[k] == lost[k + 1])
             if not back:  # what one segment lacks, another could bring
                 own = np.frombuffer(ids, "<i4").tolist()
                 back = self.decode([own])[0] == self.expected(text)
-            same = np.array(self.library.encode(text), "<i4").tobytes() == ids
-            out.append((ids, back, sum(n for n, _ in told), same))
+            own = self.library.encode(text)
+            out.append((ids, back, int(fallback[k + 1] - fallback[k]), struct.pack(f"<{len(own)}i", *own) == ids))
         return out
 
     def expected(self, text: str) -> str:
@@ -197,7 +245,7 @@ def encode(documents: DataFrame, model_path: str, *, ids: bool = False, carry: t
             texts = utf8(batch.column(1))
             rows: list[tuple] = []
             coded_texts: list[bytes] = []
-            for a, b in chunks(texts, 2 << 20):
+            for a, b in chunks(texts, CHUNK):
                 part = [(t or b"").decode() for t in texts[a:b]]
                 for coded, back, fallback, same in own.encode(part):
                     rows.append((len(coded) // 4, fallback, hashlib.sha256(coded).hexdigest(), back, same))
