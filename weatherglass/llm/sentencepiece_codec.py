@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import chunks, prepare, utf8
 
 MARK = "▁"
-#: Bytes of segments and ids that a worker remembers; beyond half of them a new generation begins.
+#: Bytes of segments and ids that a worker remembers, besides what two chunks add; beyond half of them a new generation begins.
 REMEMBERED = 64 << 20
 #: Bytes of texts that are encoded at once.
 CHUNK = 2 << 20
