@@ -1,8 +1,9 @@
 """What grew with the square of how dense readings are, or took a station into one window, against plain loops."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from weatherglass.operators import clock, forest, history, normality
+from weatherglass.operators import clock, forest, history, imputation, normality
 from weatherglass.sources import synthetic
 
 
@@ -28,3 +29,16 @@ def test_low_quantile_is_exact(spark):
     frame = spark.createDataFrame([(n, float(v)) for n, x in scores.items() for v in x], "station_id string, iforest_score double")
     got = {x.station_id: x.threshold for x in forest.low_quantile(frame, 0.005).collect()}
     assert got == {n: np.sort(x)[max(1, int(np.ceil(len(x) * 0.005))) - 1] for n, x in scores.items()}
+
+
+def test_last_trusted_in_blocks(spark):
+    rows = spark.range(1, 200).select(
+        F.lit("A").alias("station_id"), F.col("id").alias("place"), F.col("id").alias("seq"), F.col("id").alias("us"), F.expr("timestampadd(SECOND, id, TIMESTAMP_NTZ'2024-01-01 00:00:00')").alias("ts"),
+        F.when(F.col("id") % 50 == 0, F.col("id") * 1.0).alias("temperature_c"), F.when(F.col("id") % 7 != 3, F.col("id") * 1.0).alias("pressure_hpa"), F.lit(None).cast("double").alias("humidity_pct"),
+        F.when(F.col("id") % 100 == 0, "FAULT").otherwise("VALID").alias("verdict"), F.array(F.lit("temperature_c")).alias("flagged_channels"))
+    got = {x.place: x for x in imputation.with_last(rows, 16).collect()}
+    for p in range(1, 200):
+        x = got[p]
+        assert x.last_humidity_pct is None
+        assert (x.last_temperature_c and x.last_temperature_c.v) == max((float(k) for k in range(50, p, 50) if k % 100), default=None)
+        assert (x.last_pressure_hpa and x.last_pressure_hpa.v) == max((float(k) for k in range(1, p) if k % 7 != 3), default=None)
