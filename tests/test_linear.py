@@ -42,3 +42,12 @@ def test_last_trusted_in_blocks(spark):
         assert x.last_humidity_pct is None
         assert (x.last_temperature_c and x.last_temperature_c.v) == max((float(k) for k in range(50, p, 50) if k % 100), default=None)
         assert (x.last_pressure_hpa and x.last_pressure_hpa.v) == max((float(k) for k in range(1, p) if k % 7 != 3), default=None)
+
+
+def test_threshold_of_many_scores_in_parts(spark):
+    """As many as make an approximate quantile miss the rank, on which two runs then differ."""
+    frame = spark.range(0, 240_000, 1, 24).select(F.concat(F.lit("S"), (F.col("id") % 3).cast("string")).alias("station_id"), (F.pmod(F.xxhash64("id"), F.lit(1 << 40)) / float(1 << 40)).alias("iforest_score"))
+    got = {x.station_id: x.threshold for x in forest.low_quantile(frame, 0.005).collect()}
+    about = {x.station_id: x.t for x in frame.groupBy("station_id").agg(F.percentile_approx("iforest_score", 0.005, 100_000).alias("t")).collect()}
+    scores = frame.toPandas().groupby("station_id").iforest_score
+    assert got == {n: np.sort(x)[400 - 1] for n, x in scores} and about != got
